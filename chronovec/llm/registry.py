@@ -1,10 +1,16 @@
 """Queries of this subpackage and their SQL."""
 
-from . import near_dedup
+from . import bpe, decontaminate, exact_dedup, near_dedup, sharding
 
 QUERIES = {
+    "op1_bpe": bpe.op1_bpe,
+    "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op6_rendezvous_sharding": sharding.op6_rendezvous_sharding,
     "op7_minhash_near_dedup": near_dedup.op7_minhash_near_dedup,
+    "op9_decontaminate": decontaminate.op9_decontaminate,
 }
 SQL = {
+    "op5_exact_dedup": exact_dedup.SQL,
     "op7_minhash_near_dedup": near_dedup.SQL,
+    "op9_decontaminate": decontaminate.SQL,
 }
