@@ -7,11 +7,13 @@ M*M tables of 2*K rows. Two sets of similarity s share a table with probability
 (1 - (1 - s^K)^M)^2, over 0.99997 at s = 0.8 with the defaults.
 
 A table key can be shared only if both its sub-keys are, so keys are formed only
-from sub-keys that some other set has too. In every bucket of a table the members
-meet pivots, in rounds of more and more pivots, until the bucket lies in one
-component or each two members of different components have met: no pair of a
-bucket is left out, but pairs already connected aren't emitted. Candidate pairs
-are confirmed on full sets. Components come from a distributed star contraction.
+from sub-keys that some other set has too. In every bucket of a table each member
+first meets one pivot, the member that shares most sub-keys. Buckets that then
+still hold several components are finished exactly: all pairs between components
+in buckets of up to SMALL sets, else block against block, where only a link for
+each two components is returned. So no pair of a bucket is left out, and no group
+is expanded into its pairs. All links are confirmed on full sets. Components come
+from a distributed star contraction.
 
 Equal sets are one vertex, so exact copies never form pairs. Rows that share a
 doc_id are one document. Null or wordless texts and null ids link with nothing.
@@ -23,14 +25,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from . import wordhash
 from .common import connected_components, drop, join_sized, materialize, table
 
 K, M = 3, 16
-#: Pivots that have met the others of their bucket after each round.
-PIVOTS = 8
+#: Members of a bucket whose pairs are listed; larger buckets are compared in blocks.
+SMALL = 8
+#: Sets and shingles of a block, on average.
+BLOCK_SETS, BLOCK_SHINGLES = 256, 1 << 18
 
 
 def _shingles(texts: list[bytes], width: int):
@@ -139,23 +142,123 @@ def _members(reps: DataFrame, m: int) -> DataFrame:
     return out
 
 
-def _met(members: DataFrame, after: int, upto: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of a bucket in different components, a a pivot of this round, b behind it."""
-    order = Window.partitionBy("key").orderBy(F.desc("pop"), "id")
-    pivots = (
-        members.withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= upto)
-        .where(F.col("rank") > after)
-        .select("key", F.col("id").alias("a"), F.col("pop").alias("pop_a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
+def _star(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b): each member of a bucket with the member that shares most sub-keys with others."""
+    pivots = members.groupBy("key").agg(F.max(F.struct("pop", -F.col("id"), "n")).alias("top"))
+    pairs = members.join(pivots, "key").select(
+        (-F.col("top")["col2"]).alias("a"), F.col("id").alias("b"), F.col("top")["n"].alias("n_a"), "n"
     )
-    behind = (F.col("pop") < F.col("pop_a")) | ((F.col("pop") == F.col("pop_a")) & (F.col("id") > F.col("a")))
-    fits = 100 * F.least("n", "n_a") >= percent * F.greatest("n", "n_a")
-    return (
-        members.join(pivots, "key")
-        .where(behind & (F.col("root") != F.col("root_a")) & fits)
-        .select("a", F.col("id").alias("b"))
-        .distinct()
+    return pairs.where(F.col("a") != F.col("b")).where(_fits("n_a", "n", percent)).select("a", "b").distinct()
+
+
+def _all_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of small buckets in different components."""
+    other = members.select("key", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
+    pairs = members.join(other, "key").where((F.col("id") < F.col("b")) & (F.col("root") != F.col("root_b")))
+    return pairs.where(_fits("n", "n_b", percent)).select(F.col("id").alias("a"), "b").distinct()
+
+
+def _fits(a: str, b: str, percent: int):
+    """Sizes of sets that can be similar enough."""
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+
+
+def _confirmed(pairs: DataFrame, pool: DataFrame, percent: int) -> DataFrame:
+    sets_a, sets_b = (pool.select(F.col("id").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
+    both = F.size(F.array_intersect("set_a", "set_b"))
+    similar = 100 * both >= percent * (F.size("set_a") + F.size("set_b") - both)
+    return pairs.join(sets_b, "b").join(sets_a, "a").where(similar).select("a", "b")
+
+
+def _block_links(percent: int):
+    """Links between components in pairs of blocks: counts of common shingles as matrix products."""
+
+    def run(batches):
+        for batch in batches:
+            out_a, out_b = [], []
+            for row in range(batch.num_rows):
+                sides = []
+                for name in ("left", "right"):
+                    block = batch.column(name)[row].values
+                    sets = block.field("shingles")
+                    sides.append((block.field("id").to_numpy(), block.field("root").to_numpy(), sets.value_lengths().to_numpy(), sets.flatten().to_numpy()))
+                (ids, roots, sizes, values), (ids2, roots2, sizes2, values2) = sides
+                common = np.intersect1d(values, values2)
+                hits = np.zeros((len(ids), len(ids2)), np.float32)
+                rows, rows2 = np.repeat(np.arange(len(ids)), sizes), np.repeat(np.arange(len(ids2)), sizes2)
+                for at in range(0, len(common), 1 << 14):
+                    part = common[at : at + (1 << 14)]
+                    hits += _bitmap(part, rows, values, len(ids)) @ _bitmap(part, rows2, values2, len(ids2)).T
+                union = sizes[:, None].astype(np.int64) + sizes2[None, :] - hits.astype(np.int64)
+                linked = (100 * hits.astype(np.int64) >= percent * union) & (roots[:, None] != roots2[None, :])
+                x, y = np.nonzero(linked)
+                # one link joins two components
+                _, first = np.unique(np.stack([roots[x], roots2[y]]), axis=1, return_index=True)
+                out_a.append(ids[x[first]]), out_b.append(ids2[y[first]])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(out_a or [np.zeros(0, np.int64)]), pa.int64()), pa.array(np.concatenate(out_b or [np.zeros(0, np.int64)]), pa.int64())],
+                ["a", "b"],
+            )
+
+    return run
+
+
+def _bitmap(columns: np.ndarray, rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    out = np.zeros((n, len(columns)), np.float32)
+    at = np.minimum(np.searchsorted(columns, values), len(columns) - 1)
+    own = columns[at] == values
+    out[rows[own], at[own]] = 1
+    return out
+
+
+def _block_compare(state: DataFrame, pool: DataFrame, percent: int) -> DataFrame:
+    """Links of large buckets between different components, block against block.
+
+    Buckets with common members form clusters. The members of a cluster's largest
+    component and the others are dealt into blocks by hash; each block of the
+    others meets every block, blocks of one component never meet.
+    """
+    low = state.groupBy("key").agg(F.min("id").alias("b"))
+    roots = connected_components(state.join(low, "key").select(F.col("id").alias("a"), "b").distinct())
+    own = materialize(
+        state.select("id", "n", "root").distinct().join(roots.select("id", F.col("root").alias("cluster")), "id"), "clusters"
+    )
+    major = (
+        own.groupBy("cluster", "root")
+        .count()
+        .groupBy("cluster")
+        .agg(F.max(F.struct("count", "root")).alias("top"))
+        .select("cluster", F.col("top")["root"].alias("major"))
+    )
+    sided = own.join(major, "cluster").withColumn("main", (F.col("root") == F.col("major")).cast("int"))
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    sizes = materialize(sided.groupBy("cluster", "main").agg(blocks.alias("blocks")), "cluster-sizes")
+    dealt = materialize(
+        sided.join(sizes, ["cluster", "main"])
+        .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        .join(pool, "id")
+        .groupBy("cluster", "main", "block")
+        .agg(F.collect_list(F.struct("id", "root", "shingles")).alias("sets")),  # BLOCK_SETS on average
+        "blocks",
     )
+    each = sizes.select("cluster", "main", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    left = each.where("main = 0").select("cluster", F.col("block").alias("block_l"))
+    right = each.select("cluster", F.col("main").alias("main_r"), F.col("block").alias("block_r"))
+    pairs = left.join(right, "cluster").where((F.col("main_r") == 1) | (F.col("block_r") >= F.col("block_l")))
+    left_sets = dealt.where("main = 0").select("cluster", F.col("block").alias("block_l"), F.col("sets").alias("left"))
+    right_sets = dealt.select(
+        "cluster", F.col("main").alias("main_r"), F.col("block").alias("block_r"), F.col("sets").alias("right")
+    )
+    spark = state.sparkSession
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "4")  # rows hold two blocks
+    try:
+        met = pairs.join(left_sets, ["cluster", "block_l"]).join(right_sets, ["cluster", "main_r", "block_r"])
+        return materialize(met.select("left", "right").mapInArrow(_block_links(percent), "a long, b long"), "links")
+    finally:
+        spark.conf.set(name, before)
+        drop(own), drop(sizes), drop(dealt)
 
 
 def near_duplicates(
@@ -183,44 +286,27 @@ def near_duplicates(
         .mapInArrow(_sets(width), "id long, shingles array<long>"),
         "shingle-sets",
     )
-    links, roots, after, upto = None, None, 0, 1
-    while True:
-        if roots is None:
-            state = members.withColumn("root", F.col("id"))
-        else:
-            state = members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-        open_keys = (
-            state.groupBy("key")
-            .agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("of"))
-            .where((F.col("lo") < F.col("hi")) & (F.col("of") > after))
-            .select("key")
-        )
-        state = materialize(state.join(open_keys, "key"), "open-buckets")
-        if not state.take(1):
-            drop(state)
-            break
-        pairs = _met(state, after, upto, percent)
-        sets_a, sets_b = (pool.select(F.col("id").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
-        both = F.size(F.array_intersect("set_a", "set_b"))
-        found = materialize(
-            pairs.join(sets_b, "b")
-            .join(sets_a, "a")
-            .where(100 * both >= percent * (F.size("set_a") + F.size("set_b") - both))
-            .select("a", "b"),
-            "links",
-        )
-        drop(state)
-        links = found if links is None else materialize(links.union(found), "links")
-        roots = materialize(connected_components(links), "roots")
-        after, upto = upto, upto * PIVOTS
-    drop(pool), drop(members)
-
-    if roots is None:
-        linked = class_of.withColumn("component_id", F.col("rep"))
-    else:
-        linked = class_of.join(roots.withColumnRenamed("id", "rep"), "rep", "left").withColumn(
-            "component_id", F.coalesce("root", "rep")
-        )
+    links = materialize(_confirmed(_star(members, percent), pool, percent), "links")
+    roots = materialize(connected_components(links), "roots")
+    state = members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    open_keys = (
+        state.groupBy("key")
+        .agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("of"))
+        .where("lo < hi")
+        .select("key", "of")
+    )
+    state = materialize(state.join(open_keys, "key"), "open-buckets")
+    more = _confirmed(_all_pairs(state.where(F.col("of") <= SMALL), percent), pool, percent)
+    large = state.where(F.col("of") > SMALL)
+    if large.take(1):
+        more = more.union(_block_compare(large, pool, percent))
+    links = materialize(links.union(more), "links")
+    roots = materialize(connected_components(links), "roots")
+    drop(pool), drop(members), drop(state)
+
+    linked = class_of.join(roots.withColumnRenamed("id", "rep"), "rep", "left").withColumn(
+        "component_id", F.coalesce("root", "rep")
+    )
     alone = sketch.where("n = 0 OR doc_id IS NULL")
     return (
         linked.select("doc_id", F.col("n").alias("n_shingles"), "component_id")

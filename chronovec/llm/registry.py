@@ -1,9 +1,10 @@
 """Queries of this subpackage and their SQL."""
 
-from . import bpe, decontaminate, exact_dedup, near_dedup, sharding
+from . import bpe, decontaminate, exact_dedup, near_dedup, sharding, toxicity
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
+    "op2_toxicity": toxicity.op2_toxicity,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_rendezvous_sharding": sharding.op6_rendezvous_sharding,
     "op7_minhash_near_dedup": near_dedup.op7_minhash_near_dedup,
