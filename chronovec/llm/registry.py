@@ -1,17 +1,21 @@
 """Queries of this subpackage and their SQL."""
 
-from . import bpe, decontaminate, exact_dedup, near_dedup, sharding, toxicity
+from . import bpe, chat, decontaminate, exact_dedup, near_dedup, sharding, toxicity, warc
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op2_toxicity": toxicity.op2_toxicity,
+    "op3_chat_formatting": chat.op3_chat_formatting,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_rendezvous_sharding": sharding.op6_rendezvous_sharding,
     "op7_minhash_near_dedup": near_dedup.op7_minhash_near_dedup,
+    "op8_warc": warc.op8_warc,
     "op9_decontaminate": decontaminate.op9_decontaminate,
 }
 SQL = {
+    "op3_chat_formatting": chat.SQL,
     "op5_exact_dedup": exact_dedup.SQL,
     "op7_minhash_near_dedup": near_dedup.SQL,
+    "op8_warc": warc.SQL,
     "op9_decontaminate": decontaminate.SQL,
 }
