@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import wordhash
-from .common import materialize, table
+from .common import drop, materialize, table
 
 WINDOW, K = 10, 5
 #: Windows of the items in a block: 32 bytes each when broadcast.
@@ -154,29 +154,11 @@ def hit_runs(
     docs: DataFrame, items: DataFrame, window: int = WINDOW, k: int = K, block_windows: int = BLOCK_WINDOWS
 ) -> DataFrame:
     """(key, n_words, starts, ends, items) for each row of docs(key long, text)."""
-    spark = docs.sparkSession
-    wins = materialize(
-        items.select(F.col("item_id").cast("string").alias("item_id"), "text")
-        .mapInArrow(_item_windows(window, k), "item_id string, n int, fp long, win long")
-        .where("item_id IS NOT NULL")
-        .groupBy("n", "fp", "win")
-        .agg(F.collect_set("item_id").alias("items")),
-        "windows",
-    )
-    names = wins.select(F.sum(F.size("items"))).first()[0] or 0
-    blocks = -(-names // block_windows)
-    if blocks == 0:
-        return docs.select("key", "text").mapInArrow(
-            _scan(spark.sparkContext.broadcast(Block([])), window, k), _RUNS
-        )
-    parts = []
-    if blocks > 1:
+    blocks = item_blocks(items, window, k, block_windows)
+    if len(blocks) > 1:
         docs = materialize(docs.select("key", "text"), "texts")  # keys stay the same in every pass
-    for i in range(blocks):
-        rows = wins.where(F.pmod(F.xxhash64("win"), F.lit(blocks)) == i).collect()  # block_windows rows on average
-        block = spark.sparkContext.broadcast(Block(rows))
-        parts.append(docs.select("key", "text").mapInArrow(_scan(block, window, k), _RUNS))
-    if blocks == 1:
+    parts = [docs.select("key", "text").mapInArrow(_scan(block, window, k), _RUNS) for block in blocks]
+    if len(parts) == 1:
         return parts[0]
     every = parts[0]
     for part in parts[1:]:
@@ -189,6 +171,45 @@ def hit_runs(
     )
 
 
+def item_blocks(items: DataFrame, window: int, k: int, block_windows: int) -> list:
+    """Broadcast blocks of the items' windows, at least one."""
+    context = items.sparkSession.sparkContext
+    wins = materialize(
+        items.select(F.col("item_id").cast("string").alias("item_id"), "text")
+        .mapInArrow(_item_windows(window, k), "item_id string, n int, fp long, win long")
+        .where("item_id IS NOT NULL")
+        .groupBy("n", "fp", "win")
+        .agg(F.collect_set("item_id").alias("items")),
+        "windows",
+    )
+    names = wins.select(F.sum(F.size("items"))).first()[0] or 0
+    number = max(1, -(-names // block_windows))
+    # a block has block_windows rows on average
+    dealt = [wins.where(F.pmod(F.xxhash64("win"), F.lit(number)) == i).collect() for i in range(number)]
+    drop(wins)
+    return [context.broadcast(Block(rows)) for rows in dealt]
+
+
+def without_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: int = K, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+    """The rows of docs whose text holds no window of an item, all columns kept."""
+    schema = docs.schema
+    for block in item_blocks(items, window, k, block_windows):
+        docs = docs.mapInArrow(_clean(block, window, k), schema)
+    return docs
+
+
+def _clean(block, window: int, k: int):
+    scan = _scan(block, window, k)
+
+    def run(batches):
+        for batch in batches:
+            keys = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column("text")], ["key", "text"])
+            found = next(scan(iter([keys])))
+            yield batch.filter(pa.array([not x for x in found.column("items").to_pylist()], pa.bool_()))
+
+    return run
+
+
 _RUNS = "key long, n_words long, starts array<long>, ends array<long>, items array<string>"
 
 

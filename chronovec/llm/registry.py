@@ -1,16 +1,18 @@
 """Queries of this subpackage and their SQL."""
 
-from . import bpe, chat, decontaminate, exact_dedup, near_dedup, sharding, toxicity, warc
+from . import bpe, chat, decontaminate, exact_dedup, html_text, near_dedup, quality, sharding, toxicity, warc
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_chat_formatting": chat.op3_chat_formatting,
+    "op4_quality": quality.op4_quality,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_rendezvous_sharding": sharding.op6_rendezvous_sharding,
     "op7_minhash_near_dedup": near_dedup.op7_minhash_near_dedup,
     "op8_warc": warc.op8_warc,
     "op9_decontaminate": decontaminate.op9_decontaminate,
+    "op10_html_text": html_text.op10_html_text,
 }
 SQL = {
     "op3_chat_formatting": chat.SQL,
