@@ -1,0 +1 @@
+"""Analytics over time-ordered embedding series, as Spark DataFrame operators."""
