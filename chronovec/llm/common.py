@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark import StorageLevel  # noqa: F401  (re-exported for callers that cache)
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,3 +96,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("id"), F.col("b").alias("root")).union(
         edges.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct()
     )
+
+
+def smallest_hashes(df: DataFrame, key: str, n: int) -> DataFrame:
+    """The n rows with the smallest hashes of a key: a bounded sample that doesn't depend on partitions.
+
+    A first filter on the hash leaves about 2 * n rows, so that no task sends n of its own.
+    """
+    total = df.count()
+    share = F.shiftrightunsigned(F.xxhash64(key), 11).cast("double") / float(1 << 53)
+    near = df.where(share < (2.0 * n + 100) / total) if total > 2 * n else df
+    return near.orderBy(share, key).limit(n)

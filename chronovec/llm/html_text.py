@@ -8,7 +8,7 @@ LSTM in numpy reads the whole sequence of a page, so each label depends on all
 blocks; the blocks labelled as main text are joined in page order.
 
 The labeller is trained here, on a bounded sample of pages (SAMPLE_PAGES with the
-smallest hash of their id and at most TRAIN_BLOCKS blocks), whose labels come from
+smallest hash of their id, of MOST_HTML characters and TRAIN_BLOCKS blocks at most), whose labels come from
 semantic markup where a page has it: blocks inside article or main that lie in no
 navigation, header, footer, aside, form or advert count as main text. Vectors of
 path parts are dropped at random in training, so that words and neighbours are
@@ -30,9 +30,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import wordhash
-from .common import table
+from .common import smallest_hashes, table
 
-SAMPLE_PAGES, TRAIN_BLOCKS = 240, 400
+SAMPLE_PAGES, TRAIN_BLOCKS, MOST_HTML = 240, 400, 160_000
 PATH_DIM, WORD_DIM, NUMBERS, HIDDEN = 24, 12, 6, 16
 
 _TAG = re.compile(
@@ -284,13 +284,8 @@ def padded(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 def train(pages: DataFrame, sample: int = SAMPLE_PAGES, most_blocks: int = TRAIN_BLOCKS) -> Labeller:
     """A labeller fitted on at most `sample` pages of at most `most_blocks` blocks."""
-    picked = (
-        pages.where(F.col("html").isNotNull() & (F.length("html") < 40 * most_blocks * 10))
-        .select("page_id", "html")
-        .orderBy(F.xxhash64("page_id"), "page_id")
-        .limit(sample)
-        .toPandas()
-    )
+    fitting = pages.where(F.col("html").isNotNull() & (F.length("html") < MOST_HTML)).select("page_id", "html")
+    picked = smallest_hashes(fitting, "page_id", sample).toPandas()
     own = [b for b in map(blocks, picked["html"]) if 0 < len(b) <= most_blocks]
     own = [b for b in own if any(x[3] == 1 for x in b)]
     labeller = Labeller()

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_sized, materialize, table
+from .common import join_sized, materialize, smallest_hashes, table
 
 SAMPLE = 4000
 THRESHOLD = 0.5
@@ -85,7 +85,7 @@ def _matrix(texts) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifier | None:
     """A classifier from labels(doc_id, quality) of docs(doc_id, text)."""
     named = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("y"))
-    picked = [named.where(F.col("y") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for c in (0, 1)]
+    picked = [smallest_hashes(named.where(F.col("y") == c), "doc_id", sample) for c in (0, 1)]
     # at most 2 * sample ids are broadcast
     rows = docs.select("doc_id", "text").join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id")
 

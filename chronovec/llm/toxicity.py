@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import smallest_hashes, table
 
 SAMPLE = 6000
 THRESHOLD = 0.3
@@ -124,7 +124,7 @@ class Lexicon:
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
     """doc_id, text, toxic of at most `sample` labelled documents of each class."""
     named = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    picked = [named.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for c in (0, 1)]
+    picked = [smallest_hashes(named.where(F.col("toxic") == c), "doc_id", sample) for c in (0, 1)]
     # at most 2 * sample ids are broadcast
     return docs.select("doc_id", "text").join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id")
 
