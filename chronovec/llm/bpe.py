@@ -47,8 +47,6 @@ class ByteBPE:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         chars = _byte_chars()
-        self.chars = [chars[b] for b in range(256)]
-        self.to_chars = {b: c for b, c in enumerate(chars)}
         byte_of = {c: b for b, c in enumerate(chars)}
         vocab = spec["model"]["vocab"]
         merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
@@ -66,7 +64,7 @@ class ByteBPE:
             self.merged[order[a], order[b]] = at
         self.automaton = ahocorasick.Automaton()
         for t, i in order.items():
-            self.automaton.add_word(t, i)
+            self.automaton.add_word(bytes(byte_of[c] for c in t).decode("latin-1"), (i, len(t)))
         self.automaton.make_automaton()
         self.compatible: dict[tuple[int, int], bool] = {}
 
@@ -113,37 +111,40 @@ class ByteBPE:
         return fits
 
     def _merge(self, word: str) -> tuple[int, ...]:
-        """Ids of a pre-token written in byte characters."""
-        starts: list[list[int]] = [[] for _ in word]
-        lengths = self.lengths
-        for end, token in self.automaton.iter(word):
-            starts[end - lengths[token] + 1].append(token)
-        for own in starts:
-            own.sort(key=lengths.__getitem__)
-        size, at, taken = len(word), 0, []
+        """Ids of a pre-token whose characters are its bytes."""
+        size = len(word)
+        starts: list[list[tuple[int, int]]] = [[] for _ in range(size)]
+        for end, token in self.automaton.iter(word):  # by end, so shorter tokens of a start come first
+            starts[end - token[1] + 1].append(token)
+        known, at, taken, last = self.compatible, 0, [], -1
         dead = bytearray(size + 1)
-        rank = [len(own) - 1 for own in starts]  # of the token to try at each start
+        left = list(map(len, starts))  # tokens still to try at each start
         while at < size:
-            own, i = starts[at], rank[at]
-            last = taken[-1] if taken else None
-            while i >= 0:
-                token = own[i]
-                if not dead[at + lengths[token]] and (last is None or self._fits(last, token)):
-                    break
+            own, i = starts[at], left[at]
+            while i:
                 i -= 1
-            if i >= 0:
-                rank[at] = i
-                taken.append(own[i])
-                at += lengths[own[i]]
-                if at < size:
-                    rank[at] = len(starts[at]) - 1
+                token, length = own[i]
+                if not dead[at + length]:
+                    if last < 0:
+                        break
+                    fits = known.get((last, token))
+                    if self._fits(last, token) if fits is None else fits:
+                        break
             else:
                 dead[at] = 1
-                at -= lengths[taken.pop()]
-        return tuple(map(self.ids.__getitem__, taken))
+                left[at] = len(own)
+                token, length = taken.pop()
+                last = taken[-1][0] if taken else -1
+                at -= length
+                continue
+            left[at] = i + 1  # it comes again first if what follows is taken back; its end is dead then
+            taken.append((token, length))
+            last = token
+            at += length
+        return tuple([self.ids[token] for token, _ in taken])
 
     def _word(self, word: str) -> tuple[int, ...]:
-        ids = self._merge(word.encode().decode("latin-1").translate(self.to_chars))
+        ids = self._merge(word.encode().decode("latin-1"))
         if len(word) <= 64:
             if len(self.cache) >= CACHE:
                 self.cache.clear()
