@@ -108,9 +108,21 @@ def detect_format(name: Column, aspect: Column, assume: Column) -> Column:
     )
 
 
+def effective_format(stored: Column, flat: Column, name: Column, aspect: Column, assume: Column) -> Column:
+    """detect_format under a stored correction: flat wins, then a token that names a whole format; other tokens fall through."""
+    none = F.lit(None).cast("string")
+    forced, found = detect_format(F.coalesce(stored, F.lit("")), none.cast("double"), none), detect_format(name, aspect, assume)
+    raw = F.struct(
+        F.lit("unknown").alias("projection"), F.lit("mono").alias("layout"), none.cast("double").alias("fov"), F.lit(0.0).alias("confidence"),
+        F.lit("override:flat").alias("source"),
+    )
+    known = (forced["projection"] != "unknown") & (forced["layout"] != "unknown")
+    return F.when(F.coalesce(flat, F.lit(False)), raw).when(known, forced).otherwise(found)
+
+
 def short_number(x: Column) -> Column:
-    """A number without trailing zeros."""
-    return F.regexp_replace(F.format_string("%.6f", x.cast("double")), r"\.?0+$", "")
+    """A number without trailing zeros; null stays null."""
+    return F.when(x.isNotNull(), F.regexp_replace(F.format_string("%.6f", x.cast("double")), r"\.?0+$", ""))
 
 
 def dewarp_filter(

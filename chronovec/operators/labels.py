@@ -36,7 +36,7 @@ def unlike(labels: DataFrame, identities: DataFrame) -> DataFrame:
 
 def reset(labels: DataFrame, base: str) -> DataFrame:
     """Without a base profile and all its categories."""
-    return labels.where(~in_family(F.col("profile"), base))
+    return labels.where(~F.coalesce(in_family(F.col("profile"), base), F.lit(False)))
 
 
 def counts(labels: DataFrame) -> DataFrame:
@@ -65,3 +65,8 @@ def mark_times(marks: DataFrame) -> DataFrame:
 
 def liked_ids(labels: DataFrame, base: str) -> DataFrame:
     return labels.where(in_family(F.col("profile"), base) & (F.col("label") == 1)).select("key", "time_cs").distinct()
+
+
+def newest(labels: DataFrame, profile: str, limit: int = 50) -> DataFrame:
+    """The latest likes of a profile; unknown times come last."""
+    return labels.where((F.col("profile") == profile) & (F.col("label") == 1)).orderBy(F.desc_nulls_last("ts"), "key", "time_cs").limit(limit)

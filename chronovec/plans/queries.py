@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronovec.functions import names, vectors
-from chronovec.operators import candidates, catalog, joins, playlist, preference, scoring, search, segments
+from chronovec.functions import binary, names, vectors
+from chronovec.operators import candidates, catalog, joins, library, playlist, preference, scoring, search, segments
 from chronovec.operators import labels as store
 from chronovec.plans import views
 from chronovec.plans.views import COSINE_SQL, FRAMES_SQL, LABELS_SQL, SERIES_SQL, table
@@ -519,3 +519,134 @@ def latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = f"latest_state_{uuid.uuid4().hex}"
     shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")
     return playback.run_to_table(last, name, f"{shared}/{name}").select("source", "path", "current_time", "playing", "speed", "seq")
+
+
+# library records and byte strings
+
+def _orders(spark, sf_dir):
+    """Orders as scenes, their lines as files, markers and people; an order has a handful of lines."""
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    file = F.struct("l_linenumber", F.col("l_quantity").alias("duration"))
+    person = F.struct("l_linenumber", F.col("l_suppkey").alias("id"), F.col("s_name").alias("name"))
+    marker = F.struct(
+        F.col("l_linenumber").alias("marker_id"), F.col("l_quantity").alias("seconds"), (F.col("l_quantity") * F.col("l_discount")).alias("end_seconds"),
+        F.col("l_linestatus").alias("title"), F.array("l_returnflag", "l_linestatus").alias("tags"),
+    )
+    inside = lines.groupBy(F.col("l_orderkey").alias("scene_id")).agg(
+        F.sort_array(F.collect_list(file)).alias("files"), F.sort_array(F.collect_list(person)).alias("people"), F.collect_list(marker).alias("markers")
+    )
+    orders = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    scenes = orders.select(F.col("o_orderkey").alias("scene_id"), F.when(F.col("o_orderstatus") != "F", F.col("o_orderstatus")).alias("title"), F.col("c_name").alias("studio"))
+    return scenes.join(inside, "scene_id", "left")
+
+
+_LINES = "orders JOIN customer ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey"
+
+
+@query(f"SELECT o_orderkey AS scene_id, l_linenumber AS marker_id, l_quantity AS seconds, nullif(l_quantity * l_discount, 0) AS end_seconds, l_linestatus AS title FROM {_LINES} WHERE l_returnflag = 'R'")
+def markers_by_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return library.markers_by_tag(_orders(spark, sf_dir), "R")
+
+
+@query(f"""SELECT o_orderkey AS scene_id, CASE WHEN o_orderstatus <> 'F' THEN o_orderstatus ELSE '' END AS title, c_name AS studio,
+string_agg(s_name, '|' ORDER BY l_linenumber, l_suppkey) AS people, (list(l_quantity ORDER BY l_linenumber, l_quantity))[1] AS duration
+FROM {_LINES} WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') GROUP BY o_orderkey, o_orderstatus, c_name""")
+def scene_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("scene_id"))
+    return library.scene_details(_orders(spark, sf_dir), wanted).withColumn("people", F.array_join("people", "|"))
+
+
+@query(f"SELECT DISTINCT o_orderkey AS scene_id FROM {_LINES} WHERE l_suppkey = 7")
+def scenes_with_person(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return library.scenes_with(_orders(spark, sf_dir), F.lit(7))
+
+
+@query(f"SELECT l_suppkey AS id, s_name AS name, count(DISTINCT o_orderkey) AS scene_count FROM {_LINES} WHERE regexp_matches(s_name, '[05]$') GROUP BY l_suppkey, s_name")
+def find_people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return library.find_people(_orders(spark, sf_dir), "[05]$")
+
+
+@query("""WITH t AS (SELECT p_type AS name, 'id-' || CAST(min(p_partkey) AS VARCHAR) AS id FROM part WHERE p_size < 20 GROUP BY p_type), w AS (SELECT DISTINCT p_brand AS name FROM part UNION SELECT DISTINCT p_type FROM part)
+SELECT coalesce(t.id, 'tag-' || sha1(name)[1:16]) AS id, name, t.id IS NULL AS created FROM t FULL JOIN w USING (name)""")
+def tag_find_or_create(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    tags = part.where("p_size < 20").groupBy(F.col("p_type").alias("name")).agg(F.concat(F.lit("id-"), F.min("p_partkey").cast("string")).alias("id"))
+    return library.find_or_create_tags(tags, part.select(F.col("p_brand").alias("name")).union(part.select("p_type")))
+
+
+_TAGS_SQL = "SELECT p_partkey AS scene_id, array_to_string(list_sort(list_distinct({})), ' ') AS tags FROM (SELECT *, string_split(p_type, ' ') AS t FROM part) p LEFT JOIN (SELECT l_partkey, list(DISTINCT 'mode-' || l_returnflag) || ['PROMO'] AS c FROM lineitem WHERE l_quantity > 40 GROUP BY l_partkey) ON l_partkey = p_partkey"
+
+
+def _tagged(spark, sf_dir, mode):
+    scenes = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("scene_id"), F.split("p_type", " ").alias("tags"))
+    lines = table(spark, sf_dir, "lineitem").where("l_quantity > 40").select(F.col("l_partkey").alias("scene_id"), F.concat(F.lit("mode-"), "l_returnflag").alias("tag"))
+    changes = lines.union(lines.select("scene_id", F.lit("PROMO")))
+    return library.change_tags(scenes, changes, mode).select("scene_id", F.array_join(F.sort_array(F.array_distinct("tags")), " ").alias("tags"))
+
+
+@query(_TAGS_SQL.format("t || coalesce(c, [])"))
+def bulk_tags_add(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tagged(spark, sf_dir, "add")
+
+
+@query(_TAGS_SQL.format("list_filter(t, lambda x: NOT list_contains(coalesce(c, []), x))"))
+def bulk_tags_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tagged(spark, sf_dir, "remove")
+
+
+@query(r"SELECT p_partkey, 'http://lib/scene/' || p_partkey || '/stream' || CASE WHEN p_size > 25 THEN '?start=' || regexp_replace(printf('%.6f', p_retailprice), '\.?0+$', '') ELSE '' END AS url FROM part")
+def stream_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    start = F.when(F.col("p_size") > 25, F.col("p_retailprice"))
+    return table(spark, sf_dir, "part").select("p_partkey", library.stream_url("http://lib/", F.col("p_partkey"), start).alias("url"))
+
+
+@query(f"WITH {LABELS_SQL} SELECT key, time_cs, ts FROM store WHERE profile = 'base' AND label = 1 ORDER BY ts DESC LIMIT 50")
+def marks_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.newest(_store(spark, sf_dir), "base").select("key", "time_cs", "ts")
+
+
+@query("""WITH e AS (SELECT user_id AS key, event_id, repeat('error ' || event_id || ' ', 60) AS error FROM events WHERE event_type = 'error'),
+l AS (SELECT key, arg_max(error, event_id) AS error, max(event_id) AS ts FROM e WHERE event_id % 2 = 0 GROUP BY key),
+f AS (SELECT key, arg_max(error, event_id)[1:500] AS error, max(event_id) AS ts FROM e WHERE event_id % 2 = 1 GROUP BY key)
+SELECT key, error, ts FROM (SELECT * FROM f UNION ALL SELECT * FROM l WHERE key NOT IN (SELECT key FROM f)) WHERE key NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND user_id % 3 = 0)""")
+def failure_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    text = F.repeat(F.concat(F.lit("error "), F.col("event_id").cast("string"), F.lit(" ")), F.lit(60))
+    errors = events.where("event_type = 'error'").select(F.col("user_id").alias("key"), "event_id", text.alias("error"))
+    last = lambda rows: rows.groupBy("key").agg(F.max_by("error", "event_id").alias("error"), F.max("event_id").alias("ts"))
+    log = catalog.record_failures(last(errors.where("event_id % 2 = 0")), last(errors.where("event_id % 2 = 1")))
+    done = events.where("event_type = 'purchase' AND user_id % 3 = 0").select(F.col("user_id").alias("key"))
+    return catalog.resolve(log, done).select("key", "error", "ts").orderBy("ts")
+
+
+@query(f"""{_DETECT_SQL} SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 'unknown' WHEN p_partkey % 4 = 0 THEN 'fisheye' ELSE projection END AS projection,
+CASE WHEN p_partkey % 5 = 0 THEN 'mono' WHEN p_partkey % 4 = 0 THEN 'tb' ELSE layout END AS layout, CAST(CASE WHEN p_partkey % 5 = 0 THEN NULL WHEN p_partkey % 4 = 0 THEN 200 ELSE fov END AS DOUBLE) AS fov,
+CASE WHEN p_partkey % 5 = 0 THEN 'override:flat' WHEN p_partkey % 4 = 0 THEN 'filename' ELSE source END AS source FROM d""")
+def stored_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    pick = lambda values, n: F.element_at(F.array(*(F.lit(v) for v in values)), (k % n + 1).cast("int"))
+    name = F.concat(F.lit("clip "), pick(["MKX200_SBS", "x_180_LR", "360.ou", "fisheye190-tb", "plain", "mono 180", "rf52"], 7))
+    token = pick(["mkx200 tb", None, "not a format", ""], 4)
+    f = names.effective_format(token, k % 5 == 0, name, pick([None, 2.0, 1.0, 1.3], 4), pick([None, "180_sbs", "mkx220_tb"], 3))
+    return table(spark, sf_dir, "part").select("p_partkey", f.alias("f")).select("p_partkey", "f.projection", "f.layout", "f.fov", "f.source")
+
+
+@query("SELECT event_id, event_type AS message, 3 AS n FROM events")
+def framed_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event's type between a ping and an unfinished frame, framed and read back: ping, message, ping."""
+    frame = binary.frame_message
+    stream = F.concat(frame(F.lit(None).cast("string")), frame(F.col("event_type")), frame(F.lit("")), F.unhex(F.lit("0000000941")))
+    read = table(spark, sf_dir, "events").select("event_id", binary.unframe_messages(stream).alias("m"))
+    return read.select("event_id", F.element_at("m", 2).alias("message"), F.size("m").alias("n"))
+
+
+@query("""SELECT doc_id, CAST(i AS INTEGER) AS idx, md5(h[1 + 512 * i : 512 * (i + 1)]) AS piece FROM (SELECT doc_id, h, unnest(range(0, len(h) // 512)) AS i FROM (SELECT doc_id, hex(encode(text)) AS h FROM documents))""")
+def fixed_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = binary.fixed_chunks(F.col("text").cast("binary"), 256)
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(pieces).alias("idx", "piece")).withColumn("piece", F.md5(F.hex("piece").cast("binary")))
+
+
+@query()
+def hashed_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SQL has no such random numbers; tests compare the vectors with numpy's."""
+    return table(spark, sf_dir, "pages").select("page_id", binary.hashed_embedding(F.col("html").cast("binary"), 16).alias("vec"))
