@@ -22,7 +22,7 @@ import re
 from collections.abc import Callable, Iterable, Iterator
 from itertools import groupby
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +34,10 @@ TEMPLATE = (
     "{% else %}{{ m['text']|escape }}{% endif %}<|im_end|>\n{% endfor %}"
 )
 START, END = "<|im_start|>", "<|im_end|>\n"
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+_DIGESTS = pa.schema(
+    [("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())]
+)
 
 
 def escape(text: str) -> str:
@@ -351,17 +355,10 @@ def read_back(pieces: Iterable[tuple[str, bool]]) -> Iterator[tuple[str, str, st
             marked = ""
 
 
-def _conversations(frames) -> Iterator[tuple[object, Iterator[dict]]]:
+def _conversations(batches) -> Iterator[tuple[int | None, Iterator[dict]]]:
     """Rows sorted by conversation as (conv_id, messages), across batches."""
-
-    def rows():
-        for frame in frames:
-            yield from zip(frame["conv_id"], frame["role"], frame["text"])
-
-    def key(row):
-        return None if pd.isna(row[0]) else int(row[0])
-
-    for conv, own in groupby(rows(), key):
+    rows = (row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text"))))
+    for conv, own in groupby(rows, lambda row: row[0]):
         yield conv, ({"role": r or "", "text": t or ""} for _, r, t in own)
 
 
@@ -377,27 +374,30 @@ def _sorted(turns: DataFrame) -> DataFrame:
 def format_conversations(turns: DataFrame, template: str = TEMPLATE) -> DataFrame:
     """conv_id, formatted, loss_spans array of (start, end) in code points."""
 
-    def run(frames):
+    def run(batches):
         render = compile_template(template)
-        for conv, messages in _conversations(frames):
+        for conv, messages in _conversations(batches):
             parts, spans, at = [], [], 0
             for text, marked in render(messages):
                 parts.append(text)
                 if marked:
                     spans.append({"start": at, "end": at + len(text)})
                 at += len(text)
-            yield pd.DataFrame({"conv_id": pd.array([conv], dtype="Int64"), "formatted": ["".join(parts)], "loss_spans": [spans]})
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([conv], pa.int64()), pa.array(["".join(parts)], pa.string()), pa.array([spans], _SPANS)],
+                ["conv_id", "formatted", "loss_spans"],
+            )
 
-    return _sorted(turns).mapInPandas(run, "conv_id long, formatted string, loss_spans array<struct<start:long,end:long>>")
+    return _sorted(turns).mapInArrow(run, "conv_id long, formatted string, loss_spans array<struct<start:long,end:long>>")
 
 
 def digests(turns: DataFrame, template: str = TEMPLATE) -> DataFrame:
     """What is read back from each formatted conversation; turns are read as they are rendered."""
 
-    def run(frames):
+    def run(batches):
         render = compile_template(template)
         out = []
-        for conv, messages in _conversations(frames):
+        for conv, messages in _conversations(batches):
             every, loss, n, lost, size = hashlib.sha256(), hashlib.sha256(), 0, 0, 0
             for role, text, marked, chars in read_back(render(messages)):
                 every.update(f"{role}\n{text}\n".encode())
@@ -405,18 +405,17 @@ def digests(turns: DataFrame, template: str = TEMPLATE) -> DataFrame:
                 n, lost, size = n + 1, lost + len(marked), size + chars
             out.append((conv, n, every.hexdigest(), lost, loss.hexdigest(), size))
             if len(out) == 1000:
-                yield _frame(out)
+                yield _batch(out)
                 out = []
-        yield _frame(out)
+        yield _batch(out)
 
-    return _sorted(turns).mapInPandas(
+    return _sorted(turns).mapInArrow(
         run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     )
 
 
-def _frame(rows: list) -> pd.DataFrame:
-    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-    return pd.DataFrame(rows, columns=names).astype({"conv_id": "Int64"})
+def _batch(rows: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [()] * len(_DIGESTS), _DIGESTS.types)], schema=_DIGESTS)
 
 
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import re
 import zlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -298,16 +298,19 @@ def train(pages: DataFrame, sample: int = SAMPLE_PAGES, most_blocks: int = TRAIN
 def extract(pages: DataFrame, labeller: Labeller) -> DataFrame:
     """page_id, url, text, n_chars of each row of pages(page_id, url, html, ...)."""
 
-    def run(frames):
-        for frame in frames:
+    def run(batches):
+        for batch in batches:
             texts = []
-            for at in range(0, len(frame), 256):
-                every = [blocks(h or "") for h in frame["html"][at : at + 256]]
+            for at in range(0, batch.num_rows, 256):
+                every = [blocks(h or "") for h in batch.column("html").slice(at, 256).to_pylist()]
                 for page, p in zip(every, labeller.label(vectors(every))):
                     texts.append("\n\n".join(b[1] for b, q in zip(page, p) if q >= 0.5))
-            yield pd.DataFrame({"page_id": frame["page_id"], "url": frame["url"], "text": texts, "n_chars": [len(t) for t in texts]})
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
+                ["page_id", "url", "text", "n_chars"],
+            )
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInPandas(
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(
         run, "page_id long, url string, text string, n_chars long"
     )
 

@@ -20,6 +20,7 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -116,14 +117,16 @@ def _strength(sites: DataFrame, rate: str) -> float:
 def posteriors(docs: DataFrame, classifier: Classifier | None, site_weight: float = SITE_WEIGHT) -> DataFrame:
     """docs(doc_id, text, host, path) with evidence, host_rate, path_rate and score."""
 
-    def run(frames):
-        for frame in frames:
-            odds = classifier.log_odds(_matrix(frame["text"])) if classifier is not None and len(frame) else np.zeros(len(frame))
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "host": frame["host"], "path": frame["path"], "odds": odds})
+    def run(batches):
+        for batch in batches:
+            odds = np.zeros(batch.num_rows)
+            if classifier is not None and batch.num_rows:
+                odds = classifier.log_odds(_matrix(batch.column("text").to_pylist()))
+            yield pa.RecordBatch.from_arrays([*map(batch.column, ("doc_id", "host", "path")), pa.array(odds)], ["doc_id", "host", "path", "odds"])
 
     site = [F.coalesce(F.col(c).cast("string"), F.lit("\0")).alias(c) for c in ("host", "path")]
     rows = materialize(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *site).mapInPandas(run, "doc_id long, host string, path string, odds double"),
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *site).mapInArrow(run, "doc_id long, host string, path string, odds double"),
         "evidence",
     ).withColumn("evidence", 1 / (1 + F.exp(-F.col("odds"))))
     paths = materialize(rows.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("evidence").alias("good")), "paths")

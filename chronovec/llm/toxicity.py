@@ -26,8 +26,10 @@ from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import smallest_hashes, table
 
@@ -214,19 +216,22 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1.0):
     return float(beta[0]), (max(float(beta[1]), 0.0), max(float(beta[2]), 0.0))
 
 
-def score(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with score and predicted, whole texts read, other columns kept (equal names replaced)."""
-
-    def run(frames):
-        for frame in frames:
-            own = [lexicon.score(t or "") for t in frame["text"]]
-            yield frame.assign(score=own, predicted=[int(s >= threshold) for s in own])
+def score(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD, keep: list[str] | None = None) -> DataFrame:
+    """The columns of docs (or those of `keep`) with score and predicted; whole texts read, equal names replaced."""
+    names = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ("score", "predicted")]
+    schema = T.StructType(
+        [*docs.select(names).schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
+    )
 
-    kept = [f for f in docs.schema.fields if f.name not in ("score", "predicted")]
-    from pyspark.sql import types as T
+    def run(batches):
+        for batch in batches:
+            own = [lexicon.score(t.as_py() or "") for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays(
+                [*map(batch.column, names), pa.array(own, pa.float64()), pa.array([int(s >= threshold) for s in own], pa.int32())],
+                [*names, "score", "predicted"],
+            )
 
-    schema = T.StructType([*kept, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    return docs.select([f.name for f in kept]).mapInPandas(run, schema)
+    return docs.select(*names, *([] if "text" in names else ["text"])).mapInArrow(run, schema)
 
 
 def held_out():
@@ -241,16 +246,6 @@ def fold_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     lexicon = learn(docs, fold_labels(spark, sf_dir))
-
-    def run(frames):
-        for frame in frames:
-            own = [lexicon.score(t or "") for t in frame["text"]]
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "score": own})
-
-    scored = docs.mapInPandas(run, "doc_id long, score double")
-    return scored.select(
-        "doc_id",
-        F.coalesce(held_out(), F.lit(False)).alias("held_out"),
-        "score",
-        (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
+    return score(docs, lexicon, keep=["doc_id"]).select(
+        "doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", "predicted"
     )

@@ -36,9 +36,10 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five-word shingles, 0.8) the smallest doc_id stays; rows without an id stay."""
+    docs = docs.select(COLUMNS)
     found = near_dedup.near_duplicates(docs, width=5, percent=80)
     keep = found.where("kept").select(F.col("doc_id").alias("keep")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("keep")), "left_semi").select(COLUMNS)
+    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("keep")), "left_semi")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
