@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import smallest_hashes, table
+from .common import drop, materialize, smallest_hashes, table
 
 SAMPLE = 6000
 THRESHOLD = 0.3
@@ -148,7 +148,7 @@ def _beginnings(frames):
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, exceptions=EXCEPTIONS) -> Lexicon:
     """Lexicon and curve from labels(doc_id, toxic) of docs(doc_id, text)."""
-    rows = training_rows(docs, labels, sample)
+    rows = materialize(training_rows(docs, labels, sample), "toxicity-sample")  # documents are read once for it
     size = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     bad, good = size.get(1, 0), size.get(0, 0)
     if not bad or not good:
@@ -180,6 +180,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, exceptions=E
     data = rows.mapInPandas(features, "y int, a double, b double").groupBy("y", "a", "b").count().toPandas()
     weights = data["count"] * np.where(data["y"] == 1, 1.0, max(1.0, bad * 9 / good))  # as one in ten were toxic
     lexicon.bias, lexicon.slopes = _logistic(data[["a", "b"]].to_numpy(float), data["y"].to_numpy(float), weights.to_numpy(float))
+    drop(rows)
     return lexicon
 
 
