@@ -57,3 +57,9 @@ def record_failures(log: DataFrame, failed: DataFrame) -> DataFrame:
 
 def resolve(log: DataFrame, done: DataFrame, key: str = "key") -> DataFrame:
     return log.join(done.select(key).distinct(), key, "left_anti")
+
+
+def progress(jobs: DataFrame) -> DataFrame:
+    """jobs(job, done, total, elapsed) with seconds left at the rate so far; unknown before the first step or without a total."""
+    left = F.round(F.col("elapsed") / F.col("done") * (F.col("total") - F.col("done")), 1)
+    return jobs.withColumn("eta", F.when((F.col("done") > 0) & (F.col("total") > 0), left))

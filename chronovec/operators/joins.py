@@ -38,3 +38,9 @@ def without_overlap(segments: DataFrame, markers: DataFrame) -> DataFrame:
     m = markers.select(F.col("key").alias("m_key"), F.col("tag").alias("m_tag"), "seconds", F.coalesce("end_seconds", "seconds").alias("m_end"))
     touches = (F.col("key") == F.col("m_key")) & (F.col("tag") == F.col("m_tag")) & (F.col("start") <= F.col("m_end")) & (F.col("end") >= F.col("seconds"))
     return segments.join(m, touches, "left_anti")
+
+
+def new_markers(segments: DataFrame, markers: DataFrame) -> DataFrame:
+    """Markers to write for segments(key, tag, start, end, peak) that touch none of the same tag; the title holds tag and peak."""
+    title = F.concat_ws(" ", F.col("tag").cast("string"), F.format_string("%.3f", F.col("peak")))
+    return without_overlap(segments, markers).select("key", "tag", title.alias("title"), F.col("start").alias("seconds"), F.col("end").alias("end_seconds"))

@@ -75,3 +75,8 @@ def stream_url(base: str, scene_id: Column, start: Column, key: str | None = Non
     parts = F.array_compact(F.array(F.concat(F.lit("start="), short_number(start)), F.lit(f"apikey={key}" if key else None).cast("string")))
     url = F.concat(F.lit(base.rstrip("/") + "/scene/"), scene_id.cast("string"), F.lit("/stream"))
     return F.when(F.size(parts) == 0, url).otherwise(F.concat(url, F.lit("?"), F.array_join(parts, "&")))
+
+
+def tag_named(tags: DataFrame, name: str) -> DataFrame:
+    """The tag of exactly this name, that with the smallest id if it is listed twice; no row if there is none."""
+    return tags.where(F.col("name") == name).groupBy("name").agg(F.min("id").alias("id")).select("id", "name")

@@ -650,3 +650,104 @@ def fixed_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hashed_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SQL has no such random numbers; tests compare the vectors with numpy's."""
     return table(spark, sf_dir, "pages").select("page_id", binary.hashed_embedding(F.col("html").cast("binary"), 16).alias("vec"))
+
+
+# stores, progress and live marks
+
+def _picked(key: str, values: list):
+    return F.element_at(F.array(*(F.lit(v) for v in values)), (F.col(key) % len(values) + 1).cast("int"))
+
+
+@query("""WITH m AS (SELECT p_partkey, ['dinov2_vits14', 'dinov2', 'dinov2_vitb14', 'dinov2_vitl14_reg', 'ViT-B-32', 'ViT-L-14', 'RN50 x/4'][p_partkey % 7 + 1] AS model FROM part)
+SELECT p_partkey, CASE WHEN model IN ('dinov2_vits14', 'dinov2') THEN 'dinov2' WHEN model LIKE 'dino%' THEN 'dinov2-' || replace(replace(model, 'dinov2_', ''), '_', '-')
+WHEN model = 'ViT-B-32' THEN 'clip' ELSE 'clip-' || replace(replace(lower(model), '/', '-'), ' ', '') END AS namespace FROM m""")
+def model_namespaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = _picked("p_partkey", ["dinov2_vits14", "dinov2", "dinov2_vitb14", "dinov2_vitl14_reg", "ViT-B-32", "ViT-L-14", "RN50 x/4"])
+    return table(spark, sf_dir, "part").select("p_partkey", names.model_namespace(model).alias("namespace"))
+
+
+@query("""WITH m AS (SELECT p_partkey, ['sparse', 'interval', 'keyframes'][p_partkey % 3 + 1] AS mode, ['raw', 'jpeg'][p_partkey % 2 + 1] AS pipeline, CAST(p_size AS DOUBLE) AS step FROM part)
+SELECT p_partkey, CASE mode WHEN 'keyframes' THEN -1.0::DOUBLE WHEN 'sparse' THEN -(100 + step) ELSE step END AS signature, mode = 'sparse' OR mode = 'interval' AND pipeline = 'raw' AS raw FROM m""")
+def sampler_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mode, pipeline = _picked("p_partkey", ["sparse", "interval", "keyframes"]), _picked("p_partkey", ["raw", "jpeg"])
+    signature = names.interval_signature(mode, F.col("p_size").cast("double"))
+    return table(spark, sf_dir, "part").select("p_partkey", signature.alias("signature"), names.wants_raw(mode, pipeline).alias("raw"))
+
+
+@query("SELECT c_custkey, c_name AS name FROM customer")
+def display_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    path = F.concat(F.lit("lib"), _picked("c_custkey", ["/", "\\", "/x\\", "\\y/"]), "c_name")
+    return c.select("c_custkey", names.display_name(path).alias("name"))
+
+
+@query(f"""WITH {_CACHE} SELECT key, path FROM library l WHERE EXISTS (SELECT 1 FROM cached c WHERE c.key = l.key AND abs(c."interval" + 108) < 1e-6)""")
+def fresh_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cached, library = _catalog(spark, sf_dir)
+    scenes = library.withColumn("signature", names.interval_signature(F.lit("sparse"), F.lit(8.0)))
+    return catalog.fresh(scenes, cached).select("key", "path")
+
+
+@query(f"WITH {FRAMES_SQL} SELECT key, count(*) AS frames FROM frames WHERE key NOT IN (SELECT key FROM frames WHERE frame_idx = 0 AND category = 4) GROUP BY key")
+def cache_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = views.frames(spark, sf_dir)
+    return catalog.resolve(f, f.where("frame_idx = 0 AND category = 4")).groupBy("key").agg(F.count("*").alias("frames"))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 14 = 0 THEN 'new ' ELSE 'old ' END || url AS format FROM pages WHERE (page_id % 7 = 0 OR page_id % 4 = 0 AND page_id % 14 = 0) AND page_id % 35 <> 0")
+def override_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    named = lambda rows, word: rows.select("page_id", F.concat(F.lit(word), "url").alias("format"))
+    held = catalog.put(named(pages.where("page_id % 7 = 0"), "old "), named(pages.where("page_id % 14 = 0"), "new "), "page_id")
+    return catalog.resolve(held, pages.where("page_id % 35 = 0"), "page_id")
+
+
+@query("SELECT min(p_partkey) AS id, p_type AS name FROM part WHERE p_type = (SELECT min(p_type) FROM part) GROUP BY p_type")
+def tag_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    first = part.agg(F.min("p_type")).first()[0]
+    return library.tag_named(part.select(F.col("p_partkey").alias("id"), F.col("p_type").alias("name")), first)
+
+
+@query(f"""{_KEPT}, tagged AS (SELECT *, key % 3 AS tag FROM kept), m AS (SELECT user_id AS key, user_id % 2 AS tag, epoch(ts) / 3600 AS seconds FROM events WHERE event_type = 'purchase')
+SELECT key, tag, round("start", 4) AS seconds, round("end", 4) AS end_seconds, CAST(tag AS VARCHAR) AS name FROM tagged t WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.key = t.key AND m.tag = t.tag AND t."start" <= m.seconds AND t."end" >= m.seconds)""")
+def new_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = segments.extract(views.series(spark, sf_dir), **RULES).withColumn("tag", F.col("key") % 3)
+    events = table(spark, sf_dir, "events").where("event_type = 'purchase'").select("event_id")
+    marks = views.series(spark, sf_dir).join(events, F.col("idx") == F.col("event_id"), "left_semi")
+    marks = marks.select("key", (F.col("key") % 2).alias("tag"), F.col("time").alias("seconds"), F.lit(None).cast("double").alias("end_seconds"))
+    found = joins.new_markers(own, marks)
+    return found.select("key", "tag", F.round("seconds", 4).alias("seconds"), F.round("end_seconds", 4).alias("end_seconds"), F.substring_index("title", " ", 1).alias("name"))
+
+
+@query("""SELECT job, done, total, CASE WHEN done > 0 AND total > 0 THEN round(elapsed / done * (total - done), 1) END AS eta FROM (
+SELECT user_id AS job, count(*) FILTER (event_type = 'purchase') AS done, count(*) AS total, CAST(max(event_id) - min(event_id) AS DOUBLE) AS elapsed FROM events GROUP BY user_id)""")
+def job_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    steps = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("job")).agg(
+        F.count_if(F.col("event_type") == "purchase").alias("done"), F.count("*").alias("total"), (F.max("event_id") - F.min("event_id")).cast("double").alias("elapsed")
+    )
+    return catalog.progress(steps).select("job", "done", "total", "eta")
+
+
+@query("""WITH s AS (SELECT user_id, arg_max(event_type, event_id) AS path FROM events GROUP BY user_id),
+m AS (SELECT DISTINCT user_id, event_id, unnest([floor(value), floor(value) + event_id % 2]) AS t FROM events WHERE event_type = 'purchase')
+SELECT 'path-' || sha1(path)[1:16] AS key, t AS time, CAST(event_id AS DOUBLE) AS ts FROM m JOIN s USING (user_id) WHERE path <> 'error'""")
+def live_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases mark what their user plays last; users at an error play nothing."""
+    events = table(spark, sf_dir, "events").withColumnRenamed("user_id", "source")
+    states = playback.latest_state(events.select("source", "event_id", F.col("event_type").alias("path")), "source", "event_id")
+    states = states.withColumn("path", F.nullif("path", F.lit("error"))).select("source", "path")
+    at = F.floor("value").cast("double")
+    marks = events.where("event_type = 'purchase'").select(
+        "source", at.alias("in_time"), (at + F.col("event_id") % 2).alias("time"), F.lit(None).cast("double").alias("out_time"), F.col("event_id").cast("double").alias("marked_at")
+    )
+    return playback.marks_to_labels(marks, states, "base").select("key", "time", "ts")
+
+
+@query("""WITH p AS (SELECT user_id AS source, ts, ts - lag(ts) OVER w <= INTERVAL 6 HOUR AS goes_on FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+n AS (SELECT source, ts, sum(CASE WHEN goes_on THEN 0 ELSE 1 END) OVER (PARTITION BY source ORDER BY ts ROWS UNBOUNDED PRECEDING) AS nth FROM p)
+SELECT source, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS started, count(*) AS packets FROM n GROUP BY source, nth""")
+def connected_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of a user's events without a silence of six hours."""
+    packets = table(spark, sf_dir, "events").select(F.col("user_id").alias("source"), "ts")
+    return playback.connections(packets, "6 hours").select("source", F.date_format("started", "yyyy-MM-dd HH:mm:ss").alias("started"), "packets")

@@ -46,3 +46,14 @@ def marks_to_labels(marks: DataFrame, states: DataFrame, profile: str) -> DataFr
         path_key(F.col("path")).alias("key"), F.col("mark").alias("time"), F.lit(1).alias("label"), F.lit(profile).alias("profile"),
         F.lit(None).cast("string").alias("scene_id"), F.col("marked_at").alias("ts"),
     )
+
+
+def connections(packets: DataFrame, silence: str = "3 seconds") -> DataFrame:
+    """(source, started, ended, packets) of each time a source was connected; batch or stream.
+
+    A silence longer than `silence` ends a connection; packets(source, ts) with a null source or time
+    are left out. Streams need a watermark on ts.
+    """
+    held = F.session_window("ts", silence)
+    own = packets.where("source IS NOT NULL AND ts IS NOT NULL").groupBy("source", held.alias("held")).agg(F.count("*").alias("packets"))
+    return own.select("source", F.col("held.start").alias("started"), F.col("held.end").alias("ended"), "packets")
