@@ -16,7 +16,8 @@ is expanded into its pairs. All links are confirmed on full sets. Components com
 from a distributed star contraction.
 
 Equal sets are one vertex, so exact copies never form pairs. Rows that share a
-doc_id are one document. Null or wordless texts and null ids link with nothing.
+doc_id are one document; rows that repeat it with the same set enter the search
+once, and each set of an id that has several is searched. Null or wordless texts and null ids link with nothing.
 """
 
 from __future__ import annotations
@@ -125,11 +126,11 @@ def _sets(width: int):
 
 def _members(reps: DataFrame, m: int) -> DataFrame:
     """(key, id, n, pop) of table keys that at least two sets share."""
-    subs = reps.select("id", "n", F.posexplode("subs").alias("place", "sub"))
+    subs = reps.select("id", "n", "h1", "h2", F.posexplode("subs").alias("place", "sub"))
     shared = subs.groupBy("place", "sub").agg(F.count("*").alias("of")).where("of > 1")
     own = subs.join(shared, ["place", "sub"])
-    # at most 2 * M entries a set
-    sides = own.groupBy("id", "n").agg(
+    # at most 2 * M entries, as reps has each set of an id once
+    sides = own.groupBy("id", "n", "h1", "h2").agg(
         F.sum("of").alias("pop"),
         F.collect_list(F.when(F.col("place") < m, F.col("sub"))).alias("left"),
         F.collect_list(F.when(F.col("place") >= m, F.col("sub"))).alias("right"),
@@ -273,9 +274,13 @@ def near_duplicates(
     classes = materialize(
         real.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "set-classes"
     )
-    reps = real.join(
-        classes.withColumnRenamed("rep", "doc_id").drop("copies"), ["doc_id", "n", "h1", "h2"]
-    ).select(F.col("doc_id").alias("id"), "n", "subs")
+    # repeated rows are combined before the shuffle; class_of has them all
+    reps = (
+        real.groupBy("doc_id", "n", "h1", "h2")
+        .agg(F.first("subs").alias("subs"))
+        .join(classes.withColumnRenamed("rep", "doc_id").drop("copies"), ["doc_id", "n", "h1", "h2"])
+        .select(F.col("doc_id").alias("id"), "n", "h1", "h2", "subs")
+    )
     members = _members(reps, m)
     total = real.count()
     class_of = join_sized(real.select("doc_id", "n", "h1", "h2"), classes, ["n", "h1", "h2"], "copies", total)
@@ -283,7 +288,8 @@ def near_duplicates(
     pool = materialize(
         docs.withColumnRenamed("doc_id", "id")
         .join(members.select("id").distinct(), "id", "left_semi")
-        .mapInArrow(_sets(width), "id long, shingles array<long>"),
+        .mapInArrow(_sets(width), "id long, shingles array<long>")
+        .distinct(),  # combined before the shuffle
         "shingle-sets",
     )
     links = materialize(_confirmed(_star(members, percent), pool, percent), "links")

@@ -91,6 +91,15 @@ def test_results_of_nulls_copies_and_repeated_rows(spark):
         assert sorted(r.slot for r in shards if r.shard == s) == list(range(sum(r.shard == s for r in shards)))
 
 
+def test_near_duplicates_of_a_row_repeated_a_thousand_times(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    other = " ".join(f"v{i}" for i in range(60))
+    rows = [(7, long)] * 1000 + [(8, long + " end")] + [(9, other), (9, other + " end"), (10, other + " end now")] + [(11, "alone")] * 3
+    docs = documents(spark, rows)
+    got = near_dedup.near_duplicates(docs).groupBy("doc_id", "component_id", "kept").count().collect()
+    assert {tuple(r) for r in got} == {(7, 7, True, 1000), (8, 7, False, 1), (9, 9, True, 2), (10, 9, False, 1), (11, 11, True, 3)}
+
+
 def test_pages_and_conversations_with_nulls(spark):
     pages = crowded(spark.createDataFrame([(BIG, None, "<p>a"), (None, None, None), (BIG + 2, "u", "<p>a"), (4, "u", ""), (4, "u", "")], "page_id long, url string, html string"))
     want = ids(pages.collect(), "page_id")
