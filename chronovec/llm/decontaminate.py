@@ -156,19 +156,22 @@ def hit_runs(
     """(key, n_words, starts, ends, items) for each row of docs(key long, text)."""
     blocks = item_blocks(items, window, k, block_windows)
     if len(blocks) > 1:
-        docs = materialize(docs.select("key", "text"), "texts")  # keys stay the same in every pass
+        # rows are numbered once, with their texts: keys may be null or repeat
+        texts = materialize(docs.select("key", "text", F.monotonically_increasing_id().alias("row")), "texts")
+        docs = texts.select(F.col("row").alias("key"), "text")
     parts = [docs.select("key", "text").mapInArrow(_scan(block, window, k), _RUNS) for block in blocks]
     if len(parts) == 1:
         return parts[0]
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)
-    return every.groupBy("key").agg(
+    merged = every.groupBy(F.col("key").alias("row")).agg(
         F.max("n_words").alias("n_words"),
         F.flatten(F.collect_list("starts")).alias("starts"),
         F.flatten(F.collect_list("ends")).alias("ends"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
     )
+    return texts.select("row", "key").join(merged, "row").drop("row")
 
 
 def item_blocks(items: DataFrame, window: int, k: int, block_windows: int) -> list:

@@ -91,6 +91,15 @@ def test_results_of_nulls_copies_and_repeated_rows(spark):
         assert sorted(r.slot for r in shards if r.shard == s) == list(range(sum(r.shard == s for r in shards)))
 
 
+@pytest.mark.parametrize("block_windows", [7, decontaminate.BLOCK_WINDOWS])
+def test_rows_that_repeat_an_id_are_judged_each(spark, block_windows):
+    docs = documents(spark, [*ROWS, (4, WORDS), (None, "w1 w2"), (4, "x " + WORDS)])
+    got = decontaminate.decontaminate(docs, items(spark), block_windows=block_windows).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_hit, r.n_items) for r in got), key=str) == sorted(
+        [(BIG, 30, 30, 1), (BIG + 2, 30, 30, 1), (None, 30, 30, 1), (None, 0, 0, 0), (3, 0, 0, 0), (4, 0, 0, 0), (4, 0, 0, 0),
+         (5, 31, 30, 1), (4, 30, 30, 1), (None, 2, 0, 0), (4, 31, 30, 1)], key=str)
+
+
 def test_near_duplicates_of_a_row_repeated_a_thousand_times(spark):
     long = " ".join(f"w{i}" for i in range(60))
     other = " ".join(f"v{i}" for i in range(60))
