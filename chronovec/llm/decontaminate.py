@@ -8,11 +8,12 @@ Fingerprints of documents are joined with those of items; a hit is extended by
 comparing the whole window. Items shorter than a window are one window of their
 own length, whose fingerprint is the whole item.
 
-Distinct windows of the items are cut into blocks by hash, each of at most
-BLOCK_WINDOWS on average, and a block is broadcast to the tasks that scan the
-documents. A benchmark of one block (the usual case) takes one pass over the
-documents without a shuffle; a larger one takes a pass for each block, and runs
-of hit words are merged for each document afterwards.
+Distinct windows of the items stay in a table. Two bit tables of a bounded size, of
+fingerprints and of windows, are broadcast as a first filter for the tasks that
+scan the documents; a benchmark of more than BLOCK_WINDOWS windows lets more
+places through, no hit is lost. The places left are joined with the windows, and
+item ids last: windows with the same items form a group, documents with the same
+groups share one list.
 
 Null texts have no words; items without words match nothing. Repeated rows and
 repeated item ids give one result each row; equal item ids count once.
@@ -24,12 +25,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import wordhash
-from .common import drop, materialize, table
+from .common import join_sized, materialize, table
 
 WINDOW, K = 10, 5
-#: Windows of the items in a block: 32 bytes each when broadcast.
+#: Windows of the items that the first filter is laid out for: at most 16 bytes each in either bit table.
 BLOCK_WINDOWS = 1_000_000
 
 
@@ -75,145 +77,152 @@ def _item_windows(window: int, k: int):
     return run
 
 
-class Block:
-    """Windows of a block, by length: sorted fingerprints, sorted windows and the items of each."""
-
-    def __init__(self, rows: list):
-        self.lengths = {}
-        for n in sorted({r["n"] for r in rows}):
-            own = sorted(((r["win"] & (2**64 - 1), r["fp"] & (2**64 - 1), sorted(r["items"])) for r in rows if r["n"] == n))
-            fps = np.unique(np.array([f for _, f, _ in own], np.uint64))
-            maybe = np.zeros(1 << 20, bool)
-            maybe[fps >> np.uint64(44)] = True
-            self.lengths[n] = (maybe, fps, np.array([w for w, _, _ in own], np.uint64), [i for _, _, i in own])
-
-
-def _found(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
-    at = np.minimum(np.searchsorted(sorted_values, x), len(sorted_values) - 1)
-    return sorted_values[at] == x
-
+def _pages(batches):
+    """(which, page, bits): pages of the two bit tables, from the slots set in them."""
+    pages: dict[tuple, np.ndarray] = {}
+    for batch in batches:
+        for which, slot in zip(batch.column("which").to_numpy(), batch.column("slot").to_numpy()):
+            own = pages.setdefault((int(which), int(slot) >> 15), np.zeros(4096, np.uint8))
+            own[(slot >> 3) & 4095] |= 1 << (int(slot) & 7)
+    yield pa.RecordBatch.from_arrays(
+        [pa.array([w for w, _ in pages], pa.int32()), pa.array([p for _, p in pages], pa.int64()), pa.array([x.tobytes() for x in pages.values()], pa.binary())],
+        ["which", "page", "bits"],
+    )
 
-def _scan(block, window: int, k: int):
-    """(…, n_words, starts, ends, items): runs of hit words and the items with occurring windows."""
 
-    def one(hashes, counts, lengths):
+def _first_filter(windows: DataFrame, block_windows: int):
+    """Broadcast (lengths, bit table of fingerprints, bit table of windows)."""
+    number = windows.count()
+    bits = 1 << max(15, (64 * max(1, min(number, block_windows)) - 1).bit_length())
+    lengths = sorted(r["n"] for r in windows.select("n").distinct().collect())  # WINDOW at most
+    slots = windows.select(
+        F.explode(F.array(*(F.struct(F.lit(i).alias("which"), F.col(c).bitwiseAND(F.lit(bits - 1)).alias("slot")) for i, c in enumerate(("fp", "win"))))).alias("s")
+    ).select("s.*").distinct()
+    tables = np.zeros((2, bits >> 3), np.uint8)
+    # at most bits / 4 bytes in all
+    for r in slots.repartition("which", F.shiftright("slot", 15)).mapInArrow(_pages, "which int, page long, bits binary").collect():
+        tables[r["which"], r["page"] << 12 : (r["page"] + 1) << 12] = np.frombuffer(r["bits"], np.uint8)
+    return windows.sparkSession.sparkContext.broadcast((lengths, *tables))
+
+
+def _may_hold(bits: np.ndarray, x: np.ndarray) -> np.ndarray:
+    slot = x & np.uint64(8 * len(bits) - 1)
+    return (bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def _spots(first_filter, texts: list[bytes], window: int, k: int):
+    """Numbers of words, and for each text the places (pos, n, win) that pass the first filter."""
+    lengths, prints, wholes = first_filter.value
+    sizes, number = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    out = [[np.zeros(0, t)] for t in (np.int64, np.int32, np.uint64)]
+    for a, b in wordhash.pieces(texts):
+        hashes, counts = wordhash.words(texts[a:b], wordhash.ALPHANUMERIC)
         first = np.concatenate(([0], np.cumsum(counts)))
         owner = np.repeat(np.arange(len(counts)), counts)
-        spans: dict[int, list] = {}
-        items: dict[int, set] = {}
-        for n, (maybe, fps, wins, names) in lengths.items():
-            prints = _fingerprints(hashes, n, k if n == window else n)
-            at = np.flatnonzero(maybe[prints >> np.uint64(44)])
-            at = at[_found(fps, prints[at])]
+        own = [[np.zeros(0, t)] for t in (np.int64, np.int32, np.uint64)]
+        for n in lengths:
+            at = np.flatnonzero(_may_hold(prints, _fingerprints(hashes, n, k if n == window else n)))
             at = at[owner[at] == owner[at + n - 1]]  # within one text
             whole = np.full(len(at), n, np.uint64)
             for j in range(n):
                 whole = whole * np.uint64(0xD1342543DE82EF95) + hashes[at + j]
             whole = wordhash.mix(whole)
-            which = np.minimum(np.searchsorted(wins, whole), len(wins) - 1)
-            real = wins[which] == whole
-            for p, w in zip(at[real].tolist(), which[real].tolist()):
-                doc = int(owner[p])
-                p -= int(first[doc])
-                spans.setdefault(doc, []).append((p, p + n))
-                items.setdefault(doc, set()).update(names[w])
-        for i in range(len(counts)):
-            runs: list[list[int]] = []
-            for s, e in sorted(spans.get(i, ())):
-                if runs and s <= runs[-1][1]:
-                    runs[-1][1] = max(runs[-1][1], e)
-                else:
-                    runs.append([s, e])
-            yield [s for s, _ in runs], [e for _, e in runs], sorted(items.get(i, ()))
+            some = _may_hold(wholes, whole)
+            own[0].append(at[some]), own[1].append(np.full(int(some.sum()), n, np.int32)), own[2].append(whole[some])
+        at, n, whole = map(np.concatenate, own)
+        order = np.argsort(at, kind="stable")
+        doc = owner[at[order]]
+        out[0].append(at[order] - first[doc]), out[1].append(n[order]), out[2].append(whole[order])
+        sizes.append(counts), number.append(np.bincount(doc, minlength=b - a))
+    places = pa.StructArray.from_arrays([np.concatenate(out[0]), np.concatenate(out[1]), np.concatenate(out[2]).view(np.int64)], ["pos", "n", "win"])
+    offsets = np.concatenate(([0], np.cumsum(np.concatenate(number)))).astype(np.int32)
+    return pa.array(np.concatenate(sizes), pa.int64()), pa.ListArray.from_arrays(offsets, places)
+
+
+_PLACES = "array<struct<pos: long, n: int, win: long>>"
+
+
+def _scan(first_filter, window: int, k: int):
+    """(key, n_words, spots) of each row."""
 
     def run(batches):
-        lengths = block.value.lengths
         for batch in batches:
-            texts = _texts(batch.column("text"))
-            starts, ends, items, sizes = [], [], [], []
-            for a, b in wordhash.pieces(texts):
-                hashes, counts = wordhash.words(texts[a:b], wordhash.ALPHANUMERIC)
-                sizes += counts.tolist()
-                for s, e, i in one(hashes, counts, lengths):
-                    starts.append(s), ends.append(e), items.append(i)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("key"),
-                    pa.array(sizes, pa.int64()),
-                    pa.array(starts, pa.list_(pa.int64())),
-                    pa.array(ends, pa.list_(pa.int64())),
-                    pa.array(items, pa.list_(pa.string())),
-                ],
-                ["key", "n_words", "starts", "ends", "items"],
-            )
+            sizes, spots = _spots(first_filter, _texts(batch.column("text")), window, k)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), sizes, spots], ["key", "n_words", "spots"])
 
     return run
 
 
+def _item_tables(items: DataFrame, window: int, k: int) -> tuple[DataFrame, DataFrame]:
+    """(item_id, n, fp, win), and (n, win, fp, names, x1, x2) of distinct windows: number and hashes of the items."""
+    held = materialize(
+        items.select(F.col("item_id").cast("string").alias("item_id"), "text")
+        .mapInArrow(_item_windows(window, k), "item_id string, n int, fp long, win long")
+        .where("item_id IS NOT NULL")
+        .distinct(),
+        "item-windows",
+    )
+    windows = held.groupBy("n", "win").agg(
+        F.min("fp").alias("fp"), F.count("*").alias("names"), F.bit_xor(F.xxhash64("item_id")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(1), "item_id")).alias("x2")
+    )
+    return held, materialize(windows, "windows")
+
+
+def _hits(rows: DataFrame, windows: DataFrame) -> DataFrame:
+    """(row, pos, n, win, names, x1, x2): the places of rows(row, spots) that hold a window."""
+    spots = rows.select("row", F.explode("spots").alias("s")).select("row", "s.*")
+    real = materialize(spots.groupBy("n", "win").agg(F.count("*").alias("of")).join(windows, ["n", "win"]), "hit-windows")
+    total = real.agg(F.sum("of")).first()[0] or 0
+    return join_sized(spots, real, ["n", "win"], "of", total)
+
+
 def hit_runs(
     docs: DataFrame, items: DataFrame, window: int = WINDOW, k: int = K, block_windows: int = BLOCK_WINDOWS
 ) -> DataFrame:
-    """(key, n_words, starts, ends, items) for each row of docs(key long, text)."""
-    blocks = item_blocks(items, window, k, block_windows)
-    if len(blocks) > 1:
-        # rows are numbered once, with their texts: keys may be null or repeat
-        texts = materialize(docs.select("key", "text", F.monotonically_increasing_id().alias("row")), "texts")
-        docs = texts.select(F.col("row").alias("key"), "text")
-    parts = [docs.select("key", "text").mapInArrow(_scan(block, window, k), _RUNS) for block in blocks]
-    if len(parts) == 1:
-        return parts[0]
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
-    merged = every.groupBy(F.col("key").alias("row")).agg(
-        F.max("n_words").alias("n_words"),
-        F.flatten(F.collect_list("starts")).alias("starts"),
-        F.flatten(F.collect_list("ends")).alias("ends"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+    """(key, n_words, starts, ends, items, items_sha256) for each row of docs(key long, text)."""
+    held, windows = _item_tables(items, window, k)
+    scan = _scan(_first_filter(windows, block_windows), window, k)
+    # rows are numbered once: keys may be null or repeat
+    scanned = materialize(
+        docs.select("key", "text").mapInArrow(scan, f"key long, n_words long, spots {_PLACES}").withColumn("row", F.monotonically_increasing_id()), "scanned"
     )
-    return texts.select("row", "key").join(merged, "row").drop("row")
-
-
-def item_blocks(items: DataFrame, window: int, k: int, block_windows: int) -> list:
-    """Broadcast blocks of the items' windows, at least one."""
-    context = items.sparkSession.sparkContext
-    wins = materialize(
-        items.select(F.col("item_id").cast("string").alias("item_id"), "text")
-        .mapInArrow(_item_windows(window, k), "item_id string, n int, fp long, win long")
-        .where("item_id IS NOT NULL")
-        .groupBy("n", "fp", "win")
-        .agg(F.collect_set("item_id").alias("items")),
-        "windows",
+    group = ["names", "x1", "x2"]
+    # lists are bounded by the row's own words
+    own = _hits(scanned.select("row", "spots"), windows).groupBy("row").agg(
+        F.collect_list("pos").alias("starts"), F.collect_list(F.col("pos") + F.col("n")).alias("ends"), F.array_sort(F.collect_set(F.struct(*group))).alias("groups")
     )
-    names = wins.select(F.sum(F.size("items"))).first()[0] or 0
-    number = max(1, -(-names // block_windows))
-    # a block has block_windows rows on average
-    dealt = [wins.where(F.pmod(F.xxhash64("win"), F.lit(number)) == i).collect() for i in range(number)]
-    drop(wins)
-    return [context.broadcast(Block(rows)) for rows in dealt]
+    own = materialize(own.withColumn("list", F.sha2(F.to_json("groups"), 256)), "hit-rows")
+    lists = own.groupBy("list").agg(F.first("groups").alias("groups"), F.count("*").alias("of"))
+    one = materialize(windows.groupBy(*group).agg(F.min(F.struct("n", "win")).alias("w")).select(*group, "w.*"), "item-groups")
+    total = one.agg(F.sum("names")).first()[0] or 0
+    members = join_sized(held.select("n", "win", "item_id"), one, ["n", "win"], "names", total).select(*group, "item_id")
+    lists = lists.select("list", "of", F.explode("groups").alias("g")).select("list", "of", "g.*").join(members, group)
+    lists = lists.groupBy("list", "of").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    lists = materialize(lists.withColumn("items_sha256", F.sha2(F.array_join("items", ","), 256)), "item-lists")
+    named = join_sized(own.drop("groups"), lists, ["list"], "of", own.count())
+    none = F.array().cast("array<long>")
+    return scanned.select("row", "key", "n_words").join(named, "row", "left").select(
+        "key", "n_words", F.coalesce("starts", none).alias("starts"), F.coalesce("ends", none).alias("ends"),
+        F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"),
+    )
 
 
 def without_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: int = K, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """The rows of docs whose text holds no window of an item, all columns kept."""
-    schema = docs.schema
-    for block in item_blocks(items, window, k, block_windows):
-        docs = docs.mapInArrow(_clean(block, window, k), schema)
-    return docs
-
-
-def _clean(block, window: int, k: int):
-    scan = _scan(block, window, k)
+    _, windows = _item_tables(items, window, k)
+    first_filter = _first_filter(windows, block_windows)
+    schema = T.StructType([T.StructField("doc", docs.schema), *T.StructType.fromDDL(f"spots {_PLACES}").fields])
 
     def run(batches):
         for batch in batches:
-            keys = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column("text")], ["key", "text"])
-            found = next(scan(iter([keys])))
-            yield batch.filter(pa.array([not x for x in found.column("items").to_pylist()], pa.bool_()))
-
-    return run
-
+            doc = batch.column("doc")
+            yield pa.RecordBatch.from_arrays([doc, _spots(first_filter, _texts(doc.field("text")), window, k)[1]], ["doc", "spots"])
 
-_RUNS = "key long, n_words long, starts array<long>, ends array<long>, items array<string>"
+    scanned = docs.select(F.struct(*docs.columns).alias("doc")).mapInArrow(run, schema)
+    suspects = materialize(scanned.where(F.size("spots") > 0).withColumn("row", F.monotonically_increasing_id()), "suspects")
+    hit = _hits(suspects.select("row", "spots"), windows).select("row").distinct()
+    clean = suspects.join(hit, "row", "left_anti")
+    return scanned.where(F.size("spots") == 0).select("doc.*").unionByName(clean.select("doc.*"))
 
 
 def _n_hit():
@@ -245,7 +254,7 @@ def decontaminate(
         "n_words",
         _n_hit().alias("n_hit"),
         F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        "items_sha256",
         (F.size("items") > 0).alias("contaminated"),
         "items",
     )

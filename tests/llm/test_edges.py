@@ -100,6 +100,20 @@ def test_rows_that_repeat_an_id_are_judged_each(spark, block_windows):
          (5, 31, 30, 1), (4, 30, 30, 1), (None, 2, 0, 0), (4, 31, 30, 1)], key=str)
 
 
+def test_the_benchmark_does_not_pass_through_the_driver(spark, monkeypatch):
+    rows = [(i, f"{WORDS} " + " ".join(f"i{i}x{j}" for j in range(12))) for i in range(300)]
+    bench, docs = items(spark, rows), documents(spark, [(1, WORDS), (2, rows[7][1]), (2, "w1 w2"), (None, WORDS)])
+    taken, collect = [], type(docs).collect
+    monkeypatch.setattr(type(docs), "collect", lambda self: taken.append(collect(self)) or taken[-1])
+    runs = decontaminate.decontaminate(docs, bench, block_windows=200)
+    left = decontaminate.without_hits(docs, bench, block_windows=200)
+    assert max(map(len, taken)) <= 20  # of 6,321 windows
+    monkeypatch.undo()
+    got = sorted(((r.doc_id, r.n_hit, r.n_items, len(r["items"])) for r in runs.collect()), key=str)
+    assert got == [(1, 30, 300, 300), (2, 0, 0, 0), (2, 42, 300, 300), (None, 30, 300, 300)]
+    assert [(r.doc_id, r.text) for r in left.collect()] == [(2, "w1 w2")]
+
+
 def test_near_duplicates_of_a_row_repeated_a_thousand_times(spark):
     long = " ".join(f"w{i}" for i in range(60))
     other = " ".join(f"v{i}" for i in range(60))
