@@ -1,7 +1,8 @@
 """Operator 2: toxicity by a weighted lexicon.
 
 Texts are folded (lower case, homoglyphs to Latin letters, digits and signs
-between letters to the letters they stand for), then one Aho-Corasick pass finds
+of words with a letter to the letters they stand for, but for marks such as ! at
+the end; at a word's ends both readings are matched), then one Aho-Corasick pass finds
 the lexicon's entries: whole words or beginnings of words. Entries inside an
 exception phrase don't count. The sum of weights, normalised by length, gives the
 score through a logistic curve.
@@ -56,15 +57,37 @@ _LOOK_FIND = re.compile("[" + "".join(_LOOKS) + "]").search
 # Digits and signs written for letters.
 _SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "l"}
 _SIGN_TABLE = str.maketrans(_SIGNS)
-_SIGN_RUN = re.compile(r"(?<![0-9@$!|])(?:(?<=[^\W\d_])|(?<!\w))[0134578@$!|]{1,3}(?=[^\W\d_])")
+# A run of letters, digits and signs that holds one of _SIGNS.
+_SIGNED = re.compile(r"(?<![^\W_])(?<![@$!|])[^\W_0134578]*[0134578@$!|](?:[^\W_]|[@$!|])*")
+_LETTER = re.compile(r"[^\W\d_]").search
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def fold(text: str) -> str:
+def _fold_signs(found: re.Match) -> str:
+    token = found[0]
+    if not _LETTER(token):
+        return token
+    body = token.rstrip("!|")  # sentence marks and rules
+    return body.translate(_SIGN_TABLE) + token[len(body) :]
+
+
+def readings(text: str) -> tuple[str, str]:
+    """The folded text, and as long the one in which digits and signs are left."""
     text = text.lower()
     if not text.isascii() and _LOOK_FIND(text):
         text = text.translate(_LOOK_TABLE)
-    return _SIGN_RUN.sub(lambda m: m[0].translate(_SIGN_TABLE), text)
+    return _SIGNED.sub(_fold_signs, text), text
+
+
+def fold(text: str) -> str:
+    return readings(text)[0]
+
+
+def _bare(plain: str, at: int, step: int) -> bool:
+    """Whether plain holds digits and signs only from `at` to the token's end in that direction."""
+    while 0 <= at < len(plain) and (plain[at] in _SIGNS or plain[at].isdigit()):
+        at += step
+    return not (0 <= at < len(plain) and plain[at].isalpha())
 
 
 class Lexicon:
@@ -93,16 +116,17 @@ class Lexicon:
         self._automaton = automaton
         return automaton
 
-    def weight(self, folded: str) -> float:
+    def weight(self, folded: str, plain: str | None = None) -> float:
+        """Sum of weights; digits and signs at a word's ends count as letters or, where `plain` has them, as its limits."""
         if not self.entries:
             return 0.0
         automaton = self._automaton or self._build()
         hits, spared, n = [], [], len(folded)
         for end, (size, kinds) in automaton.iter(folded):
             start = end - size + 1
-            if start and folded[start - 1].isalpha():
+            if start and folded[start - 1].isalpha() and (plain is None or not _bare(plain, start - 1, -1)):
                 continue
-            closed = end + 1 == n or not folded[end + 1].isalpha()
+            closed = end + 1 == n or not folded[end + 1].isalpha() or (plain is not None and _bare(plain, end + 1, 1))
             for whole, weight in kinds:
                 if whole and not closed:
                     continue
@@ -111,8 +135,8 @@ class Lexicon:
 
     def features(self, text: str) -> tuple[float, float]:
         """(total weight on a log scale, weight for each hundred words on a log scale)."""
-        folded = fold(text)
-        total = self.weight(folded)
+        folded, plain = readings(text)
+        total = self.weight(folded, plain)
         if not total:
             return 0.0, 0.0
         words = max(20, folded.count(" ") + folded.count("\n") + 1)

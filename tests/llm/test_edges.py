@@ -114,6 +114,14 @@ def test_the_benchmark_does_not_pass_through_the_driver(spark, monkeypatch):
     assert [(r.doc_id, r.text) for r in left.collect()] == [(2, "w1 w2")]
 
 
+def test_signs_at_word_ends_and_in_long_runs_are_folded():
+    read = {"idi07": "idiot", "m0r0n5": "morons", "worthl355": "worthless", "worthle55": "worthless", "l0053r": "looser", "idi0t!!": "idiot!!", "100 $5!": "100 $5!"}
+    assert {w: toxicity.fold(w) for w in read} == read
+    lexicon = toxicity.Lexicon([("idiot", True, 2.0), ("worthless", True, 2.0), ("moron", False, 1.0)])
+    weights = {t: lexicon.weight(*toxicity.readings(t)) for t in ("an idi07, w0rthle55!", "idiot1", "1idiot", "m0r0n5", "idiots", "1d10tic")}
+    assert weights == {"an idi07, w0rthle55!": 4.0, "idiot1": 2.0, "1idiot": 2.0, "m0r0n5": 1.0, "idiots": 0.0, "1d10tic": 0.0}
+
+
 def test_near_duplicates_of_a_row_repeated_a_thousand_times(spark):
     long = " ".join(f"w{i}" for i in range(60))
     other = " ".join(f"v{i}" for i in range(60))
