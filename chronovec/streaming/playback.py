@@ -31,12 +31,20 @@ def latest_state(states: DataFrame, by: str, order: str) -> DataFrame:
 
 
 def run_to_table(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Runs a stream over what is there and returns its result."""
-    query = (
-        stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
+    """Runs a stream over what is there and returns its result, a Parquet table beside the checkpoint."""
+    written: list[str] = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        path = f"{checkpoint}-table/{number}"
+        batch.write.mode("overwrite").parquet(path)
+        written.append(path)
+
+    query = stream.writeStream.outputMode(mode).foreachBatch(write).queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    # a complete result replaces the one before
+    paths = written[-1:] if mode == "complete" else written
+    spark = stream.sparkSession
+    return spark.read.schema(stream.schema).parquet(*paths) if paths else spark.createDataFrame([], stream.schema)
 
 
 def marks_to_labels(marks: DataFrame, states: DataFrame, profile: str) -> DataFrame:

@@ -19,6 +19,15 @@ def test_connections_end_after_a_longer_silence(spark, tmp_path):
     assert {tuple(r) for r in got.collect()} == want
 
 
+def test_states_of_a_stream_are_written_not_collected(spark, tmp_path):
+    rows = [(i % 50, i, f"p{i}") for i in range(200)]
+    spark.createDataFrame(rows, "source int, seq int, path string").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("source int, seq int, path string").parquet(str(tmp_path / "in"))
+    got = playback.run_to_table(playback.latest_state(stream, "source", "seq"), "states", str(tmp_path / "at"))
+    assert got.inputFiles() and all(str(tmp_path) in f for f in got.inputFiles())
+    assert {tuple(r) for r in got.collect()} == {(i % 50, i, f"p{i}") for i in range(150, 200)}
+
+
 def test_progress_is_unknown_without_steps(spark):
     jobs = spark.createDataFrame([(1, 4, 10, 8.0), (2, 0, 10, 8.0), (3, None, 10, 8.0), (4, 1, 0, 8.0), (5, 10, 10, None)], "job int, done long, total long, elapsed double")
     assert {r.job: r.eta for r in catalog.progress(jobs).collect()} == {1: 12.0, 2: None, 3: None, 4: None, 5: None}
