@@ -107,7 +107,7 @@ def test_the_benchmark_does_not_pass_through_the_driver(spark, monkeypatch):
     monkeypatch.setattr(type(docs), "collect", lambda self: taken.append(collect(self)) or taken[-1])
     runs = decontaminate.decontaminate(docs, bench, block_windows=200)
     left = decontaminate.without_hits(docs, bench, block_windows=200)
-    assert max(map(len, taken)) <= 20  # of 6,321 windows
+    assert max(map(len, taken)) <= 20  # of 3,621 windows
     monkeypatch.undo()
     got = sorted(((r.doc_id, r.n_hit, r.n_items, len(r["items"])) for r in runs.collect()), key=str)
     assert got == [(1, 30, 300, 300), (2, 0, 0, 0), (2, 42, 300, 300), (None, 30, 300, 300)]
