@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterable
 
 import numpy as np
@@ -41,6 +42,8 @@ ENTRIES = 400
 #: Least gain of an entry in the G-test, in nats.
 GAIN = 7.0
 SHORTEST, LONGEST = 3, 10
+#: Entries that a task counts before it passes them on.
+HELD = 50_000
 #: Phrases in which a listed word is harmless.
 EXCEPTIONS = ("trash can", "trash bin", "clown fish", "class clown", "pond scum", "sore loser", "not stupid", "idiot proof")
 
@@ -155,19 +158,31 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
     return docs.select("doc_id", "text").join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id")
 
 
-def _beginnings(frames):
-    """Counts of each word's beginnings and whole form in each document of the batch."""
-    for frame in frames:
-        out: list[tuple[str, int, int]] = []
-        for text, toxic in zip(frame["text"], frame["toxic"]):
-            counts: dict[str, int] = {}
-            for word in _WORD.findall(fold(text or "")):
+def _beginnings(batches):
+    """(entry, bad, good, times): counts of word beginnings and whole words, combined over the documents of a batch."""
+    counts: dict[str, list[int]] = {}
+
+    def combined():
+        rows = list(counts.values())
+        out = [pa.array(list(counts), pa.string()), *(pa.array([r[i] for r in rows], pa.int64()) for i in range(3))]
+        counts.clear()
+        return pa.RecordBatch.from_arrays(out, ["entry", "bad", "good", "times"])
+
+    for batch in batches:
+        for text, toxic in zip(batch.column("text"), batch.column("toxic").to_pylist()):
+            own: dict[str, int] = {}
+            for word, n in Counter(_WORD.findall(fold(text.as_py() or ""))).items():
                 for size in range(SHORTEST, min(len(word), LONGEST) + 1):
-                    counts[word[:size]] = counts.get(word[:size], 0) + 1
+                    own[word[:size]] = own.get(word[:size], 0) + n
                 if SHORTEST <= len(word) <= 2 * LONGEST:
-                    counts[word + "$"] = counts.get(word + "$", 0) + 1
-            out += [(k, int(toxic), n) for k, n in counts.items()]
-        yield pd.DataFrame(out, columns=["entry", "toxic", "n"])
+                    own[word + "$"] = own.get(word + "$", 0) + n
+            for entry, n in own.items():
+                known = counts.setdefault(entry, [0, 0, 0])
+                known[0 if toxic else 1] += 1
+                known[2] += n * toxic
+            if len(counts) >= HELD:
+                yield combined()
+    yield combined()
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, exceptions=EXCEPTIONS) -> Lexicon:
@@ -177,9 +192,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, exceptions=E
     bad, good = size.get(1, 0), size.get(0, 0)
     if not bad or not good:
         return Lexicon([], exceptions)
-    counts = rows.mapInPandas(_beginnings, "entry string, toxic int, n long").groupBy("entry").agg(
-        F.count_if(F.col("toxic") == 1).alias("bad"), F.count_if(F.col("toxic") == 0).alias("good"), F.sum(F.col("n") * F.col("toxic")).alias("times"),
-    )
+    counts = rows.mapInArrow(_beginnings, "entry string, bad long, good long, times long").groupBy("entry").agg(
+        *(F.sum(c).alias(c) for c in ("bad", "good", "times"))
+    )
     p, q = (F.col("bad") + 0.5) / (bad + 1.0), (F.col("good") + 0.5) / (good + 1.0)
     share = (F.col("bad") + F.col("good")) / float(bad + good)
     gain = F.col("bad") * F.log(F.col("bad") / (share * bad)) + F.when(
