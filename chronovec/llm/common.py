@@ -66,8 +66,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(id, root) of every vertex in edges(a, b); root is the smallest id reachable.
 
     Alternates large-star and small-star steps until the edges stop changing:
-    each step is a grouped minimum (combined before the shuffle) and one equi
-    join. Stars need about four steps, long chains a logarithmic number.
+    each step is a grouped minimum (combined before the shuffle), written so that
+    the equi join with it reads two plain exchanges, which adaptive execution splits
+    at a hub. Stars need about four steps, long chains a logarithmic number.
     Repeated edges and loops do no harm; no edges give an empty result.
     """
     edges = materialize(
@@ -76,19 +77,19 @@ def connected_components(edges: DataFrame) -> DataFrame:
     seen = None
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        low = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "lowest")
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         large = materialize(large, "edges")
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "lowest")
         small = (
-            large.join(low, "a")
+            large.join(least, "a")
             .select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
             .where("a <> b")
             .distinct()
         )
         small = materialize(small, "edges")
         now = small.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        drop(edges), drop(large)
+        drop(edges), drop(large), drop(low), drop(least)
         edges = small
         if now == seen:
             break

@@ -8,12 +8,15 @@ M*M tables of 2*K rows. Two sets of similarity s share a table with probability
 
 A table key can be shared only if both its sub-keys are, so keys are formed only
 from sub-keys that some other set has too. In every bucket of a table each member
-first meets one pivot, the member that shares most sub-keys. Buckets that then
-still hold several components are finished exactly: all pairs between components
-in buckets of up to SMALL sets, else block against block, where only a link for
-each two components is returned. So no pair of a bucket is left out, and no group
-is expanded into its pairs. All links are confirmed on full sets. Components come
-from a distributed star contraction.
+meets one pivot, the member that shares most sub-keys, and is confirmed against it.
+A pivot with the members of its buckets is a group; a group that then still holds
+several components is finished exactly. There each set is written as its difference
+to a common reference, so that what all have in common drops out. Two sets of
+different components can be similar only if they share so many elements of their
+differences that one of these is among the rarest of either (`_finish`). Pairs that
+have such an element in common are confirmed; all other pairs can't be similar. So
+no pair of a bucket is left out, and no group is expanded into its pairs. All links
+are confirmed on full sets. Components come from a distributed star contraction.
 
 Equal sets are one vertex, so exact copies never form pairs. Rows that share a
 doc_id are one document; rows that repeat it with the same set enter the search
@@ -24,17 +27,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import wordhash
 from .common import connected_components, drop, join_sized, materialize, table
 
 K, M = 3, 16
-#: Members of a bucket whose pairs are listed; larger buckets are compared in blocks.
-SMALL = 8
-#: Sets and shingles of a block, on average.
-BLOCK_SETS, BLOCK_SHINGLES = 256, 1 << 18
 
 
 def _shingles(texts: list[bytes], width: int):
@@ -143,123 +142,85 @@ def _members(reps: DataFrame, m: int) -> DataFrame:
     return out
 
 
-def _star(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b): each member of a bucket with the member that shares most sub-keys with others."""
+def _star(members: DataFrame) -> DataFrame:
+    """(a, n_a, b, n_b): each member of a bucket with its pivot, the member that shares most sub-keys with others."""
     pivots = members.groupBy("key").agg(F.max(F.struct("pop", -F.col("id"), "n")).alias("top"))
     pairs = members.join(pivots, "key").select(
-        (-F.col("top")["col2"]).alias("a"), F.col("id").alias("b"), F.col("top")["n"].alias("n_a"), "n"
+        (-F.col("top")["col2"]).alias("a"), F.col("top")["n"].alias("n_a"), F.col("id").alias("b"), F.col("n").alias("n_b")
     )
-    return pairs.where(F.col("a") != F.col("b")).where(_fits("n_a", "n", percent)).select("a", "b").distinct()
-
-
-def _all_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of small buckets in different components."""
-    other = members.select("key", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
-    pairs = members.join(other, "key").where((F.col("id") < F.col("b")) & (F.col("root") != F.col("root_b")))
-    return pairs.where(_fits("n", "n_b", percent)).select(F.col("id").alias("a"), "b").distinct()
-
-
-def _fits(a: str, b: str, percent: int):
-    """Sizes of sets that can be similar enough."""
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+    return pairs.where("a <> b").distinct()
 
 
 def _confirmed(pairs: DataFrame, pool: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar."""
     sets_a, sets_b = (pool.select(F.col("id").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
     both = F.size(F.array_intersect("set_a", "set_b"))
     similar = 100 * both >= percent * (F.size("set_a") + F.size("set_b") - both)
     return pairs.join(sets_b, "b").join(sets_a, "a").where(similar).select("a", "b")
 
 
-def _block_links(percent: int):
-    """Links between components in pairs of blocks: counts of common shingles as matrix products."""
-
-    def run(batches):
-        for batch in batches:
-            out_a, out_b = [], []
-            for row in range(batch.num_rows):
-                sides = []
-                for name in ("left", "right"):
-                    block = batch.column(name)[row].values
-                    sets = block.field("shingles")
-                    sides.append((block.field("id").to_numpy(), block.field("root").to_numpy(), sets.value_lengths().to_numpy(), sets.flatten().to_numpy()))
-                (ids, roots, sizes, values), (ids2, roots2, sizes2, values2) = sides
-                common = np.intersect1d(values, values2)
-                hits = np.zeros((len(ids), len(ids2)), np.float32)
-                rows, rows2 = np.repeat(np.arange(len(ids)), sizes), np.repeat(np.arange(len(ids2)), sizes2)
-                for at in range(0, len(common), 1 << 14):
-                    part = common[at : at + (1 << 14)]
-                    hits += _bitmap(part, rows, values, len(ids)) @ _bitmap(part, rows2, values2, len(ids2)).T
-                union = sizes[:, None].astype(np.int64) + sizes2[None, :] - hits.astype(np.int64)
-                linked = (100 * hits.astype(np.int64) >= percent * union) & (roots[:, None] != roots2[None, :])
-                x, y = np.nonzero(linked)
-                # one link joins two components
-                _, first = np.unique(np.stack([roots[x], roots2[y]]), axis=1, return_index=True)
-                out_a.append(ids[x[first]]), out_b.append(ids2[y[first]])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(out_a or [np.zeros(0, np.int64)]), pa.int64()), pa.array(np.concatenate(out_b or [np.zeros(0, np.int64)]), pa.int64())],
-                ["a", "b"],
-            )
+def _by_rarity(pool: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, alone, rare): the sets of ids, elements that several of them have by number of sets, and how many others there are."""
+    each = materialize(pool.join(ids, "id", "left_semi").select("id", F.explode("shingles").alias("x")), "elements")
+    several = each.groupBy("x").agg(F.count("*").alias("of")).where("of > 1")
+    known = each.join(several, "x").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("of", "x"))).alias("known"))
+    sized = pool.join(ids, "id", "left_semi").select("id", F.size("shingles").alias("n"))
+    rare = F.coalesce(F.col("known")["x"], F.array().cast("array<long>"))
+    out = materialize(
+        sized.join(known, "id", "left").select("id", rare.alias("rare")).join(sized, "id").select("id", "rare", (F.col("n") - F.size("rare")).alias("alone")), "by-rarity"
+    )
+    drop(each)
+    return out
 
-    return run
 
+def _differences(groups: DataFrame, pool: DataFrame, percent: int) -> DataFrame:
+    """(p, id, root, alone, last, d, e) for groups(p, id, n, root): each set's difference to its group's reference.
 
-def _bitmap(columns: np.ndarray, rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    out = np.zeros((n, len(columns)), np.float32)
-    at = np.minimum(np.searchsorted(columns, values), len(columns) - 1)
-    own = columns[at] == values
-    out[rows[own], at[own]] = 1
-    return out
+    The reference is the pivot without the elements that it alone has. `last` lists the difference but for elements
+    that the set alone has, which are counted in `alone`: first what the reference lacks, rare elements before
+    frequent ones, then what only the reference has, where elements that few sets lack come first. d is the size
+    of the difference; e = d - c * n, times 100 + percent, with c = (100 - percent) / (100 + percent).
+    """
+    order = _by_rarity(pool, groups.select("id").distinct())  # a pivot is a member of its group
+    pivots = order.select(F.col("id").alias("p"), F.col("rare").alias("of_p"))
+    pairs = groups.join(order, "id").join(pivots, "p")
+    more, less = F.array_except("rare", "of_p"), F.reverse(F.array_except("of_p", "rare"))
+    own = (
+        pairs.withColumn("last", F.concat(more, less))
+        .withColumn("d", F.col("alone") + F.size("last"))
+        .withColumn("e", (100 + percent) * F.col("d") - (100 - percent) * F.col("n"))
+        .select("p", "id", "root", "alone", "last", "d", "e")
+    )
+    return materialize(own.repartition("id", "p"), "differences")
 
 
-def _block_compare(state: DataFrame, pool: DataFrame, percent: int) -> DataFrame:
-    """Links of large buckets between different components, block against block.
+def _finish(groups: DataFrame, pool: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of groups(p, id, n, root) that may be similar, in different components; complete.
 
-    Buckets with common members form clusters. The members of a cluster's largest
-    component and the others are dealt into blocks by hash; each block of the
-    others meets every block, blocks of one component never meet.
+    Sets a and b are similar just if |a ^ b| = d_a + d_b - 2 s <= c (n_a + n_b), so if they share
+    s >= (e_a + e_b) / 2 elements of their differences. Let o have the least e of the group. Sets with e <= -e_o are
+    similar to o, and paired with it. Of two other sets that aren't both paired with o one, a, has e_a > -e_o; so
+    0 < (e_b - e_o) / 2 < s for the other, and the first d_b - s + 1 of b's difference, in the common order, hold
+    an element of a's.
     """
-    low = state.groupBy("key").agg(F.min("id").alias("b"))
-    roots = connected_components(state.join(low, "key").select(F.col("id").alias("a"), "b").distinct())
-    own = materialize(
-        state.select("id", "n", "root").distinct().join(roots.select("id", F.col("root").alias("cluster")), "id"), "clusters"
+    step = 2 * (100 + percent)
+    own = _differences(groups, pool, percent)
+    least = materialize(own.groupBy("p").agg(F.min(F.struct("e", "id", "root")).alias("o")), "nearest")
+    own = own.join(least, "p").withColumn("t", -F.col("o")["e"])
+    core = own.where((F.col("e") <= F.col("t")) & (F.col("id") != F.col("o")["id"]) & (F.col("root") != F.col("o")["root"]))
+    first = F.slice("last", 1, F.greatest(F.col("d") - F.floor((F.col("e") + F.col("t")) / step).cast("int") - F.col("alone"), F.lit(0)))
+
+    def shown(rows: DataFrame, elements: Column, side: str) -> DataFrame:
+        columns = [F.col(c).alias(f"{c}_{side}") for c in ("id", "root", "e")]
+        return rows.select(F.col("p"), F.size("last").alias(f"of_{side}"), *columns, F.posexplode(elements).alias(f"i_{side}", "x"))
+
+    far, near = shown(own.where(F.col("e") > F.col("t")), F.col("last"), "a"), shown(own.where(F.size(first) > 0), first, "b")
+    share = F.col("e_a") + F.col("e_b")  # what is left of either difference has as many elements as they must share
+    met = far.join(near, ["p", "x"]).where("root_a <> root_b").where(
+        (step * (F.col("of_a") - F.col("i_a")) >= share) & (step * (F.col("of_b") - F.col("i_b")) >= share)
     )
-    major = (
-        own.groupBy("cluster", "root")
-        .count()
-        .groupBy("cluster")
-        .agg(F.max(F.struct("count", "root")).alias("top"))
-        .select("cluster", F.col("top")["root"].alias("major"))
-    )
-    sided = own.join(major, "cluster").withColumn("main", (F.col("root") == F.col("major")).cast("int"))
-    blocks = F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_SHINGLES)).cast("int")
-    sizes = materialize(sided.groupBy("cluster", "main").agg(blocks.alias("blocks")), "cluster-sizes")
-    dealt = materialize(
-        sided.join(sizes, ["cluster", "main"])
-        .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        .join(pool, "id")
-        .groupBy("cluster", "main", "block")
-        .agg(F.collect_list(F.struct("id", "root", "shingles")).alias("sets")),  # BLOCK_SETS on average
-        "blocks",
-    )
-    each = sizes.select("cluster", "main", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    left = each.where("main = 0").select("cluster", F.col("block").alias("block_l"))
-    right = each.select("cluster", F.col("main").alias("main_r"), F.col("block").alias("block_r"))
-    pairs = left.join(right, "cluster").where((F.col("main_r") == 1) | (F.col("block_r") >= F.col("block_l")))
-    left_sets = dealt.where("main = 0").select("cluster", F.col("block").alias("block_l"), F.col("sets").alias("left"))
-    right_sets = dealt.select(
-        "cluster", F.col("main").alias("main_r"), F.col("block").alias("block_r"), F.col("sets").alias("right")
-    )
-    spark = state.sparkSession
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "4")  # rows hold two blocks
-    try:
-        met = pairs.join(left_sets, ["cluster", "block_l"]).join(right_sets, ["cluster", "main_r", "block_r"])
-        return materialize(met.select("left", "right").mapInArrow(_block_links(percent), "a long, b long"), "links")
-    finally:
-        spark.conf.set(name, before)
-        drop(own), drop(sizes), drop(dealt)
+    pairs = met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).union(core.select(F.col("o")["id"], "id"))
+    return materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
 
 
 def near_duplicates(
@@ -292,23 +253,20 @@ def near_duplicates(
         .distinct(),  # combined before the shuffle
         "shingle-sets",
     )
-    links = materialize(_confirmed(_star(members, percent), pool, percent), "links")
+    star = materialize(_star(members), "stars")
+    sizes_fit = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    links = materialize(_confirmed(star.where(sizes_fit), pool, percent), "links")
     roots = materialize(connected_components(links), "roots")
-    state = members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    open_keys = (
-        state.groupBy("key")
-        .agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("of"))
-        .where("lo < hi")
-        .select("key", "of")
-    )
-    state = materialize(state.join(open_keys, "key"), "open-buckets")
-    more = _confirmed(_all_pairs(state.where(F.col("of") <= SMALL), percent), pool, percent)
-    large = state.where(F.col("of") > SMALL)
-    if large.take(1):
-        more = more.union(_block_compare(large, pool, percent))
+    pivots = star.select(F.col("a").alias("p"), F.col("a").alias("id"), F.col("n_a").alias("n")).distinct()
+    groups = star.select(F.col("a").alias("p"), F.col("b").alias("id"), F.col("n_b").alias("n")).union(pivots)
+    groups = groups.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    groups = materialize(groups, "groups")
+    several = groups.groupBy("p").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("p")
+    groups = groups.join(materialize(several, "open"), "p")
+    more = _confirmed(_finish(groups, pool, percent), pool, percent)
     links = materialize(links.union(more), "links")
     roots = materialize(connected_components(links), "roots")
-    drop(pool), drop(members), drop(state)
+    drop(pool), drop(members), drop(star)
 
     linked = class_of.join(roots.withColumnRenamed("id", "rep"), "rep", "left").withColumn(
         "component_id", F.coalesce("root", "rep")

@@ -4,6 +4,7 @@ import hashlib
 import io
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -59,7 +60,7 @@ def test_directory_splits_only_overfull_buckets():
     assert directory == [0, 1, 2, 2, 3, 3, 3, 3]
 
 
-def test_near_duplicates_match_brute_force(spark, monkeypatch):
+def test_near_duplicates_match_brute_force(spark):
     rows = corpus(1, 80) + [(None, "no id"), (950, "a b c d e f g h i j k l m n o p q r s t u v w x y z " * 3)]
     base = [f"b{i}" for i in range(150)]
     rng = random.Random(4)
@@ -87,7 +88,6 @@ def test_near_duplicates_match_brute_force(spark, monkeypatch):
             if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
                 lo, hi = sorted((find(a), find(b)))
                 parent[hi] = lo
-    monkeypatch.setattr(near_dedup, "BLOCK_SETS", 16)
     got = {r.doc_id: r for r in near_dedup.near_duplicates(frame(spark, rows), width=4).collect()}
     assert {i: (got[i].n_shingles, got[i].component_id, got[i].kept) for i in ids} == {
         i: (len(sets[i]), find(i), find(i) == i) for i in ids
@@ -96,6 +96,44 @@ def test_near_duplicates_match_brute_force(spark, monkeypatch):
     assert near_dedup.near_duplicates(frame(spark, [])).count() == 0
 
 
+def near_copies(n, seed):
+    """n copies of 150 words with up to 16 of them replaced, often by a word that other copies have too."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        words = [f"b{j}" for j in range(150)]
+        for _ in range(rng.randrange(0, 17)):
+            at = rng.randrange(150)
+            words[at] = f"c{at}x{rng.randrange(3)}" if rng.random() < 0.4 else f"z{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    return rows
+
+
+def test_a_large_group_of_near_copies_matches_brute_force(spark, monkeypatch):
+    finish, met = near_dedup._finish, []
+    monkeypatch.setattr(near_dedup, "_finish", lambda *a: met.append(finish(*a)) or met[-1])
+    for n in (500, 2000):
+        rows = near_copies(n, n)
+        sets = [{tuple(w[j : j + 4]) for j in range(len(w) - 3)} for w in (t.split() for _, t in rows)]
+        column = {x: j for j, x in enumerate(sorted(x for x, of in Counter(x for s in sets for x in s).items() if of > 1))}
+        bits = np.zeros((n, len(column)), np.float32)
+        for i, own in enumerate(sets):
+            bits[i, [column[x] for x in own if x in column]] = 1
+        both, size = (bits @ bits.T).round().astype(int), np.array([len(s) for s in sets])
+        linked = 100 * both >= 80 * (size[:, None] + size[None, :] - both)
+        np.fill_diagonal(linked, True)
+        root = np.arange(n)
+        while True:
+            low = np.where(linked, root[None, :], n).min(1)
+            if (low == root).all():
+                break
+            root = low
+        got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(frame(spark, rows), width=4).collect()}
+        assert [got[i] for i in range(n)] == root.tolist()
+        assert 20 < len(set(root.tolist())) < n
+        assert met[-1].count() < n  # of n * n / 2 pairs
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, x) for x in range(101, 130)] + [(5, 5)]
     got = {r.id: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
