@@ -3,21 +3,25 @@
 Texts are equal when identical after each run of ASCII white space became one
 space. The index is built in bulk with DataFrame operations only:
 
-1. A pass writes (doc_id, hash) of each row to the shared folder.
-2. The directory: distinct hashes are counted in 2^MAX_DEPTH cells of leading
-   bits; starting from one bucket, every bucket with more than CAPACITY hashes is
-   split by its next bit, doubling the directory when its depth is reached. Only
-   the cells' counts, a fixed number, come to the driver.
-3. A second pass groups whole texts by (bucket, hash, text): the grouping compares
-   bytes, and copies are combined before the shuffle, so a group of any size sends
-   one row a task. Distinct texts of one hash form a chain in their bucket.
-4. Owner tasks each take ranges of buckets: entries sorted by bucket and hash are
-   written as the index, and rows look their entry up by hash. Where a chain has
-   several entries, the rows of that hash are told apart by their digests, after
-   the grouping has shown the bytes to differ.
+1. A pass writes doc_id and 64-bit hash of each row, and the rows of each hash.
+2. The directory: distinct hashes are counted in cells of leading bits, and every
+   bucket with more than CAPACITY hashes is split by its next bit, which doubles
+   the directory where its depth is reached (`directory_of`). The cells' depth
+   follows from the number of hashes; capacity grows with it, so that the directory
+   has at most 2^DIRECTORY_BITS slots and is broadcast.
+3. A second pass takes whole texts through the directory: the leading bits of its
+   hash give a row's bucket, the bucket its owner. Owner tasks each take a range of
+   buckets and sort it by bucket, hash and bytes: rows of one hash form a chain, in
+   which bytes are compared, so that only identical texts are one entry. Hashes with
+   more rows than an owner has on average, at most as many hashes as owners, would
+   overload theirs; their rows are combined before they are shuffled, by bucket, hash
+   and bytes as well, and looked up among the few entries that come of it.
+4. The index is written by bucket, one row for each posting of an entry, and read
+   back as the result.
 
 Null texts count as empty. Null doc_ids are kept last; of rows that repeat one
-doc_id and text, one is kept. An empty table gives an empty result.
+doc_id and text, one is kept. An empty table gives an empty result. Texts of any
+length are compared whole. Columns besides doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -26,12 +30,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import drop, join_sized, materialize, table
+from .common import drop, materialize, table
 
-#: Distinct hashes in a bucket before it is split.
+#: Distinct hashes in a bucket before it is split; more where the directory would get too large.
 CAPACITY = 4096
-#: Bits of the directory at most; a bucket at this depth chains whatever it gets.
-MAX_DEPTH = 14
+#: Slots of the directory, as a power of 2: about 16 MB where it is broadcast.
+DIRECTORY_BITS = 20
+#: Bits of the cells beyond those that evenly spread hashes need.
+SPARE_BITS = 4
 
 
 def normalized(text: Column) -> Column:
@@ -39,92 +45,87 @@ def normalized(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]", " ")
 
 
-def grow_directory(cells: dict[int, int], capacity: int, max_depth: int) -> list[int]:
-    """Bucket of each of the 2^depth leading-bit patterns, from counts of 2^max_depth cells."""
-    sums = [[0] * (1 << d) for d in range(max_depth + 1)]
-    for cell, n in cells.items():
-        sums[max_depth][cell] = n
-    for d in range(max_depth - 1, -1, -1):
-        for i in range(1 << d):
-            sums[d][i] = sums[d + 1][2 * i] + sums[d + 1][2 * i + 1]
-    depth, buckets, todo = 0, [], [(0, 0)]
-    while todo:
-        local, prefix = todo.pop()
-        if sums[local][prefix] > capacity and local < max_depth:
-            depth = max(depth, local + 1)  # the directory doubles
-            todo += [(local + 1, 2 * prefix + 1), (local + 1, 2 * prefix)]
-        else:
-            buckets.append((prefix << (max_depth - local), local))
-    out: list[int] = []
-    for number, (_, local) in enumerate(sorted(buckets)):
-        out += [number] * (1 << (depth - local))
-    return out
-
-
-def exact_groups(docs: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH, hash_bits: int = 64) -> DataFrame:
+def _leading(h: str, bits: int) -> Column:
+    return F.shiftrightunsigned(h, 64 - bits).cast("int") if bits else F.lit(0)
+
+
+def directory_of(hashes: DataFrame, capacity: int, bits: int) -> DataFrame:
+    """(slot, bucket, depth) for each pattern of `bits` leading bits of hashes(h); a bucket is named after its first slot.
+
+    A bucket of local depth d holds the hashes that share d leading bits. Starting from one, all with more than
+    `capacity` hashes are split, so a slot's depth is the first at which its bucket is small enough.
+    """
+    cells = hashes.groupBy(_leading("h", bits).alias("cell")).agg(F.count("*").alias("n"))
+    depths = F.sequence(F.lit(0), F.lit(bits))
+
+    def prefix(of: str) -> Column:
+        return F.expr(f"shiftright({of}, {bits} - d)").alias("prefix")
+
+    full = cells.select("cell", "n", F.explode(depths).alias("d")).groupBy("d", prefix("cell")).agg(F.sum("n").alias("n"))
+    full = full.where((F.col("n") > capacity) & (F.col("d") < bits)).select("d", "prefix", F.lit(1).alias("full"))
+    slots = hashes.sparkSession.range(1 << bits).select(F.col("id").cast("int").alias("slot"), F.explode(depths).alias("d"))
+    split = slots.select("slot", "d", prefix("slot")).join(full, ["d", "prefix"], "left")
+    depth = split.groupBy("slot").agg(F.min(F.when(F.col("full").isNull(), F.col("d"))).alias("depth"))
+    return depth.select("slot", F.expr(f"shiftleft(shiftright(slot, {bits} - depth), {bits} - depth)").alias("bucket"), "depth")
+
+
+def exact_groups(docs: DataFrame, capacity: int = CAPACITY, hash_bits: int = 64) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256: one row for each row of docs(doc_id, text, ...).
 
     hash_bits below 64 force collisions (tests).
     """
+    spark = docs.sparkSession
     norm = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalized(F.col("text")).alias("norm"))
     hashed = F.xxhash64("norm") if hash_bits == 64 else F.shiftleft(F.xxhash64("norm"), 64 - hash_bits)
     keyed = norm.withColumn("h", hashed)
-    keys = materialize(keyed.groupBy("doc_id", "h").agg(F.count("*").alias("copies")), "dedup-keys")
 
-    cell = F.shiftrightunsigned("h", 64 - max_depth)
-    cells = keys.select("h").distinct().groupBy(cell.alias("cell")).count()
-    directory = grow_directory({r["cell"]: r["count"] for r in cells.collect()}, capacity, max_depth)
-    depth = len(directory).bit_length() - 1
-    numbers = F.array(*(F.lit(b) for b in directory)) if depth else F.array(F.lit(0))
-    place = F.shiftrightunsigned("h", 64 - depth).cast("int") if depth else F.lit(0)
-    entries = (
-        keyed.groupBy("h", "norm")
-        .agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-        .select("h", "keep_id", "group_size", F.sha2("norm", 256).alias("text_sha256"))
-        .withColumn("bucket", F.element_at(numbers, place + 1))
-    )
-    owners = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    owner = F.floor(F.col("bucket") * owners / (max(directory) + 1)).cast("int")
-    chain = Window.partitionBy("owner", "bucket", "h")
-    index = materialize(
-        entries.withColumn("owner", owner)
+    keys = materialize(keyed.groupBy("doc_id", "h").agg(F.count("*").alias("copies")), "dedup-keys")
+    counts = materialize(keys.groupBy("h").agg(F.sum("copies").alias("rows")), "hash-counts")
+    number, total = counts.agg(F.count("*"), F.coalesce(F.sum("rows"), F.lit(0))).first()
+    capacity = max(capacity, -(-number >> (DIRECTORY_BITS - SPARE_BITS - 1)))
+    bits = (-(-number // capacity)).bit_length() + SPARE_BITS
+    directory = materialize(directory_of(counts, capacity, bits), "directory")
+    owners = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # at most `owners` hashes, as their rows add up to `total` at most
+    hot = counts.where(F.col("rows") > total / owners).select("h")
+
+    routed = keyed.withColumn("slot", _leading("h", bits)).join(F.broadcast(directory), "slot")  # 2^DIRECTORY_BITS slots at most
+    routed = routed.withColumn("owner", F.floor(F.col("bucket") * owners / (1 << bits)).cast("int"))
+    entry = Window.partitionBy("owner", "bucket", "h", "norm")
+    index = (
+        routed.join(F.broadcast(hot), "h", "left_anti")
         .repartitionById(owners, F.col("owner"))
-        .withColumn("chain", F.count("*").over(chain))
-        .sortWithinPartitions("bucket", "h")
-        .drop("owner"),
-        "dedup-index",
-    )
-    total = keys.count()
-    rows = join_sized(keys, index.where("chain = 1").drop("chain", "bucket"), ["h"], "group_size", total)
-    if index.where("chain > 1").take(1):
-        chained = index.where("chain > 1").drop("chain", "bucket")
-        digests = (
-            keyed.join(chained.select("h").distinct(), "h", "left_semi")
-            .select("doc_id", "h", F.sha2("norm", 256).alias("text_sha256"))
-            .groupBy("doc_id", "h", "text_sha256")
-            .agg(F.count("*").alias("copies"))
-        )
-        rows = rows.unionByName(digests.join(chained, ["h", "text_sha256"]))
-    # rows that repeat one doc_id and text: of n, the first is the one kept
-    blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(1 << 16).cast("long")))
-    inner = F.explode(F.sequence("from", F.least(F.col("from") + ((1 << 16) - 1), F.col("copies") - 1)))
-    repeated = (
-        rows.where("copies > 1")
-        .select("*", blocks.alias("from"))
-        .select(*rows.columns, inner.alias("i"))
-    )
-    return (
-        rows.where("copies = 1")
-        .withColumn("i", F.lit(0).cast("long"))
-        .unionByName(repeated)
-        .select(
-            "doc_id",
-            "keep_id",
-            "group_size",
-            (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("i") == 0)).alias("kept"),
-            "text_sha256",
-        )
+        .withColumn("keep_id", F.min("doc_id").over(entry))
+        .withColumn("group_size", F.count("*").over(entry))
+        .withColumn("nth", F.row_number().over(entry.orderBy(F.col("doc_id").asc_nulls_last())).cast("long"))
+        .select("owner", "bucket", "h", "doc_id", "keep_id", "group_size", "nth", F.sha2("norm", 256).alias("text_sha256"))
     )
+    if hot.take(1):
+        index = index.unionByName(_hot_postings(routed.join(F.broadcast(hot), "h"), keys))
+    index = materialize(index.sortWithinPartitions("bucket", "h"), "dedup-index")
+    drop(keys), drop(counts), drop(directory)
+    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1)
+    return index.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
+
+
+def _hot_postings(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The postings of rows(owner, bucket, h, norm, doc_id) of hot hashes; equal texts are combined before the shuffle.
+
+    keys(doc_id, h, copies) has their rows; only where a chain holds several texts are these read again. Rows
+    that repeat a doc_id are numbered, so that one is kept.
+    """
+    chain = Window.partitionBy("h")
+    found = rows.groupBy("owner", "bucket", "h", "norm").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    found = found.withColumn("text_sha256", F.sha2("norm", 256)).withColumn("chain", F.count("*").over(chain)).drop("norm")
+    entries = materialize(found, "hot-entries")
+    # hot hashes are as few as owners, and texts of one hash fewer still
+    own = keys.join(F.broadcast(entries.where("chain = 1")), "h")
+    if entries.where("chain > 1").take(1):
+        told = rows.select("h", "doc_id", F.sha2("norm", 256).alias("text_sha256")).groupBy("h", "doc_id", "text_sha256").agg(F.count("*").alias("copies"))
+        own = own.unionByName(told.join(F.broadcast(entries.where("chain > 1")), ["h", "text_sha256"]))
+    blocks = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"), F.lit(1 << 16).cast("long")))
+    inner = F.explode(F.sequence("from", F.least(F.col("from") + ((1 << 16) - 1), "copies")))
+    return own.drop("chain").withColumn("from", blocks).withColumn("nth", inner).drop("copies", "from")
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,7 +43,7 @@ def test_exact_dedup_matches_brute_force_with_forced_collisions(spark):
     for i, t in rows:
         groups.setdefault(norm(t), []).append(i)
     for bits in (64, 3):
-        got = exact_dedup.exact_groups(frame(spark, rows), capacity=8, max_depth=5, hash_bits=bits).collect()
+        got = exact_dedup.exact_groups(frame(spark, rows), capacity=8, hash_bits=bits).collect()
         want = sorted(
             (repr(i), repr(min((x for x in groups[norm(t)] if x is not None), default=None)), len(groups[norm(t)]), hashlib.sha256(norm(t).encode()).hexdigest())
             for i, t in rows
@@ -53,11 +53,27 @@ def test_exact_dedup_matches_brute_force_with_forced_collisions(spark):
     assert exact_dedup.exact_groups(frame(spark, [])).count() == 0
 
 
-def test_directory_splits_only_overfull_buckets():
-    assert exact_dedup.grow_directory({}, 4, 3) == [0]
-    assert exact_dedup.grow_directory({0: 3, 7: 1}, 4, 3) == [0]
-    directory = exact_dedup.grow_directory({0: 5, 1: 5, 4: 1}, 4, 3)
-    assert directory == [0, 1, 2, 2, 3, 3, 3, 3]
+def test_directory_splits_only_overfull_buckets(spark):
+    def directory(cells, capacity, bits):
+        hashes = [((cell << (64 - bits)) + i) for cell, n in cells.items() for i in range(n)]
+        rows = spark.createDataFrame([(h - (1 << 64) if h >> 63 else h,) for h in hashes], "h long")
+        return [r.bucket for r in exact_dedup.directory_of(rows, capacity, bits).orderBy("slot").collect()]
+
+    assert directory({}, 4, 3) == [0] * 8
+    assert directory({0: 3, 7: 1}, 4, 3) == [0] * 8
+    assert directory({0: 5, 1: 5, 4: 1}, 4, 3) == [0, 1, 2, 2, 4, 4, 4, 4]
+    assert directory({6: 9}, 4, 3) == [0, 0, 0, 0, 4, 4, 6, 7]
+
+
+def test_exact_dedup_takes_every_text_through_the_directory(spark):
+    rows = [(i, f"text {i % 700}") for i in range(1000)] + [(i, "hot") for i in range(2000, 2400)] + [(5000, "hot")] * 3
+    spark.conf.set("spark.sql.shuffle.partitions", "6")
+    try:
+        got = {r.doc_id: r for r in exact_dedup.exact_groups(frame(spark, rows), capacity=16).collect() if r.doc_id < 5000}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert all(got[i].keep_id == i % 700 and got[i].group_size == 1 + (i % 700 < 300) and got[i].kept == (i < 700) for i in range(1000))
+    assert all((got[i].keep_id, got[i].group_size, got[i].kept) == (2000, 403, i == 2000) for i in range(2000, 2400))
 
 
 def test_near_duplicates_match_brute_force(spark):
