@@ -10,7 +10,14 @@ given up are remembered, so work stays linear in the text.
 Decoding looks the bytes of all tokens up in one byte table by offsets.
 
 The vocabulary file is read from ``path`` on each executor. Special tokens in a
-text become their own ids, as the vocabulary file says. Null texts are empty.
+text become their own ids, as the vocabulary file says. Null and empty texts have
+no ids, null ids an empty text. Each row has a result of its own, repeated rows too;
+an empty table gives an empty one. Texts of any length are encoded whole, in time and
+memory in proportion. Other columns pass through; one named as a result, in any
+case, is replaced.
+
+A worker keeps the vocabulary for the tasks that follow; what it remembers of pre-tokens
+and token pairs, as many as CACHE and PAIRS say, it gives up at the end of a task.
 """
 
 from __future__ import annotations
@@ -22,11 +29,12 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from .common import table
 
-#: Pre-tokens kept with their ids in a worker.
-CACHE = 400_000
+#: Pre-tokens (64 characters at most) kept with their ids in a worker, and token pairs kept with their compatibility.
+CACHE, PAIRS = 150_000, 300_000
 
 
 def _byte_chars() -> list[str]:
@@ -105,7 +113,7 @@ class ByteBPE:
                 if b + 1 == limit:
                     limit, a = a, self.right[a]
                     fits = True if a == limit else None
-        if len(self.compatible) > 1_000_000:
+        if len(self.compatible) >= PAIRS:
             self.compatible.clear()
         self.compatible[first, second] = fits
         return fits
@@ -174,6 +182,12 @@ class ByteBPE:
         return self.decode_bytes(ids).decode("utf-8", errors="replace")
 
 
+    def forget(self) -> None:
+        """Gives up what was remembered while encoding."""
+        self.cache.clear()
+        self.compatible.clear()
+
+
 _LOADED: dict[str, ByteBPE] = {}
 
 
@@ -190,42 +204,41 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def encode(docs: DataFrame, path: str | None = None, text: str = "text", into: str = "token_ids") -> DataFrame:
-    """docs with the ids of its text column in a new array column."""
-    at = path or default_path()
+def _with_column(df: DataFrame, into: str, kind: T.DataType, values) -> DataFrame:
+    """df with a column made in Arrow batches; columns of that name in any case are replaced."""
+    names = [n for n in df.columns if n.lower() != into.lower()]
 
     def run(batches):
-        bpe = load(at)
         for batch in batches:
-            ids = [bpe.encode(t or "") for t in batch.column(text).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*(c for c, n in zip(batch.columns, batch.schema.names) if n != into), pa.array(ids, pa.list_(pa.int32()))],
-                [*(n for n in batch.schema.names if n != into), into],
-            )
+            kept = [c for c, n in zip(batch.columns, batch.schema.names) if n.lower() != into.lower()]
+            yield pa.RecordBatch.from_arrays([*kept, values(batch)], [*names, into])
+        for own in _LOADED.values():
+            own.forget()
+
+    fields = [f for f in df.schema if f.name.lower() != into.lower()]
+    return df.mapInArrow(run, T.StructType([*fields, T.StructField(into, kind)]))
+
 
-    from pyspark.sql import types as T
+def encode(docs: DataFrame, path: str | None = None, text: str = "text", into: str = "token_ids") -> DataFrame:
+    """docs with the ids of its text column in a new array column."""
+    at = path or default_path()
 
-    fields = [f for f in docs.schema if f.name != into]
-    return docs.mapInArrow(run, T.StructType([*fields, T.StructField(into, T.ArrayType(T.IntegerType()))]))
+    def ids(batch):
+        own = load(at)
+        return pa.array([own.encode(t.as_py() or "") for t in batch.column(text)], pa.list_(pa.int32()))
+
+    return _with_column(docs, into, T.ArrayType(T.IntegerType()), ids)
 
 
 def decode(encoded: DataFrame, path: str | None = None, ids: str = "token_ids", into: str = "decoded") -> DataFrame:
     """encoded with the text of its ids column in a new string column; null ids give an empty text."""
     at = path or default_path()
 
-    def run(batches):
-        bpe = load(at)
-        for batch in batches:
-            texts = [bpe.decode(x or []) for x in batch.column(ids).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*(c for c, n in zip(batch.columns, batch.schema.names) if n != into), pa.array(texts, pa.string())],
-                [*(n for n in batch.schema.names if n != into), into],
-            )
-
-    from pyspark.sql import types as T
+    def texts(batch):
+        own = load(at)
+        return pa.array([own.decode(x.as_py() or []) for x in batch.column(ids)], pa.string())
 
-    fields = [f for f in encoded.schema if f.name != into]
-    return encoded.mapInArrow(run, T.StructType([*fields, T.StructField(into, T.StringType())]))
+    return _with_column(encoded, into, T.StringType(), texts)
 
 
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -247,6 +260,7 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
                 [batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
+        bpe.forget()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

@@ -12,7 +12,8 @@ from __future__ import annotations
 import numpy as np
 
 _BASE = 0x9E3779B97F4A7C15 | 1
-_PIECE = 1 << 22
+#: Bytes hashed at once; the tables of powers and the arrays of a piece stay below a few MB each.
+_PIECE = 1 << 19
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -92,7 +93,7 @@ def grams(hashes: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
-def pieces(texts: list[bytes], most: int = 1 << 22):
+def pieces(texts: list[bytes], most: int = 1 << 20):
     """Ranges of texts of about `most` bytes together, so that arrays stay small."""
     first, total = 0, 0
     for i, t in enumerate(texts):
