@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from itertools import chain
 
 import numpy as np
@@ -33,8 +34,11 @@ from pyspark.sql import types as T
 
 from .common import table
 
-#: Pre-tokens (64 characters at most) kept with their ids in a worker, and token pairs kept with their compatibility.
-CACHE, PAIRS = 150_000, 300_000
+#: Pre-tokens (64 characters at most) kept with their ids in a worker, twice as many where old ones are still in
+#: use, and token pairs kept with their compatibility.
+CACHE, PAIRS = 60_000, 300_000
+#: Code points below this are classified once, for a pattern of the standard library; other texts take the given one.
+PLAIN = 0x250
 
 
 def _byte_chars() -> list[str]:
@@ -44,6 +48,14 @@ def _byte_chars() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
+def _plain_find(regex):
+    """findall of the pattern of pre-tokens with its classes written out for code points below PLAIN."""
+    letter, number, space = ("".join(re.escape(chr(c)) for c in range(PLAIN) if regex.match(p, chr(c))) for p in (r"\p{L}", r"\p{N}", r"\s"))
+    return re.compile(
+        f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+"
+    ).findall
+
+
 class ByteBPE:
     """Encoder and decoder of a byte-level BPE vocabulary file."""
 
@@ -71,15 +83,20 @@ class ByteBPE:
             self.left[at], self.right[at] = order[a], order[b]
             self.merged[order[a], order[b]] = at
         self.automaton = ahocorasick.Automaton()
-        for t, i in order.items():
-            self.automaton.add_word(bytes(byte_of[c] for c in t).decode("latin-1"), (i, len(t)))
+        entries: dict[str, tuple] = {}  # (order, length, entry of the longest token that it begins with)
+        for t in sorted(order, key=len):
+            shorter = next((entries[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in entries), None)
+            entries[t] = (order[t], len(t), shorter)
+            self.automaton.add_word(bytes(byte_of[c] for c in t).decode("latin-1"), entries[t])
         self.automaton.make_automaton()
         self.compatible: dict[tuple[int, int], bool] = {}
 
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.find = regex.compile(PATTERN).findall
+        self.plain, self.beyond = _plain_find(regex), re.compile(f"[^\0-{chr(PLAIN - 1)}]").search
         self.cache: dict[str, tuple[int, ...]] = {}
+        self.before: dict[str, tuple[int, ...]] = {}  # the cache that was full last
 
         size = max([*vocab.values(), *self.special.values()]) + 1
         texts = [b""] * size
@@ -120,54 +137,54 @@ class ByteBPE:
 
     def _merge(self, word: str) -> tuple[int, ...]:
         """Ids of a pre-token whose characters are its bytes."""
-        size = len(word)
-        starts: list[list[tuple[int, int]]] = [[] for _ in range(size)]
-        for end, token in self.automaton.iter(word):  # by end, so shorter tokens of a start come first
-            starts[end - token[1] + 1].append(token)
-        known, at, taken, last = self.compatible, 0, [], -1
+        size, known, fits = len(word), self.compatible.get, self._fits
+        longest: list[tuple | None] = [None] * (size + 1)
+        for end, token in self.automaton.iter(word):  # by end, so the longest token of a start comes last
+            longest[end + 1 - token[1]] = token
         dead = bytearray(size + 1)
-        left = list(map(len, starts))  # tokens still to try at each start
+        taken: list[tuple] = []
+        at, last, token = 0, -1, longest[0]
         while at < size:
-            own, i = starts[at], left[at]
-            while i:
-                i -= 1
-                token, length = own[i]
+            while token is not None:
+                own, length, shorter = token
                 if not dead[at + length]:
                     if last < 0:
                         break
-                    fits = known.get((last, token))
-                    if self._fits(last, token) if fits is None else fits:
+                    pair = known((last, own))
+                    if fits(last, own) if pair is None else pair:
                         break
-            else:
+                token = shorter
+            else:  # no token fits here: the one before gives way to a shorter one
                 dead[at] = 1
-                left[at] = len(own)
-                token, length = taken.pop()
+                _, length, token = taken.pop()
                 last = taken[-1][0] if taken else -1
                 at -= length
                 continue
-            left[at] = i + 1  # it comes again first if what follows is taken back; its end is dead then
-            taken.append((token, length))
-            last = token
+            taken.append(token)
+            last = own
             at += length
-        return tuple([self.ids[token] for token, _ in taken])
+            token = longest[at]
+        ids = self.ids
+        return tuple([ids[own] for own, _, _ in taken])
 
     def _word(self, word: str) -> tuple[int, ...]:
-        ids = self._merge(word.encode().decode("latin-1"))
+        ids = self.before.get(word) or self._merge(word.encode().decode("latin-1"))
         if len(word) <= 64:
             if len(self.cache) >= CACHE:
-                self.cache.clear()
+                self.before, self.cache = self.cache, {}
             self.cache[word] = ids
         return ids
 
     def encode(self, text: str) -> list[int]:
         parts = self.split_special.split(text) if self.split_special else [text]
-        get, word = self.cache.get, self._word
+        word = self._word
         out: list[int] = []
         for i, part in enumerate(parts):
             if i % 2:
                 out.append(self.special[part])
             elif part:
-                out += chain.from_iterable([get(w) or word(w) for w in self.find(part)])
+                find, get = self.find if self.beyond(part) else self.plain, self.cache.get
+                out += chain.from_iterable([get(w) or word(w) for w in find(part)])
         return out
 
     def decode_bytes(self, ids: list[int]) -> bytes:
@@ -184,7 +201,7 @@ class ByteBPE:
 
     def forget(self) -> None:
         """Gives up what was remembered while encoding."""
-        self.cache.clear()
+        self.cache, self.before = {}, {}
         self.compatible.clear()
 
 
