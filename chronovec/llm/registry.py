@@ -17,6 +17,7 @@ QUERIES = {
 SQL = {
     "op3_chat_formatting": chat.SQL,
     "op5_exact_dedup": exact_dedup.SQL,
+    "op6_rendezvous_sharding": sharding.SQL,
     "op7_minhash_near_dedup": near_dedup.SQL,
     "op8_warc": warc.SQL,
     "op9_decontaminate": decontaminate.SQL,

@@ -265,10 +265,21 @@ def test_rendezvous_moves_rows_only_into_the_new_shard(spark):
     assert 150 < sum(r.grown_shard == 6 for r in got) < 450
     for s in range(6):
         assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+    for r in got[:200]:
+        drawn = [hashlib.md5(f"{r.doc_id}:{i}".encode() if r.doc_id is not None else f"{i}".encode()).hexdigest()[:13] for i in range(7)]
+        assert (r.shard, r.grown_shard) == (drawn.index(max(drawn[:6])), drawn.index(max(drawn)))
     heavy = sharding.shard_rows(frame(spark, rows), [3.0, 1.0]).collect()
     assert 0.7 < sum(r.shard == 0 for r in heavy) / len(heavy) < 0.8
 
 
+def test_slots_of_rows_repeated_thousands_of_times(spark):
+    rows = [(1, "again")] * 70_000 + [(1, "other"), (2, "x")]
+    got = sharding.shard_rows(frame(spark, [(1, "other"), (2, "x")]).unionAll(frame(spark, [(1, "again")]).join(spark.range(70_000)).drop("id")), [1.0, 1.0])
+    for r in got.groupBy("shard").agg({"slot": "min", "*": "count"}).join(got.groupBy("shard").agg({"slot": "max"}), "shard").collect():
+        assert (r["min(slot)"], r["max(slot)"]) == (0, r["count(1)"] - 1)
+    assert got.distinct().count() == got.count() == len(rows)
+
+
 def test_toxicity_learns_and_spares(spark):
     rng = random.Random(1)
     rows, labels = [], []
