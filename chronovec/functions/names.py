@@ -64,6 +64,8 @@ def wants_raw(mode: Column, pipeline: Column) -> Column:
     return (mode == "sparse") | ((mode == "interval") & (pipeline == "raw"))
 
 
+# Fixed values in the two functions that build names for other programs: the namespaces of stored vectors here, and
+# the words of the filter graph in dewarp_filter.
 def model_namespace(model: Column) -> Column:
     """Namespace of a model variant; the smallest variants keep the short names."""
     dino = F.when(model.isin("dinov2_vits14", "dinov2"), F.lit("dinov2")).otherwise(
@@ -126,9 +128,9 @@ def short_number(x: Column) -> Column:
 
 
 def dewarp_filter(
-    fmt: Column, viewport: float = 100.0, yaw: float = 0.0, pitch: float = 0.0, size: int = 512, scale: int = 1600
+    fmt: Column, viewport: float = 100.0, yaw: float = 0.0, pitch: float = 0.0, size: int = 512, scale: int = 1600, strict: bool = False
 ) -> Column:
-    """Crop of one eye, scaling and flat viewport of a format; null where the format isn't supported."""
+    """Crop of one eye, scaling and flat viewport of a format; null, or with `strict` an error, where it isn't supported."""
     eye = F.when(fmt["layout"] == "sbs", F.lit("crop=iw/2:ih:0:0")).when(fmt["layout"] == "tb", F.lit("crop=iw:ih/2:0:0")).when(
         fmt["layout"] == "mono", F.lit("")
     )
@@ -140,7 +142,9 @@ def dewarp_filter(
     )
     scaled = F.lit(f"scale={scale}:{scale}" if scale else "")
     whole = F.array_join(F.filter(F.array(eye, scaled, view), lambda x: x != ""), ",")
-    return F.when(eye.isNotNull() & view.isNotNull(), whole)
+    known = F.when(eye.isNotNull() & view.isNotNull(), whole)
+    wrong = F.concat_ws(" ", F.lit("no viewport for"), fmt["projection"], fmt["layout"], fov.cast("string"))
+    return F.coalesce(known, F.raise_error(wrong)) if strict else known
 
 
 def log_times(text: Column) -> Column:

@@ -31,7 +31,7 @@ def gather(scored: DataFrame, labeled: DataFrame, top: int = 3, chance: int = 1,
     """key, frame_idx, time, score, pool: the best frames of each scene and some drawn from the others.
 
     Labeled frames use up places among the best, and are then left out. Over the
-    limit, the drawn ones keep their share of the budget.
+    limit, the drawn ones keep their share of the budget. The result comes in an order drawn from the seed.
     """
     best = Window.partitionBy("key").orderBy(F.desc("score"), "frame_idx")
     ids = labeled.select("key", "time_cs").distinct().withColumn("known", F.lit(True))
@@ -46,7 +46,7 @@ def gather(scored: DataFrame, labeled: DataFrame, top: int = 3, chance: int = 1,
             keep = min(n_drawn, max(1, round(limit * chance / max(1, top + chance))))
             tops = tops.orderBy(F.desc("score"), "key", "frame_idx").limit(limit - keep)
             drawn = drawn.orderBy(draw(seed)).limit(keep)
-    return tops.unionByName(drawn).select("key", "frame_idx", "time", "score", "pool")
+    return tops.unionByName(drawn).select("key", "frame_idx", "time", "score", "pool").orderBy(draw(seed + 1))
 
 
 def suggest(scored: DataFrame, labeled: DataFrame, likes: int, count: int = 60, seed: int = 0) -> DataFrame:

@@ -31,6 +31,29 @@ def reconcile(cached: DataFrame, library: DataFrame, prune: bool = False) -> Dat
     )
 
 
+def sync_counts(reconciled: DataFrame) -> DataFrame:
+    """One row: entries in the cache, how many were moved, orphaned and pruned; a pruned entry was an orphan, too."""
+    status = F.col("status")
+    return reconciled.agg(
+        F.count("*").alias("cached"), F.count_if(status == "moved").alias("moved"),
+        F.count_if(status.isin("orphaned", "pruned")).alias("orphaned"), F.count_if(status == "pruned").alias("pruned"),
+    )
+
+
+def cache_keys(frames: DataFrame, model: str) -> DataFrame:
+    """Keys of the scenes held for a model, in order; no vector is read."""
+    return frames.where(F.col("model") == model).select("key").distinct().orderBy("key")
+
+
+def cache_models(frames: DataFrame) -> DataFrame:
+    return frames.select("model").distinct()
+
+
+def peek_counts(frames: DataFrame) -> DataFrame:
+    """Number of frames of each model and scene; no vector is read."""
+    return frames.groupBy("model", "key").agg(F.count("*").alias("frames"))
+
+
 def status_counts(reconciled: DataFrame) -> DataFrame:
     return reconciled.groupBy("status").agg(F.count("*").alias("n"))
 

@@ -46,7 +46,7 @@ def counts(labels: DataFrame) -> DataFrame:
 def summary(labels: DataFrame, base: str) -> DataFrame:
     """Likes of each profile of a family, and the family's total, largest first."""
     own = labels.where(in_family(F.col("profile"), base) & (F.col("label") == 1))
-    return own.rollup("profile").agg(F.count("*").alias("likes")).withColumn("profile", F.coalesce("profile", F.lit("*")))
+    return own.rollup("profile").agg(F.count("*").alias("likes")).withColumn("profile", F.coalesce("profile", F.lit("*"))).orderBy(F.desc("likes"), "profile")
 
 
 def bases(labels: DataFrame, *more: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
@@ -25,7 +26,9 @@ def recency_weights(labels: DataFrame, halflife_days: float, now: float) -> Data
 def train(data: DataFrame, kind: str = "auto", weight: str | None = None, seed: int = 0):
     """A fitted model of data(vec, label); auto takes the neural one from NEURAL_FROM rows on.
 
-    The logistic one balances classes and has the penalty 1/2 |b|^2 beside the summed loss.
+    The logistic one balances classes and has the penalty 1/2 |b|^2 beside the summed loss. The neural one knows no
+    weights: rows are drawn again within each class, in proportion to theirs. One class alone, or vectors of several
+    lengths, raise ValueError.
     """
     sizes = {r["label"]: r["n"] for r in data.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n = sum(sizes.values())
@@ -33,17 +36,45 @@ def train(data: DataFrame, kind: str = "auto", weight: str | None = None, seed:
         raise ValueError("both classes are needed")
     rows = data.withColumn("features", array_to_vector("vec")).withColumn("label", F.col("label").cast("double"))
     if kind == "mlp" or (kind == "auto" and n >= NEURAL_FROM):
-        width = rows.select(F.size("vec").alias("d")).first()["d"]
+        width = _width(rows)
+        if weight:
+            rows = _drawn_again(rows, weight, seed)
         return MultilayerPerceptronClassifier(layers=[width, 128, 2], seed=seed, maxIter=60).fit(rows)
+    _width(rows)
     balance = F.when(F.col("label") == 1, n / (2.0 * sizes[1])).otherwise(n / (2.0 * sizes[0]))
     rows = rows.withColumn("w", balance * (F.col(weight) if weight else F.lit(1.0)))
     total = rows.agg(F.sum("w")).first()[0]
     return LogisticRegression(weightCol="w", standardization=False, regParam=1.0 / total, maxIter=200, tol=1e-9).fit(rows)
 
 
+def _width(rows: DataFrame) -> int:
+    sizes = rows.agg(F.min(F.size("vec")).alias("least"), F.max(F.size("vec")).alias("most")).first()
+    if sizes["least"] != sizes["most"]:
+        raise ValueError("vectors have several lengths")
+    return sizes["most"]
+
+
+def _drawn_again(rows: DataFrame, weight: str, seed: int) -> DataFrame:
+    """Each row as often as its weight asks for beside its class's mean, the fraction by chance; classes keep their sizes, about."""
+    means = rows.groupBy("label").agg(F.avg(weight).alias("usual"))  # two rows
+    share = F.col(weight) / F.col("usual")
+    times = F.floor(share + F.rand(seed)).cast("int")
+    return rows.join(F.broadcast(means), "label").withColumn("times", times).where("times > 0").withColumn("again", F.explode(F.sequence(F.lit(1), "times"))).drop("usual", "times", "again")
+
+
+def save(model, path: str) -> None:
+    PipelineModel(stages=[model]).write().overwrite().save(path)
+
+
+def load(path: str):
+    return PipelineModel.load(path).stages[0]
+
+
 def predict(model, rows: DataFrame) -> DataFrame:
-    """rows with the probability of label 1."""
-    scored = model.transform(rows.withColumn("features", array_to_vector("vec")))
+    """rows with the probability of label 1; no rows give none, a vector of another length than the model's raises."""
+    wrong = F.raise_error(F.concat(F.lit(f"vectors need {model.numFeatures} numbers, one has "), F.size("vec").cast("string")))
+    held = F.when(F.size("vec") == model.numFeatures, F.col("vec")).otherwise(wrong)
+    scored = model.transform(rows.withColumn("features", array_to_vector(held)))
     return scored.withColumn("probability", vector_to_array("probability")[1]).drop("features", "rawPrediction", "prediction")
 
 

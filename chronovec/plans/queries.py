@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronovec.functions import binary, names, vectors
-from chronovec.operators import candidates, catalog, joins, library, playlist, preference, scoring, search, segments
+from chronovec.operators import candidates, catalog, joins, library, playlist, preference, recommend, scoring, search, segments
 from chronovec.operators import labels as store
 from chronovec.plans import views
 from chronovec.plans.views import COSINE_SQL, FRAMES_SQL, LABELS_SQL, SERIES_SQL, table
@@ -186,8 +186,8 @@ def extract_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SCORED_SQL = f"scored AS (SELECT f.key, f.frame_idx, f.time, max({COSINE_SQL}) AS score FROM frames f, (SELECT vec FROM frames WHERE frame_idx = 0) r GROUP BY f.key, f.frame_idx, f.time)"
-_MOMENTS_SQL = f"""WITH {FRAMES_SQL}, {_SCORED_SQL},
-state AS (SELECT *, coalesce(last_value(CASE WHEN score >= 0.25 THEN 1 WHEN score < 0.15 THEN 0 END IGNORE NULLS) OVER (PARTITION BY key ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS s FROM scored),
+def _ranked_sql(high: float, low: float) -> str:
+    return f"""state AS (SELECT *, coalesce(last_value(CASE WHEN score >= {high} THEN 1 WHEN score < {low} THEN 0 END IGNORE NULLS) OVER (PARTITION BY key ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS s FROM scored),
 fresh AS (SELECT *, CAST(s = 1 AND coalesce(lag(s) OVER (PARTITION BY key ORDER BY time), 0) = 0 AS INTEGER) AS f FROM state),
 numbered AS (SELECT *, sum(f) OVER (PARTITION BY key ORDER BY time) AS run FROM fresh),
 runs AS (SELECT key, min(time) AS "start", max(time) AS "end", max(score) AS peak, avg(score) AS mean FROM numbered WHERE s = 1 GROUP BY key, run),
@@ -195,6 +195,9 @@ runs AS (SELECT key, min(time) AS "start", max(time) AS "end", max(score) AS pea
 ranked AS (SELECT *, round(peak, 4) AS score, row_number() OVER (ORDER BY round(peak, 4) DESC, key, "start") AS rank FROM kept)"""
 
 
+_MOMENTS_SQL = f"WITH {FRAMES_SQL}, {_SCORED_SQL}, {_ranked_sql(0.25, 0.15)}"
+
+
 def _moments(spark, sf_dir):
     scored = _scored(spark, sf_dir).withColumnRenamed("frame_idx", "idx")
     return playlist.ranked(segments.extract(scored, 0.25, 0.15, 3.0, 2.0), 50)
@@ -219,6 +222,36 @@ def playlist_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return moments.agg(F.count("*").alias("moments"), F.round(F.sum(F.greatest(F.col("end") - F.col("start"), F.lit(0.0))), 6).alias("duration"))
 
 
+_LIKES_SQL = f"""WITH {FRAMES_SQL}, l AS (SELECT 's' || CAST(user_id % 4 AS VARCHAR) AS key, CAST(event_id % 4000 AS DOUBLE) / 10 AS time, event_id FROM events WHERE event_type = 'purchase'),
+near AS (SELECT l.event_id, f.key, f.frame_idx, row_number() OVER (PARTITION BY event_id ORDER BY abs(f.time - l.time), f.frame_idx) AS nth FROM l JOIN frames f ON f.key = l.key),
+r AS (SELECT vec FROM frames SEMI JOIN (SELECT * FROM near WHERE nth = 1) USING (key, frame_idx)),
+scored AS (SELECT f.key, f.frame_idx, f.time, max({COSINE_SQL}) AS score FROM frames f, r WHERE f.key NOT IN (SELECT key FROM l) GROUP BY f.key, f.frame_idx, f.time), {_ranked_sql(0.35, 0.3)}"""
+
+
+@query(f'{_LIKES_SQL} SELECT rank, key, round("start", 3) AS "start", round("end", 3) AS "end", score, round(mean, 6) AS mean FROM ranked WHERE rank <= 50')
+def recommend_from_likes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases are likes of moments in the first four scenes; these are left out of the result."""
+    likes = table(spark, sf_dir, "events").where("event_type = 'purchase'").select(
+        F.concat(F.lit("s"), (F.col("user_id") % 4).cast("string")).alias("key"), ((F.col("event_id") % 4000).cast("double") / 10).alias("time")
+    )
+    found = recommend.recommend(views.frames(spark, sf_dir), likes, 0.35, 0.3, min_duration=3.0, merge_gap=2.0)
+    return found.select(F.col("rank").cast("long").alias("rank"), "key", "start", "end", "score", *_r("mean"))
+
+
+_SCENES_SQL = f"""WITH {FRAMES_SQL}, {_SCORED_SQL},
+z AS (SELECT key, frame_idx, time, (score - avg(score) OVER w) / stddev_pop(score) OVER w AS score FROM scored WINDOW w AS (PARTITION BY key)),
+spots AS (SELECT key, frame_idx, time, unnest(range(frame_idx - 1, frame_idx + 2)) AS j, count(*) OVER (PARTITION BY key) AS n FROM z),
+smoothed AS (SELECT m.key, m.frame_idx, m.time, avg(z.score) AS score FROM (SELECT key, frame_idx, time, CASE WHEN j < 0 THEN -j WHEN j >= n THEN 2 * (n - 1) - j ELSE j END AS j FROM spots) m
+  JOIN z ON z.key = m.key AND z.frame_idx = m.j GROUP BY m.key, m.frame_idx, m.time), {_ranked_sql(0.5, 0.0).replace("FROM scored", "FROM smoothed")}"""
+
+
+@query(f'{_SCENES_SQL} SELECT key, "start", "end", round(peak, 6) AS peak, round(mean, 6) AS mean FROM kept')
+def score_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = views.frames(spark, sf_dir)
+    found = recommend.score_scenes(f, f.where("frame_idx = 0"), 0.5, 0.0, normalize="scene-z", window=3, min_duration=3.0, merge_gap=2.0)
+    return found.select("key", "start", "end", *_r("peak", "mean"))
+
+
 # labels
 
 _L = f"WITH {LABELS_SQL} "
@@ -342,6 +375,11 @@ def run_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.status_counts(catalog.reconcile(*_catalog(spark, sf_dir)))
 
 
+@query(f"{_SYNC} SELECT count(*) AS cached, count(*) FILTER (status = 'moved') AS moved, count(*) FILTER (status = 'orphaned') AS orphaned, count(*) FILTER (status = 'orphaned') AS pruned FROM synced")
+def sync_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.sync_counts(catalog.reconcile(*_catalog(spark, sf_dir), prune=True))
+
+
 @query(f"""WITH {_CACHE} SELECT key, path FROM library l WHERE NOT EXISTS (SELECT 1 FROM cached c WHERE c.key = l.key AND abs(c."interval" + 108) < 1e-6)""")
 def embed_worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
     cached, library = _catalog(spark, sf_dir)
@@ -375,6 +413,28 @@ def cache_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.frames(spark, sf_dir).groupBy("key").agg(F.count("*").alias("frames"), F.max("time").alias("last"))
 
 
+def _by_model(spark, sf_dir):
+    return views.frames(spark, sf_dir).withColumn("model", F.concat(F.lit("m"), (F.col("category") % 3).cast("string")))
+
+
+_BY_MODEL = f"WITH {FRAMES_SQL}, held AS (SELECT *, 'm' || CAST(category % 3 AS VARCHAR) AS model FROM frames)"
+
+
+@query(f"{_BY_MODEL} SELECT DISTINCT key FROM held WHERE model = 'm1'")
+def cache_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.cache_keys(_by_model(spark, sf_dir), "m1")
+
+
+@query(f"{_BY_MODEL} SELECT DISTINCT model FROM held")
+def cache_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.cache_models(_by_model(spark, sf_dir))
+
+
+@query(f"{_BY_MODEL} SELECT model, key, count(*) AS frames FROM held GROUP BY model, key")
+def peek_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.peek_counts(_by_model(spark, sf_dir))
+
+
 # candidates and sampling
 
 _GATHER = f"""WITH {FRAMES_SQL}, {_SCORED_SQL}, ranked AS (SELECT s.*, row_number() OVER (PARTITION BY s.key ORDER BY score DESC, s.frame_idx) AS nth, f.category = 4 AS known FROM scored s JOIN frames f USING (key, frame_idx)),
@@ -398,6 +458,25 @@ def suggest_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candidates.suggest(scored, _labeled(scored), likes=40, count=10**6).select("key", "frame_idx", "time", *_r("score"), "pool")
 
 
+_DRAWN = "md5('0:' || key || ':' || frame_idx)"
+
+
+@query(f"""WITH c AS ({_GATHER.format(top=3, chance=1)}) SELECT * FROM (SELECT * FROM c WHERE pool = 'top' ORDER BY score DESC, key, frame_idx LIMIT 15)
+UNION ALL SELECT * FROM (SELECT * FROM c WHERE pool = 'random' ORDER BY {_DRAWN} LIMIT 5)""")
+def candidates_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A budget of twenty, of which the drawn frames keep their quarter."""
+    scored = _scored(spark, sf_dir)
+    return candidates.gather(scored, _labeled(scored), 3, 1, limit=20).select("key", "frame_idx", "time", *_r("score"), "pool")
+
+
+@query(f"""WITH {FRAMES_SQL}, d AS (SELECT key, frame_idx, time, row_number() OVER (PARTITION BY key ORDER BY {_DRAWN}) AS nth FROM frames WHERE category <> 4)
+SELECT key, frame_idx, time, 0.0::DOUBLE AS score, 'random' AS pool FROM d WHERE nth <= 3 ORDER BY {_DRAWN} LIMIT 25""")
+def suggest_cold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Too few likes: drawn frames only."""
+    f = views.frames(spark, sf_dir)
+    return candidates.suggest(f, _labeled(f), likes=3, count=25).select("key", "frame_idx", "time", "score", "pool")
+
+
 @query("""WITH p AS (SELECT p_partkey, CAST(p_size AS DOUBLE) AS duration FROM part)
 SELECT p_partkey, len(g) AS n, round(list_sum(g), 3) AS total, g[-1] AS last FROM (SELECT p_partkey, list_transform(range(0, CAST(ceil((duration - 0.5) / 2.5) AS BIGINT)), lambda k: round(k * 2.5::DOUBLE + 0.5::DOUBLE, 3)) AS g FROM p)""")
 def plan_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -465,9 +544,9 @@ def showinfo_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.element_at(t, 1).alias("first"), F.size(t).alias("n"))
 
 
-@query("SELECT doc_id, 'base' || CASE WHEN trim(c) = '' THEN '' ELSE ':' || regexp_replace(trim(c), '[^\\p{L}\\p{N}_-]', '_', 'g') END AS profile FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN ' ' ELSE substr(text, 1, 12) END AS c FROM documents)")
+@query("SELECT doc_id, 'base' || CASE WHEN trim(c) = '' THEN '' ELSE ':' || regexp_replace(trim(c), '[^\\p{L}\\p{N}_-]', '_', 'g') END AS profile FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN ' ' ELSE text END AS c FROM documents)")
 def resolve_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = F.when(F.col("doc_id") % 3 == 0, " ").otherwise(F.substring("text", 1, 12))
+    c = F.when(F.col("doc_id") % 3 == 0, " ").otherwise(F.col("text"))
     return table(spark, sf_dir, "documents").select("doc_id", names.resolve_profile(F.lit("base"), c).alias("profile"))
 
 

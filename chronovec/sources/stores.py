@@ -36,8 +36,25 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_frames(frames: DataFrame, path: str) -> None:
-    """Frames partitioned by model; a rewrite replaces the models it holds."""
-    frames.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("model").parquet(path)
+    """Saves the scenes that frames(model, key, time, vec, ...) holds; other scenes of the same models stay as they are.
+
+    A time without a vector, a vector without a time, or vectors of several lengths in a scene raise ValueError
+    before anything is written.
+    """
+    length = F.size("vec")
+    odd = frames.groupBy("model", "key").agg(
+        F.count_if(F.col("time").isNull() | F.col("vec").isNull()).alias("open"), F.min(length).alias("least"), F.max(length).alias("most")
+    )
+    wrong = odd.where("open > 0 OR least <> most").select("key").first()
+    if wrong:
+        raise ValueError(f"times and vectors of {wrong['key']} don't agree")
+    rows = frames.repartition("model", "key")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("model", "key").parquet(path)
+
+
+def read_frames(spark: SparkSession, path: str, schema: str = "frame_idx int, time float, vec array<float>, meta string") -> DataFrame:
+    """Saved frames; a filter on model and key reads the scenes it names only."""
+    return spark.read.schema(f"{schema}, model string, key string").parquet(path)
 
 
 def video_files(spark: SparkSession, path: str, extensions: str = "mp4,mkv,webm,mov,avi,m4v,wmv,ts") -> DataFrame:
@@ -67,12 +84,14 @@ def write_playlist(playlist: DataFrame, path: str) -> None:
 
 
 def decode_packets(text: str) -> list[dict]:
-    """Objects of a stream of JSON texts without framing; a broken tail is left out."""
+    """Objects of a stream of JSON texts without framing, up to what is none: a broken tail or anything else but white space."""
     decoder, out, at = json.JSONDecoder(), [], 0
     while at < len(text):
-        if text[at] != "{":
+        if text[at].isspace():
             at += 1
             continue
+        if text[at] != "{":
+            break
         try:
             value, at = decoder.raw_decode(text, at)
         except ValueError:
