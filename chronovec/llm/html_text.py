@@ -8,14 +8,22 @@ LSTM in numpy reads the whole sequence of a page, so each label depends on all
 blocks; the blocks labelled as main text are joined in page order.
 
 The labeller is trained here, on a bounded sample of pages (SAMPLE_PAGES with the
-smallest hash of their id, of MOST_HTML characters and TRAIN_BLOCKS blocks at most), whose labels come from
-semantic markup where a page has it: blocks inside article or main that lie in no
-navigation, header, footer, aside, form or advert count as main text. Vectors of
-path parts are dropped at random in training, so that words and neighbours are
-learned too. Pages are labelled in batches of similar length.
+smallest hash of their id that hold article or main, of MOST_HTML characters and
+TRAIN_BLOCKS blocks at most), whose labels come from semantic markup: blocks inside
+article or main that lie in no navigation, header, footer, aside, form or advert
+count as main text. So that words, lengths, links and neighbours are learned and not
+the names of tags, each page is seen in several ways: as it is, without any path, and
+with its tags renamed and its class names changed or left out, alike over the page.
+Pages are labelled in batches of similar length. Where no sampled page has such
+markup nothing can be learned; the labeller then is None, and a block counts as main
+text if at most half of it is links and it has at least FALLBACK_WORDS words.
 
 Null or empty html gives an empty text. Character references are decoded, scripts,
-styles and comments skipped; truncated markup ends the page.
+styles and comments skipped; truncated markup ends the page, and a tag whose quote is
+never closed ends at its first >. A path is the innermost PATH_PARTS parts of the open
+tags, so that tags left open cost no more than their number. Each row has a result of
+its own, repeated rows too; an empty table gives an empty one; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -34,10 +42,17 @@ from .common import smallest_hashes, table
 
 SAMPLE_PAGES, TRAIN_BLOCKS, MOST_HTML = 240, 400, 160_000
 PATH_DIM, WORD_DIM, NUMBERS, HIDDEN = 24, 12, 6, 16
+#: Parts of a path, the innermost, that its vector is made from.
+PATH_PARTS = 48
+#: Words of a block of main text where there is no labeller.
+FALLBACK_WORDS = 8
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<[/a-zA-Z][^<>]*\Z",
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*)>"  # a tag
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9-]*)[^<>]*>"  # one whose quotes don't match
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"  # one with < in a quote
+    r"|<[!?][^>]*>|<[/a-zA-Z][^<>]*\Z",
     re.S | re.I,
 )
 _CLASS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -47,6 +62,7 @@ _INLINE = frozenset(
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
+_NEUTRAL = ("div", "div", "div", "section", "main", "article", "td", "center", "span")
 _BOILER_TAGS = frozenset("nav header footer aside form button select menu dialog".split())
 _BOILER_NAMES = re.compile(
     r"(?:^|[-_\s])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|menu|nav\w*|breadcrumbs?|sidebar|side|footer|foot|header|head|masthead|cookies?|consent|notice|popup|modal|comments?|reply|respond|disqus|related|share|social|newsletter|subscribe|form|login|widget)(?:$|[-_\s])",
@@ -57,7 +73,9 @@ _BOILER_NAMES = re.compile(
 def blocks(page: str) -> list[tuple[tuple[str, ...], str, int, int]]:
     """(path, text, characters in links, is main text by its markup: 1, 0 or -1 unknown) of each leaf block."""
     out: list = []
-    stack: list[tuple[str, str]] = []
+    stack: list[tuple[str, str, int]] = []  # tag, names, what the markup says of its text
+    walls: list[int] = []  # where block-level tags are in the stack
+    opened: dict[str, int] = {}
     parts: list[str] = []
     linked = 0
     at = 0
@@ -66,59 +84,74 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int, int]]:
         nonlocal linked
         text = _SPACE.sub(" ", entities.unescape("".join(parts))).strip()
         if text:
-            path = tuple(x for tag, names in stack for x in ((tag, *names.split()) if names else (tag,)) if tag not in _INLINE)
-            out.append((path, text, linked, _by_markup(stack)))
+            path: list[str] = []
+            for i in reversed(walls):
+                path[:0] = (stack[i][0], *stack[i][1].split()) if stack[i][1] else (stack[i][0],)
+                if len(path) >= PATH_PARTS:
+                    break
+            out.append((tuple(path), text, linked, stack[-1][2] if stack else -1))
         parts.clear()
         linked = 0
 
+    def cut(n: int):
+        for tag, _, _ in stack[n:]:
+            opened[tag] -= 1
+        del stack[n:]
+        while walls and walls[-1] >= n:
+            walls.pop()
+
     for m in _TAG.finditer(page):
         if m.start() > at:
             text = page[at : m.start()]
             parts.append(text)
-            if any(t == "a" for t, _ in stack[-4:]):
+            if any(entry[0] == "a" for entry in stack[-4:]):
                 linked += len(text)
         at = m.end()
-        if not m[3]:
+        tag = (m[3] or m[6] or m[8] or "").lower()
+        if not tag:
             continue
-        tag = m[3].lower()
+        closing, rest = m[2] or m[5] or m[7], m[4] or m[9] or ""
         if tag == "br":
             parts.append(" ")
-        if m[2]:  # a closing tag
-            if tag not in _INLINE:
-                flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
-            continue
         if tag not in _INLINE:
             flush()
-        if tag in _CLOSES_P:  # an open paragraph ends, with what is open in it
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p":
-                    del stack[i:]
-                    break
-                if stack[i][0] not in _INLINE:
-                    break
-        if tag in ("li", "dd", "dt", "tr", "td", "th", "option"):
-            if stack and stack[-1][0] == tag:
-                stack.pop()
-        if tag not in _VOID and not m[4].endswith("/"):
-            names = " ".join(f".{x}" for c in _CLASS.findall(m[4]) for x in "".join(c).lower().split()) if m[4] else ""
-            stack.append((tag, names))
+        if closing:
+            if opened.get(tag):
+                cut(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag))
+            continue
+        if tag in _CLOSES_P and walls and stack[walls[-1]][0] == "p":  # an open paragraph ends, with what is open in it
+            cut(walls[-1])
+        if tag in ("li", "dd", "dt", "tr", "td", "th", "option") and stack and stack[-1][0] == tag:
+            cut(len(stack) - 1)
+        if tag not in _VOID and not rest.endswith("/"):
+            names = " ".join(f".{x}" for c in _CLASS.findall(rest) for x in "".join(c).lower().split()) if rest else ""
+            main = stack[-1][2] if stack else -1
+            if tag in _BOILER_TAGS or names and _BOILER_NAMES.search(names.replace(".", " ")):
+                main = 0
+            elif main and tag in ("article", "main"):
+                main = 1
+            if tag not in _INLINE:
+                walls.append(len(stack))
+            stack.append((tag, names, main))
+            opened[tag] = opened.get(tag, 0) + 1
     parts.append(page[at:])
     flush()
     return out
 
 
-def _by_markup(stack: list[tuple[str, str]]) -> int:
-    main = -1
-    for tag, names in stack:
-        if tag in ("article", "main"):
-            main = 1
-        if tag in _BOILER_TAGS or names and _BOILER_NAMES.search(names.replace(".", " ")):
-            return 0
-    return main
+def _renamed(page: list, rng: np.random.Generator) -> list:
+    """A page's blocks with tags renamed and class names changed or left out, alike over the page."""
+    names: dict[str, str] = {}
+
+    def other(part: str) -> str:
+        if part not in names:
+            if part.startswith("."):
+                names[part] = f".{rng.integers(1 << 20):x}" if rng.random() < 0.5 else ""
+            else:
+                names[part] = str(rng.choice(_NEUTRAL)) if rng.random() < 0.7 else part
+        return names[part]
+
+    return [(tuple(filter(None, map(other, path))), *rest) for path, *rest in page]
 
 
 def _table(rows: int, dim: int, seed: int) -> np.ndarray:
@@ -242,7 +275,7 @@ class Labeller:
             grad[f"c{side}"] = dz_all.sum((0, 1))
         return grad
 
-    def fit(self, sequences: list[np.ndarray], labels: list[np.ndarray], rounds: int = 160, batch: int = 24, rate: float = 0.02, seed: int = 5):
+    def fit(self, sequences: list[np.ndarray], labels: list[np.ndarray], rounds: int = 400, batch: int = 24, rate: float = 0.02, seed: int = 5):
         """Adam on batches of pages; labels -1 don't count."""
         rng = np.random.default_rng(seed)
         first = {k: np.zeros_like(v) for k, v in self.w.items()}
@@ -258,7 +291,7 @@ class Labeller:
             for k, g in grad.items():
                 first[k] = 0.9 * first[k] + 0.1 * g
                 second[k] = 0.999 * second[k] + 0.001 * g * g
-                self.w[k] = (self.w[k] - rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+                self.w[k] = (self.w[k] - rate * min(1.0, 2 - 2 * step / rounds) * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
 
     def label(self, sequences: list[np.ndarray]) -> list[np.ndarray]:
         """Probability of main text for each block, pages of like length together."""
@@ -282,29 +315,43 @@ def padded(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return x, mask
 
 
-def train(pages: DataFrame, sample: int = SAMPLE_PAGES, most_blocks: int = TRAIN_BLOCKS) -> Labeller:
-    """A labeller fitted on at most `sample` pages of at most `most_blocks` blocks."""
-    fitting = pages.where(F.col("html").isNotNull() & (F.length("html") < MOST_HTML)).select("page_id", "html")
-    picked = smallest_hashes(fitting, "page_id", sample).toPandas()
+def train(pages: DataFrame, sample: int = SAMPLE_PAGES, most_blocks: int = TRAIN_BLOCKS, seed: int = 11) -> Labeller | None:
+    """A labeller fitted on at most `sample` pages of at most `most_blocks` blocks; None where no page has the markup."""
+    marked = F.col("html").rlike("(?i)<(article|main)[\\s>]") & (F.length("html") < MOST_HTML)
+    picked = smallest_hashes(pages.where(marked).select("page_id", "html"), "page_id", sample).toPandas()
     own = [b for b in map(blocks, picked["html"]) if 0 < len(b) <= most_blocks]
     own = [b for b in own if any(x[3] == 1 for x in b)]
+    if not own:
+        return None
+    rng, bare = np.random.default_rng(seed), [[((), *b[1:]) for b in page] for page in own]
+    seen = [*own, *bare, *([_renamed(p, rng) for p in own * 2])]
+    sequences = vectors(seen)
+    for x in sequences[len(own) : 2 * len(own)]:
+        x[:, :PATH_DIM] = 0
+    labels = [np.array([max(x[3], 0) for x in b]) for b in own]  # markup is known: what lies outside is not main text
     labeller = Labeller()
-    if own:
-        labels = [np.array([max(x[3], 0) for x in b]) for b in own]  # markup is known: what lies outside is not main text
-        labeller.fit(vectors(own), labels)
+    labeller.fit(sequences, labels * 4)
     return labeller
 
 
-def extract(pages: DataFrame, labeller: Labeller) -> DataFrame:
+def _by_size(block: tuple) -> bool:
+    return block[2] * 2 <= len(block[1]) and len(block[1].split()) >= FALLBACK_WORDS
+
+
+def extract(pages: DataFrame, labeller: Labeller | None) -> DataFrame:
     """page_id, url, text, n_chars of each row of pages(page_id, url, html, ...)."""
 
+    def wanted(every: list[list]) -> list[list[bool]]:
+        if labeller is None:
+            return [[_by_size(b) for b in page] for page in every]
+        return [list(p >= 0.5) for p in labeller.label(vectors(every))]
+
     def run(batches):
         for batch in batches:
             texts = []
             for at in range(0, batch.num_rows, 256):
                 every = [blocks(h or "") for h in batch.column("html").slice(at, 256).to_pylist()]
-                for page, p in zip(every, labeller.label(vectors(every))):
-                    texts.append("\n\n".join(b[1] for b, q in zip(page, p) if q >= 0.5))
+                texts += ["\n\n".join(b[1] for b, q in zip(page, own) if q) for page, own in zip(every, wanted(every))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 ["page_id", "url", "text", "n_chars"],

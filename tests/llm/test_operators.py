@@ -326,14 +326,38 @@ def test_html_blocks_and_labels(spark):
     rng = random.Random(6)
     rows = [(i, f"u{i}", page(i, rng)) for i in range(60)] + [(100, None, None), (101, "u", ""), (102, "u", "<p>cut <a href='"), (103, "u", "<div>" * 3000 + "deep")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    got = {r.page_id: r for r in html_text.extract(pages, html_text.train(pages.where("page_id < 40"), sample=40)).collect()}
+    labeller = html_text.train(pages.where("page_id < 40"), sample=40)
+    got = {r.page_id: r for r in html_text.extract(pages, labeller).collect()}
     for i, _, h in rows[:60]:
         article = re.search(r"<article>(.*)</article>", h)[1]
         parts = [re.sub(r"<[^>]+>", "", x.replace("<br>", " ")) for x in re.findall(r"<(?:h1|p)>(.*?)</(?:h1|p)>", article)]
         assert got[i].text == "\n\n".join(x.replace("&amp;", "&").replace("&eacute;", "é") for x in parts)
         assert got[i].n_chars == len(got[i].text)
     assert got[100].text == got[101].text == ""
-    assert html_text.train(pages.where("page_id < 0")) is not None
+    swap = lambda h, names, to: re.sub(rf"<(/?)(?:{names})\b", rf"<\1{to}", h)
+    rewrites = [
+        lambda h: swap(h, "article", "div"), lambda h: swap(h, "article", "main"), lambda h: swap(h, "article|nav|footer", "div"),
+        lambda h: h.replace("<article>", '<div class="content">').replace("</article>", "</div>"), lambda h: swap(h.replace(" class='ad'", ""), "article", "section"),
+    ]
+    for rewrite in rewrites:  # the page is learned, not its tags
+        found = missed = false = 0
+        for _, _, h in rows[40:60]:
+            want, own = html_text.blocks(h), html_text.blocks(rewrite(h))
+            taken = labeller.label(html_text.vectors([own]))[0] >= 0.5
+            inside = np.array([b[3] == 1 for b in want])
+            found, missed, false = found + (inside & taken).sum(), missed + (inside & ~taken).sum(), false + (~inside & taken).sum()
+        assert found / (found + missed) >= 0.98 and found / (found + false) >= 0.98
+    assert html_text.train(pages.where("page_id < 0")) is None
+    plain = pages.where("page_id = 0").selectExpr("page_id", "url", "'<nav><a>a b c d e f g h i</a></nav><p>one two three four five six seven eight' AS html")
+    assert html_text.extract(plain, html_text.train(plain)).first().text == "one two three four five six seven eight"
+
+
+def test_html_of_broken_markup():
+    assert [b[1] for b in html_text.blocks('<article><p>one <a title="x>link</a> two</p>')] == ["one link two"]
+    assert [b[1] for b in html_text.blocks("""<p title="a > b">t</p><p title="<b>">u</p><p class='x y>v</p>""")] == ["t", "u", "v"]
+    deep = html_text.blocks("<div>x" * 40_000)
+    assert len(deep) == 40_000 and max(len(b[0]) for b in deep) == html_text.PATH_PARTS
+    assert len(html_text.blocks("<div>" + "<b>x" * 20_000 + "</i></p>" * 20_000)) == 1
 
 
 def test_lstm_gradient():
