@@ -8,28 +8,35 @@ exception phrase don't count. The sum of weights, normalised by length, gives th
 score through a logistic curve.
 
 The lexicon and the curve are learned from a bounded sample of labelled rows: at
-most SAMPLE of each class, those with the smallest hash of their id. Word
-beginnings and whole words of the sample are counted in Spark; an entry is kept
-if its document counts separate the classes (a G-test), and of beginnings that
-contain each other the one that explains most is kept. Folding and matching read
-whole texts; scoring is one pass without a shuffle.
+most SAMPLE of each class, those with the smallest hash of their id. Whole words and
+word beginnings of SHORTEST to LONGEST letters are counted in Spark; an entry is kept
+if the number of documents that have it, or have it twice, separates the classes (a
+G-test), and of beginnings that contain each other the one that explains most is
+kept. There is no limit to the number of entries or the length of words. Folding and
+matching read whole texts; scoring is one pass without a shuffle. Phrases in which a
+word is harmless are a parameter, by language; a text's language is no input, so all
+of them are matched.
 
 Null or empty texts score the curve's value at no match. Labels that are null or
-whose document is missing aren't used. Without a label of each class the lexicon
-is empty and all documents get one score under the threshold.
+whose document is missing aren't used; of several labels of a doc_id the largest
+counts. Each row has a score of its own, repeated rows too; texts of any length are
+read whole; an empty table gives an empty result. Other columns pass through; those
+named as a result, in any case, are replaced. Without a label of each class the
+lexicon is empty and all documents get one score under the threshold.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,15 +44,13 @@ from .common import drop, materialize, smallest_hashes, table
 
 SAMPLE = 6000
 THRESHOLD = 0.3
-#: Entries of a lexicon at most, best first.
-ENTRIES = 400
 #: Least gain of an entry in the G-test, in nats.
 GAIN = 7.0
-SHORTEST, LONGEST = 3, 10
+SHORTEST, LONGEST = 3, 64
 #: Entries that a task counts before it passes them on.
 HELD = 50_000
-#: Phrases in which a listed word is harmless.
-EXCEPTIONS = ("trash can", "trash bin", "clown fish", "class clown", "pond scum", "sore loser", "not stupid", "idiot proof")
+#: Phrases in which a listed word is harmless, by language.
+EXCEPTIONS = {"en": ("trash can", "trash bin", "clown fish", "class clown", "pond scum", "sore loser", "not stupid", "idiot proof")}
 
 # Look-alike letters of other scripts.
 _LOOKS = {
@@ -97,7 +102,7 @@ class Lexicon:
     """Entries (text, whole word or not, weight) and the curve's parameters."""
 
     def __init__(self, entries: Iterable[tuple[str, bool, float]], exceptions=EXCEPTIONS, bias=-4.0, slopes=(1.0, 1.0)):
-        self.entries, self.exceptions = list(entries), tuple(fold(x) for x in exceptions)
+        self.entries, self.exceptions = list(entries), tuple(fold(x) for own in exceptions.values() for x in own)
         self.bias, self.slopes = bias, slopes
         self._automaton = None
 
@@ -158,33 +163,51 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
     return docs.select("doc_id", "text").join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id")
 
 
+_COUNTS = ("bad", "good", "bad2", "good2", "times")
+
+
 def _beginnings(batches):
-    """(entry, bad, good, times): counts of word beginnings and whole words, combined over the documents of a batch."""
+    """Counts of word beginnings and whole words, combined over the documents of a batch.
+
+    bad and good: toxic and other documents with the entry, bad2 and good2: those that have it twice, times: how
+    often toxic ones have it.
+    """
     counts: dict[str, list[int]] = {}
 
     def combined():
         rows = list(counts.values())
-        out = [pa.array(list(counts), pa.string()), *(pa.array([r[i] for r in rows], pa.int64()) for i in range(3))]
+        out = [pa.array(list(counts), pa.string()), *(pa.array([r[i] for r in rows], pa.int64()) for i in range(5))]
         counts.clear()
-        return pa.RecordBatch.from_arrays(out, ["entry", "bad", "good", "times"])
+        return pa.RecordBatch.from_arrays(out, ["entry", *_COUNTS])
 
     for batch in batches:
         for text, toxic in zip(batch.column("text"), batch.column("toxic").to_pylist()):
             own: dict[str, int] = {}
             for word, n in Counter(_WORD.findall(fold(text.as_py() or ""))).items():
+                if len(word) < SHORTEST:
+                    continue
                 for size in range(SHORTEST, min(len(word), LONGEST) + 1):
                     own[word[:size]] = own.get(word[:size], 0) + n
-                if SHORTEST <= len(word) <= 2 * LONGEST:
-                    own[word + "$"] = own.get(word + "$", 0) + n
+                own[word + "$"] = own.get(word + "$", 0) + n
             for entry, n in own.items():
-                known = counts.setdefault(entry, [0, 0, 0])
+                known = counts.setdefault(entry, [0, 0, 0, 0, 0])
                 known[0 if toxic else 1] += 1
-                known[2] += n * toxic
+                if n > 1:
+                    known[2 if toxic else 3] += 1
+                known[4] += n * toxic
             if len(counts) >= HELD:
                 yield combined()
     yield combined()
 
 
+def _separation(bad: str, good: str, of_bad: int, of_good: int) -> tuple[Column, Column]:
+    """(gain in the G-test, log odds) of the documents counted in two columns."""
+    b, g = F.col(bad), F.col(good)
+    share = (b + g) / float(of_bad + of_good)
+    part = lambda n, of: F.when(n > 0, n * F.log(n / (share * of))).otherwise(0.0)
+    return part(b, of_bad) + part(g, of_good), F.log((b + 0.5) / (of_bad + 1.0)) - F.log((g + 0.5) / (of_good + 1.0))
+
+
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, exceptions=EXCEPTIONS) -> Lexicon:
     """Lexicon and curve from labels(doc_id, toxic) of docs(doc_id, text)."""
     rows = materialize(training_rows(docs, labels, sample), "toxicity-sample")  # documents are read once for it
@@ -192,21 +215,17 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, exceptions=E
     bad, good = size.get(1, 0), size.get(0, 0)
     if not bad or not good:
         return Lexicon([], exceptions)
-    counts = rows.mapInArrow(_beginnings, "entry string, bad long, good long, times long").groupBy("entry").agg(
-        *(F.sum(c).alias(c) for c in ("bad", "good", "times"))
-    )
-    p, q = (F.col("bad") + 0.5) / (bad + 1.0), (F.col("good") + 0.5) / (good + 1.0)
-    share = (F.col("bad") + F.col("good")) / float(bad + good)
-    gain = F.col("bad") * F.log(F.col("bad") / (share * bad)) + F.when(
-        F.col("good") > 0, F.col("good") * F.log(F.col("good") / (share * good))
-    ).otherwise(0.0)
+    schema = "entry string, " + ", ".join(f"{c} long" for c in _COUNTS)
+    counts = rows.mapInArrow(_beginnings, schema).groupBy("entry").agg(*(F.sum(c).alias(c) for c in _COUNTS))
+    (once, odds), (twice, odds2) = _separation("bad", "good", bad, good), _separation("bad2", "good2", bad, good)
+    again = (F.col("bad2") >= 3) & (twice > once)
+    # what the test lets through is bounded by the sample
     best = (
-        counts.where(F.col("bad") >= 3)
-        .withColumn("odds", F.log(p / q))
-        .withColumn("gain", gain)
+        counts.where("bad >= 3")
+        .withColumn("odds", F.when(again, odds2).otherwise(odds))
+        .withColumn("gain", F.when(again, twice).otherwise(once))
         .where((F.col("odds") > 2) & (F.col("gain") > GAIN))
         .orderBy(F.desc("gain"), "entry")
-        .limit(20 * ENTRIES)
         .collect()
     )
     lexicon = Lexicon(_choose(best), exceptions)
@@ -226,18 +245,24 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, exceptions=E
 def _choose(rows) -> list[tuple[str, bool, float]]:
     """Entries that don't contain each other, those that explain most first."""
     by = {r["entry"]: r for r in rows}
+    names = sorted(by)
     chosen: list[tuple[str, bool, float]] = []
+    taken, inside = set(), set()  # chosen texts, and all their beginnings
     for r in rows:
-        entry, whole = r["entry"].removesuffix("$"), r["entry"].endswith("$")
-        if any(entry.startswith(t) or t.startswith(entry) for t, _, _ in chosen):
+        entry = r["entry"].removesuffix("$")
+        if entry in inside or any(entry[:n] in taken for n in range(1, len(entry) + 1)):
             continue
         # the longest form that occurs nearly as often says most
-        alike = [x for k, x in by.items() if k.startswith(entry) and x["times"] >= 0.97 * r["times"]]
+        at, alike = bisect_left(names, entry), []
+        while at < len(names) and names[at].startswith(entry):
+            if by[names[at]]["times"] >= 0.97 * r["times"]:
+                alike.append(by[names[at]])
+            at += 1
         top = max(alike, key=lambda x: (len(x["entry"]), x["times"]))
         entry, whole = top["entry"].removesuffix("$"), top["entry"].endswith("$")
         chosen.append((entry, whole, top["odds"]))
-        if len(chosen) == ENTRIES:
-            break
+        taken.add(entry)
+        inside.update(entry[:n] for n in range(1, len(entry) + 1))
     return chosen
 
 

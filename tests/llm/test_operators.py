@@ -291,7 +291,7 @@ def test_toxicity_learns_and_spares(spark):
         rows.append((i, " ".join(words)))
         labels.append((i, int(toxic)))
     marks = spark.createDataFrame(labels, "doc_id long, toxic int").where("doc_id < 300")
-    lexicon = toxicity.learn(frame(spark, rows), marks, exceptions=("grubol house",))
+    lexicon = toxicity.learn(frame(spark, rows), marks, exceptions={"x": ("grubol house",)})
     got = {r.doc_id: r for r in toxicity.score(frame(spark, rows + [(900, None), (901, ""), (902, "Grυb0l you zоnkq " * 3), (903, "grubol house treea roadb " * 20), (904, "grubolish megagrubol " * 10)]), lexicon).collect()}
     assert all(got[i].predicted == y for i, y in labels if i >= 300)
     assert got[902].predicted == 1
@@ -299,6 +299,20 @@ def test_toxicity_learns_and_spares(spark):
     assert toxicity.learn(frame(spark, rows), marks.where("toxic = 0")).entries == []
 
 
+def test_lexicon_matches_a_naive_search():
+    rng = random.Random(9)
+    words = ["ab", "abc", "bca", "cab", "abcab", "bb"]
+    entries = [("abc", False, 1.0), ("bca", True, 10.0), ("ab", True, 100.0), ("bb c", False, 1000.0)]
+    lexicon = toxicity.Lexicon(entries, exceptions={"x": ("ab bca",), "y": ("cab abc",)})
+    for _ in range(500):
+        text = "".join(rng.choice(words) + rng.choice([" ", " ", ", ", "."]) for _ in range(rng.randrange(0, 12)))
+        letter = lambda i: 0 <= i < len(text) and text[i].isalpha()
+        at = lambda x, whole: [i for i in range(len(text)) if text.startswith(x, i) and not letter(i - 1) and not (whole and letter(i + len(x)))]
+        spared = [(i, i + len(x)) for x in ("ab bca", "cab abc") for i in at(x, True)]
+        want = sum(w for x, whole, w in entries for i in at(x, whole) if not any(a <= i and i + len(x) <= b for a, b in spared))
+        assert lexicon.weight(text) == want, text
+
+
 def test_quality_shrinks_sparse_sites(spark):
     rng = random.Random(5)
     rows, labels = [], []
