@@ -4,8 +4,8 @@ A window is WINDOW consecutive words of an item. With k-grams of K words and
 winnowing windows of WINDOW - K + 1 k-grams, the fingerprint of a window is its
 smallest k-gram hash: any shared span of WINDOW words selects the same
 fingerprint in the document and in the item, so no shared window is missed.
-Fingerprints of documents are joined with those of items; a hit is extended by
-comparing the whole window. Items shorter than a window are one window of their
+Fingerprints of documents are joined with those of items; a hit is extended to the
+whole window, told by the 64-bit hash of all its words. Items shorter than a window are one window of their
 own length, whose fingerprint is the whole item.
 
 Distinct windows of the items stay in a table. Two bit tables of a bounded size, of

@@ -11,7 +11,9 @@ that the folder's URI names.
 The reader streams: bytes are inflated in bounded steps, a member at a time, headers
 are parsed, content-length frames the block, and digests are verified while the
 payload passes; a record that doesn't agree raises. Null html is empty, a null url
-gives no target header, null page_ids are kept.
+gives no target header, null page_ids are kept. Rows that share a page_id and its
+payload are all responses where no larger page_id has that payload. Html of any
+length is one record; an empty table gives no archive; other columns are ignored.
 """
 
 from __future__ import annotations
