@@ -2,7 +2,10 @@
 
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and
 returns a DataFrame, which the caller writes and reads again as the next stage's
-docs. All but the last return the columns of documents.
+docs. All but the last return the columns of documents; extra columns of docs, under
+any name, are left out. Null texts count as empty in every stage, texts are read
+whole, an empty table gives an empty result, and rows with a null id are judged by
+their text as others are.
 """
 
 from __future__ import annotations
@@ -11,13 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronovec.llm import bpe, decontaminate, exact_dedup, near_dedup, toxicity
-from chronovec.llm.common import materialize, table
+from chronovec.llm.common import drop, materialize, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score reaches the threshold go."""
+    """Documents whose toxicity score reaches the threshold go; without labels of both classes all stay. Repeated rows are judged alike."""
     lexicon = toxicity.learn(docs, toxicity.fold_labels(spark, sf_dir))
     return toxicity.score(docs.select(COLUMNS), lexicon).where("predicted = 0").select(COLUMNS)
 
@@ -43,12 +46,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
+    """Documents that hold a window of a benchmark item go; with an empty benchmark, or no words, all stay. Repeated rows are judged alike."""
     return decontaminate.without_hits(docs.select(COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Tokens of each document: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    """Tokens of each row of docs: doc_id, n_tokens, ids_sha256, decoded_sha256; an empty text has none."""
     return bpe.round_trip(docs)
 
 
@@ -65,8 +68,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on documents, each written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages on documents, each written and read again; a stage's table goes when the next one has been written."""
+    docs, held = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        if held is not None:
+            drop(held)
+        held = docs
     return STAGES[-1][1](spark, docs, sf_dir)
