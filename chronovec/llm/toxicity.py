@@ -34,7 +34,6 @@ from collections import Counter
 from collections.abc import Iterable
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -230,12 +229,13 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, exceptions=E
     )
     lexicon = Lexicon(_choose(best), exceptions)
     # the curve: logistic regression on two features, on the same bounded sample
-    def features(frames):
-        for frame in frames:
-            own = [lexicon.features(t or "") for t in frame["text"]]
-            yield pd.DataFrame({"y": frame["toxic"].astype("int32"), "a": [x[0] for x in own], "b": [x[1] for x in own]})
+    def features(batches):
+        for batch in batches:
+            own = [lexicon.features(t.as_py() or "") for t in batch.column("text")]
+            columns = [batch.column("toxic").cast(pa.int32()), *(pa.array([x[i] for x in own], pa.float64()) for i in (0, 1))]
+            yield pa.RecordBatch.from_arrays(columns, ["y", "a", "b"])
 
-    data = rows.mapInPandas(features, "y int, a double, b double").groupBy("y", "a", "b").count().toPandas()
+    data = rows.mapInArrow(features, "y int, a double, b double").groupBy("y", "a", "b").count().toPandas()
     weights = data["count"] * np.where(data["y"] == 1, 1.0, max(1.0, bad * 9 / good))  # as one in ten were toxic
     lexicon.bias, lexicon.slopes = _logistic(data[["a", "b"]].to_numpy(float), data["y"].to_numpy(float), weights.to_numpy(float))
     drop(rows)
