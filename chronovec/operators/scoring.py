@@ -8,53 +8,77 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from chronovec.functions.vectors import EPS
+from chronovec.sources.shared import written
 
-#: Reference vectors of a block; each block is broadcast.
+#: Reference vectors of a block; no more are broadcast.
 BLOCK = 4096
+#: Frames, on average, that meet a block at once.
+SLICE = 16384
+
+
+def _unit_rows(x: np.ndarray) -> np.ndarray:
+    return x / (np.linalg.norm(x, axis=1, keepdims=True) + EPS)
+
+
+def _reduced(products: np.ndarray, reduce: str) -> np.ndarray:
+    return products.max(1) if reduce == "max" else products.sum(1)
 
 
 def _scorer(held, reduce: str):
     def score(vectors: pd.Series) -> pd.Series:
         if not len(vectors):
             return pd.Series([], dtype=float)
-        x = np.stack(vectors.to_numpy()).astype(float)
-        x /= np.linalg.norm(x, axis=1, keepdims=True) + EPS
-        y = x @ held.value.T
-        return pd.Series(y.max(1) if reduce == "max" else y.sum(1))
+        return pd.Series(_reduced(_unit_rows(np.stack(vectors.to_numpy()).astype(float)) @ held.value.T, reduce))
 
     return score
 
 
+def _in_blocks(frames: DataFrame, refs: DataFrame, reduce: str, vec: str, into: str, total: int) -> DataFrame:
+    """Slices of frames meet blocks of references as groups of a join on (slice, block); no reference passes through the driver."""
+    held = written(frames.withColumn("_row", F.monotonically_increasing_id()), "frames")
+    known = written(refs.select(F.col(vec).cast("array<double>").alias("vec")).withColumn("_row", F.monotonically_increasing_id()), "references")
+    blocks, slices = -(-total // BLOCK), max(-(-held.count() // SLICE), 1)
+    deal = lambda n: F.pmod(F.xxhash64("_row"), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left = held.select("_row", F.col(vec).cast("array<double>").alias("vec"), deal(slices).alias("slice"), every(blocks).alias("block"))
+    right = known.select("vec", deal(blocks).alias("block"), every(slices).alias("slice"))
+
+    def score(own: pa.Table, other: pa.Table) -> pa.Table:
+        rows, part = own.column("_row"), pa.array([], pa.float64())
+        if own.num_rows and other.num_rows:
+            x, y = (_unit_rows(np.stack(t.column("vec").to_pandas().to_numpy()).astype(float)) for t in (own, other))
+            part = pa.array(_reduced(x @ y.T, reduce))
+        return pa.table({"_row": rows if len(part) else rows.slice(0, 0), "part": part})
+
+    parts = left.groupBy("slice", "block").cogroup(right.groupBy("slice", "block")).applyInArrow(score, "_row long, part double")
+    best = F.max("part") if reduce == "max" else F.sum("part") / total
+    return held.join(parts.groupBy("_row").agg(best.alias("_part")), "_row").withColumn(into, F.col("_part")).drop("_row", "_part")
+
+
 def similarity_scores(frames: DataFrame, refs: DataFrame, reduce: str = "max", vec: str = "vec", into: str = "score") -> DataFrame:
     """frames with the largest or mean cosine with refs(vec), as matrix products in Arrow batches.
 
-    References are dealt into blocks of BLOCK vectors by hash; frames pass each
-    block in turn, so no set of references is too large and no pair is a row.
+    Up to BLOCK references are broadcast as one matrix. More are dealt by row into
+    blocks, which slices of frames meet in a shuffle, so that equal vectors don't
+    gather and neither the driver nor a task holds more than a block; both ways give
+    the same scores. No pair becomes a row.
     """
     if reduce not in ("max", "mean"):
         raise ValueError(f"unknown reduction {reduce}")
-    spark = frames.sparkSession
     total = refs.count()
     if not total:
         raise ValueError("no reference vectors")
-    blocks = -(-total // BLOCK)
-    out, first = frames, True
-    for i in range(blocks):
-        own = refs.where(F.pmod(F.xxhash64(vec), F.lit(blocks)) == i).select(vec).toPandas()[vec]
-        if not len(own):
-            continue
-        matrix = np.stack(own.to_numpy()).astype(float)
-        held = spark.sparkContext.broadcast(matrix / (np.linalg.norm(matrix, axis=1, keepdims=True) + EPS))
-
-        part = F.pandas_udf(_scorer(held, reduce), "double")(F.col(vec))
-        if not first:
-            part = F.greatest(F.col(into), part) if reduce == "max" else F.col(into) + part
-        out, first = out.withColumn(into, part), False
+    if total > BLOCK:
+        return _in_blocks(frames, refs, reduce, vec, into, total)
+    own = refs.select(vec).toPandas()[vec]  # at most BLOCK vectors
+    held = frames.sparkSession.sparkContext.broadcast(_unit_rows(np.stack(own.to_numpy()).astype(float)))
+    out = frames.withColumn(into, F.pandas_udf(_scorer(held, reduce), "double")(F.col(vec)))
     return out if reduce == "max" else out.withColumn(into, F.col(into) / total)
 
 

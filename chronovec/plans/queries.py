@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +12,7 @@ from chronovec.operators import candidates, catalog, joins, library, playlist, p
 from chronovec.operators import labels as store
 from chronovec.plans import views
 from chronovec.plans.views import COSINE_SQL, FRAMES_SQL, LABELS_SQL, SERIES_SQL, table
+from chronovec.sources.shared import shared_path
 from chronovec.streaming import playback
 
 QUERIES: dict = {}
@@ -544,9 +544,9 @@ def showinfo_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.element_at(t, 1).alias("first"), F.size(t).alias("n"))
 
 
-@query("SELECT doc_id, 'base' || CASE WHEN trim(c) = '' THEN '' ELSE ':' || regexp_replace(trim(c), '[^\\p{L}\\p{N}_-]', '_', 'g') END AS profile FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN ' ' ELSE text END AS c FROM documents)")
+@query("SELECT doc_id, 'base' || CASE WHEN trim(c) = '' THEN '' ELSE ':' || regexp_replace(trim(c), '[^\\p{L}\\p{N}_-]', '_', 'g') END AS profile FROM (SELECT doc_id, CASE WHEN lang = 'en' THEN ' ' ELSE text END AS c FROM documents)")
 def resolve_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = F.when(F.col("doc_id") % 3 == 0, " ").otherwise(F.col("text"))
+    c = F.when(F.col("lang") == "en", " ").otherwise(F.col("text"))
     return table(spark, sf_dir, "documents").select("doc_id", names.resolve_profile(F.lit("base"), c).alias("profile"))
 
 
@@ -596,8 +596,7 @@ def latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     states = stream.select(F.col("user_id").alias("source"), F.col("event_id").alias("seq"), playback.playback_state(packet).alias("s"))
     last = playback.latest_state(states.select("source", "seq", "s.path", "s.current_time", "s.playing", F.col("s.playback_speed").alias("speed")), "source", "seq")
     name = f"latest_state_{uuid.uuid4().hex}"
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")
-    return playback.run_to_table(last, name, f"{shared}/{name}").select("source", "path", "current_time", "playing", "speed", "seq")
+    return playback.run_to_table(last, name, shared_path(spark, name)).select("source", "path", "current_time", "playing", "speed", "seq")
 
 
 # library records and byte strings
@@ -773,12 +772,13 @@ def cache_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.resolve(f, f.where("frame_idx = 0 AND category = 4")).groupBy("key").agg(F.count("*").alias("frames"))
 
 
-@query("SELECT page_id, CASE WHEN page_id % 14 = 0 THEN 'new ' ELSE 'old ' END || url AS format FROM pages WHERE (page_id % 7 = 0 OR page_id % 4 = 0 AND page_id % 14 = 0) AND page_id % 35 <> 0")
+@query("SELECT page_id, CASE WHEN url LIKE 'https:%' THEN 'new ' ELSE 'old ' END || url AS format FROM pages WHERE NOT contains(url, '?')")
 def override_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages are stored, those of secure sites once more, and those with a query string taken out again."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     named = lambda rows, word: rows.select("page_id", F.concat(F.lit(word), "url").alias("format"))
-    held = catalog.put(named(pages.where("page_id % 7 = 0"), "old "), named(pages.where("page_id % 14 = 0"), "new "), "page_id")
-    return catalog.resolve(held, pages.where("page_id % 35 = 0"), "page_id")
+    held = catalog.put(named(pages, "old "), named(pages.where(F.col("url").startswith("https:")), "new "), "page_id")
+    return catalog.resolve(held, pages.where(F.col("url").contains("?")), "page_id")
 
 
 @query("SELECT min(p_partkey) AS id, p_type AS name FROM part WHERE p_type = (SELECT min(p_type) FROM part) GROUP BY p_type")

@@ -114,12 +114,14 @@ def test_blocks_of_references_agree(spark, monkeypatch):
     vec = lambda: [rng.gauss(0, 1) for _ in range(6)]
     frames = spark.createDataFrame([("a", i, vec()) for i in range(20)] + [("z", 0, [0.0] * 6)], "key string, frame_idx int, vec array<double>")
     refs = spark.createDataFrame([(vec(),) for _ in range(9)], "vec array<double>")
+    by_frame = lambda df: {(r.key, r.frame_idx): r.score for r in df.collect()}
     for reduce in ("max", "mean"):
-        whole = scoring.similarity_scores(frames, refs, reduce).collect()
-        with monkeypatch.context() as m:
-            m.setattr(scoring, "BLOCK", 2)
-            parts = scoring.similarity_scores(frames, refs, reduce).collect()
-        assert [r.score for r in parts] == pytest.approx([r.score for r in whole])
+        whole = by_frame(scoring.similarity_scores(frames, refs, reduce))
+        for size in (2, 8):
+            with monkeypatch.context() as m:
+                m.setattr(scoring, "BLOCK", size), m.setattr(scoring, "SLICE", 5)
+                parts = scoring.similarity_scores(frames, refs, reduce)
+                assert by_frame(parts) == pytest.approx(whole) and parts.columns == [*frames.columns, "score"] and len(whole) == 21
     with pytest.raises(ValueError):
         scoring.similarity_scores(frames, refs.limit(0))
 
