@@ -1,7 +1,9 @@
 """Operator 4: quality by hierarchical empirical Bayes over sites.
 
-A logistic classifier on features of the whole text gives each document's own
-evidence. Expected good documents are summed for each host and each path of a
+A logistic classifier on the whole text's words and figures of its form gives each
+document's own evidence: words are hashed into BUCKETS, each with a log ratio of the
+classes' documents that have it, learned on one half of the sample for the other, so
+that the classifier sees ratios of texts that were not counted. Expected good documents are summed for each host and each path of a
 host in grouped aggregations over all documents. A host's rate is shrunk toward
 the global rate, a path's rate toward its host's, with prior strengths estimated
 from the spread between sites (method of moments), so sparse sites say little. A
@@ -9,9 +11,11 @@ document's own share is taken out of its sites' sums before they are used as its
 prior; the posterior adds the classifier's log odds to the path's.
 
 The classifier is fitted on a bounded sample of labelled rows, at most SAMPLE of
-each class (smallest hashes of their ids). Null texts are empty texts; null hosts
-and paths are sites of their own. Without a label of each class all documents
-get the rate 0.5.
+each class (smallest hashes of their ids). Null texts are empty texts, texts of any
+length are read whole; null hosts and paths are sites of their own. Each row has a
+result of its own and counts in its site, repeated rows too; extra columns are left
+out; an empty table gives an empty result. Without a label of each class all
+documents get the rate 0.5.
 """
 
 from __future__ import annotations
@@ -24,12 +28,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_sized, materialize, smallest_hashes, table
+from .common import drop, join_sized, materialize, smallest_hashes, table
+from .wordhash import ALPHANUMERIC, pieces, words
 
 SAMPLE = 4000
 THRESHOLD = 0.5
 #: Weight of the site's log odds beside the document's.
 SITE_WEIGHT = 1.0
+#: Hash buckets of words; a bucket that fewer than LEAST_DOCS of the sample have says nothing.
+BUCKETS = 1 << 16
+LEAST_DOCS = 3
+#: Documents of either class added to a bucket's counts, at the rate of both.
+PRIOR_DOCS = 5.0
 _SIGNS = re.compile(r"[^\w\s.,;:'\"()?!-]")
 
 
@@ -57,10 +67,38 @@ def features(text: str) -> list[float]:
     ]
 
 
+def _buckets(texts: list[bytes]):
+    """(number of a text, bucket) of each text's distinct words, for some texts at a time."""
+    for first, end in pieces(texts):
+        hashes, n = words(texts[first:end], ALPHANUMERIC)
+        own = np.unique((np.repeat(np.arange(end - first), n) << 16) | (hashes >> np.uint64(48)).astype(np.int64))
+        yield first + (own >> 16), own & (BUCKETS - 1)
+
+
+def _word_features(texts: list[bytes], ratios: np.ndarray) -> np.ndarray:
+    """Of a text's distinct words: mean log ratio, sum over the root of their number, shares that speak clearly for or against."""
+    out = np.zeros((len(texts), 4))
+    for text, bucket in _buckets(texts):
+        own = ratios[bucket]
+        n = np.maximum(np.bincount(text, minlength=len(texts)), 1)
+        total = np.bincount(text, own, len(texts))
+        out += np.column_stack([total / n, total / np.sqrt(n), np.bincount(text, own > 1, len(texts)) / n, np.bincount(text, own < -1, len(texts)) / n])
+    return out
+
+
+def _ratios(docs: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Log ratio of a bucket's rate among good and bad documents; docs: class, bucket; size: documents of each class."""
+    rate = docs.sum(0) / max(size.sum(), 1)
+    share = (docs + PRIOR_DOCS * rate) / (size[:, None] + PRIOR_DOCS)
+    known = docs.sum(0) >= LEAST_DOCS
+    return np.where(known, np.log(np.where(known, share[1], 1)) - np.log(np.where(known, share[0], 1)), 0.0)
+
+
 class Classifier:
-    """Logistic regression on standardised features and their squares."""
+    """Logistic regression on standardised features and their squares; ratios are those of the words' buckets."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, ridge: float = 1.0):
+    def __init__(self, x: np.ndarray, y: np.ndarray, ratios: np.ndarray, ridge: float = 1.0):
+        self.ratios = ratios
         x = np.concatenate([x, x * x], axis=1)
         self.mean, self.scale = x.mean(0), x.std(0) + 1e-6
         z = np.column_stack([np.ones(len(x)), (x - self.mean) / self.scale])
@@ -74,13 +112,15 @@ class Classifier:
                 break
         self.beta = beta
 
-    def log_odds(self, x: np.ndarray) -> np.ndarray:
+    def log_odds(self, texts: list[str | None]) -> np.ndarray:
+        x = _matrix(texts, self.ratios)
         x = np.concatenate([x, x * x], axis=1)
         return np.clip(np.column_stack([np.ones(len(x)), (x - self.mean) / self.scale]) @ self.beta, -12, 12)
 
 
-def _matrix(texts) -> np.ndarray:
-    return np.array([features(t or "") for t in texts], float).reshape(len(texts), -1)
+def _matrix(texts, ratios: np.ndarray) -> np.ndarray:
+    texts = [t or "" for t in texts]
+    return np.column_stack([np.array([features(t) for t in texts], float), _word_features([t.encode() for t in texts], ratios)])
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifier | None:
@@ -89,15 +129,38 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifier
     picked = [smallest_hashes(named.where(F.col("y") == c), "doc_id", sample) for c in (0, 1)]
     # at most 2 * sample ids are broadcast
     rows = docs.select("doc_id", "text").join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id")
+    half = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(2)).cast("int")  # copies are in one half
+    rows = materialize(rows.select("text", F.col("y").cast("int").alias("y"), half.alias("half")), "quality-sample")
+    size = np.zeros((2, 2))
+    for r in rows.groupBy("half", "y").count().collect():
+        size[r["half"], r["y"]] = r["count"]
+    if not size.sum(0).all():
+        return None
+
+    def count(batches):
+        for batch in batches:
+            texts, group = [(t.as_py() or "").encode() for t in batch.column("text")], 2 * np.asarray(batch.column("half")) + np.asarray(batch.column("y"))
+            for text, bucket in _buckets(texts):
+                own, n = np.unique(group[text] * BUCKETS + bucket, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int64)), pa.array(n.astype(np.int64))], ["own", "docs"])
+
+    # at most four counts a bucket
+    found = rows.mapInArrow(count, "own long, docs long").groupBy("own").agg(F.sum("docs").alias("docs")).toPandas()
+    docs_of = np.zeros(4 * BUCKETS)
+    docs_of[found["own"].to_numpy(int)] = found["docs"]
+    docs_of = docs_of.reshape(2, 2, BUCKETS)
+    crossed = [_ratios(docs_of[1 - h], size[1 - h]) for h in (0, 1)]
 
     def run(frames):
         for frame in frames:
-            yield pd.DataFrame({"y": frame["y"].astype("int32"), "x": list(_matrix(frame["text"]))})
+            for h in (0, 1):
+                own = frame[frame["half"] == h]
+                if len(own):
+                    yield pd.DataFrame({"y": own["y"].astype("int32"), "x": list(_matrix(own["text"], crossed[h]))})
 
-    data = rows.select("text", "y").mapInPandas(run, "y int, x array<double>").toPandas()
-    if data.empty or data["y"].nunique() < 2:
-        return None
-    return Classifier(np.stack(data["x"].to_numpy()), data["y"].to_numpy(float))
+    data = rows.mapInPandas(run, "y int, x array<double>").toPandas()
+    drop(rows)
+    return Classifier(np.stack(data["x"].to_numpy()), data["y"].to_numpy(float), _ratios(docs_of.sum(0), size.sum(0)))
 
 
 def _strength(sites: DataFrame, rate: str) -> float:
@@ -121,7 +184,7 @@ def posteriors(docs: DataFrame, classifier: Classifier | None, site_weight: floa
         for batch in batches:
             odds = np.zeros(batch.num_rows)
             if classifier is not None and batch.num_rows:
-                odds = classifier.log_odds(_matrix(batch.column("text").to_pylist()))
+                odds = classifier.log_odds(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([*map(batch.column, ("doc_id", "host", "path")), pa.array(odds)], ["doc_id", "host", "path", "odds"])
 
     site = [F.coalesce(F.col(c).cast("string"), F.lit("\0")).alias(c) for c in ("host", "path")]

@@ -331,6 +331,51 @@ def test_quality_shrinks_sparse_sites(spark):
     assert len({r.score for r in quality.posteriors(docs, None).collect()}) >= 1
 
 
+def test_quality_reads_words_and_a_sparse_site_decides(spark):
+    rng = random.Random(9)
+    good, bad = (["%s%d" % (c, i) for i in range(400)] for c in "gb")
+    both = ["m%d" % i for i in range(400)]
+    rows, labels = [], []
+    for i in range(900):  # alike in form, so that only words tell
+        y = i % 2
+        own = rng.sample(good if y else bad, 6) + rng.sample(both, 34)
+        rng.shuffle(own)
+        rows.append((i, " ".join(own), "fine" if y else "poor", "p%d" % (i % 3)))
+        labels.append((i, y))
+    same = " ".join(["g1", "g2", "b1", "b2", *both[:36]])
+    rows += [(5000, same, "fine", "p1"), (5001, same, "poor", "p0"), (5002, same, "fine", "seen once"), (5003, same, "poor", "seen once")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, host string, path string")
+    classifier = quality.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int").where("doc_id < 600"))
+    got = {r.doc_id: r for r in quality.posteriors(docs, classifier).collect()}
+    assert np.mean([(got[i].evidence >= 0.5) == y for i, y in labels[600:]]) > 0.95
+    assert got[5000].evidence == got[5001].evidence == got[5002].evidence
+    for a, b in ((5000, 5001), (5002, 5003)):  # also where the path has no other document
+        assert got[a].score >= 0.5 > got[b].score
+
+    # the same posteriors by plain loops
+    def strength(sites, k_of):
+        sites = [(n, g, k_of(key)) for key, (n, g) in sites.items() if n > 1]
+        between = sum(n * (g / n - r) ** 2 for n, g, r in sites)
+        spread = max((between - sum(r * (1 - r) for _, _, r in sites)) / sum(n for n, _, _ in sites), 1e-6)
+        return min(max(sum(n * r * (1 - r) for n, _, r in sites) / sum(n for n, _, _ in sites) / spread - 1, 1.0), 1e5)
+
+    hosts, paths = {}, {}
+    for i, _, host, path in rows:
+        for sites, key in ((hosts, host), (paths, (host, path))):
+            n, g = sites.get(key, (0, 0.0))
+            sites[key] = (n + 1, g + got[i].evidence)
+    mean = sum(g for _, g in hosts.values()) / len(rows)
+    k_host = strength(hosts, lambda _: mean)
+    k_path = strength(paths, lambda key: (hosts[key[0]][1] + k_host * mean) / (hosts[key[0]][0] + k_host))
+    logit = lambda p: np.log(np.clip(p, 1e-4, 1 - 1e-4) / (1 - np.clip(p, 1e-4, 1 - 1e-4)))
+    for i, _, host, path in rows:
+        own, (n, g), (m, f) = got[i].evidence, hosts[host], paths[host, path]
+        host_rate = (g - own + k_host * mean) / (n - 1 + k_host)
+        path_rate = (f - own + k_path * host_rate) / (m - 1 + k_path)
+        odds = np.log(own / (1 - own)) + logit(path_rate) - logit(mean)
+        assert (got[i].host_rate, got[i].path_rate, got[i].score) == pytest.approx((host_rate, path_rate, 1 / (1 + np.exp(-odds))), abs=1e-6)
+
+
 def test_html_blocks_and_labels(spark):
     def page(i, rng):
         words = lambda n: " ".join("w%d" % rng.randrange(500) for _ in range(n))
