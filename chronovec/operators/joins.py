@@ -7,22 +7,41 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 
-def nearest(labels: DataFrame, frames: DataFrame) -> DataFrame:
+#: Seconds of a scene that are one sorted stream.
+SPAN = 3600.0
+
+
+def nearest(labels: DataFrame, frames: DataFrame, span: float = SPAN) -> DataFrame:
     """labels(key, time, ...) with frame_idx and frame_time of the nearest frame; the earlier on ties.
 
-    Labels and frames are one sorted stream for each key: every label looks at the
-    last frame before it and the first after it, so nothing is paired. Labels
-    without frames in their scene drop out.
+    Labels and frames are one sorted stream for each slice of `span` seconds of a key: every label looks at
+    the last frame before it and the first after it, so nothing is paired. The nearest frames of other slices
+    come into a slice as rows, from a summary with a row a slice. Labels without frames in their scene drop
+    out, labels and frames without a key or time, too.
     """
+    frame_type = "struct<frame_idx:long,time:double>"
+    at = F.floor(F.col("time") / span)
     rest = [c for c in labels.columns if c not in ("key", "time")]
-    left = labels.select("key", "time", F.lit(1).alias("kind"), F.struct(*rest).alias("label_row"), F.lit(None).cast("struct<frame_idx:long,time:double>").alias("frame"))
-    right = frames.select(
-        "key", F.col("time").cast("double").alias("time"), F.lit(0).alias("kind"), F.lit(None).cast(left.schema["label_row"].dataType).alias("label_row"),
-        F.struct(F.col("frame_idx").cast("long").alias("frame_idx"), F.col("time").cast("double").alias("time")).alias("frame"),
-    )
-    rows = left.unionByName(right)
-    back = Window.partitionBy("key").orderBy("time", "kind", F.desc("frame.frame_idx")).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy("key").orderBy("time", F.desc("kind"), "frame.frame_idx").rowsBetween(0, Window.unboundedFollowing)
+    left = labels.where("key IS NOT NULL AND time IS NOT NULL").select(
+        "key", "time", at.alias("slice"), F.lit(1).alias("kind"), F.struct(*rest).alias("label_row"), F.lit(None).cast(frame_type).alias("frame")
+    )
+    no_label = F.lit(None).cast(left.schema["label_row"].dataType).alias("label_row")
+    held = frames.where("key IS NOT NULL AND time IS NOT NULL").select("key", F.col("time").cast("double").alias("time"), F.col("frame_idx").cast("long").alias("frame_idx"))
+    held = held.select("key", "time", at.alias("slice"), F.lit(0).alias("kind"), no_label, F.struct("frame_idx", "time").alias("frame"))
+
+    by_time = lambda sign: F.struct(F.col("frame.time"), (sign * F.col("frame.frame_idx")).alias("nth"))
+    ends = held.groupBy("key", "slice").agg(F.min_by("frame", by_time(1)).alias("first"), F.max_by("frame", by_time(-1)).alias("last"))
+    asked = left.groupBy("key", "slice").agg(F.lit(True).alias("asked"))
+    scene = Window.partitionBy("key").orderBy("slice")
+    around = F.array_compact(F.array(
+        F.last("last", True).over(scene.rowsBetween(Window.unboundedPreceding, -1)), F.first("first", True).over(scene.rowsBetween(1, Window.unboundedFollowing))
+    ))
+    carried = ends.join(asked, ["key", "slice"], "full_outer").withColumn("around", around).where("asked").select("key", "slice", F.explode("around").alias("frame"))
+    carried = carried.select("key", F.col("frame.time").alias("time"), "slice", F.lit(0).alias("kind"), no_label, "frame")
+
+    rows = left.unionByName(held).unionByName(carried)
+    back = Window.partitionBy("key", "slice").orderBy("time", "kind", F.desc("frame.frame_idx")).rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy("key", "slice").orderBy("time", F.desc("kind"), "frame.frame_idx").rowsBetween(0, Window.unboundedFollowing)
     found = rows.withColumn("prev", F.last("frame", True).over(back)).withColumn("next", F.first("frame", True).over(ahead)).where("kind = 1")
     before, after = F.col("time") - F.col("prev.time"), F.col("next.time") - F.col("time")
     use = F.when(F.col("next").isNull() | (F.col("prev").isNotNull() & (before <= after)), F.col("prev")).otherwise(F.col("next"))
@@ -34,10 +53,21 @@ def nearest(labels: DataFrame, frames: DataFrame) -> DataFrame:
 
 
 def without_overlap(segments: DataFrame, markers: DataFrame) -> DataFrame:
-    """segments(key, tag, start, end) that touch no marker(key, tag, seconds, end_seconds) of the same scene and tag."""
-    m = markers.select(F.col("key").alias("m_key"), F.col("tag").alias("m_tag"), "seconds", F.coalesce("end_seconds", "seconds").alias("m_end"))
-    touches = (F.col("key") == F.col("m_key")) & (F.col("tag") == F.col("m_tag")) & (F.col("start") <= F.col("m_end")) & (F.col("end") >= F.col("seconds"))
-    return segments.join(m, touches, "left_anti")
+    """segments(key, tag, start, end) that touch no marker(key, tag, seconds, end_seconds) of the same scene and tag.
+
+    In order of time, a segment touches a marker exactly if the latest end of all markers that start by the
+    segment's end is not before its start: a running maximum, no pairs. Segments without a start or end touch none.
+    """
+    rest = [c for c in segments.columns if c not in ("key", "tag")]
+    own = segments.select("key", "tag", F.struct(*rest).alias("segment"), F.col("end").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("double").alias("m_end"))
+    m = markers.where("key IS NOT NULL AND tag IS NOT NULL AND seconds IS NOT NULL").select(
+        "key", "tag", F.lit(None).cast(own.schema["segment"].dataType).alias("segment"), F.col("seconds").alias("at"), F.lit(0).alias("kind"),
+        F.coalesce("end_seconds", "seconds").cast("double").alias("m_end"),
+    )
+    before = Window.partitionBy("key", "tag").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    rows = own.unionByName(m).withColumn("reach", F.max("m_end").over(before)).where("kind = 1")
+    touches = F.coalesce(F.col("segment.start") <= F.col("reach"), F.lit(False))
+    return rows.where(~touches | F.col("at").isNull()).select("key", "tag", "segment.*").select(segments.columns)
 
 
 def new_markers(segments: DataFrame, markers: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from chronovec.sources.shared import written
+
 NEURAL_FROM = 200
 
 
@@ -81,26 +83,46 @@ def predict(model, rows: DataFrame) -> DataFrame:
 def auc(scored: DataFrame, score: str = "score", label: str = "label", by: str = "model") -> DataFrame:
     """Area under the ROC curve of each group from ranks of distinct scores; ties count half.
 
-    Counts are summed for each distinct score first, so the window runs over distinct scores.
+    Counts are summed for each distinct score first. Scores are then dealt into ranges, so that ranks are sums within
+    a range and of the ranges before it, and no group is one task.
     """
     steps = scored.groupBy(by, score).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.partitionBy(by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = written(steps.repartitionByRange(by, score).withColumn("part", F.spark_partition_id()), "scores")
+    earlier = Window.partitionBy("group").orderBy("of_part").rowsBetween(Window.unboundedPreceding, -1)
+    # a row for each group and range
+    offsets = ranges.groupBy(F.col(by).alias("group"), F.col("part").alias("of_part")).agg(F.sum("neg").alias("n"))
+    offsets = offsets.withColumn("offset", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
+    inside = F.coalesce(F.sum("neg").over(Window.partitionBy(by, "part").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return (
-        steps.withColumn("wins", F.col("pos") * (below + F.col("neg") / 2.0))
+        ranges.withColumn("inside", inside)
+        .join(offsets, F.col(by).eqNullSafe(F.col("group")) & (F.col("part") == F.col("of_part")))
+        .withColumn("wins", F.col("pos") * (F.col("offset") + F.col("inside") + F.col("neg") / 2.0))
         .groupBy(by)
         .agg((F.sum("wins") / (F.sum("pos") * F.sum("neg"))).alias("auc"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     )
 
 
+def stratified_folds(data: DataFrame, folds: int, seed: int = 0, buckets: int = 1024) -> DataFrame:
+    """data(vec, label) with fold from 0: each fold gets as many rows of a label as the others, but for one.
+
+    Rows are counted within buckets of a label, behind the buckets before; no label is one task.
+    """
+    draw = F.xxhash64("vec", F.lit(seed))
+    own = data.withColumn("draw", draw).withColumn("bucket", F.pmod("draw", F.lit(buckets)))
+    before = Window.partitionBy("label").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    # at most `buckets` rows a label
+    offsets = own.groupBy("label", "bucket").count().withColumn("offset", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
+    nth = F.row_number().over(Window.partitionBy("label", "bucket").orderBy("draw"))
+    return own.withColumn("nth", nth).join(offsets, ["label", "bucket"]).withColumn("fold", F.pmod(F.col("nth") + F.col("offset"), F.lit(folds)).cast("int")).drop("draw", "bucket", "nth", "offset")
+
+
 def cross_validated_auc(data: DataFrame, folds: int = 5, kind: str = "logreg", seed: int = 0) -> float:
     """Mean AUC over stratified folds, at most as many as the smaller class has rows."""
     least = data.groupBy("label").count().agg(F.min("count")).first()[0]
     folds = min(folds, least)
-    order = Window.partitionBy("label").orderBy(F.xxhash64("vec", F.lit(seed)))
-    dealt = data.withColumn("fold", F.pmod(F.row_number().over(order), F.lit(folds))).cache()
+    dealt = written(stratified_folds(data, folds, seed), "folds")
     found = [
         auc(predict(train(dealt.where(F.col("fold") != i), kind), dealt.where(F.col("fold") == i)).withColumn("model", F.lit(0)), "probability").first()["auc"]
         for i in range(folds)
     ]
-    dealt.unpersist()
     return sum(found) / len(found)

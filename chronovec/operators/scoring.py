@@ -9,7 +9,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -20,21 +20,25 @@ from chronovec.sources.shared import written
 BLOCK = 4096
 #: Frames, on average, that meet a block at once.
 SLICE = 16384
+#: Rows of a matrix product that are held at once.
+STEP = 1024
 
 
 def _unit_rows(x: np.ndarray) -> np.ndarray:
     return x / (np.linalg.norm(x, axis=1, keepdims=True) + EPS)
 
 
-def _reduced(products: np.ndarray, reduce: str) -> np.ndarray:
-    return products.max(1) if reduce == "max" else products.sum(1)
+def _reduced(rows: np.ndarray, refs: np.ndarray, reduce: str) -> np.ndarray:
+    """The largest or summed product of each row with all refs; few rows at a time, as a product holds len(refs) numbers a row."""
+    parts = (rows[at : at + STEP] @ refs.T for at in range(0, len(rows), STEP))
+    return np.concatenate([x.max(1) if reduce == "max" else x.sum(1) for x in parts])
 
 
 def _scorer(held, reduce: str):
     def score(vectors: pd.Series) -> pd.Series:
         if not len(vectors):
             return pd.Series([], dtype=float)
-        return pd.Series(_reduced(_unit_rows(np.stack(vectors.to_numpy()).astype(float)) @ held.value.T, reduce))
+        return pd.Series(_reduced(_unit_rows(np.stack(vectors.to_numpy()).astype(float)), held.value, reduce))
 
     return score
 
@@ -53,7 +57,7 @@ def _in_blocks(frames: DataFrame, refs: DataFrame, reduce: str, vec: str, into:
         rows, part = own.column("_row"), pa.array([], pa.float64())
         if own.num_rows and other.num_rows:
             x, y = (_unit_rows(np.stack(t.column("vec").to_pandas().to_numpy()).astype(float)) for t in (own, other))
-            part = pa.array(_reduced(x @ y.T, reduce))
+            part = pa.array(_reduced(x, y, reduce))
         return pa.table({"_row": rows if len(part) else rows.slice(0, 0), "part": part})
 
     parts = left.groupBy("slice", "block").cogroup(right.groupBy("slice", "block")).applyInArrow(score, "_row long, part double")
@@ -88,15 +92,16 @@ def standardize(series: DataFrame, mode: str = "none", eps: float = 1e-8) -> Dat
         return series
     if mode != "scene-z":
         raise ValueError(f"unknown normalization {mode}")
-    w = Window.partitionBy("key")
-    mean, std = F.avg("score").over(w), F.stddev_pop("score").over(w)
-    return series.withColumn("score", F.when(std < eps, 0.0).otherwise((F.col("score") - mean) / std))
+    of_key = series.groupBy(F.col("key").alias("of_key")).agg(F.avg("score").alias("mean"), F.stddev_pop("score").alias("std"))
+    z = F.when(F.col("std") < eps, 0.0).otherwise((F.col("score") - F.col("mean")) / F.col("std"))
+    return series.join(of_key, F.col("key").eqNullSafe(F.col("of_key"))).withColumn("score", z).drop("of_key", "mean", "std")
 
 
 def smooth(series: DataFrame, window: int) -> DataFrame:
     """Centered moving average over reflected edges; the window is cut to the series' length.
 
-    Mirrored edge rows are added, averaged over rows [-p, w - 1 - p], then dropped.
+    Mirrored edge rows are added, averaged over rows [-p, w - 1 - p], then dropped. In a series shorter than the
+    window, the rows around each, fewer than two windows, are cut to the shorter one.
     """
     if window <= 1:
         return series
@@ -108,7 +113,10 @@ def smooth(series: DataFrame, window: int) -> DataFrame:
     back = F.when((F.col("idx") >= n - 1 - p) & (F.col("idx") < n - 1), 2 * (n - 1) - F.col("idx"))
     rows = own.withColumn("at", F.explode(F.array_compact(F.array(F.col("idx").cast("long"), front.cast("long"), back.cast("long")))))
     order = Window.partitionBy("key").orderBy("at")
-    mean: Column = F.col("score")
-    for w in range(2, window + 1):
-        mean = F.when(F.col("w") == w, F.avg("score").over(order.rowsBetween(-(w // 2), w - 1 - w // 2))).otherwise(mean)
+    around = order.rowsBetween(-(window // 2), window - 1 - window // 2)
+    short = F.col("w") < window
+    near = F.collect_list(F.when(short, F.struct("score"))).over(around)
+    first = F.least(F.lit(window // 2), F.col("at") + p) - p + 1
+    cut = F.slice(near, first.cast("int"), F.col("w").cast("int"))
+    mean = F.when(short, F.aggregate(cut, F.lit(0.0), lambda a, x: a + x["score"]) / F.col("w")).otherwise(F.avg("score").over(around))
     return rows.withColumn("smoothed", mean).where(F.col("at") == F.col("idx")).withColumn("score", F.col("smoothed")).drop("n", "w", "at", "smoothed")

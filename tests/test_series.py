@@ -93,7 +93,7 @@ def test_small_cases(spark):
 
 def test_smoothing_reflects(spark):
     rng = random.Random(2)
-    for n, w in ((1, 3), (2, 5), (5, 4), (20, 3), (20, 5)):
+    for n, w in ((1, 3), (2, 5), (5, 4), (5, 9), (6, 20), (20, 3), (20, 5)):
         x = [rng.random() for _ in range(n)]
         width = min(w, n)
         p = width // 2

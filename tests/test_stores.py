@@ -30,10 +30,43 @@ def test_nearest_equals_brute_force(spark):
     rng = random.Random(4)
     frames = [(k, i, i * 2.0) for k in "abc" for i in range(rng.choice([1, 5, 20]))]
     marks = [(k, rng.choice([rng.uniform(-5, 50), float(rng.randrange(40))]), n) for n, k in enumerate("abcd" * 40)]
-    got = {r.n: r.frame_idx for r in joins.nearest(spark.createDataFrame(marks, "key string, time double, n int"), spark.createDataFrame(frames, "key string, frame_idx int, time double")).collect()}
-    for k, t, n in marks:
-        own = [(abs(ft - t), i) for fk, i, ft in frames if fk == k]
-        assert got.get(n) == (min(own)[1] if own else None)
+    frames += [("a", 30, 30.0), ("a", 31, 30.0), ("a", 32, None), (None, 0, 1.0)]
+    odd = [("a", None, 900), (None, 1.0, 901)]
+    for span in (1.0, 7.0, joins.SPAN):
+        found = joins.nearest(spark.createDataFrame(marks + odd, "key string, time double, n int"), spark.createDataFrame(frames, "key string, frame_idx int, time double"), span)
+        got = {r.n: r.frame_idx for r in found.collect()}
+        assert not {900, 901} & set(got)
+        for k, t, n in marks:
+            own = [(abs(ft - t), i) for fk, i, ft in frames if fk == k and ft is not None]
+            assert got.get(n) == (min(own)[1] if own else None)
+
+
+def test_overlap_equals_brute_force(spark):
+    rng = random.Random(6)
+    time = lambda: rng.choice([None, float(rng.randrange(40)), float(rng.randrange(40))])
+    segs = [(k, t, a, a + rng.randrange(4), n) for n in range(80) for k in ("a", None) for t in (1, 2) for a in [float(rng.randrange(40))]] + [("a", 1, None, 3.0, 80), ("a", 1, 3.0, None, 81)]
+    marks = [(k, t, time(), time()) for _ in range(6) for k in ("a", None) for t in (1, 2, None)]
+    got = joins.without_overlap(
+        spark.createDataFrame(segs, "key string, tag int, start double, end double, n int"), spark.createDataFrame(marks, "key string, tag int, seconds double, end_seconds double")
+    )
+    touches = lambda s, m: None not in (s[0], s[2], s[3], m[2]) and s[:2] == m[:2] and s[2] <= (m[2] if m[3] is None else m[3]) and s[3] >= m[2]
+    want = [s for s in segs if not any(touches(s, m) for m in marks)]
+    assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, want)) and len(want) < len(segs)
+
+
+def test_folds_are_even_in_each_class(spark):
+    data = spark.createDataFrame([([float(i // 2)], i % 3 % 2) for i in range(100)], "vec array<double>, label int")
+    counts = {(r.label, r.fold): r["count"] for r in preference.stratified_folds(data, 4, buckets=7).groupBy("label", "fold").count().collect()}
+    assert len(counts) == 8 and all(max(c) - min(c) <= 1 for c in ([n for (y, _), n in counts.items() if y == label] for label in (0, 1)))
+
+
+def test_auc_sums_over_ranges(spark):
+    rng = random.Random(8)
+    rows = [(m, float(rng.randrange(60)), rng.randrange(2)) for m in ("x", "y") for _ in range(300)]
+    got = {r.model: r.auc for r in preference.auc(spark.createDataFrame(rows, "model string, score double, label int").repartition(4)).collect()}
+    for m in got:
+        pos, neg = ([s for k, s, y in rows if k == m and y == label] for label in (1, 0))
+        assert got[m] == pytest.approx(sum((a > b) + (a == b) / 2 for a in pos for b in neg) / len(pos) / len(neg))
 
 
 def test_overlap_and_catalog(spark):
