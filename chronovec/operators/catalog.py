@@ -58,6 +58,11 @@ def status_counts(reconciled: DataFrame) -> DataFrame:
     return reconciled.groupBy("status").agg(F.count("*").alias("n"))
 
 
+def run_stats(done: DataFrame) -> DataFrame:
+    """Scenes and frames of a run over done(status, frames), by status; a scene without frames adds none."""
+    return done.groupBy("status").agg(F.count("*").alias("n"), F.coalesce(F.sum("frames"), F.lit(0)).alias("frames"))
+
+
 def quality_status(files: DataFrame, cached: DataFrame, failures: DataFrame, overrides: DataFrame) -> DataFrame:
     """files(path) with embedded, failed, error and override."""
     return (

@@ -28,16 +28,46 @@ def without_markers(markers: DataFrame, ids: DataFrame) -> DataFrame:
     return markers.join(ids.select("marker_id").distinct(), "marker_id", "left_anti")
 
 
+# Fields of a scene's record besides title, studio and people, with their types and defaults, and fields of its first file.
+FIELDS = [("date", "string", ""), ("details", "string", ""), ("rating", "int", None), ("count", "long", 0), ("organized", "boolean", False), ("cover", "string", None)]
+FILE_FIELDS = [("duration", "double"), ("width", "int"), ("height", "int"), ("path", "string")]
+# Fields of a scene that may be changed.
+EDITABLE = ["rating", "organized", "title", "date", "details"]
+
+
 def scene_details(scenes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Flat display records of the wanted scene_ids: nulls to defaults, names of people, the first file."""
+    """Flat display records of the wanted scene_ids: nulls to defaults, people with and without ids, tags, the first file.
+
+    Columns and fields of files that scenes lack count as null.
+    """
     first = F.try_element_at("files", F.lit(1))
+    known = scenes.schema["files"].dataType.elementType
+    names = lambda c: F.coalesce(F.transform(c, lambda p: F.coalesce(p["name"], F.lit(""))), F.array().cast("array<string>"))
+    person = lambda p: F.struct(p["id"].cast("string").alias("id"), F.coalesce(p["name"], F.lit("")).alias("name"))
+    own = lambda c, kind: F.col(c).cast(kind) if c in scenes.columns else F.lit(None).cast(kind)
     return scenes.join(wanted.select("scene_id").distinct(), "scene_id", "left_semi").select(
-        "scene_id", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("studio", F.lit("")).alias("studio"),
-        F.coalesce(F.transform("people", lambda p: F.coalesce(p["name"], F.lit(""))), F.array().cast("array<string>")).alias("people"),
-        first["duration"].alias("duration"),
+        "scene_id", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("studio", F.lit("")).alias("studio"), names("people").alias("people"),
+        F.coalesce(F.transform("people", person), F.array().cast("array<struct<id:string,name:string>>")).alias("people_detail"),
+        F.coalesce(own("tags", "array<string>"), F.array().cast("array<string>")).alias("tags"),
+        *(F.coalesce(own(c, kind), F.lit(default).cast(kind)).alias(c) for c, kind, default in FIELDS),
+        *(first[c].cast(kind).alias(c) if c in known.names else F.lit(None).cast(kind).alias(c) for c, kind in FILE_FIELDS),
     )
 
 
+def scene_count(scenes: DataFrame) -> DataFrame:
+    return scenes.agg(F.countDistinct("scene_id").alias("scenes"))
+
+
+def update_scenes(scenes: DataFrame, changes: DataFrame) -> DataFrame:
+    """scenes after changes(scene_id, some of EDITABLE), one row a scene; null leaves a field as it is, unknown scenes are ignored."""
+    fields = [c for c in changes.columns if c != "scene_id"]
+    if odd := sorted(set(fields) - set(EDITABLE)):
+        raise ValueError(f"{', '.join(odd)} can't be changed")
+    new = changes.select("scene_id", *(F.col(c).alias(f"new_{c}") for c in fields))
+    rows = scenes.join(new, "scene_id", "left")
+    return rows.withColumns({c: F.coalesce(f"new_{c}", c) for c in fields}).select(scenes.columns)
+
+
 def scenes_with(scenes: DataFrame, person: Column | int | str) -> DataFrame:
     """scene_ids in which a person appears."""
     return scenes.where(F.exists("people", lambda p: p["id"] == person)).select("scene_id").distinct()

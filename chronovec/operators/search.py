@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from chronovec.functions.vectors import dot, unit
+from chronovec.sources.shared import written
 
 from .scoring import similarity_scores
 
+#: Queries of a block, and frames, on average, of a slice that meets it.
+QUERIES_AT_ONCE, FRAMES_AT_ONCE = 1024, 16384
 
-def capped(rows: DataFrame, by: str, cap: int | None, order: list[Column]) -> DataFrame:
+
+def capped(rows: DataFrame, by: str | list[str], cap: int | None, order: list[Column]) -> DataFrame:
     """The first `cap` rows of each group in order; null groups share one cap."""
     if not cap:
         return rows
@@ -54,3 +63,53 @@ def similar_frames(frames: DataFrame, key: str, time: float, labeled: DataFrame,
     fresh = fresh.where(~((F.col("key") == key) & (F.col("time_cs") == round(time * 100))))
     order = [F.desc("score"), F.col("key"), F.col("frame_idx")]
     return capped(fresh, "key", per_scene, order).orderBy(*order).limit(count)
+
+
+def _best(scores: np.ndarray, scenes: np.ndarray, allowed: np.ndarray, top_k: int, per_scene: int | None) -> np.ndarray:
+    """Places of the top_k scores under the cap; equal scores in order of place."""
+    order = np.argsort(-scores, kind="stable")
+    order = order[allowed[order]]
+    if per_scene:
+        order = order[pd.Series(scenes[order]).groupby(scenes[order]).cumcount().to_numpy() < per_scene]
+    return order[:top_k]
+
+
+def search_each(frames: DataFrame, queries: DataFrame, top_k: int = 60, per_scene: int | None = 3, exclude_own: bool = True) -> DataFrame:
+    """query_key, query_idx, rank, key, frame_idx, time, score: the best of frames for each of queries(key, frame_idx, vec).
+
+    Dot products with unit queries, compared after rounding to nine places; equal ones by key and frame_idx. With
+    exclude_own a query's own scene is left out. Blocks of queries meet slices of frames in a shuffle as matrix
+    products, and each meeting gives its top_k under the cap only. That is exact: before a frame that a slice
+    leaves out stand top_k others under the cap there, and no fewer over all slices.
+    """
+    number = F.monotonically_increasing_id()
+    held = written(frames.select("key", "frame_idx", "time", F.col("vec").cast("array<double>").alias("vec")).withColumn("_row", number), "frames")
+    asked = written(queries.select(F.col("key").alias("query_key"), F.col("frame_idx").alias("query_idx"), unit(F.col("vec").cast("array<double>")).alias("query")).withColumn("_query", number), "queries")
+    slices, blocks = (max(-(-t.count() // size), 1) for t, size in ((held, FRAMES_AT_ONCE), (asked, QUERIES_AT_ONCE)))
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = held.withColumn("slice", deal("_row", slices)).drop("_row").withColumn("block", every(blocks))
+    right = asked.select("_query", "query_key", "query", deal("_query", blocks).alias("block")).withColumn("slice", every(slices))
+    schema = StructType([StructField("_query", LongType()), *(held.schema[c] for c in ("key", "frame_idx", "time")), StructField("score", DoubleType())])
+
+    def meet(own: pa.Table, others: pa.Table) -> pa.Table:
+        own = own.take(pc.sort_indices(own, [("key", "ascending"), ("frame_idx", "ascending")], null_placement="at_start"))
+        keys = own.column("key").to_pandas()
+        scenes, vectors = pd.factorize(keys)[0], [np.asarray(v) for v in own.column("vec").to_pandas()]
+        found, rows, scores = [], [], []
+        if vectors:
+            matrix = np.stack(vectors)
+            for number, key, query in zip(others.column("_query").to_pylist(), others.column("query_key").to_pylist(), others.column("query").to_pandas()):
+                score = np.round(matrix @ np.asarray(query), 9) + 0.0  # no -0
+                allowed = (keys != key).to_numpy() if exclude_own and key is not None else np.ones(len(score), bool)
+                best = _best(score, scenes, allowed, top_k, per_scene)
+                found.append(np.full(len(best), number)), rows.append(best), scores.append(score[best])
+        at = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+        kept = own.select(["key", "frame_idx", "time"]).take(pa.array(at))
+        return kept.add_column(0, "_query", pa.array(np.concatenate(found) if found else at, pa.int64())).append_column("score", pa.array(np.concatenate(scores) if scores else at, pa.float64()))
+
+    hits = left.groupBy("slice", "block").cogroup(right.groupBy("slice", "block")).applyInArrow(meet, schema)
+    order = [F.desc("score"), F.col("key"), F.col("frame_idx")]
+    hits = capped(hits, ["_query", "key"], per_scene, order)
+    hits = hits.withColumn("rank", F.row_number().over(Window.partitionBy("_query").orderBy(*order))).where(F.col("rank") <= top_k)
+    return hits.join(asked.drop("query"), "_query").select("query_key", "query_idx", "rank", "key", "frame_idx", "time", "score")

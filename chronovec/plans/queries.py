@@ -105,6 +105,18 @@ def similar_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.similar_frames(f, "s2", 40.0, labeled).select("key", "frame_idx", "time", *_r("score"))
 
 
+@query(f"""WITH {FRAMES_SQL}, q AS (SELECT key AS query_key, frame_idx AS query_idx, list_transform(vec, lambda x: x / sqrt(list_dot_product(vec, vec))) AS query FROM frames WHERE (CAST(key[2:] AS BIGINT) * 50 + frame_idx) % 20 = 0),
+hits AS (SELECT query_key, query_idx, key, frame_idx, time, round(list_dot_product(vec, query), 9) AS score FROM frames JOIN q ON key <> query_key),
+held AS (SELECT *, row_number() OVER (PARTITION BY query_key, query_idx, key ORDER BY score DESC, frame_idx) AS nth FROM hits),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_key, query_idx ORDER BY score DESC, key, frame_idx) AS rank FROM held WHERE nth <= 3)
+SELECT query_key, query_idx, rank, key, frame_idx, time, round(score, 6) AS score FROM ranked WHERE rank <= 60""")
+def search_each_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frame whose id is divisible by 20 is a query against all frames of other scenes."""
+    f = views.frames(spark, sf_dir)
+    asked = f.where((F.substring("key", 2, 20).cast("long") * 50 + F.col("frame_idx")) % 20 == 0)
+    return search.search_each(f, asked).select("query_key", "query_idx", "rank", "key", "frame_idx", "time", *_r("score"))
+
+
 # series
 
 @query(f"WITH {SERIES_SQL} SELECT key, idx, round((score - avg(score) OVER w) / stddev_pop(score) OVER w, 6) AS score FROM series WINDOW w AS (PARTITION BY key)")
@@ -375,6 +387,13 @@ def run_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.status_counts(catalog.reconcile(*_catalog(spark, sf_dir)))
 
 
+@query(f"{_SYNC}, held AS (SELECT o_custkey, count(*) AS frames FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey) SELECT status, count(*) AS n, CAST(coalesce(sum(frames), 0) AS BIGINT) AS frames FROM synced LEFT JOIN held ON key = o_custkey GROUP BY status")
+def embed_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scenes and frames by status; a customer's filled orders are its frames."""
+    held = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").groupBy(F.col("o_custkey").alias("key")).agg(F.count("*").alias("frames"))
+    return catalog.run_stats(catalog.reconcile(*_catalog(spark, sf_dir)).join(held, "key", "left"))
+
+
 @query(f"{_SYNC} SELECT count(*) AS cached, count(*) FILTER (status = 'moved') AS moved, count(*) FILTER (status = 'orphaned') AS orphaned, count(*) FILTER (status = 'orphaned') AS pruned FROM synced")
 def sync_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.sync_counts(catalog.reconcile(*_catalog(spark, sf_dir), prune=True))
@@ -631,7 +650,23 @@ string_agg(s_name, '|' ORDER BY l_linenumber, l_suppkey) AS people, (list(l_quan
 FROM {_LINES} WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') GROUP BY o_orderkey, o_orderstatus, c_name""")
 def scene_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("scene_id"))
-    return library.scene_details(_orders(spark, sf_dir), wanted).withColumn("people", F.array_join("people", "|"))
+    found = library.scene_details(_orders(spark, sf_dir), wanted).withColumn("people", F.array_join("people", "|"))
+    return found.select("scene_id", "title", "studio", "people", "duration")
+
+
+@query("SELECT count(DISTINCT o_orderkey) AS scenes FROM orders JOIN customer ON c_custkey = o_custkey")
+def scene_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return library.scene_count(_orders(spark, sf_dir))
+
+
+@query("""SELECT p_partkey AS scene_id, CASE WHEN n > 2 THEN 'often' ELSE p_name END AS title, coalesce(most, p_size) AS rating, coalesce(n > 1, false) AS organized
+FROM part LEFT JOIN (SELECT l_partkey, count(*) AS n, CAST(max(l_quantity) AS INTEGER) AS most FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_partkey) ON l_partkey = p_partkey""")
+def scene_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as scenes, changed by what was sent back of them."""
+    scenes = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("scene_id"), F.col("p_name").alias("title"), F.col("p_size").alias("rating"), F.lit(False).alias("organized"))
+    back = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_partkey").alias("scene_id"))
+    changes = back.agg(F.count("*").alias("n"), F.max("l_quantity").cast("int").alias("rating"))
+    return library.update_scenes(scenes, changes.select("scene_id", F.when(F.col("n") > 2, "often").alias("title"), "rating", (F.col("n") > 1).alias("organized")))
 
 
 @query(f"SELECT DISTINCT o_orderkey AS scene_id FROM {_LINES} WHERE l_suppkey = 7")

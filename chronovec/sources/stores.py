@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import io
 import json
+import re
+import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronovec.functions.names import path_key
+from chronovec.operators.labels import centiseconds, upsert
 
 FRAMES = "key string, frame_idx int, time float, vec array<float>, meta string"
 LABELS = "key string, time double, label int, profile string, scene_id string, ts double"
@@ -57,11 +61,48 @@ def read_frames(spark: SparkSession, path: str, schema: str = "frame_idx int, ti
     return spark.read.schema(f"{schema}, model string, key string").parquet(path)
 
 
-def video_files(spark: SparkSession, path: str, extensions: str = "mp4,mkv,webm,mov,avi,m4v,wmv,ts") -> DataFrame:
-    """path, key and title of files with a video's extension, in any case, below a folder."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
-    wanted = F.lower(F.regexp_extract("path", r"\.([^./\\]+)$", 1)).isin(extensions.split(","))
-    return found.where(wanted).distinct().withColumn("key", path_key(F.col("path"))).withColumn("title", F.regexp_extract("path", r"([^/\\]+)\.[^.]+$", 1))
+def _files(spark: SparkSession, path: str):
+    """Hadoop's path and file system of a path, on whichever storage it lies."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def video_files(spark: SparkSession, paths: str | list[str], extensions: str = "mp4,mkv,webm,mov,avi,m4v,wmv,ts") -> DataFrame:
+    """path, key and title of files with a video's extension, in any case, below folders; a file named itself needs none."""
+    folders, named = [], []
+    for path in [paths] if isinstance(paths, str) else paths:
+        at, system = _files(spark, path)
+        (folders if system.getFileStatus(at).isDirectory() else named).append(path)
+    found = spark.createDataFrame([(system.makeQualified(at).toString(),) for at, system in (_files(spark, p) for p in named)], "path string")
+    if folders:
+        below = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folders).select("path")
+        found = found.union(below.where(F.lower(F.regexp_extract("path", r"\.([^./\\]+)$", 1)).isin(extensions.split(","))))
+    return found.distinct().withColumn("key", path_key(F.col("path"))).withColumn("title", F.regexp_extract("path", r"([^/\\]+)\.[^./\\]+$", 1))
+
+
+def references_dir(spark: SparkSession, base: str, tag: str) -> str:
+    """The folder of a profile's reference stills: that of its tag where there is one, else the base itself."""
+    own = f"{base.rstrip('/')}/{re.sub(r'[^\w-]', '_', tag)}"
+    at, system = _files(spark, own)
+    return own if tag and system.exists(at) and system.getFileStatus(at).isDirectory() else base
+
+
+def reference_files(spark: SparkSession, path: str, extensions: str = "jpg,jpeg,png,webp,bmp") -> DataFrame:
+    """path and content of the images right in a folder; those of folders below belong to other profiles."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
+    at, system = _files(spark, path)
+    top = F.substring_index("path", "/", -1)
+    inside = F.col("path").startswith(system.makeQualified(at).toString().rstrip("/") + "/")
+    depth = F.length("path") - F.length(top) == len(system.makeQualified(at).toString().rstrip("/")) + 1
+    return found.where(inside & depth & F.lower(F.regexp_extract("path", r"\.([^./\\]+)$", 1)).isin(extensions.split(",")))
+
+
+def load_references(spark: SparkSession, path: str, embed: Callable[[Column], Column]) -> DataFrame:
+    """path and vec of a folder's reference stills; a folder without any raises ValueError."""
+    found = reference_files(spark, path)
+    if not found.select("path").take(1):
+        raise ValueError(f"no reference images in {path}")
+    return found.select("path", embed(F.col("content")).alias("vec"))
 
 
 def read_json_list(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -70,9 +111,27 @@ def read_json_list(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return rows.where(F.coalesce(*(F.col(c).cast("string") for c in rows.columns)).isNotNull())
 
 
-def read_playlist(spark: SparkSession, path: str) -> DataFrame:
-    """profile and ranked moments of playlist files; a missing score is 0."""
-    rows = spark.read.schema(PLAYLIST).option("multiLine", True).json(path)
+def write_labels(labels: DataFrame, path: str) -> None:
+    """Saves labels as JSON lines: written beside the store and then put in its place, so a failed save leaves it as it was."""
+    fresh = f"{path.rstrip('/')}.fresh-{uuid.uuid4().hex}"
+    labels.select(*(c.split()[0] for c in LABELS.split(", "))).write.option("ignoreNullFields", False).json(fresh)
+    (old, system), (new, _) = _files(labels.sparkSession, path), _files(labels.sparkSession, fresh)
+    system.delete(old, True)
+    if not system.rename(new, old):
+        raise OSError(f"{fresh} can't be put at {path}")
+
+
+def read_labels(spark: SparkSession, path: str, lines: bool = True) -> DataFrame:
+    """Labels of a store of JSON lines, or of a JSON list; of rows with the same identity the last one counts."""
+    rows = spark.read.schema(LABELS).option("multiLine", not lines).option("mode", "DROPMALFORMED").json(path)
+    rows = rows.where("key IS NOT NULL").withColumn("ts", F.coalesce("ts", F.lit(0.0)))
+    last = upsert(rows.withColumn("time_cs", centiseconds(F.col("time"))).withColumn("seq", F.monotonically_increasing_id()))
+    return last.drop("seq", "time_cs")
+
+
+def read_playlist(spark: SparkSession, path: str, lines: bool = True) -> DataFrame:
+    """profile and ranked moments of playlists: records on a line each, or one record a file; a missing score is 0."""
+    rows = spark.read.schema(PLAYLIST).option("multiLine", not lines).json(path)
     return rows.select("profile", F.posexplode("moments").alias("rank", "m")).select("profile", "rank", "m.*").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 

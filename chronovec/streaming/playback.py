@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 
+from chronovec.functions.binary import take_frames
 from chronovec.functions.names import path_key
 from chronovec.operators.labels import mark_times
 
@@ -65,3 +68,31 @@ def connections(packets: DataFrame, silence: str = "3 seconds") -> DataFrame:
     held = F.session_window("ts", silence)
     own = packets.where("source IS NOT NULL AND ts IS NOT NULL").groupBy("source", held.alias("held")).agg(F.count("*").alias("packets"))
     return own.select("source", F.col("held.start").alias("started"), F.col("held.end").alias("ended"), "packets")
+
+
+def messages(chunks: DataFrame, little: bool = False) -> DataFrame:
+    """(source, seq, nth, message) of a stream of chunks(source, seq, data) of framed messages; a ping's message is null.
+
+    A frame may begin in one chunk and end in a later one: the open rest is the source's state. seq is the chunk that
+    completes a message, nth its place there. Chunks arrive in order of seq, within a batch they are sorted.
+    """
+
+    def run(key, batches, state):
+        rest = state.get[0] if state.exists else b""
+        for row in pd.concat(batches).sort_values("seq", kind="stable").itertuples():
+            found, rest = take_frames(rest + (row.data or b""), little)
+            yield pd.DataFrame({"source": key[0], "seq": row.seq, "nth": range(len(found)), "message": pd.Series(found, dtype=object)})
+        state.update((rest,))
+
+    source, seq = chunks.schema["source"].dataType.simpleString(), chunks.schema["seq"].dataType.simpleString()
+    schema = f"source {source}, seq {seq}, nth int, message string"
+    return chunks.select("source", "seq", "data").groupBy("source").applyInPandasWithState(run, schema, "rest binary", "append", GroupStateTimeout.NoTimeout)
+
+
+def demo_feed(spark: SparkSession, path: str, duration: float = 600.0, per_second: int = 2) -> DataFrame:
+    """A stream of states as if path played over and over, without a player."""
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", per_second).load()
+    return ticks.select(
+        F.lit("demo").alias("source"), F.col("timestamp").alias("ts"), F.lit(path).alias("path"),
+        F.round(F.pmod(F.col("value") / per_second, F.lit(duration)), 2).alias("current_time"), F.lit(True).alias("playing"), F.lit(duration).alias("duration"),
+    )

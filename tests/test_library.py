@@ -93,3 +93,19 @@ def test_stored_format(spark):
     f = names.effective_format(F.col("stored"), F.col("flat"), F.col("name"), F.lit(None).cast("double"), F.lit(None).cast("string"))
     got = [(r.f.projection, r.f.layout, r.f.fov, r.f.source) for r in df.select(f.alias("f")).collect()]
     assert got == [("fisheye", "tb", 200.0, "filename"), ("unknown", "mono", None, "override:flat"), ("equirect", "sbs", 180.0, "filename"), ("unknown", "unknown", None, "none")]
+
+
+def test_changes_of_scenes_and_full_records(spark):
+    scenes = spark.createDataFrame([(1, "a", 3, True), (2, None, None, None)], "scene_id int, title string, rating int, organized boolean")
+    changes = spark.createDataFrame([(1, None, 5), (2, "b", None), (9, "c", 1)], "scene_id int, title string, rating int")
+    assert sorted(tuple(r) for r in library.update_scenes(scenes, changes).collect()) == [(1, "a", 5, True), (2, "b", None, None)]
+    with pytest.raises(ValueError):
+        library.update_scenes(scenes, changes.withColumnRenamed("rating", "path"))
+    full = spark.createDataFrame(
+        [(1, "t", None, [(7, None)], [("/x.mp4", 1920)], "2024-01-01", None, ["x"]), (2, None, "s", None, None, None, 4, None)],
+        "scene_id int, title string, studio string, people array<struct<id:int,name:string>>, files array<struct<path:string,width:int>>, date string, count long, tags array<string>",
+    )
+    got = {r.scene_id: r for r in library.scene_details(full, full).collect()}
+    assert (got[1].date, got[1]["count"], got[1].tags, got[1].path, got[1].width, got[1].height, got[1].organized) == ("2024-01-01", 0, ["x"], "/x.mp4", 1920, None, False)
+    assert [tuple(p) for p in got[1].people_detail] == [("7", "")] and (got[2].date, got[2]["count"], got[2].people_detail, got[2].path, got[2].rating) == ("", 4, [], None, None)
+    assert library.scene_count(full.union(full)).first().scenes == 2

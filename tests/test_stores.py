@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chronovec.functions import names
+from chronovec.functions import binary, names
 from chronovec.operators import candidates, catalog, joins, labels, playlist, preference
 from chronovec.sources import stores
 from chronovec.streaming import playback
@@ -172,3 +172,36 @@ def test_entry_imports_without_training_data_operators():
     import __spark_entry__
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_label_store_and_playlists_of_several_records(spark, tmp_path):
+    at = str(tmp_path / "labels")
+    rows = [("k", 1.0, 1, "p", None, 5.0), ("k", 1.001, 0, "p", "s", None), ("j", 2.0, 1, "p", None, 1.0)]
+    for n in (3, 2):
+        stores.write_labels(spark.createDataFrame(rows[:n], stores.LABELS).coalesce(1), at)
+        assert sorted((r.key, r.label, r.ts) for r in stores.read_labels(spark, at).collect()) == [("j", 1, 1.0), ("k", 0, 0.0)][3 - n :]
+    # a store is written from what was read of itself
+    stores.write_labels(stores.read_labels(spark, at), at)
+    assert stores.read_labels(spark, at).count() == 1 and [p.name for p in tmp_path.iterdir()] == ["labels"]
+    (tmp_path / "list.json").write_text(json.dumps([{"key": "k", "time": 1.0, "label": n, "profile": "p"} for n in (1, 0)], indent=1))
+    assert [r.label for r in stores.read_labels(spark, str(tmp_path / "list.json"), lines=False).collect()] == [0]
+    moments = spark.createDataFrame([(p, i, "/x", "k", 0.0, 1.0, 0.5) for p in "ab" for i in range(2)], "profile string, rank int, path string, key string, start double, end double, score double")
+    stores.write_playlist(moments.coalesce(1), str(tmp_path / "lists"))
+    assert stores.read_playlist(spark, str(tmp_path / "lists")).count() == 4
+
+
+def test_reference_stills_and_named_files(spark, tmp_path):
+    base = tmp_path / "refs"
+    (base / "a_b").mkdir(parents=True)
+    for name in ("x.JPG", "y.png", "z.txt", "a_b/w.png"):
+        (base / name).write_bytes(name.encode())
+    names = lambda df: {r.path.rsplit("/", 1)[1] for r in df.collect()}
+    assert names(stores.reference_files(spark, str(base))) == {"x.JPG", "y.png"}
+    assert stores.references_dir(spark, str(base), "a b") == f"{base}/a_b" and stores.references_dir(spark, str(base), "other") == str(base)
+    held = stores.load_references(spark, f"{base}/a_b", binary.hashed_embedding).collect()
+    assert [r.vec for r in held] == [pytest.approx(binary.hashed_vector(b"a_b/w.png", 32).tolist())]
+    (tmp_path / "none").mkdir()
+    with pytest.raises(ValueError):
+        stores.load_references(spark, str(tmp_path / "none"), binary.hashed_embedding)
+    (base / "v.MP4").write_bytes(b"")
+    assert names(stores.video_files(spark, [str(base), str(base / "z.txt"), str(base / "v.MP4")])) == {"v.MP4", "z.txt"}
