@@ -1,6 +1,6 @@
 """Queries of this subpackage and their SQL."""
 
-from . import bpe, chat, decontaminate, exact_dedup, html_text, near_dedup, quality, sharding, toxicity, warc
+from . import alignment, bpe, chat, decontaminate, exact_dedup, html_text, line_rules, near_dedup, quality, resampling, sharding, toxicity, warc
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -13,6 +13,9 @@ QUERIES = {
     "op8_warc": warc.op8_warc,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_html_text": html_text.op10_html_text,
+    "op11_importance_resampling": resampling.op11_importance_resampling,
+    "op12_token_alignment": alignment.op12_token_alignment,
+    "op13_line_quality": line_rules.op13_line_quality,
 }
 SQL = {
     "op3_chat_formatting": chat.SQL,
@@ -21,4 +24,6 @@ SQL = {
     "op7_minhash_near_dedup": near_dedup.SQL,
     "op8_warc": warc.SQL,
     "op9_decontaminate": decontaminate.SQL,
+    "op11_importance_resampling": resampling.SQL,
+    "op13_line_quality": line_rules.SQL,
 }
