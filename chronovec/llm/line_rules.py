@@ -21,6 +21,9 @@ An empty table gives an empty result.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +51,8 @@ NOTICE = (
     r"(?i)(uses? cookies|use of cookies|cookie policy|privacy policy|terms of (use|service)|terms and conditions|all rights reserved"
     r"|copyright \(c\)|enable javascript|requires javascript|lorem ipsum|subscribe to our|sign up for our|click here|follow us on|powered by)"
 )
+#: Whatever matches NOTICE holds one of these in lower case.
+NOTICE_PARTS = ["cookie", "privacy", "terms ", "rights", "copyright", "javascript", "ipsum", "subscribe", "sign up", "click", "follow", "powered"]
 EMPHASIS = r"[!?]{2,}([\x20\x09-\x0D]|$)"
 CAPITALS = r"[A-ZÀ-ÖØ-ÞЀ-ЯΑ-Ω]"
 SMALL = r"[a-zß-öø-ÿа-яα-ω]"
@@ -61,27 +66,38 @@ def _words(text: Column) -> Column:
     return F.array_remove(F.split(text, WORD_SEPARATOR, -1), "")
 
 
-def line_fails(line: Column) -> Column:
-    """Whether a line with a word breaks a rule of its own."""
+def may_have_notice(text: Column) -> Column:
+    """Whether a text holds a part of a notice, in any case; without one, no line of it is a notice."""
+    low = F.lower(text)
+    return reduce(or_, (F.contains(low, F.lit(x)) for x in NOTICE_PARTS))
+
+
+def line_fails(line: Column, noticed: Column | None = None) -> Column:
+    """Whether a line with a word breaks a rule of its own; noticed: may_have_notice of its text.
+
+    What is cheap to tell comes first, so that the dearer half of a condition is seldom looked at.
+    """
     words = F.size(_words(line))
     marks = F.regexp_count(line, F.lit(SEPARATORS))
-    symbols = F.length(line) - F.length(_without(line, SYMBOLS))
+    symbols, emphasis, capitals = (F.regexp_count(line, F.lit(x)) for x in (f"[{SYMBOLS}]", EMPHASIS, CAPITALS))
+    noticed = may_have_notice(line) if noticed is None else noticed
     return (
-        ~line.rlike(SENTENCE_END)
-        | (F.regexp_count(line, F.lit(EMPHASIS)) * 4 > words)
-        | (symbols * 10 > F.length(_without(line, SPACE)))
+        ~(F.right(line, F.lit(1)).isin(*".!?:;") | line.rlike(SENTENCE_END))
+        | ((emphasis > 0) & (emphasis * 4 > words))
+        | ((symbols > 0) & (symbols * 10 > F.length(_without(line, SPACE))))
         | ((marks >= 2) & (words <= (marks + 1) * (ENTRY_WORDS + 1)))
-        | ((words <= MENU_WORDS) & line.rlike(MENU))
-        | line.rlike(NOTICE)
+        | (line.rlike(MENU) & (words <= MENU_WORDS))
+        | (noticed & line.rlike(NOTICE))
         | line.rlike(r"[{}]")
-        | ((F.regexp_count(line, F.lit(CAPITALS)) >= 12) & (F.regexp_count(line, F.lit(CAPITALS)) > F.regexp_count(line, F.lit(SMALL)) * 2))
+        | ((capitals >= 12) & (capitals > F.regexp_count(line, F.lit(SMALL)) * 2))
     )
 
 
 def _repeated_words(words: Column, grams: Column, ordered: Column, spots: Column) -> dict[str, Column]:
     """Steps to the number of words in runs of three that a text has twice or more, each a column of its own."""
     n = F.size(words)
-    runs = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.concat_ws(" ", F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
+    joined = lambda a, b: F.concat(a, F.lit(" "), b)
+    runs = F.zip_with(F.zip_with(F.slice(words, F.lit(1), n - 2), F.slice(words, F.lit(2), n - 2), joined), F.slice(words, F.lit(3), n - 2), joined)
     place = lambda g, i: F.struct(g.alias("gram"), i.alias("at"))
     twice = F.size(F.array_distinct(grams)) < F.size(grams)
     same = lambda x, k: (F.get(ordered, k - 1)["gram"] == x["gram"]) | (F.get(ordered, k + 1)["gram"] == x["gram"])
@@ -106,17 +122,19 @@ def clean_lines(docs: DataFrame, text: str = "text", most_lost: int = MOST_LOST)
     for name, column in _repeated_words(*map(F.col, ("_words", "_grams", "_ordered", "_spots"))).items():
         step = step.withColumn(name, column)
     once = F.array_distinct("_lines")
-    step = step.withColumn("_once", once).withColumn("_kept", F.filter("_once", lambda x: ~line_fails(x)))
+    step = step.withColumn("_once", once).withColumn("_noticed", may_have_notice(F.col("_text")))
+    step = step.withColumn("_kept", F.filter("_once", lambda x: ~line_fails(x, F.col("_noticed"))))
     step = step.withColumn("cleaned", F.array_join("_kept", "\n"))
     step = step.withColumns({
         "n_words": F.size("_words").cast("long"),
-        "word_chars": F.length(_without(F.col("_text"), SPACE)).cast("long"),
-        "n_symbols": (F.length("_text") - F.length(_without(F.col("_text"), SYMBOLS))).cast("long"),
+        "word_chars": F.length(F.array_join("_words", "")).cast("long"),
+        "n_symbols": F.regexp_count("_text", F.lit(f"[{SYMBOLS}]")).cast("long"),
         "n_lines": F.size("_lines").cast("long"),
         "n_dup_lines": (F.size("_lines") - F.size("_once")).cast("long"),
         "n_removed_lines": (F.size("_lines") - F.size("_kept")).cast("long"),
     })
-    step = step.withColumn("lost_chars", F.col("word_chars") - F.length(_without(F.col("cleaned"), SPACE)))
+    lost = F.when(F.col("n_removed_lines") > 0, F.col("word_chars") - F.length(_without(F.col("cleaned"), SPACE))).otherwise(F.lit(0).cast("long"))
+    step = step.withColumn("lost_chars", lost)
     failed = (F.col("n_words") < LEAST_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MOST_REPEATED)
     step = step.withColumn("base_failed", failed)
     kept = ~F.col("base_failed") & (F.col("lost_chars") * 100 <= F.col("word_chars") * most_lost)
