@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from chronovec.sources.shared import written
+
+from .scorers import Scorer
+from .slices import Slices
+
 WARM = 12
 
 
@@ -16,10 +21,13 @@ def plan_grid(duration: Column, interval: float, offset: float = 0.0) -> Column:
     return F.when((duration > 0) & (F.lit(interval) > 0) & (n > 0), grid).otherwise(F.array().cast("array<double>"))
 
 
-def increasing(rows: DataFrame, by: str = "key", order: str = "frame_idx", pts: str = "pts") -> DataFrame:
-    """Rows whose time exceeds all times before it; null times stay."""
-    before = F.max(pts).over(Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
-    return rows.withColumn("before", before).where(F.col(pts).isNull() | F.col("before").isNull() | (F.col(pts) > F.col("before"))).drop("before")
+def increasing(rows: DataFrame, by: str = "key", order: str = "frame_idx", pts: str = "pts", size: int | None = None) -> DataFrame:
+    """Rows whose time exceeds all times before it; null times stay. Series of more than `size` rows are cut into slices."""
+    own = Slices(rows, by, [order], size)
+    own.carry("reach_in", F.max(pts), F.max)
+    before = F.greatest(F.max(pts).over(own.along(preceding=True)), "reach_in")
+    found = own.rows.withColumn("before", before)
+    return found.where(F.col(pts).isNull() | F.col("before").isNull() | (F.col(pts) > F.col("before"))).select(rows.columns)
 
 
 def draw(seed: int) -> Column:
@@ -27,12 +35,16 @@ def draw(seed: int) -> Column:
     return F.md5(F.concat_ws(":", F.lit(seed), F.col("key"), F.col("frame_idx").cast("string")))
 
 
-def gather(scored: DataFrame, labeled: DataFrame, top: int = 3, chance: int = 1, seed: int = 0, limit: int | None = None) -> DataFrame:
+def gather(
+    scored: DataFrame, labeled: DataFrame, top: int = 3, chance: int = 1, seed: int = 0, limit: int | None = None, scorer: Scorer | None = None
+) -> DataFrame:
     """key, frame_idx, time, score, pool: the best frames of each scene and some drawn from the others.
 
-    Labeled frames use up places among the best, and are then left out. Over the
+    With a scorer, the rows are frames(key, frame_idx, time, vec) yet to be scored. Labeled frames use up places among the best, and are then left out. Over the
     limit, the drawn ones keep their share of the budget. The result comes in an order drawn from the seed.
     """
+    if scorer is not None:
+        scored = scorer(scored, "vec", "score")
     best = Window.partitionBy("key").orderBy(F.desc("score"), "frame_idx")
     ids = labeled.select("key", "time_cs").distinct().withColumn("known", F.lit(True))
     rows = scored.withColumn("time_cs", F.rint(F.col("time") * 100).cast("long")).join(ids, ["key", "time_cs"], "left")
@@ -41,8 +53,12 @@ def gather(scored: DataFrame, labeled: DataFrame, top: int = 3, chance: int = 1,
     others = rows.where(F.col("rank") > top).withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy(draw(seed))))
     drawn = others.where(F.col("nth") <= chance).withColumn("pool", F.lit("random")).drop("nth")
     if limit:
+        # written once, as they are counted first
+        both = written(tops.unionByName(drawn), "candidates")
+        tops, drawn = (both.where(F.col("pool") == pool) for pool in ("top", "random"))
         n_top, n_drawn = tops.count(), drawn.count()
         if n_top + n_drawn > limit:
+            # fixed value: how a budget is shared
             keep = min(n_drawn, max(1, round(limit * chance / max(1, top + chance))))
             tops = tops.orderBy(F.desc("score"), "key", "frame_idx").limit(limit - keep)
             drawn = drawn.orderBy(draw(seed)).limit(keep)

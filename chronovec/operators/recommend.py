@@ -1,15 +1,15 @@
-"""Moments like those that were liked: likes to vectors, vectors to scores, scores to a ranked list."""
+"""Moments like those that were liked: likes to vectors, vectors or a model to scores, scores to a ranked list."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronovec.sources.shared import written
+
 from .joins import nearest
 from .playlist import ranked
-from .scoring import similarity_scores
+from .scorers import Scorer, as_scorer
 from .segments import score_series
 
 
@@ -23,26 +23,32 @@ def liked_vectors(likes: DataFrame, frames: DataFrame) -> DataFrame:
 
 
 def score_scenes(
-    frames: DataFrame, refs: DataFrame, high: float, low: float, reduce: str = "max", normalize: str = "none", window: int = 1, **rules
+    frames: DataFrame, scorer: Scorer | DataFrame, high: float, low: float, reduce: str = "max", normalize: str = "none", window: int = 1, **rules
 ) -> DataFrame:
-    """Segments of frames(key, frame_idx, time, vec) by similarity with refs(vec): scored, normalized, smoothed, cut."""
-    series = similarity_scores(frames, refs, reduce).select("key", F.col("frame_idx").alias("idx"), "time", "score")
+    """Segments of frames(key, frame_idx, time, vec): scored, normalized, smoothed, cut.
+
+    The scorer is one of scorers.py, or reference vectors (vec) to be like.
+    """
+    series = as_scorer(scorer, reduce)(frames, "vec", "score").select("key", F.col("frame_idx").alias("idx"), "time", "score")
     return score_series(series, high, low, normalize, window, **rules)
 
 
 def recommend(
     frames: DataFrame, likes: DataFrame, high: float, low: float, limit: int = 50, exclude_seeds: bool = True, normalize: str = "none",
-    window: int = 1, **rules,
+    window: int = 1, scorer: Scorer | None = None, **rules,
 ) -> DataFrame:
     """rank, key, start, end, score, mean of the best moments for likes(key, time); none without a liked frame.
 
-    Scenes that hold a like are left out, unless exclude_seeds is False. Times are rounded to thousandths.
+    Frames are scored by similarity to those liked, or by a scorer of their own, which needs no likes. Scenes that hold
+    a like are left out, unless exclude_seeds is False. Times are rounded to thousandths.
     """
-    refs = liked_vectors(likes, frames)
-    if not refs.take(1):
+    if scorer is None:
+        # written once, as its rows are asked for, counted and fetched
+        scorer = written(liked_vectors(likes, frames), "liked")
+    if isinstance(scorer, DataFrame) and not scorer.take(1):
         found = frames.select("key", F.lit(0.0).alias("start"), F.lit(0.0).alias("end"), F.lit(0.0).alias("peak"), F.lit(0.0).alias("mean")).limit(0)
     else:
         pool = frames.join(likes.select("key").distinct(), "key", "left_anti") if exclude_seeds else frames
-        found = score_scenes(pool, refs, high, low, normalize=normalize, window=window, **rules)
+        found = score_scenes(pool, scorer, high, low, normalize=normalize, window=window, **rules)
     best = ranked(found, limit)
     return best.select("rank", "key", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"), "score", "mean")

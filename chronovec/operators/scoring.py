@@ -7,8 +7,8 @@ series needs is partitioned by key once; windows in key order reuse that.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -16,6 +16,9 @@ from pyspark.sql import Window
 from chronovec.functions.vectors import EPS
 from chronovec.sources.shared import written
 
+from . import slices
+from .scorers import arrow_scorer
+
 #: Reference vectors of a block; no more are broadcast.
 BLOCK = 4096
 #: Frames, on average, that meet a block at once.
@@ -34,15 +37,6 @@ def _reduced(rows: np.ndarray, refs: np.ndarray, reduce: str) -> np.ndarray:
     return np.concatenate([x.max(1) if reduce == "max" else x.sum(1) for x in parts])
 
 
-def _scorer(held, reduce: str):
-    def score(vectors: pd.Series) -> pd.Series:
-        if not len(vectors):
-            return pd.Series([], dtype=float)
-        return pd.Series(_reduced(_unit_rows(np.stack(vectors.to_numpy()).astype(float)), held.value, reduce))
-
-    return score
-
-
 def _in_blocks(frames: DataFrame, refs: DataFrame, reduce: str, vec: str, into: str, total: int) -> DataFrame:
     """Slices of frames meet blocks of references as groups of a join on (slice, block); no reference passes through the driver."""
     held = written(frames.withColumn("_row", F.monotonically_increasing_id()), "frames")
@@ -54,6 +48,7 @@ def _in_blocks(frames: DataFrame, refs: DataFrame, reduce: str, vec: str, into:
     right = known.select("vec", deal(blocks).alias("block"), every(slices).alias("slice"))
 
     def score(own: pa.Table, other: pa.Table) -> pa.Table:
+        own = own.filter(pc.is_valid(own.column("vec")))
         rows, part = own.column("_row"), pa.array([], pa.float64())
         if own.num_rows and other.num_rows:
             x, y = (_unit_rows(np.stack(t.column("vec").to_pandas().to_numpy()).astype(float)) for t in (own, other))
@@ -62,7 +57,7 @@ def _in_blocks(frames: DataFrame, refs: DataFrame, reduce: str, vec: str, into:
 
     parts = left.groupBy("slice", "block").cogroup(right.groupBy("slice", "block")).applyInArrow(score, "_row long, part double")
     best = F.max("part") if reduce == "max" else F.sum("part") / total
-    return held.join(parts.groupBy("_row").agg(best.alias("_part")), "_row").withColumn(into, F.col("_part")).drop("_row", "_part")
+    return held.join(parts.groupBy("_row").agg(best.alias("_part")), "_row", "left").withColumn(into, F.col("_part")).drop("_row", "_part")
 
 
 def similarity_scores(frames: DataFrame, refs: DataFrame, reduce: str = "max", vec: str = "vec", into: str = "score") -> DataFrame:
@@ -71,10 +66,11 @@ def similarity_scores(frames: DataFrame, refs: DataFrame, reduce: str = "max", v
     Up to BLOCK references are broadcast as one matrix. More are dealt by row into
     blocks, which slices of frames meet in a shuffle, so that equal vectors don't
     gather and neither the driver nor a task holds more than a block; both ways give
-    the same scores. No pair becomes a row.
+    the same scores. No pair becomes a row. A null vector has a null score; null references count for none.
     """
     if reduce not in ("max", "mean"):
         raise ValueError(f"unknown reduction {reduce}")
+    refs = refs.where(F.col(vec).isNotNull())
     total = refs.count()
     if not total:
         raise ValueError("no reference vectors")
@@ -82,7 +78,7 @@ def similarity_scores(frames: DataFrame, refs: DataFrame, reduce: str = "max", v
         return _in_blocks(frames, refs, reduce, vec, into, total)
     own = refs.select(vec).toPandas()[vec]  # at most BLOCK vectors
     held = frames.sparkSession.sparkContext.broadcast(_unit_rows(np.stack(own.to_numpy()).astype(float)))
-    out = frames.withColumn(into, F.pandas_udf(_scorer(held, reduce), "double")(F.col(vec)))
+    out = arrow_scorer(lambda x: _reduced(_unit_rows(x), held.value, reduce))(frames, vec, into)
     return out if reduce == "max" else out.withColumn(into, F.col(into) / total)
 
 
@@ -97,26 +93,32 @@ def standardize(series: DataFrame, mode: str = "none", eps: float = 1e-8) -> Dat
     return series.join(of_key, F.col("key").eqNullSafe(F.col("of_key"))).withColumn("score", z).drop("of_key", "mean", "std")
 
 
-def smooth(series: DataFrame, window: int) -> DataFrame:
+def smooth(series: DataFrame, window: int, size: int | None = None) -> DataFrame:
     """Centered moving average over reflected edges; the window is cut to the series' length.
 
     Mirrored edge rows are added, averaged over rows [-p, w - 1 - p], then dropped. In a series shorter than the
-    window, the rows around each, fewer than two windows, are cut to the shorter one.
+    window, the rows around each, fewer than two windows, are cut to the shorter one. Series are cut into slices of
+    `size` rows; rows within a window of a slice's edge go to the slice beside it, too.
     """
     if window <= 1:
         return series
-    whole = Window.partitionBy("key")
+    size = max(size or slices.SLICE, window)
+    lengths = series.groupBy(F.col("key").alias("of")).agg(F.count("*").alias("n"))
     n = F.col("n")
-    own = series.withColumn("n", F.count("*").over(whole)).withColumn("w", F.least(F.lit(window), n))
+    own = series.join(lengths, F.col("key").eqNullSafe(F.col("of"))).drop("of").withColumn("w", F.least(F.lit(window), n))
     p = F.floor(F.col("w") / 2)
     front = F.when((F.col("idx") >= 1) & (F.col("idx") <= p), -F.col("idx"))
     back = F.when((F.col("idx") >= n - 1 - p) & (F.col("idx") < n - 1), 2 * (n - 1) - F.col("idx"))
     rows = own.withColumn("at", F.explode(F.array_compact(F.array(F.col("idx").cast("long"), front.cast("long"), back.cast("long")))))
-    order = Window.partitionBy("key").orderBy("at")
-    around = order.rowsBetween(-(window // 2), window - 1 - window // 2)
+    ahead = window // 2
+    slice_of = lambda at: F.floor(at / size)
+    rows = rows.withColumn("slice", F.explode(F.sequence(slice_of(F.col("at") - (window - 1 - ahead)), slice_of(F.col("at") + ahead))))
+    order = Window.partitionBy("key", "slice").orderBy("at")
+    around = order.rowsBetween(-ahead, window - 1 - ahead)
     short = F.col("w") < window
     near = F.collect_list(F.when(short, F.struct("score"))).over(around)
-    first = F.least(F.lit(window // 2), F.col("at") + p) - p + 1
+    first = F.least(F.lit(ahead), F.col("at") + p) - p + 1
     cut = F.slice(near, first.cast("int"), F.col("w").cast("int"))
     mean = F.when(short, F.aggregate(cut, F.lit(0.0), lambda a, x: a + x["score"]) / F.col("w")).otherwise(F.avg("score").over(around))
-    return rows.withColumn("smoothed", mean).where(F.col("at") == F.col("idx")).withColumn("score", F.col("smoothed")).drop("n", "w", "at", "smoothed")
+    kept = rows.withColumn("smoothed", mean).where((F.col("at") == F.col("idx")) & (F.col("slice") == slice_of(F.col("at"))))
+    return kept.withColumn("score", F.col("smoothed")).drop("n", "w", "at", "slice", "smoothed")

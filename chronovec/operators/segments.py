@@ -2,29 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from .scoring import smooth, standardize
+from .slices import Slices, composed, latest
 
 
-def runs(series: DataFrame, high: float, low: float | None = None) -> DataFrame:
+def runs(series: DataFrame, high: float, low: float | None = None, size: int | None = None) -> DataFrame:
     """key, start, end, peak, mean of the stretches that enter at >= high and leave at < low.
 
-    NaN scores change nothing, as a comparison with them is false.
+    NaN and null scores change nothing, as a comparison with them is false. Series of more than `size` rows are cut into
+    slices: what a slice does to the state is its last decision, if there is any.
     """
     low = high if low is None else low
     if low > high:
         raise ValueError("low must not be above high")
     score = F.col("score")
     enters, leaves = ~F.isnan(score) & (score >= high), ~F.isnan(score) & (score < low)
-    order = Window.partitionBy("key").orderBy("time", "idx")
-    state = F.last(F.when(enters, 1).when(leaves, 0), ignorenulls=True).over(order)
-    on = series.withColumn("on", F.coalesce(state, F.lit(0)))
-    fresh = (F.col("on") == 1) & (F.coalesce(F.lag("on").over(order), F.lit(0)) == 0)
+    own = Slices(series.select("key", "idx", "time", "score"), "key", ["time", "idx"], size)
+    own.rows = own.rows.withColumn("decided", F.when(enters, 1).when(leaves, 0))
+    own.carry("state_in", F.max_by("decided", F.when(F.col("decided").isNotNull(), F.struct("time", "idx"))), latest)
+    state = F.coalesce(F.last("decided", ignorenulls=True).over(own.along()), F.col("state_in"), F.lit(0))
+    own.rows = own.rows.withColumn("on", state)
+    before = F.coalesce(F.lag("on").over(own.along()), F.col("state_in"), F.lit(0))
+    own.rows = own.rows.withColumn("fresh", ((F.col("on") == 1) & (before == 0)).cast("int"))
+    own.carry("runs_in", F.sum("fresh"), F.sum)
     return (
-        on.withColumn("run", F.sum(fresh.cast("int")).over(order))
+        own.rows.withColumn("run", F.sum("fresh").over(own.along()) + F.coalesce("runs_in", F.lit(0)))
         .where("on = 1")
         .groupBy("key", "run")
         .agg(F.min("time").alias("start"), F.max("time").alias("end"), F.max("score").alias("peak"), F.avg("score").alias("mean"))
@@ -32,26 +37,35 @@ def runs(series: DataFrame, high: float, low: float | None = None) -> DataFrame:
     )
 
 
-def _merged(a: Column, b: Column) -> Column:
-    left, right = a["end"] - a["start"], b["end"] - b["start"]
-    mean = F.when(left + right > 0, (a["mean"] * left + b["mean"] * right) / (left + right)).otherwise((a["mean"] + b["mean"]) / 2)
-    return F.struct(
-        a["start"].alias("start"), F.greatest(a["end"], b["end"]).alias("end"), F.greatest(a["peak"], b["peak"]).alias("peak"), mean.alias("mean")
-    )
-
+def merge(segments: DataFrame, gap: float, size: int | None = None) -> DataFrame:
+    """Joins neighbours at most gap apart; the mean is folded in order, weighted by durations so far.
 
-def merge(segments: DataFrame, gap: float) -> DataFrame:
-    """Joins neighbours at most gap apart; the mean is folded in order, weighted by durations so far."""
-    order = Window.partitionBy("key").orderBy("start", "end")
-    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    parts = F.sort_array(F.collect_list(F.struct("start", "end", "peak", "mean")))
-    return (
-        segments.withColumn("island", F.sum(F.coalesce(F.col("start") - before > gap, F.lit(False)).cast("int")).over(order))
-        .groupBy("key", "island")
-        .agg(parts.alias("parts"))
-        .withColumn("one", F.aggregate(F.slice("parts", 2, F.size("parts")), F.col("parts")[0], _merged))
-        .select("key", "one.*")
+    A segment changes the mean so far by an affine map: its own mean counts by its duration, the mean so far by the time
+    since the first start, gaps included. The maps of a slice are composed, and then those of the slices.
+    """
+    own = Slices(segments.select("key", "start", "end", "peak", "mean"), "key", ["start", "end", "peak", "mean"], size)
+    own.carry("reach_in", F.max("end"), F.max)
+    own.rows = own.rows.withColumn("before", F.greatest(F.max("end").over(own.along(preceding=True)), "reach_in"))
+    own.rows = own.rows.withColumn("apart", F.coalesce(F.col("start") - F.col("before") > gap, F.lit(False)))
+    own.rows = own.rows.withColumn("opens", F.col("apart") | F.col("before").isNull())
+    own.carry("islands_in", F.sum(F.col("apart").cast("int")), F.sum)
+    place = F.struct("start", "end", "peak", "mean")
+    own.carry("start_in", F.max_by("start", F.when(F.col("opens"), place)), latest)
+    first = F.coalesce(F.last(F.when(F.col("opens"), F.col("start")), ignorenulls=True).over(own.along()), F.col("start_in"))
+    left, right = F.col("before") - F.col("first"), F.col("end") - F.col("start")
+    share = F.when(F.col("opens"), 0.0).when(left + right > 0, left / (left + right)).otherwise(0.5)
+    rows = (
+        own.rows.withColumn("island", F.sum(F.col("apart").cast("int")).over(own.along()) + F.coalesce("islands_in", F.lit(0)))
+        .withColumn("first", first)
+        .withColumn("share", share)
+        .withColumn("term", F.when(F.col("opens"), F.col("mean")).otherwise(F.col("mean") * (1 - F.col("share"))))
+        .select("part", "key", "island", "start", "end", "peak", "mean", "share", "term")
     )
+    rows = rows.withColumns({"at": F.col("start"), "until": F.col("end"), "height": F.col("peak")})
+    islands = composed(rows, ["part", "key", "island"], ["at", "until", "height", "mean"], "share", "term")
+    if own.cut:
+        islands = composed(islands, ["key", "island"], ["part"], "share", "term")
+    return islands.select("key", "start", "end", "peak", F.col("term").alias("mean"))
 
 
 def split(segments: DataFrame, longest: float | None) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronovec.functions import binary, names, vectors
-from chronovec.operators import candidates, catalog, joins, library, playlist, preference, recommend, scoring, search, segments
+from chronovec.operators import candidates, catalog, joins, library, playlist, preference, recommend, scorers, scoring, search, segments
 from chronovec.operators import labels as store
 from chronovec.plans import views
 from chronovec.plans.views import COSINE_SQL, FRAMES_SQL, LABELS_SQL, SERIES_SQL, table
@@ -264,6 +264,45 @@ def score_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("key", "start", "end", *_r("peak", "mean"))
 
 
+# scorers: a model of two means, the direction from the mean vector of all frames to that of the first of each scene
+
+_MODEL_SQL = f"""WITH {FRAMES_SQL}, parts AS (SELECT frame_idx = 0 AS liked, unnest(vec) AS x, unnest(range(len(vec))) AS i FROM frames),
+m AS (SELECT list(4 * (u - v) ORDER BY i) AS w FROM (SELECT i, round(avg(x) FILTER (liked), 9) AS u, round(avg(x), 9) AS v FROM parts GROUP BY i)),
+scored AS (SELECT key, frame_idx, time, category, 1 / (1 + exp(-(list_dot_product(vec, w) - 0.5))) AS score FROM frames, m)"""
+
+
+def _means_model(f: DataFrame):
+    parts = f.select((F.col("frame_idx") == 0).alias("liked"), F.posexplode("vec").alias("i", "x")).groupBy("i")
+    means = parts.agg(F.round(F.avg(F.when(F.col("liked"), F.col("x"))), 9).alias("u"), F.round(F.avg("x"), 9).alias("v"))
+    # one row for each number of a vector
+    return scorers.logistic_scorer([4 * (r["u"] - r["v"]) for r in means.orderBy("i").collect()], -0.5)
+
+
+@query(f"{_MODEL_SQL} SELECT key, frame_idx, round(score, 6) AS score FROM scored")
+def model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = views.frames(spark, sf_dir)
+    return _means_model(f)(f, "vec", "score").select("key", "frame_idx", *_r("score"))
+
+
+@query(f"""{_MODEL_SQL}, liked AS (SELECT DISTINCT key FROM frames WHERE category = 2 AND frame_idx = 7), {_ranked_sql(0.39, 0.37).replace("FROM scored", "FROM (SELECT * FROM scored WHERE key NOT IN (SELECT key FROM liked))")}
+SELECT rank, key, round("start", 3) AS "start", round("end", 3) AS "end", score, round(mean, 6) AS mean FROM ranked WHERE rank <= 50""")
+def recommend_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Moments by a model's scores, in scenes without a like."""
+    f = views.frames(spark, sf_dir)
+    likes = f.where("category = 2 AND frame_idx = 7").select("key", "time")
+    found = recommend.recommend(f, likes, 0.39, 0.37, scorer=_means_model(f), min_duration=3.0, merge_gap=2.0)
+    return found.select(F.col("rank").cast("long").alias("rank"), "key", "start", "end", "score", *_r("mean"))
+
+
+@query(f"""{_MODEL_SQL}, ranked AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY score DESC, frame_idx) AS nth FROM scored),
+drawn AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY md5('0:' || key || ':' || frame_idx)) AS pick FROM ranked WHERE nth > 3 AND category <> 4)
+SELECT key, frame_idx, time, round(score, 6) AS score, 'top' AS pool FROM ranked WHERE nth <= 3 AND category <> 4 UNION ALL SELECT key, frame_idx, time, round(score, 6), 'random' FROM drawn WHERE pick <= 1""")
+def candidates_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = views.frames(spark, sf_dir)
+    found = candidates.gather(f, _labeled(f), 3, 1, scorer=_means_model(f))
+    return found.select("key", "frame_idx", "time", *_r("score"), "pool")
+
+
 # labels
 
 _L = f"WITH {LABELS_SQL} "

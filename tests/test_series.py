@@ -131,3 +131,57 @@ def test_grid_and_increasing_times(spark):
     assert [r.g for r in rows.select(candidates.plan_grid(rows.d, 2.0).alias("g")).collect()] == [[0, 2, 4, 6, 8], [0], [], []]
     pts = spark.createDataFrame([("a", i, p) for i, p in enumerate([0.0, 1.0, 1.0, None, 0.5, 2.0])], "key string, frame_idx int, pts double")
     assert [r.frame_idx for r in candidates.increasing(pts).orderBy("frame_idx").collect()] == [0, 1, 3, 5]
+
+
+def test_series_cut_anywhere_equal_the_loop(spark):
+    rng = random.Random(9)
+    data = {"long": [(i * 0.5, rng.random()) for i in range(160)], "short": [(0.0, 0.9)], "still": [(i * 1.0, 0.1) for i in range(40)], "on": [(i * 1.0, 0.9) for i in range(40)]}
+    data["gaps"] = [(i * 1.0, rng.choice([0.9, 0.5, 0.1])) for i in range(90)]
+    rows = [(k, i, t, s) for k, pts in data.items() for i, (t, s) in enumerate(pts)]
+    rng.shuffle(rows)
+    own = spark.createDataFrame(rows, SCHEMA)
+    for size in (40, 1000):
+        got = {}
+        found = segments.merge(segments.runs(own, 0.7, 0.3, size), 0.6, size)
+        for r in found.collect():
+            got.setdefault(r.key, []).append((r.start, r.end, r.peak, r["mean"]))
+        for k, pts in data.items():
+            want = loop(pts, 0.7, 0.3, 0, 0.6, None, 0)
+            assert len(want) == len(got.get(k, []))
+            for a, b in zip(sorted(got.get(k, [])), want):
+                assert a == pytest.approx(tuple(b))
+
+
+def test_a_long_island_is_folded_over_slices(spark):
+    rng = random.Random(10)
+    parts = [(i * 1.0, i * 1.0 + rng.choice([0.0, 0.5, 1.2, 30.0]), rng.random(), rng.random()) for i in range(400)]
+    shuffled = [("a", *p) for p in rng.sample(parts, len(parts))] + [("b", 5.0, 5.0, 0.5, 0.2), ("b", 5.0, 5.0, 0.7, 0.6)]
+    want = list(parts[0])
+    for s in parts[1:]:
+        left, right = want[1] - want[0], s[1] - s[0]
+        mean = (want[3] * left + s[3] * right) / (left + right) if left + right > 0 else (want[3] + s[3]) / 2
+        want = [want[0], max(want[1], s[1]), max(want[2], s[2]), mean]
+    for size in (60, 5000):
+        found = segments.merge(spark.createDataFrame(shuffled, "key string, start double, end double, peak double, mean double"), 1.0, size).collect()
+        got = {r.key: (r.start, r.end, r.peak, r["mean"]) for r in found}
+        assert len(found) == 2 and got["a"] == pytest.approx(tuple(want)) and got["b"] == pytest.approx((5.0, 5.0, 0.7, 0.4))
+
+
+def test_smoothing_and_increasing_times_over_slices(spark):
+    rng = random.Random(11)
+    for n, w in ((1, 3), (6, 20), (50, 7), (50, 4)):
+        x = [rng.random() for _ in range(n)]
+        own = series(spark, x)
+        whole = [r.score for r in scoring.smooth(own, w).orderBy("idx").collect()]
+        for size in (4,):
+            rows = scoring.smooth(own, w, size).orderBy("idx").collect()
+            assert [r.score for r in rows] == pytest.approx(whole) and [r.idx for r in rows] == list(range(n))
+    pts = [rng.choice([None, *range(30)]) for _ in range(120)]
+    rows = spark.createDataFrame([("a", i, None if p is None else float(p)) for i, p in enumerate(pts)], "key string, frame_idx int, pts double")
+    kept, top = [], -1.0
+    for i, p in enumerate(pts):
+        if p is None or p > top:
+            kept.append(i)
+        top = max(top, p if p is not None else top)
+    for size in (30, 1000):
+        assert [r.frame_idx for r in candidates.increasing(rows, size=size).orderBy("frame_idx").collect()] == kept
