@@ -74,23 +74,9 @@ def _best(scores: np.ndarray, scenes: np.ndarray, allowed: np.ndarray, top_k: in
     return order[:top_k]
 
 
-def search_each(frames: DataFrame, queries: DataFrame, top_k: int = 60, per_scene: int | None = 3, exclude_own: bool = True) -> DataFrame:
-    """query_key, query_idx, rank, key, frame_idx, time, score: the best of frames for each of queries(key, frame_idx, vec).
-
-    Dot products with unit queries, compared after rounding to nine places; equal ones by key and frame_idx. With
-    exclude_own a query's own scene is left out. Blocks of queries meet slices of frames in a shuffle as matrix
-    products, and each meeting gives its top_k under the cap only. That is exact: before a frame that a slice
-    leaves out stand top_k others under the cap there, and no fewer over all slices.
-    """
-    number = F.monotonically_increasing_id()
-    held = written(frames.select("key", "frame_idx", "time", F.col("vec").cast("array<double>").alias("vec")).withColumn("_row", number), "frames")
-    asked = written(queries.select(F.col("key").alias("query_key"), F.col("frame_idx").alias("query_idx"), unit(F.col("vec").cast("array<double>")).alias("query")).withColumn("_query", number), "queries")
-    slices, blocks = (max(-(-t.count() // size), 1) for t, size in ((held, FRAMES_AT_ONCE), (asked, QUERIES_AT_ONCE)))
-    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = held.withColumn("slice", deal("_row", slices)).drop("_row").withColumn("block", every(blocks))
-    right = asked.select("_query", "query_key", "query", deal("_query", blocks).alias("block")).withColumn("slice", every(slices))
-    schema = StructType([StructField("_query", LongType()), *(held.schema[c] for c in ("key", "frame_idx", "time")), StructField("score", DoubleType())])
+def meeting(left: DataFrame, right: DataFrame, by: list[str], top_k: int, per_scene: int | None, exclude_own: bool) -> DataFrame:
+    """_query, key, frame_idx, time, score: the best of left(key, frame_idx, time, vec) for each of right(_query, query_key, query) of its group."""
+    schema = StructType([StructField("_query", LongType()), *(left.schema[c] for c in ("key", "frame_idx", "time")), StructField("score", DoubleType())])
 
     def meet(own: pa.Table, others: pa.Table) -> pa.Table:
         own = own.take(pc.sort_indices(own, [("key", "ascending"), ("frame_idx", "ascending")], null_placement="at_start"))
@@ -108,8 +94,31 @@ def search_each(frames: DataFrame, queries: DataFrame, top_k: int = 60, per_scen
         kept = own.select(["key", "frame_idx", "time"]).take(pa.array(at))
         return kept.add_column(0, "_query", pa.array(np.concatenate(found) if found else at, pa.int64())).append_column("score", pa.array(np.concatenate(scores) if scores else at, pa.float64()))
 
-    hits = left.groupBy("slice", "block").cogroup(right.groupBy("slice", "block")).applyInArrow(meet, schema)
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(meet, schema)
+
+
+def best_of(hits: DataFrame, top_k: int, per_scene: int | None) -> DataFrame:
+    """hits(_query, key, frame_idx, time, score) with their rank, the top_k under the cap for each query."""
     order = [F.desc("score"), F.col("key"), F.col("frame_idx")]
     hits = capped(hits, ["_query", "key"], per_scene, order)
-    hits = hits.withColumn("rank", F.row_number().over(Window.partitionBy("_query").orderBy(*order))).where(F.col("rank") <= top_k)
-    return hits.join(asked.drop("query"), "_query").select("query_key", "query_idx", "rank", "key", "frame_idx", "time", "score")
+    return hits.withColumn("rank", F.row_number().over(Window.partitionBy("_query").orderBy(*order))).where(F.col("rank") <= top_k)
+
+
+def search_each(frames: DataFrame, queries: DataFrame, top_k: int = 60, per_scene: int | None = 3, exclude_own: bool = True) -> DataFrame:
+    """query_key, query_idx, rank, key, frame_idx, time, score: the best of frames for each of queries(key, frame_idx, vec).
+
+    Dot products with unit queries, compared after rounding to nine places; equal ones by key and frame_idx. With
+    exclude_own a query's own scene is left out. Blocks of queries meet slices of frames in a shuffle as matrix
+    products, and each meeting gives its top_k under the cap only. That is exact: before a frame that a slice
+    leaves out stand top_k others under the cap there, and no fewer over all slices.
+    """
+    number = F.monotonically_increasing_id()
+    held = written(frames.select("key", "frame_idx", "time", F.col("vec").cast("array<double>").alias("vec")).withColumn("_row", number), "frames")
+    asked = written(queries.select(F.col("key").alias("query_key"), F.col("frame_idx").alias("query_idx"), unit(F.col("vec").cast("array<double>")).alias("query")).withColumn("_query", number), "queries")
+    slices, blocks = (max(-(-t.count() // size), 1) for t, size in ((held, FRAMES_AT_ONCE), (asked, QUERIES_AT_ONCE)))
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = held.withColumn("slice", deal("_row", slices)).drop("_row").withColumn("block", every(blocks))
+    right = asked.select("_query", "query_key", "query", deal("_query", blocks).alias("block")).withColumn("slice", every(slices))
+    found = best_of(meeting(left, right, ["slice", "block"], top_k, per_scene, exclude_own), top_k, per_scene)
+    return found.join(asked.drop("query"), "_query").select("query_key", "query_idx", "rank", "key", "frame_idx", "time", "score")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronovec.functions import binary, names, vectors
-from chronovec.operators import candidates, catalog, joins, library, playlist, preference, recommend, scorers, scoring, search, segments
+from chronovec.operators import candidates, catalog, index, joins, library, playlist, preference, recommend, scorers, scoring, search, segments
 from chronovec.operators import labels as store
 from chronovec.plans import views
 from chronovec.plans.views import COSINE_SQL, FRAMES_SQL, LABELS_SQL, SERIES_SQL, table
@@ -105,11 +105,14 @@ def similar_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.similar_frames(f, "s2", 40.0, labeled).select("key", "frame_idx", "time", *_r("score"))
 
 
-@query(f"""WITH {FRAMES_SQL}, q AS (SELECT key AS query_key, frame_idx AS query_idx, list_transform(vec, lambda x: x / sqrt(list_dot_product(vec, vec))) AS query FROM frames WHERE (CAST(key[2:] AS BIGINT) * 50 + frame_idx) % 20 = 0),
+_EACH_SQL = f"""WITH {FRAMES_SQL}, q AS (SELECT key AS query_key, frame_idx AS query_idx, list_transform(vec, lambda x: x / sqrt(list_dot_product(vec, vec))) AS query FROM frames WHERE (CAST(key[2:] AS BIGINT) * 50 + frame_idx) % 20 = 0),
 hits AS (SELECT query_key, query_idx, key, frame_idx, time, round(list_dot_product(vec, query), 9) AS score FROM frames JOIN q ON key <> query_key),
 held AS (SELECT *, row_number() OVER (PARTITION BY query_key, query_idx, key ORDER BY score DESC, frame_idx) AS nth FROM hits),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_key, query_idx ORDER BY score DESC, key, frame_idx) AS rank FROM held WHERE nth <= 3)
-SELECT query_key, query_idx, rank, key, frame_idx, time, round(score, 6) AS score FROM ranked WHERE rank <= 60""")
+SELECT query_key, query_idx, rank, key, frame_idx, time, round(score, 6) AS score FROM ranked WHERE rank <= 60"""
+
+
+@query(_EACH_SQL)
 def search_each_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every frame whose id is divisible by 20 is a query against all frames of other scenes."""
     f = views.frames(spark, sf_dir)
@@ -117,6 +120,21 @@ def search_each_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search_each(f, asked).select("query_key", "query_idx", "rank", "key", "frame_idx", "time", *_r("score"))
 
 
+@query(_EACH_SQL)
+def search_each_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search through a clustered index, which reads only slices that can still win."""
+    f = views.frames(spark, sf_dir)
+    asked = f.where((F.substring("key", 2, 20).cast("long") * 50 + F.col("frame_idx")) % 20 == 0)
+    return index.VectorIndex(f, rows_of_slice=64).search(asked).hits.select("query_key", "query_idx", "rank", "key", "frame_idx", "time", *_r("score"))
+
+
+@query(SQL["similar_frames"])
+def similar_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = views.frames(spark, sf_dir)
+    labeled = f.where("category = 3").select("key", store.centiseconds(F.col("time")).alias("time_cs"))
+    return index.VectorIndex(f, normalize=True, rows_of_slice=64).similar("s2", 40.0, labeled).select("key", "frame_idx", "time", *_r("score"))
+
+
 # series
 
 @query(f"WITH {SERIES_SQL} SELECT key, idx, round((score - avg(score) OVER w) / stddev_pop(score) OVER w, 6) AS score FROM series WINDOW w AS (PARTITION BY key)")
