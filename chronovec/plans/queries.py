@@ -12,6 +12,7 @@ from chronovec.operators import candidates, catalog, index, joins, library, play
 from chronovec.operators import labels as store
 from chronovec.plans import views
 from chronovec.plans.views import COSINE_SQL, FRAMES_SQL, LABELS_SQL, SERIES_SQL, table
+from chronovec.sources import paged
 from chronovec.sources.shared import shared_path
 from chronovec.streaming import playback
 
@@ -675,6 +676,24 @@ def latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return playback.run_to_table(last, name, shared_path(spark, name)).select("source", "path", "current_time", "playing", "speed", "seq")
 
 
+# a library in pages
+
+_PAGED_SQL = """WITH scenes AS (SELECT o_orderkey AS id, o_orderpriority AS title, '/lib/' || o_orderstatus || '/' || o_custkey || '/' || o_orderkey AS path, o_totalprice AS duration FROM orders)
+SELECT CAST(id AS VARCHAR) AS scene_id, title, path, round(CAST(duration AS DOUBLE), 2) AS duration FROM scenes WHERE starts_with(path, '/lib/O/')"""
+
+
+@query(_PAGED_SQL)
+def paged_library(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as scenes of a library in pages, of which those under a folder are read."""
+    file = F.struct(
+        F.concat_ws("/", F.lit("/lib"), "o_orderstatus", F.col("o_custkey").cast("string"), F.col("o_orderkey").cast("string")).alias("path"), F.round(F.col("o_totalprice").cast("double"), 2).alias("duration")
+    )
+    scenes = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("title"), F.array(file).alias("files"))
+    path = shared_path(spark, "library")
+    paged.write_pages(scenes, path, 1000)
+    return paged.read_pages(spark, path, "/lib/O/").select("scene_id", "title", "path", "duration")
+
+
 # library records and byte strings
 
 def _orders(spark, sf_dir):

@@ -5,7 +5,6 @@ from __future__ import annotations
 import io
 import json
 import re
-import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 
 from chronovec.functions.names import path_key
 from chronovec.operators.labels import centiseconds, upsert
+from chronovec.sources.versions import VersionedStore
 
 FRAMES = "key string, frame_idx int, time float, vec array<float>, meta string"
 LABELS = "key string, time double, label int, profile string, scene_id string, ts double"
@@ -88,13 +88,13 @@ def references_dir(spark: SparkSession, base: str, tag: str) -> str:
 
 
 def reference_files(spark: SparkSession, path: str, extensions: str = "jpg,jpeg,png,webp,bmp") -> DataFrame:
-    """path and content of the images right in a folder; those of folders below belong to other profiles."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
+    """path and content of the images right in a folder; those of folders below belong to other profiles and aren't opened."""
     at, system = _files(spark, path)
-    top = F.substring_index("path", "/", -1)
-    inside = F.col("path").startswith(system.makeQualified(at).toString().rstrip("/") + "/")
-    depth = F.length("path") - F.length(top) == len(system.makeQualified(at).toString().rstrip("/")) + 1
-    return found.where(inside & depth & F.lower(F.regexp_extract("path", r"\.([^./\\]+)$", 1)).isin(extensions.split(",")))
+    named = re.compile(rf"\.({extensions.replace(',', '|')})$", re.I)
+    own = [f.getPath().toString() for f in system.listStatus(at) if f.isFile() and named.search(f.getPath().getName())]
+    if not own:
+        return spark.createDataFrame([], "path string, content binary")
+    return spark.read.format("binaryFile").load(own).select("path", "content")
 
 
 def load_references(spark: SparkSession, path: str, embed: Callable[[Column], Column]) -> DataFrame:
@@ -111,22 +111,32 @@ def read_json_list(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return rows.where(F.coalesce(*(F.col(c).cast("string") for c in rows.columns)).isNotNull())
 
 
+def _label_versions(spark: SparkSession, path: str) -> VersionedStore:
+    return VersionedStore(spark, path, LABELS, ["key", "time", "profile"], "json")
+
+
 def write_labels(labels: DataFrame, path: str) -> None:
-    """Saves labels as JSON lines: written beside the store and then put in its place, so a failed save leaves it as it was."""
-    fresh = f"{path.rstrip('/')}.fresh-{uuid.uuid4().hex}"
-    labels.select(*(c.split()[0] for c in LABELS.split(", "))).write.option("ignoreNullFields", False).json(fresh)
-    (old, system), (new, _) = _files(labels.sparkSession, path), _files(labels.sparkSession, fresh)
-    system.delete(old, True)
-    if not system.rename(new, old):
-        raise OSError(f"{fresh} can't be put at {path}")
+    """Saves labels as JSON lines: a new version beside the old one, which readers see until the new one is whole."""
+    rows = labels.select(*(c.split()[0] for c in LABELS.split(", ")))
+    _label_versions(labels.sparkSession, path).save(lambda _, number: rows.withColumn("seq", F.lit(number).cast("long")))
 
 
 def read_labels(spark: SparkSession, path: str, lines: bool = True) -> DataFrame:
-    """Labels of a store of JSON lines, or of a JSON list; of rows with the same identity the last one counts."""
-    rows = spark.read.schema(LABELS).option("multiLine", not lines).option("mode", "DROPMALFORMED").json(path)
+    """Labels of a store, or of files of JSON lines or a JSON list; of rows with the same identity the last one counts.
+
+    Rows come in order of their files' names, and in files in order of their places; files are read in any order, so
+    the order is carried as a column.
+    """
+    store = _label_versions(spark, path)
+    if store.versions():
+        rows = store.load().withColumn("order", F.struct("seq", F.monotonically_increasing_id().alias("nth")))
+    else:
+        files = spark.read.schema(LABELS).option("multiLine", not lines).option("mode", "DROPMALFORMED").json(path)
+        place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("nth"))
+        rows = files.select("*", place.alias("order"))
     rows = rows.where("key IS NOT NULL").withColumn("ts", F.coalesce("ts", F.lit(0.0)))
-    last = upsert(rows.withColumn("time_cs", centiseconds(F.col("time"))).withColumn("seq", F.monotonically_increasing_id()))
-    return last.drop("seq", "time_cs")
+    last = upsert(rows.withColumn("time_cs", centiseconds(F.col("time"))), by="order")
+    return last.select(*(c.split()[0] for c in LABELS.split(", ")))
 
 
 def read_playlist(spark: SparkSession, path: str, lines: bool = True) -> DataFrame:

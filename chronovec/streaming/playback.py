@@ -33,20 +33,31 @@ def latest_state(states: DataFrame, by: str, order: str) -> DataFrame:
     return states.groupBy(by).agg(F.max_by(F.struct(*rest), F.col(order)).alias("last")).select(by, "last.*")
 
 
+def batches_of(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the batches whose tables lie in a folder."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in system.listStatus(at)] if system.exists(at) else []
+    whole = lambda n: system.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}/_SUCCESS"))
+    return sorted(int(n) for n in names if n.isdigit() and whole(n))
+
+
 def run_to_table(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Runs a stream over what is there and returns its result, a Parquet table beside the checkpoint."""
-    written: list[str] = []
+    """Runs a stream over what is there and returns its result, a Parquet table beside the checkpoint.
+
+    Every batch is a folder by its number: one that runs again after a crash writes the same folder, and a later run
+    with the same checkpoint returns what earlier ones wrote as well. A complete result replaces those before.
+    """
+    folder = f"{checkpoint.rstrip('/')}-table"
 
     def write(batch: DataFrame, number: int) -> None:
-        path = f"{checkpoint}-table/{number}"
-        batch.write.mode("overwrite").parquet(path)
-        written.append(path)
+        batch.write.mode("overwrite").parquet(f"{folder}/{number}")
 
     query = stream.writeStream.outputMode(mode).foreachBatch(write).queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    # a complete result replaces the one before
-    paths = written[-1:] if mode == "complete" else written
     spark = stream.sparkSession
+    known = batches_of(spark, folder)
+    paths = [f"{folder}/{n}" for n in (known[-1:] if mode == "complete" else known)]
     return spark.read.schema(stream.schema).parquet(*paths) if paths else spark.createDataFrame([], stream.schema)
 
 
