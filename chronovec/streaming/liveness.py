@@ -57,7 +57,8 @@ def mirror(states: DataFrame, by: str, order: str, silence: float = 3.0) -> Data
     states: a row for each packet; within a batch that with the largest `order` counts, over batches the later one.
     A source that is silent for `silence` seconds of processing time comes once with connected = false, with what it
     played last; its next packet connects it again. Timers are looked at with each batch, also one without data, so a
-    processing-time trigger is needed; a run over what is there (availableNow) would wait for timers for ever.
+    processing-time trigger is needed; a run over what is there (availableNow) would wait for timers for ever. After a
+    restart they are looked at from the first packet on.
     """
     spark = states.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
