@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -9,8 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from chronovec.functions.vectors import dot
 from chronovec.sources.shared import written
 
+from .joins import nearest
+from .slices import Slices, latest
+
 NEURAL_FROM = 200
 
 
@@ -29,7 +35,7 @@ def train(data: DataFrame, kind: str = "auto", weight: str | None = None, seed:
     """A fitted model of data(vec, label); auto takes the neural one from NEURAL_FROM rows on.
 
     The logistic one balances classes and has the penalty 1/2 |b|^2 beside the summed loss. The neural one knows no
-    weights: rows are drawn again within each class, in proportion to theirs. One class alone, or vectors of several
+    weights: rows are drawn again within each class, with replacement and in proportion to theirs. One class alone, or vectors of several
     lengths, raise ValueError.
     """
     sizes = {r["label"]: r["n"] for r in data.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -56,12 +62,33 @@ def _width(rows: DataFrame) -> int:
     return sizes["most"]
 
 
+def drawn_rows(rows: DataFrame, weight: str, seed: int) -> DataFrame:
+    """(_row, times): a bootstrap of rows(_row, label, weight): from each label as many draws as it has rows, with replacement, by weight.
+
+    Weights, 1e-9 at least, are cumulated in order of _row; a draw is a hashed number below their sum, and falls on the row in
+    whose share it lies. Rows and draws are ordered together in ranges, and a draw takes the last row before it: no label is one task.
+    """
+    own = Slices(rows.select("_row", "label", F.greatest(F.col(weight).cast("double"), F.lit(1e-9)).alias("w")), "label", ["_row"])
+    own.carry("before", F.sum("w"), F.sum)
+    start = F.coalesce(F.sum("w").over(own.along(preceding=True)), F.lit(0.0)) + F.coalesce("before", F.lit(0.0))
+    shares = written(own.rows.select("label", "_row", "w", start.alias("start")), "shares")
+    totals = {r["label"]: (r["n"], r["total"]) for r in shares.groupBy("label").agg(F.count("*").alias("n"), F.max(F.col("start") + F.col("w")).alias("total")).collect()}
+    both = shares.select("label", F.col("start").alias("at"), F.lit(0).alias("kind"), "_row", F.lit(None).cast("long").alias("draw"))
+    for label, (n, total) in totals.items():
+        share = F.shiftrightunsigned(F.xxhash64("id", F.lit(int(label)), F.lit(seed)), 11).cast("double") / float(1 << 53)
+        draws = rows.sparkSession.range(n).select(F.lit(label).alias("label"), (share * total).alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("_row"), F.col("id").alias("draw"))
+        both = both.unionByName(draws)
+    met = Slices(both, "label", ["at", "kind", "_row", "draw"])
+    met.carry("row_in", F.max_by("_row", F.when(F.col("_row").isNotNull(), F.struct("at", "_row"))), latest)
+    found = met.rows.withColumn("found", F.coalesce(F.last("_row", ignorenulls=True).over(met.along()), F.col("row_in")))
+    return found.where("kind = 1").groupBy(F.col("found").alias("_row")).agg(F.count("*").cast("int").alias("times"))
+
+
 def _drawn_again(rows: DataFrame, weight: str, seed: int) -> DataFrame:
-    """Each row as often as its weight asks for beside its class's mean, the fraction by chance; classes keep their sizes, about."""
-    means = rows.groupBy("label").agg(F.avg(weight).alias("usual"))  # two rows
-    share = F.col(weight) / F.col("usual")
-    times = F.floor(share + F.rand(seed)).cast("int")
-    return rows.join(F.broadcast(means), "label").withColumn("times", times).where("times > 0").withColumn("again", F.explode(F.sequence(F.lit(1), "times"))).drop("usual", "times", "again")
+    """A weighted bootstrap of rows(label, ...); labels keep their sizes."""
+    held = written(rows.withColumn("_row", F.monotonically_increasing_id()), "examples")
+    times = written(drawn_rows(held, weight, seed), "draws")
+    return held.join(times, "_row").withColumn("again", F.explode(F.sequence(F.lit(1), "times"))).drop("_row", "times", "again")
 
 
 def save(model, path: str) -> None:
@@ -116,13 +143,109 @@ def stratified_folds(data: DataFrame, folds: int, seed: int = 0, buckets: int =
     return own.withColumn("nth", nth).join(offsets, ["label", "bucket"]).withColumn("fold", F.pmod(F.col("nth") + F.col("offset"), F.lit(folds)).cast("int")).drop("draw", "bucket", "nth", "offset")
 
 
+def fold_models(dealt: DataFrame, folds: int, most_steps: int = 50, tol: float = 1e-10) -> np.ndarray:
+    """(folds, width + 1) weights and intercept of the logistic models that leave one fold of dealt(vec, label, fold) out each.
+
+    Newton's method for all folds at once: a step is one pass, in which tasks add up the gradients and Gram matrices of all
+    models; sums of tasks are added in two rounds. The loss is train's: classes balanced, penalty 1/2 |b|^2 without the intercept.
+    A result has folds * width^2 numbers.
+    """
+    width = _width(dealt)
+    n = np.zeros((folds, 2))
+    for r in dealt.groupBy("fold", "label").count().collect():
+        n[np.arange(folds) != r["fold"], int(r["label"])] += r["count"]
+    if (n == 0).any():
+        raise ValueError("both classes are needed")
+    balance = n.sum(1, keepdims=True) / (2 * n)
+    size = width + 1
+    beta = np.zeros((folds, size))
+    rows = dealt.select("vec", F.col("label").cast("int").alias("label"), F.col("fold").cast("int").alias("fold"))
+    parts = max(1, int(dealt.rdd.getNumPartitions() ** 0.5))
+
+    def sums(known: np.ndarray):
+        def run(batches):
+            gradient, gram = np.zeros((folds, size)), np.zeros((folds, size, size))
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                x = np.stack([np.asarray(v, float) for v in batch.column("vec").to_pandas()])
+                x = np.hstack([x, np.ones((len(x), 1))])
+                y, fold = batch.column("label").to_numpy(), batch.column("fold").to_numpy()
+                for k in range(folds):
+                    own = fold != k
+                    z, w = x[own], balance[k][y[own]]
+                    p = 1 / (1 + np.exp(-np.clip(z @ known[k], -500, 500)))
+                    gradient[k] += z.T @ (w * (p - y[own]))
+                    gram[k] += (z * (w * p * (1 - p))[:, None]).T @ z
+            yield packed(gradient, gram)
+
+        return run
+
+    def packed(gradient: np.ndarray, gram: np.ndarray) -> pa.RecordBatch:
+        flat = [np.concatenate([g, h.ravel()]).tolist() for g, h in zip(gradient, gram)]
+        return pa.RecordBatch.from_arrays([pa.array(range(folds), pa.int32()), pa.array(flat, pa.list_(pa.float64()))], ["model", "sums"])
+
+    def added(key: tuple[pa.Scalar, ...], found: pa.Table) -> pa.Table:
+        total = np.sum(np.stack([np.asarray(v) for v in found.column("sums").to_pandas()]), axis=0)
+        return pa.table({"model": pa.array([key[0].as_py()], pa.int32()), "sums": pa.array([total.tolist()], pa.list_(pa.float64()))})
+
+    schema = "model int, sums array<double>"
+    for _ in range(most_steps):
+        each = rows.mapInArrow(sums(beta), schema)
+        if parts > 1:
+            each = each.withColumn("group", F.pmod(F.spark_partition_id(), F.lit(parts))).groupBy("model", "group").applyInArrow(added, schema)
+        step = np.zeros_like(beta)
+        penalty = np.diag([1.0] * width + [0.0])
+        for r in each.groupBy("model").applyInArrow(added, schema).toArrow().to_pylist():
+            k, flat = r["model"], np.array(r["sums"])
+            gradient, gram = flat[:size] + penalty @ beta[k], flat[size:].reshape(size, size) + penalty
+            step[k] = np.linalg.solve(gram + 1e-12 * np.eye(size), gradient)
+        beta = beta - step
+        if np.abs(step).max() < tol:
+            break
+    return beta
+
+
 def cross_validated_auc(data: DataFrame, folds: int = 5, kind: str = "logreg", seed: int = 0) -> float:
-    """Mean AUC over stratified folds, at most as many as the smaller class has rows."""
+    """Mean AUC over stratified folds, at most as many as the smaller class has rows; logistic models of all folds in one go."""
     least = data.groupBy("label").count().agg(F.min("count")).first()[0]
     folds = min(folds, least)
     dealt = written(stratified_folds(data, folds, seed), "folds")
-    found = [
-        auc(predict(train(dealt.where(F.col("fold") != i), kind), dealt.where(F.col("fold") == i)).withColumn("model", F.lit(0)), "probability").first()["auc"]
-        for i in range(folds)
-    ]
+    if kind == "logreg":
+        beta = fold_models(dealt, folds)
+        weights = F.array(*(F.array(*(F.lit(float(x)) for x in b)) for b in beta))
+        own = F.element_at(weights, F.col("fold") + 1)
+        scored = dealt.select(F.col("fold").alias("model"), "label", (dot(F.col("vec"), F.slice(own, 1, beta.shape[1] - 1)) + F.element_at(own, -1)).alias("score"))
+        found = [r["auc"] for r in auc(scored).collect()]
+    else:
+        held = lambda i: predict(train(dealt.where(F.col("fold") != i), kind), dealt.where(F.col("fold") == i)).withColumn("model", F.lit(0))
+        found = [auc(held(i), "probability").first()["auc"] for i in range(folds)]
     return sum(found) / len(found)
+
+
+def training_set(labels: DataFrame, frames: DataFrame, profile: str) -> DataFrame:
+    """(vec, label, ts) of the frame nearest to each of a profile's labels(key, time, label, profile, ts); others drop out."""
+    own = labels.where(F.col("profile") == profile).select("key", F.col("time").cast("double").alias("time"), "label", F.coalesce("ts", F.lit(0.0)).alias("ts"))
+    near = nearest(own, frames).select("key", "frame_idx", "label", "ts")
+    return near.join(frames.select("key", F.col("frame_idx").cast("long").alias("frame_idx"), "vec"), ["key", "frame_idx"]).select("vec", F.col("label").cast("int").alias("label"), "ts")
+
+
+def train_profile(labels: DataFrame, frames: DataFrame, profile: str, kind: str = "logreg", halflife_days: float = 0.0, now: float = 0.0, folds: int = 5, seed: int = 0):
+    """(model, statistics) for a profile's labels: samples, positives, kind, recency, and for logistic ones cv_auc and cv_folds.
+
+    auto takes the neural model from NEURAL_FROM samples on. With a half-life, and where any label's time is known, recent
+    labels weigh more; the cross-validation stays without weights.
+    """
+    data = written(training_set(labels, frames, profile), "training-set")
+    sizes = data.agg(F.count("*").alias("n"), F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("ts") > 0).alias("known")).first()
+    if not 0 < sizes["pos"] < sizes["n"]:
+        raise ValueError("both classes are needed")
+    resolved = ("mlp" if sizes["n"] >= NEURAL_FROM else "logreg") if kind == "auto" else kind
+    recency = halflife_days > 0 and sizes["known"] > 0
+    rows = recency_weights(data, halflife_days, now) if recency else data
+    model = train(rows, resolved, "weight" if recency else None, seed)
+    stats = {"samples": sizes["n"], "positives": sizes["pos"], "kind": resolved, "recency": recency}
+    folds = min(folds, sizes["pos"], sizes["n"] - sizes["pos"])
+    if resolved == "logreg" and folds >= 2:
+        stats |= {"cv_auc": round(cross_validated_auc(data.select("vec", "label"), folds, seed=seed), 3), "cv_folds": folds}
+    return model, stats
