@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronovec.functions import binary, names, vectors
-from chronovec.operators import candidates, catalog, index, joins, library, playlist, preference, recommend, scorers, scoring, search, segments
+from chronovec.operators import candidates, catalog, index, joins, label_store, library, playlist, preference, recommend, scorers, scoring, search, segments
 from chronovec.operators import labels as store
 from chronovec.plans import views
 from chronovec.plans.views import COSINE_SQL, FRAMES_SQL, LABELS_SQL, SERIES_SQL, table
 from chronovec.sources import paged
 from chronovec.sources.shared import shared_path
-from chronovec.streaming import playback
+from chronovec.streaming import jsonstream, playback
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -389,6 +389,18 @@ def recency_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference.recency_weights(own, 5000.0 / 86400.0, 20000.0).select("key", "time_cs", "profile", *_r("weight"))
 
 
+@query(_L + "SELECT key, time_cs, profile, label FROM store")
+def versioned_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ratings in three batches into a store by versions; a batch that comes again changes nothing."""
+    log = views.labels(spark, sf_dir).withColumn("time", F.col("time_cs") / 100)
+    last = log.agg(F.max("seq")).first()[0] or 0
+    own = label_store.LabelStore(spark, shared_path(spark, "labels"))
+    for number in (0, 1, 2, 1):
+        part = log.where(F.least(F.floor(F.col("seq") * 3 / (last + 1)), F.lit(2)) == number)
+        own.add(part.select("key", "time", "label", "profile", "ts", "seq"), order="seq", batch=("events", number))
+    return own.load().select("key", "time_cs", "profile", "label")
+
+
 # joins
 
 @query(f"""WITH {FRAMES_SQL}, l AS (SELECT 's' || CAST(user_id % 12 AS VARCHAR) AS key, CAST(event_id % 4000 AS DOUBLE) / 10 AS time, event_id FROM events WHERE event_type = 'purchase'),
@@ -657,6 +669,19 @@ def train_mlp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference.predict(preference.train(data, "mlp"), data).select("key", "frame_idx", *_r("probability"))
 
 
+@query()
+def train_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of a profile trained on purchases and errors, and the model's probability for every frame."""
+    marks = table(spark, sf_dir, "events").where("event_type IN ('purchase', 'error')").select(
+        F.concat(F.lit("s"), (F.col("user_id") % 8).cast("string")).alias("key"), ((F.col("event_id") % 4000).cast("double") / 10).alias("time"),
+        (F.col("event_type") == "purchase").cast("int").alias("label"), F.lit("base").alias("profile"), F.col("event_id").cast("double").alias("ts"),
+    )
+    f = views.frames(spark, sf_dir)
+    model, stats = preference.train_profile(marks, f, "base", "logreg", 0.1, 20000.0)
+    scored = scorers.model_scorer(model)(f, "vec", "probability").select("key", "frame_idx", *_r("probability"))
+    return scored.select("*", *(F.lit(v).alias(k) for k, v in stats.items()))
+
+
 # streaming
 
 @query("""SELECT user_id AS source, arg_max(event_type, event_id) AS path, arg_max(round(value, 2), event_id) AS current_time, arg_max(event_type <> 'error', event_id) AS playing, arg_max(CASE WHEN value > 100 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END, event_id) AS speed, max(event_id) AS seq FROM events GROUP BY user_id""".replace("AS current_time", 'AS "current_time"'))
@@ -694,6 +719,18 @@ def paged_library(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paged.read_pages(spark, path, "/lib/O/").select("scene_id", "title", "path", "duration")
 
 
+@query("SELECT user_id AS source, event_id AS seq, event_type AS kind, round(value, 2) AS value FROM events")
+def unframed_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packets without framing, each cut into two chunks somewhere, put together again."""
+    packet = F.to_json(F.struct(F.col("event_id").alias("seq"), F.col("event_type").alias("kind"), F.round("value", 2).alias("value"))).cast("binary")
+    cut = F.col("event_id") % 23 + 1
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", packet.alias("packet"), cut.cast("int").alias("cut"))
+    pieces = F.array(F.struct(F.lit(0).alias("nth"), F.expr("substring(packet, 1, cut)").alias("data")), F.struct(F.lit(1).alias("nth"), F.expr("substring(packet, cut + 1)").alias("data")))
+    chunks = rows.select("user_id", "event_id", F.explode(pieces).alias("p")).select(F.col("user_id").alias("source"), (F.col("event_id") * 2 + F.col("p.nth")).alias("seq"), "p.data")
+    held = F.from_json("message", "seq long, kind string, value double")
+    return jsonstream.json_objects(chunks).select("source", held.alias("m")).select("source", "m.seq", "m.kind", "m.value")
+
+
 # library records and byte strings
 
 def _orders(spark, sf_dir):
