@@ -20,9 +20,9 @@ text if at most half of it is links and it has at least FALLBACK_WORDS words.
 
 Null or empty html gives an empty text. Character references are decoded, scripts,
 styles and comments skipped; truncated markup ends the page, and a tag whose quote is
-never closed ends at its first >. A path is the innermost PATH_PARTS parts of the open
-tags, so that tags left open cost no more than their number. Each row has a result of
-its own, repeated rows too; an empty table gives an empty one; other columns are
+never closed ends at its first >. A page is read in time in proportion to its length,
+whatever is left open in it: ends that are missing are looked for once, and a path's
+vector is its parent's with the parts of one more tag. Each row has a result of its own, repeated rows too; an empty table gives an empty one; other columns are
 ignored.
 """
 
@@ -31,6 +31,7 @@ from __future__ import annotations
 import html as entities
 import re
 import zlib
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -42,19 +43,14 @@ from .common import smallest_hashes, table
 
 SAMPLE_PAGES, TRAIN_BLOCKS, MOST_HTML = 240, 400, 160_000
 PATH_DIM, WORD_DIM, NUMBERS, HIDDEN = 24, 12, 6, 16
-#: Parts of a path, the innermost, that its vector is made from.
-PATH_PARTS = 48
 #: Words of a block of main text where there is no labeller.
 FALLBACK_WORDS = 8
 
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*)>"  # a tag
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9-]*)[^<>]*>"  # one whose quotes don't match
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"  # one with < in a quote
-    r"|<[!?][^>]*>|<[/a-zA-Z][^<>]*\Z",
-    re.S | re.I,
-)
+_RAW = re.compile(r"<(script|style|noscript|template|svg|iframe|textarea|title)\b[^>]*>", re.I)  # its contents are no text
+_RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in "script style noscript template svg iframe textarea title".split()}
+_NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9-]*)")
+_BODY = re.compile(r"""((?:[^<>"']++|"[^"<]*+"|'[^'<]*+')*+)>""")  # what follows the name in a tag with whole quotes
+_LOOSE = re.compile(r"[^<>]*+>")  # in one whose quotes don't match
 _CLASS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _SPACE = re.compile(r"\s+")
 _INLINE = frozenset(
@@ -70,11 +66,101 @@ _BOILER_NAMES = re.compile(
 )
 
 
-def blocks(page: str) -> list[tuple[tuple[str, ...], str, int, int]]:
+class _Quotes:
+    """Ends of tags that have < inside a quote: from each > or quote that stands in no quote, the next > in none."""
+
+    def __init__(self, page: str):
+        marks = [(m.start(), m[0]) for m in re.finditer("[>\"']", page)]
+        self.at = [i for i, _ in marks]
+        self.end = [-1] * (len(marks) + 1)
+        same = {'"': -1, "'": -1}  # the next quote of a kind
+        for k in range(len(marks) - 1, -1, -1):
+            at, c = marks[k]
+            if c == ">":
+                self.end[k] = at
+            else:
+                self.end[k] = self.end[same[c] + 1] if same[c] >= 0 else -1
+                same[c] = k
+
+    def after(self, at: int) -> int:
+        return self.end[bisect_left(self.at, at)]
+
+
+def tags(page: str):
+    """(start, end, closing, name, attributes) of each piece of markup; comments, declarations and contents that are no text have no name."""
+    last, final, size = page.rfind(">"), page.rfind("<"), len(page)
+    quotes = None
+    at = page.find("<")
+    while at >= 0:
+        end, closing, name, rest = -1, "", "", ""
+        sign = page[at + 1 : at + 2]
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            end = size if end < 0 else end + 3
+        elif sign in ("!", "?"):
+            end = page.find(">", at) + 1 if at < last else -1
+        elif named := _NAME.match(page, at):
+            if at < last:  # else no tag can end any more
+                if raw := _RAW.match(page, at):
+                    found = _RAW_END[raw[1].lower()].search(page, raw.end())
+                    end = found.end() if found else size
+                else:
+                    closing, name = named[1], named[2].lower()
+                    if body := _BODY.match(page, named.end()):
+                        end, rest = body.end(), body[1]
+                    elif body := _LOOSE.match(page, named.end()):
+                        end = body.end()
+                    else:
+                        quotes = quotes or _Quotes(page)
+                        stop = quotes.after(named.end())
+                        if stop >= 0:
+                            end, rest = stop + 1, page[named.end() : stop]
+                        else:
+                            name = ""
+        if end < 0 and at == final and at > last and (sign == "/" or sign.isascii() and sign.isalpha()):
+            end = size  # markup that breaks off
+        if end >= 0:
+            yield at, end, closing, name, rest
+        at = page.find("<", end if end >= 0 else at + 1)
+
+
+class Path:
+    """A block's open block-level tags and their class names: a parent and the parts of the innermost tag."""
+
+    __slots__ = ("parent", "parts", "last", "count", "sums")
+
+    def __init__(self, parent: "Path | None", parts: tuple[str, ...]):
+        self.parent, self.parts = parent, parts
+        self.last = parts[-1] if parts else parent.last if parent else ""
+        self.count, self.sums = 0, None
+
+    def __iter__(self):
+        """All parts, from the outermost."""
+        chain, own = [], self
+        while own is not None:
+            chain.append(own.parts)
+            own = own.parent
+        return (part for parts in reversed(chain) for part in parts)
+
+
+_KNOWN: dict[tuple, Path] = {}
+
+
+def _path(parent: Path | None, parts: tuple[str, ...]) -> Path:
+    known = _KNOWN.get((parent, parts))
+    if known is None:
+        if len(_KNOWN) > 50_000:
+            _KNOWN.clear()
+        known = _KNOWN[parent, parts] = Path(parent, parts)
+    return known
+
+
+def blocks(page: str) -> list[tuple[Path | None, str, int, int]]:
     """(path, text, characters in links, is main text by its markup: 1, 0 or -1 unknown) of each leaf block."""
     out: list = []
-    stack: list[tuple[str, str, int]] = []  # tag, names, what the markup says of its text
+    stack: list[tuple[str, int]] = []  # tag, what the markup says of its text
     walls: list[int] = []  # where block-level tags are in the stack
+    paths: list[Path] = []  # theirs
     opened: dict[str, int] = {}
     parts: list[str] = []
     linked = 0
@@ -84,33 +170,26 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int, int]]:
         nonlocal linked
         text = _SPACE.sub(" ", entities.unescape("".join(parts))).strip()
         if text:
-            path: list[str] = []
-            for i in reversed(walls):
-                path[:0] = (stack[i][0], *stack[i][1].split()) if stack[i][1] else (stack[i][0],)
-                if len(path) >= PATH_PARTS:
-                    break
-            out.append((tuple(path), text, linked, stack[-1][2] if stack else -1))
+            out.append((paths[-1] if paths else None, text, linked, stack[-1][1] if stack else -1))
         parts.clear()
         linked = 0
 
     def cut(n: int):
-        for tag, _, _ in stack[n:]:
+        for tag, _ in stack[n:]:
             opened[tag] -= 1
         del stack[n:]
         while walls and walls[-1] >= n:
-            walls.pop()
+            walls.pop(), paths.pop()
 
-    for m in _TAG.finditer(page):
-        if m.start() > at:
-            text = page[at : m.start()]
+    for start, end, closing, tag, rest in tags(page):
+        if start > at:
+            text = page[at:start]
             parts.append(text)
-            if any(entry[0] == "a" for entry in stack[-4:]):
+            if opened.get("a"):
                 linked += len(text)
-        at = m.end()
-        tag = (m[3] or m[6] or m[8] or "").lower()
+        at = end
         if not tag:
             continue
-        closing, rest = m[2] or m[5] or m[7], m[4] or m[9] or ""
         if tag == "br":
             parts.append(" ")
         if tag not in _INLINE:
@@ -124,15 +203,16 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int, int]]:
         if tag in ("li", "dd", "dt", "tr", "td", "th", "option") and stack and stack[-1][0] == tag:
             cut(len(stack) - 1)
         if tag not in _VOID and not rest.endswith("/"):
-            names = " ".join(f".{x}" for c in _CLASS.findall(rest) for x in "".join(c).lower().split()) if rest else ""
-            main = stack[-1][2] if stack else -1
-            if tag in _BOILER_TAGS or names and _BOILER_NAMES.search(names.replace(".", " ")):
+            names = [f".{x}" for c in _CLASS.findall(rest) for x in "".join(c).lower().split()] if rest else []
+            main = stack[-1][1] if stack else -1
+            if tag in _BOILER_TAGS or names and _BOILER_NAMES.search(" ".join(names).replace(".", " ")):
                 main = 0
             elif main and tag in ("article", "main"):
                 main = 1
             if tag not in _INLINE:
                 walls.append(len(stack))
-            stack.append((tag, names, main))
+                paths.append(_path(paths[-1] if paths else None, (tag, *names)))
+            stack.append((tag, main))
             opened[tag] = opened.get(tag, 0) + 1
     parts.append(page[at:])
     flush()
@@ -151,7 +231,18 @@ def _renamed(page: list, rng: np.random.Generator) -> list:
                 names[part] = str(rng.choice(_NEUTRAL)) if rng.random() < 0.7 else part
         return names[part]
 
-    return [(tuple(filter(None, map(other, path))), *rest) for path, *rest in page]
+    made: dict[Path | None, Path | None] = {None: None}
+
+    def renamed(path: Path | None) -> Path | None:
+        chain = []
+        while path not in made:
+            chain.append(path)
+            path = path.parent
+        for own in reversed(chain):
+            made[own] = Path(made[own.parent], tuple(filter(None, map(other, own.parts))))
+        return made[chain[0] if chain else path]
+
+    return [(renamed(path), *rest) for path, *rest in page]
 
 
 def _table(rows: int, dim: int, seed: int) -> np.ndarray:
@@ -159,18 +250,25 @@ def _table(rows: int, dim: int, seed: int) -> np.ndarray:
 
 
 _PATHS, _WORDS = _table(4096, PATH_DIM, 1), _table(4096, WORD_DIM, 2)
-_PATH_CACHE: dict[tuple, np.ndarray] = {}
 
 
-def _path_vector(path: tuple[str, ...]) -> np.ndarray:
-    known = _PATH_CACHE.get(path)
-    if known is None:
-        parts = [*path, *(f"{a}>{b}" for a, b in zip(path, path[1:]))] or [""]
-        known = _PATHS[[zlib.crc32(p.encode()) & 4095 for p in parts]].sum(0) / np.sqrt(len(parts))
-        if len(_PATH_CACHE) > 50_000:
-            _PATH_CACHE.clear()
-        _PATH_CACHE[path] = known
-    return known
+def _path_vector(path: Path | None) -> np.ndarray:
+    """Mean of the vectors of a path's parts and of pairs of neighbours; sums are kept with each path."""
+    chain, own = [], path
+    while own is not None and own.sums is None:
+        chain.append(own)
+        own = own.parent
+    for own in reversed(chain):
+        before = own.parent
+        sums, count, last = (before.sums, before.count, before.last) if before is not None else (0.0, 0, "")
+        for part in own.parts:
+            found = [part, f"{last}>{part}"] if count else [part]
+            sums = sums + _PATHS[[zlib.crc32(p.encode()) & 4095 for p in found]].sum(0, dtype=np.float64)
+            count, last = count + len(found), part
+        own.sums, own.count = sums, count
+    if path is None or not path.count:
+        return _PATHS[zlib.crc32(b"") & 4095]
+    return path.sums / np.sqrt(path.count)
 
 
 def vectors(page_blocks: list[list]) -> list[np.ndarray]:
@@ -323,7 +421,7 @@ def train(pages: DataFrame, sample: int = SAMPLE_PAGES, most_blocks: int = TRAIN
     own = [b for b in own if any(x[3] == 1 for x in b)]
     if not own:
         return None
-    rng, bare = np.random.default_rng(seed), [[((), *b[1:]) for b in page] for page in own]
+    rng, bare = np.random.default_rng(seed), [[(None, *b[1:]) for b in page] for page in own]
     seen = [*own, *bare, *([_renamed(p, rng) for p in own * 2])]
     sequences = vectors(seen)
     for x in sequences[len(own) : 2 * len(own)]:

@@ -4,13 +4,15 @@ import hashlib
 import math
 import random
 import re
+import time
+import zlib
 from collections import Counter
 from zlib import crc32
 
 import numpy as np
 import pytest
 
-from chronovec.llm import alignment, line_rules, resampling
+from chronovec.llm import alignment, html_text, line_rules, resampling
 
 DOCS = "doc_id long, text string, Rank string, n_words string"
 
@@ -248,3 +250,41 @@ def test_documents_that_lose_too_much_are_rejected(spark):
     assert got[2].kept and got[2].cleaned == rows[0][1] and got[2].n_removed_lines == 1
     assert not got[3].kept and not got[3].base_failed
     assert got[4].n_dup_lines == got[4].n_removed_lines == 8 and got[4].cleaned == "\n".join(numbered[:8]) and not got[4].kept
+
+
+# pages in time in proportion to their length
+
+#: The same markup by one expression, which looks for the end of each tag anew.
+NAIVE = re.compile(
+    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9-]*)[^<>]*>"
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<[/a-zA-Z][^<>]*\Z",
+    re.S | re.I,
+)
+
+
+def test_markup_equals_the_naive_expression():
+    rng = random.Random(1)
+    bits = ["<", "<p", "<a ", ">", '"', "'", "</p>", "<!--", "-->", "<script>", "</script >", "x", "=", " title=", "<svg ", "<!", "<?", "/", "<div class='a'>", "text", "\n", "<1"]
+    for _ in range(8000):
+        page = "".join(rng.choice(bits) for _ in range(rng.randrange(1, 14)))
+        want = [(m.start(), m.end(), m[2] or m[5] or m[7] or "", (m[3] or m[6] or m[8] or "").lower(), m[4] or m[9] or "") for m in NAIVE.finditer(page)]
+        assert list(html_text.tags(page)) == want, page
+
+
+def test_hostile_pages_take_time_in_proportion():
+    for part in ("<script ", "<p title='x", "<a ", "<p title=\"x' ", "<div>", "<!", "<p '\">"):
+        for page in (part * 40_000, part * 40_000 + ">"):
+            start = time.time()
+            html_text.blocks(page)
+            assert time.time() - start < 5  # about 0.3 seconds; the expression above takes minutes
+
+
+def test_path_vectors_grow_by_a_tag():
+    (deep,) = html_text.blocks("<nav class='Top bar'>" + "<div>" * 60 + "x")
+    parts = ["nav", ".top", ".bar", *["div"] * 60]
+    assert list(deep[0]) == parts and deep[3] == 0
+    every = [*parts, *(f"{a}>{b}" for a, b in zip(parts, parts[1:]))]
+    want = sum(html_text._PATHS[zlib.crc32(p.encode()) & 4095].astype(float) for p in every) / np.sqrt(len(every))
+    assert html_text._path_vector(deep[0]) == pytest.approx(want, abs=1e-5)
+    assert [b[2] for b in html_text.blocks("<p><a><b><i><u><s><em>link</em></s></u></i></b></a> text</p>")] == [4]
