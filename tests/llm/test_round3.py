@@ -12,7 +12,7 @@ from zlib import crc32
 import numpy as np
 import pytest
 
-from chronovec.llm import alignment, html_text, line_rules, resampling
+from chronovec.llm import alignment, decontaminate, html_text, line_rules, resampling
 
 DOCS = "doc_id long, text string, Rank string, n_words string"
 
@@ -288,3 +288,49 @@ def test_path_vectors_grow_by_a_tag():
     want = sum(html_text._PATHS[zlib.crc32(p.encode()) & 4095].astype(float) for p in every) / np.sqrt(len(every))
     assert html_text._path_vector(deep[0]) == pytest.approx(want, abs=1e-5)
     assert [b[2] for b in html_text.blocks("<p><a><b><i><u><s><em>link</em></s></u></i></b></a> text</p>")] == [4]
+
+
+# winnowing
+
+
+def test_fingerprints_thin_out_and_every_shared_span_has_one():
+    rng = np.random.default_rng(3)
+    shared = rng.integers(1, 1 << 62, 40).astype(np.uint64)
+    for trial in range(30):
+        a, b = (rng.integers(1, 1 << 62, rng.integers(60, 400)).astype(np.uint64) for _ in range(2))
+        i, j, n = rng.integers(len(a)), rng.integers(len(b)), int(rng.integers(10, 40))
+        texts = [np.concatenate([x[:at], shared[:n], x[at:]]) for x, at in ((a, i), (b, j))]
+        found = [dict(zip(*decontaminate.fingerprints(t, np.array([len(t)]), 10, 10, 5))) for t in texts]
+        for start in range(n - 9):  # each shared window keeps the same k-gram in both
+            own = [{int(p - at - start): fp for p, fp in f.items() if at + start <= p <= at + start + 5} for f, at in zip(found, (i, j))]
+            assert own[0].items() & own[1].items()
+        assert len(found[0]) < 0.45 * len(texts[0])  # places that are looked up, about 2 in 7 of the words
+    hashes, counts = rng.integers(1, 1 << 62, 30).astype(np.uint64), np.array([9, 10, 0, 11])
+    at, _ = decontaminate.fingerprints(hashes, counts, 10, 10, 5)
+    assert set(at) <= {*range(9, 15), *range(19, 26)} and len(at) >= 2
+
+
+def test_hits_end_where_words_differ_and_common_fingerprints_stay_exact(spark):
+    words = lambda *parts: " ".join(parts)
+    base = [f"s{k}" for k in range(30)]
+    items = [(k, words(*base[:15], f"own{k}", *base[15:])) for k in range(12)] + [(90, words(*base[:9])), (91, None), (92, words(*base[:15]))]
+    docs = [(1, words("a", *base, "z")), (2, words(*base[:9])), (3, words(*base[1:9], "x", *base[9:15])), (4, words(*base[:15], "own3", *base[15:])), (5, words(*base[3:12], "x") * 3)]
+    split = lambda t: (t or "").split()
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for most in (decontaminate.MOST_BROADCAST, 0):
+        before, decontaminate.MOST_BROADCAST = decontaminate.MOST_BROADCAST, most
+        try:
+            got = {r.doc_id: r for r in decontaminate.decontaminate(table(spark, docs), bench).collect()}
+        finally:
+            decontaminate.MOST_BROADCAST = before
+        for i, text in docs:
+            w, hit, found = split(text), set(), set()
+            for item, t in items:
+                own = split(t)
+                n = min(10, len(own))
+                for a in range(len(own) - n + 1) if n else ():
+                    for at in range(len(w) - n + 1):
+                        if w[at : at + n] == own[a : a + n]:
+                            hit |= set(range(at, at + n))
+                            found.add(str(item))
+            assert (got[i].n_hit, got[i]["items"]) == (len(hit), sorted(found)), i
