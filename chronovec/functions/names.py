@@ -76,38 +76,54 @@ def model_namespace(model: Column) -> Column:
     return F.when(F.lower(model).startswith("dino"), dino).otherwise(clip)
 
 
-def _named(name: Column) -> dict[str, Column]:
-    """projection, layout, fov (null: unknown) and confidence from tokens of a name."""
-    words = tokens(name)
-    has = lambda t: F.array_contains(words, t)
-    fish = F.coalesce(*(F.when(has(t), F.lit(v)) for t, v in FISHEYE_FOV))
-    angle = F.when(has("180"), F.lit(180.0)).when(has("360"), F.lit(360.0))
-    layout = F.coalesce(*(F.when(has(t), F.lit(v)) for t, v in LAYOUTS))
-    projection = F.when(fish.isNotNull(), F.lit("fisheye")).when(angle.isNotNull(), F.lit("equirect"))
-    hits = sum((x.isNotNull().cast("int") for x in (fish, angle, layout)), F.lit(0))
-    return {"projection": projection, "layout": layout, "fov": F.coalesce(fish, angle), "confidence": F.least(F.lit(1.0), hits / 3.0)}
+def _let(value: Column, use) -> Column:
+    """use(value), with the value computed once for each row, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _named(name: Column) -> Column:
+    """STRUCT projection, layout, fov (null: unknown) and confidence from tokens of a name."""
+
+    def found(words: Column) -> Column:
+        has = lambda t: F.array_contains(words, t)
+        return F.struct(
+            F.coalesce(*(F.when(has(t), F.lit(v)) for t, v in FISHEYE_FOV)).alias("fish"),
+            F.when(has("180"), F.lit(180.0)).when(has("360"), F.lit(360.0)).alias("angle"),
+            F.coalesce(*(F.when(has(t), F.lit(v)) for t, v in LAYOUTS)).alias("layout"),
+        )
+
+    def judged(f: Column) -> Column:
+        hits = sum((f[x].isNotNull().cast("int") for x in ("fish", "angle", "layout")), F.lit(0))
+        return F.struct(
+            F.when(f["fish"].isNotNull(), F.lit("fisheye")).when(f["angle"].isNotNull(), F.lit("equirect")).alias("projection"), f["layout"].alias("layout"),
+            F.coalesce(f["fish"], f["angle"]).alias("fov"), F.least(F.lit(1.0), hits / 3.0).alias("confidence"),
+        )
+
+    return _let(_let(tokens(name), found), judged)
 
 
 def detect_format(name: Column, aspect: Column, assume: Column) -> Column:
     """STRUCT projection, layout, fov, confidence, source: the name first, then aspect ratio, then the assumption."""
-    own, other = _named(name), _named(F.coalesce(assume, F.lit("")))
-    known = own["projection"].isNotNull() & own["layout"].isNotNull()
-    seen = F.when(aspect >= WIDE, F.lit("sbs")).when((aspect <= TALL) & (aspect != 0), F.lit("tb"))
-    by_aspect = F.when(own["layout"].isNull(), seen)
-    assumed = ~known & (F.coalesce(assume, F.lit("")) != "")
-    fill = lambda k: F.coalesce(own[k], F.when(assumed, other[k]))
-    layout = F.coalesce(own["layout"], F.when(~known, by_aspect), F.when(assumed, other["layout"]))
-    parts = F.array_compact(F.array(
-        F.when(own["confidence"] > 0, F.lit("filename")), F.when(by_aspect.isNotNull(), F.lit("aspect")), F.when(assumed, F.lit("assumed"))
-    ))
-    source = F.when(known, F.lit("filename")).when(F.size(parts) == 0, F.lit("none")).otherwise(F.array_join(parts, "+"))
-    return F.struct(
-        F.coalesce(F.when(known, own["projection"]).otherwise(fill("projection")), F.lit("unknown")).alias("projection"),
-        F.coalesce(F.when(known, own["layout"]).otherwise(layout), F.lit("unknown")).alias("layout"),
-        F.when(known, own["fov"]).otherwise(fill("fov")).alias("fov"),
-        F.when(assumed, F.lit(0.3)).otherwise(own["confidence"]).alias("confidence"),
-        source.alias("source"),
-    )
+    both = F.struct(_named(name).alias("own"), _named(F.coalesce(assume, F.lit(""))).alias("other"), aspect.alias("aspect"), (F.coalesce(assume, F.lit("")) != "").alias("assume"))
+
+    def fused(x: Column) -> Column:
+        own, other = x["own"], x["other"]
+        known = own["projection"].isNotNull() & own["layout"].isNotNull()
+        seen = F.when(x["aspect"] >= WIDE, F.lit("sbs")).when((x["aspect"] <= TALL) & (x["aspect"] != 0), F.lit("tb"))
+        by_aspect = F.when(own["layout"].isNull(), seen)
+        assumed = ~known & x["assume"]
+        fill = lambda k: F.coalesce(own[k], F.when(assumed, other[k]))
+        layout = F.coalesce(own["layout"], by_aspect, F.when(assumed, other["layout"]))
+        parts = F.array_compact(F.array(
+            F.when(own["confidence"] > 0, F.lit("filename")), F.when(by_aspect.isNotNull(), F.lit("aspect")), F.when(assumed, F.lit("assumed"))
+        ))
+        source = F.when(known, F.lit("filename")).when(F.size(parts) == 0, F.lit("none")).otherwise(F.array_join(parts, "+"))
+        return F.struct(
+            F.coalesce(fill("projection"), F.lit("unknown")).alias("projection"), F.coalesce(layout, F.lit("unknown")).alias("layout"), fill("fov").alias("fov"),
+            F.when(assumed, F.lit(0.3)).otherwise(own["confidence"]).alias("confidence"), source.alias("source"),
+        )
+
+    return _let(both, fused)
 
 
 def effective_format(stored: Column, flat: Column, name: Column, aspect: Column, assume: Column) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from chronovec.functions.names import path_key
 from chronovec.operators.labels import centiseconds, upsert
+from chronovec.sources.shared import written
 from chronovec.sources.versions import VersionedStore
 
 FRAMES = "key string, frame_idx int, time float, vec array<float>, meta string"
@@ -39,11 +40,20 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").load(path).select("path", "content").mapInPandas(run, FRAMES)
 
 
+#: Folders of a model's frames; a scene is in the one its key is hashed to.
+BUCKETS = 256
+
+
+def _bucket(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+
+
 def write_frames(frames: DataFrame, path: str) -> None:
     """Saves the scenes that frames(model, key, time, vec, ...) holds; other scenes of the same models stay as they are.
 
-    A time without a vector, a vector without a time, or vectors of several lengths in a scene raise ValueError
-    before anything is written.
+    A model's scenes are in BUCKETS folders, sorted by key, so that many scenes make no many small files; a save writes
+    the buckets of its scenes anew, with what else they hold. A time without a vector, a vector without a time, or
+    vectors of several lengths in a scene raise ValueError before anything is written.
     """
     length = F.size("vec")
     odd = frames.groupBy("model", "key").agg(
@@ -52,13 +62,25 @@ def write_frames(frames: DataFrame, path: str) -> None:
     wrong = odd.where("open > 0 OR least <> most").select("key").first()
     if wrong:
         raise ValueError(f"times and vectors of {wrong['key']} don't agree")
-    rows = frames.repartition("model", "key")
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("model", "key").parquet(path)
-
-
-def read_frames(spark: SparkSession, path: str, schema: str = "frame_idx int, time float, vec array<float>, meta string") -> DataFrame:
-    """Saved frames; a filter on model and key reads the scenes it names only."""
-    return spark.read.schema(f"{schema}, model string, key string").parquet(path)
+    spark = frames.sparkSession
+    rows = frames.withColumn("bucket", _bucket(F.col("key")))
+    at, system = _files(spark, path)
+    if system.exists(at):
+        before = spark.read.schema(rows.schema).parquet(path)
+        touched, own = rows.select("model", "bucket").distinct(), rows.select("model", "key").distinct()
+        rows = rows.unionByName(before.join(touched, ["model", "bucket"], "left_semi").join(own, ["model", "key"], "left_anti").select(rows.columns))
+        rows = written(rows, "frames")  # what is read is about to be replaced
+    rows = rows.repartition("model", "bucket").sortWithinPartitions("model", "bucket", "key")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("model", "bucket").parquet(path)
+
+
+def read_frames(spark: SparkSession, path: str, schema: str = "frame_idx int, time float, vec array<float>, meta string", keys: list[str] | None = None) -> DataFrame:
+    """Saved frames; a filter on model reads that model's folders only, keys only the buckets of these scenes."""
+    rows = spark.read.schema(f"key string, {schema}, model string, bucket int").parquet(path)
+    if keys is not None:
+        named = spark.createDataFrame([(k,) for k in keys], "key string").select(_bucket(F.col("key")).alias("b")).distinct()
+        rows = rows.where(F.col("bucket").isin([r["b"] for r in named.collect()]) & F.col("key").isin(keys))
+    return rows.drop("bucket")
 
 
 def _files(spark: SparkSession, path: str):

@@ -4,6 +4,7 @@ import hashlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from pyspark.errors import PySparkException
 
 from chronovec.functions import binary
@@ -47,6 +48,10 @@ def test_a_saved_scene_leaves_the_others(spark, tmp_path):
     for wrong in ([("m", "c", 0, 0.0, [1.0], None), ("m", "c", 1, 1.0, [1.0, 2.0], None)], [("m", "c", 0, None, [1.0], None)]):
         with pytest.raises(ValueError):
             stores.write_frames(spark.createDataFrame(wrong, schema), at)
+    assert {(r.model, r.key) for r in stores.read_frames(spark, at, keys=["b"]).select("model", "key").collect()} == {("m", "b")}
+    many = spark.range(2000).select(F.lit("m").alias("model"), F.concat(F.lit("x"), "id").alias("key"), F.lit(0).alias("frame_idx"), F.lit(0.0).cast("float").alias("time"), F.array(F.lit(1.0).cast("float")).alias("vec"), F.lit(None).cast("string").alias("meta"))
+    stores.write_frames(many, str(tmp_path / "many"))
+    assert len(list((tmp_path / "many").rglob("*.parquet"))) == stores.BUCKETS and stores.read_frames(spark, str(tmp_path / "many")).count() == 2000
     held = stores.read_frames(spark, at)
     assert [r.key for r in catalog.cache_keys(held, "m").collect()] == ["a", "b"] and catalog.cache_models(held).count() == 2
     assert {(r.model, r.key): r.frames for r in catalog.peek_counts(held).collect()} == got
