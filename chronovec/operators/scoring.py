@@ -8,21 +8,20 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from chronovec.functions.vectors import EPS
+from chronovec.functions.vectors import EPS, norm
 from chronovec.sources.shared import written
 
 from . import slices
 from .scorers import arrow_scorer
 
-#: Reference vectors of a block; no more are broadcast.
+#: Reference vectors that are broadcast at most.
 BLOCK = 4096
-#: Frames, on average, that meet a block at once.
-SLICE = 16384
+#: References of a slice of their index.
+REFERENCES_OF_SLICE = 512
 #: Rows of a matrix product that are held at once.
 STEP = 1024
 
@@ -37,36 +36,45 @@ def _reduced(rows: np.ndarray, refs: np.ndarray, reduce: str) -> np.ndarray:
     return np.concatenate([x.max(1) if reduce == "max" else x.sum(1) for x in parts])
 
 
-def _in_blocks(frames: DataFrame, refs: DataFrame, reduce: str, vec: str, into: str, total: int) -> DataFrame:
-    """Slices of frames meet blocks of references as groups of a join on (slice, block); no reference passes through the driver."""
-    held = written(frames.withColumn("_row", F.monotonically_increasing_id()), "frames")
-    known = written(refs.select(F.col(vec).cast("array<double>").alias("vec")).withColumn("_row", F.monotonically_increasing_id()), "references")
-    blocks, slices = -(-total // BLOCK), max(-(-held.count() // SLICE), 1)
-    deal = lambda n: F.pmod(F.xxhash64("_row"), F.lit(n))
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    left = held.select("_row", F.col(vec).cast("array<double>").alias("vec"), deal(slices).alias("slice"), every(blocks).alias("block"))
-    right = known.select("vec", deal(blocks).alias("block"), every(slices).alias("slice"))
+def _mean_vector(refs: DataFrame, vec: str) -> np.ndarray:
+    """The mean of the unit vectors of refs(vec); sums of tasks are added by place."""
 
-    def score(own: pa.Table, other: pa.Table) -> pa.Table:
-        own = own.filter(pc.is_valid(own.column("vec")))
-        rows, part = own.column("_row"), pa.array([], pa.float64())
-        if own.num_rows and other.num_rows:
-            x, y = (_unit_rows(np.stack(t.column("vec").to_pandas().to_numpy()).astype(float)) for t in (own, other))
-            part = pa.array(_reduced(x, y, reduce))
-        return pa.table({"_row": rows if len(part) else rows.slice(0, 0), "part": part})
+    def run(batches):
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                part = _unit_rows(np.stack([np.asarray(v, float) for v in batch.column("vec").to_pandas()])).sum(0)
+                total = part if total is None else total + part
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["sums"])
 
-    parts = left.groupBy("slice", "block").cogroup(right.groupBy("slice", "block")).applyInArrow(score, "_row long, part double")
-    best = F.max("part") if reduce == "max" else F.sum("part") / total
-    return held.join(parts.groupBy("_row").agg(best.alias("_part")), "_row", "left").withColumn(into, F.col("_part")).drop("_row", "_part")
+    sums = refs.select(F.col(vec).cast("array<double>").alias("vec")).mapInArrow(run, "sums array<double>")
+    # a row for each number of a vector
+    return np.array([r["x"] for r in sums.select(F.posexplode("sums").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").collect()])
+
+
+def _by_index(frames: DataFrame, refs: DataFrame, vec: str, into: str) -> DataFrame:
+    """The largest cosine through an index of the references: a frame meets the slices of references that can still win."""
+    from .index import VectorIndex
+
+    number = F.monotonically_increasing_id()
+    held = written(frames.withColumn("_row", number), "frames")
+    known = refs.select(F.lit("r").alias("key"), number.alias("frame_idx"), F.lit(0.0).alias("time"), F.col(vec).cast("array<double>").alias("vec"))
+    asked = held.select(F.lit("f").alias("key"), F.col("_row").alias("frame_idx"), F.col(vec).cast("array<double>").alias("vec"))
+    index = VectorIndex(written(known, "references"), normalize=True, rows_of_slice=REFERENCES_OF_SLICE)
+    best = index.search(asked, 1, None, False).hits.select(F.col("query_idx").alias("_row"), F.col("score").alias("_best"))
+    size = norm(F.col(vec).cast("array<double>"))
+    # queries are of length 1 there, frames of length n / (n + EPS) here
+    return held.join(best, "_row", "left").withColumn(into, F.col("_best") * size / (size + EPS)).drop("_row", "_best")
 
 
 def similarity_scores(frames: DataFrame, refs: DataFrame, reduce: str = "max", vec: str = "vec", into: str = "score") -> DataFrame:
     """frames with the largest or mean cosine with refs(vec), as matrix products in Arrow batches.
 
-    Up to BLOCK references are broadcast as one matrix. More are dealt by row into
-    blocks, which slices of frames meet in a shuffle, so that equal vectors don't
-    gather and neither the driver nor a task holds more than a block; both ways give
-    the same scores. No pair becomes a row. A null vector has a null score; null references count for none.
+    Up to BLOCK references are broadcast as one matrix. Of more, the largest cosine is
+    found through a clustered index of the references, to nine places; a mean cosine is the
+    one with the mean of the unit references, however many these are. No pair becomes
+    a row. A null vector has a null score; null references count for none.
     """
     if reduce not in ("max", "mean"):
         raise ValueError(f"unknown reduction {reduce}")
@@ -74,8 +82,11 @@ def similarity_scores(frames: DataFrame, refs: DataFrame, reduce: str = "max", v
     total = refs.count()
     if not total:
         raise ValueError("no reference vectors")
+    if total > BLOCK and reduce == "max":
+        return _by_index(frames, refs, vec, into)
     if total > BLOCK:
-        return _in_blocks(frames, refs, reduce, vec, into, total)
+        mean = frames.sparkSession.sparkContext.broadcast(_mean_vector(refs, vec) / total)
+        return arrow_scorer(lambda x: _unit_rows(x) @ mean.value)(frames, vec, into)
     own = refs.select(vec).toPandas()[vec]  # at most BLOCK vectors
     held = frames.sparkSession.sparkContext.broadcast(_unit_rows(np.stack(own.to_numpy()).astype(float)))
     out = arrow_scorer(lambda x: _reduced(_unit_rows(x), held.value, reduce))(frames, vec, into)

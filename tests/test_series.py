@@ -119,7 +119,7 @@ def test_blocks_of_references_agree(spark, monkeypatch):
         whole = by_frame(scoring.similarity_scores(frames, refs, reduce))
         for size in (2, 8):
             with monkeypatch.context() as m:
-                m.setattr(scoring, "BLOCK", size), m.setattr(scoring, "SLICE", 5)
+                m.setattr(scoring, "BLOCK", size), m.setattr(scoring, "REFERENCES_OF_SLICE", 3)
                 parts = scoring.similarity_scores(frames, refs, reduce)
                 assert by_frame(parts) == pytest.approx(whole) and parts.columns == [*frames.columns, "score"] and len(whole) == 21
     with pytest.raises(ValueError):
