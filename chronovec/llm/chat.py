@@ -12,7 +12,8 @@ length is rendered in the memory of one turn.
 Texts and roles are escaped: a backslash goes between ``<`` and ``|`` (after
 those already there), which reading takes out again, so no text can hold a
 control string. Turns are ordered by (turn, role, text), nulls first; null texts
-and roles are empty; rows with a null conv_id are one conversation.
+and roles are empty; rows with a null conv_id are one conversation. Repeated rows
+are turns each; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -20,7 +20,9 @@ are confirmed on full sets. Components come from a distributed star contraction.
 
 Equal sets are one vertex, so exact copies never form pairs. Rows that share a
 doc_id are one document; rows that repeat it with the same set enter the search
-once, and each set of an id that has several is searched. Null or wordless texts and null ids link with nothing.
+once, and each set of an id that has several is searched. Null or wordless texts and null ids link with nothing. Whole
+texts of any length are read; an empty table gives an empty result; columns besides
+doc_id and text are ignored.
 """
 
 from __future__ import annotations

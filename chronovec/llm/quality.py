@@ -124,11 +124,16 @@ def _matrix(texts, ratios: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifier | None:
-    """A classifier from labels(doc_id, quality) of docs(doc_id, text)."""
+    """A classifier from labels(doc_id, quality) of docs(doc_id, text).
+
+    An id that several rows share gives one text, that of the smallest hash, so that no id, however often it stands, makes
+    the sample larger than its ids.
+    """
     named = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("y"))
     picked = [smallest_hashes(named.where(F.col("y") == c), "doc_id", sample) for c in (0, 1)]
     # at most 2 * sample ids are broadcast
     rows = docs.select("doc_id", "text").join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("y").alias("y"))
     half = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(2)).cast("int")  # copies are in one half
     rows = materialize(rows.select("text", F.col("y").cast("int").alias("y"), half.alias("half")), "quality-sample")
     size = np.zeros((2, 2))

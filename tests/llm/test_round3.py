@@ -12,7 +12,7 @@ from zlib import crc32
 import numpy as np
 import pytest
 
-from chronovec.llm import alignment, decontaminate, html_text, line_rules, resampling
+from chronovec.llm import alignment, decontaminate, html_text, line_rules, quality, resampling
 
 DOCS = "doc_id long, text string, Rank string, n_words string"
 
@@ -334,3 +334,17 @@ def test_hits_end_where_words_differ_and_common_fingerprints_stay_exact(spark):
                             hit |= set(range(at, at + n))
                             found.add(str(item))
             assert (got[i].n_hit, got[i]["items"]) == (len(hit), sorted(found)), i
+
+
+def test_an_id_that_stands_often_is_one_row_of_the_sample(spark, monkeypatch):
+    rows = [(1, f"A good sentence number {k}.") for k in range(300)] + [(2, "bad | bad | bad")] * 300 + [(k, f"Words and words {k}.") for k in range(3, 20)]
+    labels = spark.createDataFrame([(1, 1), (2, 0), *((k, k % 2) for k in range(3, 20))], "doc_id long, quality int")
+    seen = []
+
+    class Kept(quality.Classifier):
+        def __init__(self, x, y, ratios):
+            seen.append(len(x))
+            super().__init__(x, y, ratios)
+
+    monkeypatch.setattr(quality, "Classifier", Kept)
+    assert quality.fit(table(spark, rows), labels) is not None and seen == [19]
