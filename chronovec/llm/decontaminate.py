@@ -35,8 +35,9 @@ from . import wordhash
 from .common import join_sized, materialize, table
 
 WINDOW, K = 10, 5
-#: Fingerprints of the items that the first filter is laid out for: at most 16 bytes each.
-BLOCK_WINDOWS = 1_000_000
+#: Fingerprints of the items that the first filter is laid out for. Few have FILTER_BITS each, so that few documents without
+#: a hit are looked at again; the filter has 2^MOST_BITS bits, 32 MB, at most.
+BLOCK_WINDOWS, FILTER_BITS, MOST_BITS = 1_000_000, 2048, 28
 #: Fingerprints of items that are broadcast, where a place is too common to be one task; beyond, the join is left to adaptive splitting.
 MOST_BROADCAST = 100_000
 
@@ -122,7 +123,7 @@ def _pages(batches):
 def _first_filter(prints: DataFrame, block_windows: int):
     """Broadcast (lengths of windows, bit table of fingerprints)."""
     number = prints.count()
-    bits = 1 << max(15, (64 * max(1, min(number, block_windows)) - 1).bit_length())
+    bits = 1 << max(15, min(MOST_BITS, (FILTER_BITS * max(1, min(number, block_windows)) - 1).bit_length()))
     lengths = sorted(r["n"] for r in prints.select("n").distinct().collect())  # WINDOW at most
     slots = prints.select(F.col("fp").bitwiseAND(F.lit(bits - 1)).alias("slot")).distinct()
     bit_table = np.zeros(bits >> 3, np.uint8)
