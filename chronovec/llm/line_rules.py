@@ -7,7 +7,8 @@ functions on the row itself: nothing is shuffled, so no group of equal documents
 lines or sources is one task.
 
 - punctuation: a line ends in a sentence mark, behind which quotes and brackets may
-  close; marks of emphasis (`word!! word!!`) or symbols don't fill it.
+  close, or is a paragraph that breaks off: LONG_WORDS words or more with a sentence
+  mark inside. Marks of emphasis (`word!! word!!`) or symbols don't fill it.
 - navigation: no row of short entries between separators, no menu of a few words.
 - boilerplate: no notice of cookies, rights, scripts or subscriptions, no braces, no
   line in capitals, no line that stood in the document before.
@@ -34,6 +35,8 @@ LEAST_WORDS = 50
 MOST_REPEATED = 50
 #: Percent of the characters in words that may go with lines removed.
 MOST_LOST = 30
+#: Words of a line that may break off behind a whole sentence.
+LONG_WORDS = 20
 #: Words of a line in which menus are looked for, and words between separators, on average.
 MENU_WORDS, ENTRY_WORDS = 4, 3
 
@@ -42,6 +45,7 @@ SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 SYMBOLS = "#*$%&|<>"
 WORD_SEPARATOR = r"[\x20\x09-\x0D]+"
 SENTENCE_END = r"""[.!?:;…。！？；：؟।]["'”’»)\]}]*[\x20\x09-\x0D]*$"""
+SENTENCE_INSIDE = r"""[.!?…。！？؟।]["'”’»)\]]*[\x20\x09-\x0D]"""
 SEPARATORS = r"[|»›·•→]|[\x20][/>][\x20]"
 MENU = (
     r"(?i)^[\x20\x09-\x0D]*(home|menu|search|next|previous|back|back to top|read more|more|share|print|login|log in|sign in|sign up|register"
@@ -82,7 +86,7 @@ def line_fails(line: Column, noticed: Column | None = None) -> Column:
     symbols, emphasis, capitals = (F.regexp_count(line, F.lit(x)) for x in (f"[{SYMBOLS}]", EMPHASIS, CAPITALS))
     noticed = may_have_notice(line) if noticed is None else noticed
     return (
-        ~(F.right(line, F.lit(1)).isin(*".!?:;") | line.rlike(SENTENCE_END))
+        ~(F.right(line, F.lit(1)).isin(*".!?:;") | line.rlike(SENTENCE_END) | (line.rlike(SENTENCE_INSIDE) & (words >= LONG_WORDS)))
         | ((emphasis > 0) & (emphasis * 4 > words))
         | ((symbols > 0) & (symbols * 10 > F.length(_without(line, SPACE))))
         | ((marks >= 2) & (words <= (marks + 1) * (ENTRY_WORDS + 1)))
@@ -168,7 +172,7 @@ twice AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM
 repeated AS (SELECT doc_id, count(DISTINCT spot) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS spot FROM twice WHERE n >= 2) GROUP BY doc_id),
 apart AS (SELECT DISTINCT doc_id, unnest(lines) AS line FROM split),
 sized AS (SELECT doc_id, line, {_without_sql('line', SPACE)} AS chars, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS words, {_count_sql(SEPARATORS)} AS marks FROM apart),
-judged AS (SELECT doc_id, chars, NOT regexp_matches(line, {_quoted(SENTENCE_END)}) OR {_count_sql(EMPHASIS)} * 4 > words
+judged AS (SELECT doc_id, chars, NOT (regexp_matches(line, {_quoted(SENTENCE_END)}) OR (regexp_matches(line, {_quoted(SENTENCE_INSIDE)}) AND words >= {LONG_WORDS})) OR {_count_sql(EMPHASIS)} * 4 > words
     OR (length(line) - {_without_sql('line', SYMBOLS)}) * 10 > chars OR (marks >= 2 AND words <= (marks + 1) * {ENTRY_WORDS + 1}) OR (words <= {MENU_WORDS} AND regexp_matches(line, {_quoted(MENU)}))
     OR regexp_matches(line, {_quoted(NOTICE)}) OR regexp_matches(line, '[{{}}]') OR ({_count_sql(CAPITALS)} >= 12 AND {_count_sql(CAPITALS)} > {_count_sql(SMALL)} * 2) AS fails FROM sized),
 left_over AS (SELECT doc_id, count(*) AS n, sum(chars) AS chars FROM judged WHERE NOT fails GROUP BY doc_id),

@@ -240,6 +240,13 @@ def test_each_rule_removes_its_lines_and_leaves_others(spark):
     assert [got[k] for k in range(len(rows))] == [0] * len(fine) + [1] * len(BAD)
 
 
+def test_a_paragraph_that_breaks_off_stays(spark):
+    words = " ".join(["word"] * 18)
+    rows = [(0, f"Whole sentence. {words} and"), (1, f"Whole sentence {words} and"), (2, "Whole sentence. Short and"), (3, f"Whole sentence!! {words} and ### $$$ %%% &&& *** ||| <<< >>> ###")]
+    got = {r.doc_id: r.n_removed_lines for r in line_rules.clean_lines(table(spark, rows)).collect()}
+    assert got == {0: 0, 1: 1, 2: 1, 3: 1}
+
+
 def test_documents_that_lose_too_much_are_rejected(spark):
     rng = random.Random(6)
     numbered = [" ".join(f"word{rng.randrange(10**6)}" for _ in range(9)) + "." for _ in range(12)]
