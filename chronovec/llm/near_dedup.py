@@ -15,8 +15,11 @@ to a common reference, so that what all have in common drops out. Two sets of
 different components can be similar only if they share so many elements of their
 differences that one of these is among the rarest of either (`_finish`). Pairs that
 have such an element in common are confirmed; all other pairs can't be similar. So
-no pair of a bucket is left out, and no group is expanded into its pairs. All links
-are confirmed on full sets. Components come from a distributed star contraction.
+no pair of a bucket is left out. Where elements are in half of the sets, as in documents
+made from one template, rarity tells nothing, and such groups are banded again by
+sampled bits of their differences (`_plans`, `_banded`): a pair at the threshold is met with
+probability 1 - MISSED, other pairs seldom. All links are confirmed on full sets.
+Components come from a distributed star contraction.
 
 Equal sets are one vertex, so exact copies never form pairs. Rows that share a
 doc_id are one document; rows that repeat it with the same set enter the search
@@ -36,6 +39,10 @@ from . import wordhash
 from .common import connected_components, drop, join_sized, materialize, table
 
 K, M = 3, 16
+#: Groups of at least MANY sets are looked at for elements that a quarter to three quarters of them have.
+MANY = 64
+#: Chance that sampled bits miss a pair just as similar as asked for.
+MISSED = 1e-4
 
 
 def _shingles(texts: list[bytes], width: int):
@@ -225,6 +232,106 @@ def _finish(groups: DataFrame, pool: DataFrame, percent: int) -> DataFrame:
     return materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
 
 
+def _joined(groups: DataFrame) -> DataFrame:
+    """(g, id, n, root): the sets of groups of MANY or more, groups that overlap taken together; each set is in one."""
+    big = groups.groupBy("p").agg(F.count("*").alias("of")).where(F.col("of") >= MANY).select("p")
+    own = groups.join(big, "p")
+    whole = connected_components(own.select(F.col("p").alias("a"), F.col("id").alias("b")))
+    return own.select("id", "n", "root").distinct().join(whole.select("id", F.col("root").alias("g")), "id").select("g", "id", "n", "root")
+
+
+def _plans(joined: DataFrame, elements: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """How to band groups again: (g, width, bits, tables), and (g, x, at) of their contested elements.
+
+    Contested elements are those that a quarter to three quarters of a group's sets have; as a set has at most as
+    many as its size, there are at most four times as many as the longest set has. Similar sets differ in c (n_a + n_b)
+    elements at most, so they agree on a contested element drawn at random with probability `like` or more; any two
+    sets of the group agree with probability `any` on average. A key is made of so many drawn elements that few
+    sets share one by chance, and there are so many keys that a similar pair misses all with probability MISSED.
+    Groups where too many pairs would meet by chance have no plan.
+    """
+    sizes = joined.groupBy("g").agg(F.countDistinct("id").alias("sets"), F.max("n").alias("longest"))
+    share = F.col("of") / F.col("sets")
+    seen = elements.groupBy("g", "x").agg(F.count("*").alias("of")).join(sizes, "g").where((share >= 0.25) & (share <= 0.75))
+    seen = materialize(seen.select("g", "x", (1 - 2 * share * (1 - share)).alias("agree"), "sets", "longest"), "contested")
+    each = seen.groupBy("g").agg(F.count("*").alias("width"), F.avg("agree").alias("any"), F.max("sets").alias("sets"), F.max("longest").alias("longest"))
+    apart = F.floor(2 * F.col("longest") * (100 - percent) / (100 + percent))
+    plans = (
+        each.withColumn("like", 1 - apart / F.col("width"))
+        .where("like > any")
+        # a key costs about as much as reading 8 elements of either set of a pair
+        .withColumn("bits", F.least(F.ceil(F.log(F.col("sets") * F.greatest(F.col("longest") / 16, F.lit(16))) / -F.log("any")), F.lit(62)).cast("int"))
+        .withColumn("tables", F.ceil(-F.log(F.lit(MISSED)) / F.pow("like", "bits")))
+        .where(F.col("tables") * F.pow("any", "bits") <= 0.25)
+        .select("g", "width", "bits", F.col("tables").cast("int").alias("tables"))
+    )
+    plans = materialize(plans, "plans")
+    # at most as many elements as a set can have, four times
+    numbered = seen.join(plans.select("g"), "g", "left_semi").groupBy("g").agg(F.sort_array(F.collect_list("x")).alias("x"))
+    return plans, materialize(numbered.select("g", F.posexplode("x").alias("at", "x")), "numbered")
+
+
+def _bit_keys(batches):
+    drawn: dict[tuple, np.ndarray] = {}
+    for batch in batches:
+        for start in range(0, batch.num_rows, 256):
+            part = batch.slice(start, 256)
+            plan = [part.column(c).to_pylist() for c in ("g", "width", "bits", "tables")]
+            keys = []
+            for own, (g, width, bits, tables) in zip(part.column("at"), zip(*plan)):
+                if (g, width, bits, tables) not in drawn:
+                    if len(drawn) > 16:
+                        drawn.clear()
+                    drawn[g, width, bits, tables] = np.random.default_rng([g & (1 << 64) - 1, tables]).integers(0, width, (tables, bits))
+                has = np.zeros(width, np.int64)
+                has[own.values.to_numpy() if own.is_valid else []] = 1
+                keys.append(has[drawn[g, width, bits, tables]] @ (1 << np.arange(bits, dtype=np.int64)))
+            columns = [part.column(c) for c in ("g", "id", "n", "root")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(keys, pa.list_(pa.int64()))], ["g", "id", "n", "root", "keys"])
+
+
+def _banded(joined: DataFrame, elements: DataFrame, plans: DataFrame, numbered: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that agree on all elements drawn for one key or more, for groups with a plan."""
+    places = elements.join(numbered, ["g", "x"]).groupBy("g", "id").agg(F.collect_list("at").alias("at"))
+    rows = joined.join(plans, "g").join(places, ["g", "id"], "left")  # a set may have none of the elements
+    schema = "g long, id long, n long, root long, keys array<long>"
+    keys = rows.select("g", "id", "n", "root", "width", "bits", "tables", "at").mapInArrow(_bit_keys, schema)
+    keys = materialize(keys.select("g", "id", "n", "root", F.posexplode("keys").alias("place", "key")), "bit-keys")
+    bucket = ["g", "place", "key"]
+    several = keys.groupBy(*bucket).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select(*bucket)
+    shared = materialize(keys.join(several, bucket), "bit-buckets")
+    drop(keys)
+    a, b = (shared.select(*bucket, *(F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "root"))) for x in "ab")
+    fit = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    met = a.join(b, bucket).where((F.col("root_a") < F.col("root_b")) & fit).select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
+    return materialize(met.distinct(), "candidates")
+
+
+def _left(groups: DataFrame, joined: DataFrame, plans: DataFrame) -> DataFrame:
+    """The groups that don't lie in one with a plan."""
+    planned = joined.join(plans.select("g"), "g", "left_semi").select("id", "g").distinct()
+    inside = groups.select("p", "id").join(planned, "id", "left").groupBy("p").agg(
+        F.count_if(F.col("g").isNull()).alias("out"), F.min("g").alias("lo"), F.max("g").alias("hi")
+    )
+    return groups.join(inside.where("out = 0 AND lo = hi").select("p"), "p", "left_anti")
+
+
+def _open_pairs(groups: DataFrame, pool: DataFrame, percent: int) -> DataFrame:
+    """Candidates (a, b) of groups(p, id, n, root) that still hold several components."""
+    joined = materialize(_joined(groups), "joined")
+    if not joined.take(1):
+        return _finish(groups, pool, percent)
+    elements = materialize(joined.select("g", "id").join(pool, "id").select("g", "id", F.explode("shingles").alias("x")).distinct(), "joined-elements")
+    plans, numbered = _plans(joined, elements, percent)
+    if not plans.take(1):
+        drop(elements)
+        return _finish(groups, pool, percent)
+    banded = _banded(joined, elements, plans, numbered, percent)
+    drop(elements)
+    rest = materialize(_left(groups, joined, plans), "groups")
+    return banded.union(_finish(rest, pool, percent)).distinct() if rest.take(1) else banded
+
+
 def near_duplicates(
     docs: DataFrame, width: int = 5, percent: int = 80, k: int = K, m: int = M, seed: int = 7
 ) -> DataFrame:
@@ -265,7 +372,7 @@ def near_duplicates(
     groups = materialize(groups, "groups")
     several = groups.groupBy("p").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("p")
     groups = groups.join(materialize(several, "open"), "p")
-    more = _confirmed(_finish(groups, pool, percent), pool, percent)
+    more = _confirmed(_open_pairs(groups, pool, percent), pool, percent)
     links = materialize(links.union(more), "links")
     roots = materialize(connected_components(links), "roots")
     drop(pool), drop(members), drop(star)

@@ -125,25 +125,66 @@ def near_copies(n, seed):
     return rows
 
 
+def brute_links(rows):
+    """Which of rows are linked with which, and the smallest row each reaches."""
+    n = len(rows)
+    sets = [{tuple(w[j : j + 4]) for j in range(len(w) - 3)} for w in (t.split() for _, t in rows)]
+    column = {x: j for j, x in enumerate(sorted(x for x, of in Counter(x for s in sets for x in s).items() if of > 1))}
+    bits = np.zeros((n, len(column)), np.float32)
+    for i, own in enumerate(sets):
+        bits[i, [column[x] for x in own if x in column]] = 1
+    both, size = (bits @ bits.T).round().astype(int), np.array([len(s) for s in sets])
+    linked = 100 * both >= 80 * (size[:, None] + size[None, :] - both)
+    np.fill_diagonal(linked, True)
+    root = np.arange(n)
+    while True:
+        low = np.where(linked, root[None, :], n).min(1)
+        if (low == root).all():
+            return linked, root
+        root = low
+
+
+def from_template(n, linked, seed):
+    """n texts of one template: 150 slots with one of two variants between common words, in random order.
+
+    The last `linked` of them repeat an earlier text but for 20 to 38 slots, so that their similarity is at or somewhat
+    above 0.8; that of all others is about 0.65.
+    """
+    rng = random.Random(seed)
+    common = [" ".join(f"k{s}x{j}" for j in range(15)) for s in range(151)]
+    slots = [[rng.randrange(2) for _ in range(150)] for _ in range(n - linked)]
+    for _ in range(linked):
+        own = list(slots[rng.randrange(n - linked)])
+        for s in rng.sample(range(150), rng.randrange(20, 39)):
+            own[s] = 1 - own[s]
+        slots.append(own)
+    texts = [common[0] + "".join(f" {' '.join(f's{s}v{v}w{j}' for j in range(6))} {common[s + 1]}" for s, v in enumerate(own)) for own in slots]
+    rng.shuffle(texts)
+    return list(enumerate(texts))
+
+
+def test_documents_of_one_template_are_not_paired_all(spark, monkeypatch):
+    pairs, met, finished = near_dedup._open_pairs, [], []
+    monkeypatch.setattr(near_dedup, "_open_pairs", lambda *a: met.append(pairs(*a)) or met[-1])
+    monkeypatch.setattr(near_dedup, "_finish", lambda *a: finished.append(a) or a)
+    share = []
+    for n in (120, 360):
+        rows = from_template(n, n // 4, n)
+        linked, root = brute_links(rows)
+        got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(frame(spark, rows), width=4).collect()}
+        assert [got[i] for i in range(n)] == root.tolist()
+        assert n * 0.7 < len(set(root.tolist())) < n * 0.85
+        share.append(met[-1].count() / (n * (n - 1) / 2))
+    # of three times the documents each meets less than twice as many
+    assert not finished and share[0] < 0.1 and share[1] < 2 / 3 * share[0], share
+
+
 def test_a_large_group_of_near_copies_matches_brute_force(spark, monkeypatch):
     finish, met = near_dedup._finish, []
     monkeypatch.setattr(near_dedup, "_finish", lambda *a: met.append(finish(*a)) or met[-1])
     for n in (500, 2000):
         rows = near_copies(n, n)
-        sets = [{tuple(w[j : j + 4]) for j in range(len(w) - 3)} for w in (t.split() for _, t in rows)]
-        column = {x: j for j, x in enumerate(sorted(x for x, of in Counter(x for s in sets for x in s).items() if of > 1))}
-        bits = np.zeros((n, len(column)), np.float32)
-        for i, own in enumerate(sets):
-            bits[i, [column[x] for x in own if x in column]] = 1
-        both, size = (bits @ bits.T).round().astype(int), np.array([len(s) for s in sets])
-        linked = 100 * both >= 80 * (size[:, None] + size[None, :] - both)
-        np.fill_diagonal(linked, True)
-        root = np.arange(n)
-        while True:
-            low = np.where(linked, root[None, :], n).min(1)
-            if (low == root).all():
-                break
-            root = low
+        _, root = brute_links(rows)
         got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(frame(spark, rows), width=4).collect()}
         assert [got[i] for i in range(n)] == root.tolist()
         assert 20 < len(set(root.tolist())) < n
