@@ -1,15 +1,17 @@
 """Operator 2: toxicity by a weighted lexicon.
 
-Texts are folded (lower case, homoglyphs to Latin letters, digits and signs
-of words with a letter to the letters they stand for, but for marks such as ! at
-the end; at a word's ends both readings are matched), then one Aho-Corasick pass finds
-the lexicon's entries: whole words or beginnings of words. Entries inside an
-exception phrase don't count. The sum of weights, normalised by length, gives the
+Texts are folded (lower case, compatible forms and homoglyphs to Latin letters, marks
+over letters in a row dropped, single letters parted by one mark joined, digits and signs of words with a letter
+to the letters they stand for, but for marks such as ! at the end; at a word's ends both
+readings are matched), then one Aho-Corasick pass finds the lexicon's entries: whole words or
+beginnings of words. Where a sign stands for one of several letters, the pass goes over
+classes of letters, and a hit counts if each sign can be read as the entry's letter.
+Entries inside an exception phrase don't count. The sum of weights, normalised by length, gives the
 score through a logistic curve.
 
 The lexicon and the curve are learned from a bounded sample of labelled rows: at
-most SAMPLE of each class, those with the smallest hash of their id. Whole words and
-word beginnings of SHORTEST to LONGEST letters are counted in Spark; an entry is kept
+most SAMPLE of each class, those with the smallest hash of their id. Whole words of any
+length and word beginnings of SHORTEST to LONGEST letters are counted in Spark; an entry is kept
 if the number of documents that have it, or have it twice, separates the classes (a
 G-test), and of beginnings that contain each other the one that explains most is
 kept. There is no limit to the number of entries or the length of words. Folding and
@@ -29,6 +31,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable
@@ -58,12 +61,19 @@ _LOOKS = {
     "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ı": "i", "ℓ": "l",
     "​": "", "‌": "", "‍": "", "­": "", "﻿": "",
 }
-_LOOKS |= {chr(0xFF41 + i): chr(97 + i) for i in range(26)}  # full width
 _LOOK_TABLE = str.maketrans(_LOOKS)
 _LOOK_FIND = re.compile("[" + "".join(_LOOKS) + "]").search
 # Digits and signs written for letters.
 _SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "l"}
 _SIGN_TABLE = str.maketrans(_SIGNS)
+#: Signs that may be read as any of several letters; letters that a sign confuses are one class in the automaton.
+_READINGS = {"1": "il", "!": "il", "|": "il"}
+# Blocks of marks over and under letters.
+_MARKS = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]+")
+# Letters with marks, with one plain letter at most between two of them; a single accent may be the word's own.
+_ACCENTED = re.compile(rf"(?:[^\W\d_]{_MARKS.pattern}(?:[^\W\d_](?!{_MARKS.pattern}))?){{2,}}")
+# Three or more single letters or digits with the same mark between them.
+_PARTED = re.compile(r"(?<![^\W_])[^\W_]([.\-_*·])[^\W_](?:\1[^\W_])+(?![^\W_])")
 # A run of letters, digits and signs that holds one of _SIGNS.
 _SIGNED = re.compile(r"(?<![^\W_])(?<![@$!|])[^\W_0134578]*[0134578@$!|](?:[^\W_]|[@$!|])*")
 _LETTER = re.compile(r"[^\W\d_]").search
@@ -78,11 +88,20 @@ def _fold_signs(found: re.Match) -> str:
     return body.translate(_SIGN_TABLE) + token[len(body) :]
 
 
+def _join_letters(found: re.Match) -> str:
+    return found[0].replace(found[1], "") if _LETTER(found[0]) else found[0]
+
+
 def readings(text: str) -> tuple[str, str]:
     """The folded text, and as long the one in which digits and signs are left."""
-    text = text.lower()
-    if not text.isascii() and _LOOK_FIND(text):
-        text = text.translate(_LOOK_TABLE)
+    if not text.isascii():
+        text = _ACCENTED.sub(lambda found: _MARKS.sub("", found[0]), unicodedata.normalize("NFKD", text))
+        text = unicodedata.normalize("NFC", text).lower()
+        if _LOOK_FIND(text):
+            text = text.translate(_LOOK_TABLE)
+    else:
+        text = text.lower()
+    text = _PARTED.sub(_join_letters, text)
     return _SIGNED.sub(_fold_signs, text), text
 
 
@@ -97,6 +116,20 @@ def _bare(plain: str, at: int, step: int) -> bool:
     return not (0 <= at < len(plain) and plain[at].isalpha())
 
 
+def _classes(text: str) -> str:
+    """Letters that a sign confuses become one."""
+    return text.replace("l", "i")
+
+
+def _reads(folded: str, plain: str | None, at: int, text: str) -> bool:
+    """Whether text can be read at a place: letter by letter as folded, or as another reading of the sign in plain."""
+    if folded.startswith(text, at):
+        return True
+    return plain is not None and all(
+        folded[at + i] == c or c in _READINGS.get(plain[at + i], "") and folded[at + i] != plain[at + i] for i, c in enumerate(text)
+    )
+
+
 class Lexicon:
     """Entries (text, whole word or not, weight) and the curve's parameters."""
 
@@ -114,9 +147,9 @@ class Lexicon:
         automaton = ahocorasick.Automaton()
         found: dict[str, list] = {}
         for text, whole, weight in self.entries:
-            found.setdefault(text, []).append((whole, weight))
+            found.setdefault(_classes(text), []).append((text, whole, weight))
         for phrase in self.exceptions:
-            found.setdefault(phrase, []).append((True, None))
+            found.setdefault(_classes(phrase), []).append((phrase, True, None))
         for text, kinds in found.items():
             automaton.add_word(text, (len(text), kinds))
         automaton.make_automaton()
@@ -124,18 +157,21 @@ class Lexicon:
         return automaton
 
     def weight(self, folded: str, plain: str | None = None) -> float:
-        """Sum of weights; digits and signs at a word's ends count as letters or, where `plain` has them, as its limits."""
+        """Sum of weights; digits and signs at a word's ends count as letters or, where `plain` has them, as its limits.
+
+        A sign of `plain` matches each letter it can be read as.
+        """
         if not self.entries:
             return 0.0
         automaton = self._automaton or self._build()
         hits, spared, n = [], [], len(folded)
-        for end, (size, kinds) in automaton.iter(folded):
+        for end, (size, kinds) in automaton.iter(_classes(folded)):
             start = end - size + 1
             if start and folded[start - 1].isalpha() and (plain is None or not _bare(plain, start - 1, -1)):
                 continue
             closed = end + 1 == n or not folded[end + 1].isalpha() or (plain is not None and _bare(plain, end + 1, 1))
-            for whole, weight in kinds:
-                if whole and not closed:
+            for text, whole, weight in kinds:
+                if whole and not closed or not _reads(folded, plain, start, text):
                     continue
                 (spared if weight is None else hits).append((start, end, weight))
         return sum(w for s, e, w in hits if not any(a <= s and e <= b for a, b, _ in spared))
@@ -183,8 +219,6 @@ def _beginnings(batches):
         for text, toxic in zip(batch.column("text"), batch.column("toxic").to_pylist()):
             own: dict[str, int] = {}
             for word, n in Counter(_WORD.findall(fold(text.as_py() or ""))).items():
-                if len(word) < SHORTEST:
-                    continue
                 for size in range(SHORTEST, min(len(word), LONGEST) + 1):
                     own[word[:size]] = own.get(word[:size], 0) + n
                 own[word + "$"] = own.get(word + "$", 0) + n

@@ -1,6 +1,7 @@
 """Nulls in any column, empty tables, large ids beside nulls, and extra columns whose names the operators use themselves."""
 
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -122,6 +123,36 @@ def test_signs_at_word_ends_and_in_long_runs_are_folded():
     assert weights == {"an idi07, w0rthle55!": 4.0, "idiot1": 2.0, "1idiot": 2.0, "m0r0n5": 1.0, "idiots": 0.0, "1d10tic": 0.0}
 
 
+def test_all_readings_of_signs_and_disguised_letters():
+    lexicon = toxicity.Lexicon([("loser", True, 1.0), ("worthless", True, 1.0), ("idiot", True, 1.0), ("moron", False, 1.0)], exceptions={"x": ("idiot proof",)})
+    hidden = ("1oser", "|0$er", "worth1e55", "|d|ot", "1d!0t", "𝐢𝐝𝐢𝐨𝐭", "ídíót", "ｉｄｉｏｔ", "i.d.i.o.t", "i-d-i-o-t!", "1.d.1.0.t", "m_o_r_o_n", "mоrоns", "i.d.i.o.t, 1d|ot-proof")
+    weights = {t: lexicon.weight(*toxicity.readings(t)) for t in hidden}
+    assert weights == {t: 2.0 if "," in t else 1.0 for t in hidden}
+    # letters as such have one reading; a spared phrase may hold a sign
+    plain = ("ioser", "ldlot", "worthiess", "U.S.A.", "1.2.3.4", "i.d.o.t", "1d|ot proof", "idi.ot", "lóser")
+    assert [lexicon.weight(*toxicity.readings(t)) for t in plain] == [0.0] * len(plain)
+
+
+def test_beginnings_are_counted_as_plain_loops_count_them(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "HELD", 40)
+    rng = random.Random(3)
+    words = ["du", "dumm", "dummes", "a", "x" * 200, "ab", "idi0t", "ídíót", "ídiot"]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(0, 9))), i % 2) for i in range(80)] + [(99, None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic long").repartition(3)
+    schema = "entry string, " + ", ".join(f"{c} long" for c in toxicity._COUNTS)
+    got = {r[0]: list(r)[1:] for r in docs.mapInArrow(toxicity._beginnings, schema).groupBy("entry").agg(*(F.sum(c) for c in toxicity._COUNTS)).collect()}
+    want = {}
+    for _, text, toxic in rows:
+        own = ["idiot" if w == "ídíót" else w.replace("0", "o") for w in (text or "").split()]
+        forms = [x for w in own for x in [w + "$", *(w[:n] for n in range(3, 65) if n <= len(w))]]
+        for x in set(forms):
+            counts = want.setdefault(x, [0] * 5)
+            counts[0 if toxic else 1] += 1
+            counts[2 if toxic else 3] += forms.count(x) > 1
+            counts[4] += toxic * forms.count(x)
+    assert got == want
+
+
 def test_near_duplicates_of_a_row_repeated_a_thousand_times(spark):
     long = " ".join(f"w{i}" for i in range(60))
     other = " ".join(f"v{i}" for i in range(60))
