@@ -10,8 +10,9 @@ A table key can be shared only if both its sub-keys are, so keys are formed only
 from sub-keys that some other set has too. In every bucket of a table each member
 meets one pivot, the member that shares most sub-keys, and is confirmed against it.
 A pivot with the members of its buckets is a group; a group that then still holds
-several components is finished exactly. There each set is written as its difference
-to a common reference, so that what all have in common drops out. Two sets of
+several components is finished exactly, but for one whose sets all lie in a larger one
+(`_outer`). There each set is written as its difference to a common reference, so that what
+all have in common drops out. Two sets of
 different components can be similar only if they share so many elements of their
 differences that one of these is among the rarest of either (`_finish`). Pairs that
 have such an element in common are confirmed; all other pairs can't be similar. So
@@ -168,6 +169,20 @@ def _confirmed(pairs: DataFrame, pool: DataFrame, percent: int) -> DataFrame:
     return pairs.join(sets_b, "b").join(sets_a, "a").where(similar).select("a", "b")
 
 
+def _outer(groups: DataFrame) -> DataFrame:
+    """groups(p, id, n, root, of) without those whose sets all lie in the largest group that has their pivot.
+
+    That group holds their pairs too. Of groups with equal sets the one with the largest pivot stays, so each
+    group that goes lies in one that stays. An id may have sets of several sizes, so ids count with their sizes.
+    """
+    holders = groups.join(groups.select(F.col("p").alias("id")).distinct(), "id", "left_semi")
+    largest = holders.groupBy("id").agg(F.max(F.struct("of", "p")).alias("top"))
+    over = largest.select(F.col("id").alias("p"), F.col("top")["p"].alias("q")).where("p <> q")
+    both = groups.join(over, "p").join(groups.select(F.col("p").alias("q"), "id", "n"), ["q", "id", "n"], "left_semi")
+    inside = both.groupBy("p", "of").agg(F.count("*").alias("both")).where("both = of").select("p")
+    return materialize(groups.join(materialize(inside, "inner"), "p", "left_anti"), "outer-groups")
+
+
 def _by_rarity(pool: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, alone, rare): the sets of ids, elements that several of them have by number of sets, and how many others there are."""
     each = materialize(pool.join(ids, "id", "left_semi").select("id", F.explode("shingles").alias("x")), "elements")
@@ -234,8 +249,7 @@ def _finish(groups: DataFrame, pool: DataFrame, percent: int) -> DataFrame:
 
 def _joined(groups: DataFrame) -> DataFrame:
     """(g, id, n, root): the sets of groups of MANY or more, groups that overlap taken together; each set is in one."""
-    big = groups.groupBy("p").agg(F.count("*").alias("of")).where(F.col("of") >= MANY).select("p")
-    own = groups.join(big, "p")
+    own = groups.where(F.col("of") >= MANY)
     whole = connected_components(own.select(F.col("p").alias("a"), F.col("id").alias("b")))
     return own.select("id", "n", "root").distinct().join(whole.select("id", F.col("root").alias("g")), "id").select("g", "id", "n", "root")
 
@@ -317,7 +331,7 @@ def _left(groups: DataFrame, joined: DataFrame, plans: DataFrame) -> DataFrame:
 
 
 def _open_pairs(groups: DataFrame, pool: DataFrame, percent: int) -> DataFrame:
-    """Candidates (a, b) of groups(p, id, n, root) that still hold several components."""
+    """Candidates (a, b) of groups(p, id, n, root, of), each of `of` sets, that still hold several components."""
     joined = materialize(_joined(groups), "joined")
     if not joined.take(1):
         return _finish(groups, pool, percent)
@@ -370,8 +384,10 @@ def near_duplicates(
     groups = star.select(F.col("a").alias("p"), F.col("b").alias("id"), F.col("n_b").alias("n")).union(pivots)
     groups = groups.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     groups = materialize(groups, "groups")
-    several = groups.groupBy("p").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("p")
-    groups = groups.join(materialize(several, "open"), "p")
+    several = groups.groupBy("p").agg(F.count("*").alias("of"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    several = materialize(several.where("lo < hi").select("p", "of"), "open")
+    # written, as many steps read it
+    groups = _outer(materialize(groups.join(several, "p"), "open-groups"))
     more = _confirmed(_open_pairs(groups, pool, percent), pool, percent)
     links = materialize(links.union(more), "links")
     roots = materialize(connected_components(links), "roots")

@@ -191,6 +191,31 @@ def test_a_large_group_of_near_copies_matches_brute_force(spark, monkeypatch):
         assert met[-1].count() < n  # of n * n / 2 pairs
 
 
+def test_a_group_inside_another_is_not_finished_twice(spark):
+    inside = {1: [1, 2, 3, 4, 5, 6], 2: [2, 3, 4], 5: [5, 6, 9], 7: [7, 8], 8: [7, 8], 10: [10, 1]}
+    rows = [(p, i, 50, i, len(ids)) for p, ids in inside.items() for i in ids]
+    rows += [(3, 3, 50, 3, 2), (3, 4, 60, 4, 2)]  # another set of 4, of another size
+    kept = near_dedup._outer(spark.createDataFrame(rows, "p long, id long, n long, root long, of long"))
+    got = sorted(tuple(r) for r in kept.collect())
+    assert got == sorted(r for r in rows if r[0] not in (2, 7))
+
+
+def test_open_groups_are_joined_once_and_grow_less_than_by_the_square(spark, monkeypatch, capsys):
+    pairs, met, counts = near_dedup._open_pairs, [], []
+    monkeypatch.setattr(near_dedup, "_open_pairs", lambda *a: met.append(a[0]) or pairs(*a))
+    for n in (500, 2000):
+        rows = near_copies(n, n + 1)
+        _, root = brute_links(rows)
+        got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(frame(spark, rows), width=4).collect()}
+        assert [got[i] for i in range(n)] == root.tolist()
+        capsys.readouterr()
+        met[-1].explain()
+        assert "Join" not in capsys.readouterr().out  # many steps read them
+        counts.append(met[-1].count())
+    # of four times the sets
+    assert counts[1] < 7 * counts[0], counts
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, x) for x in range(101, 130)] + [(5, 5)]
     got = {r.id: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
