@@ -11,12 +11,15 @@ space. The index is built in bulk with DataFrame operations only:
    has at most 2^DIRECTORY_BITS slots and is broadcast.
 3. A second pass takes whole texts through the directory: the leading bits of its
    hash give a row's bucket, the bucket its owner. Owner tasks each take a range of
-   buckets and sort it by bucket, hash and bytes: rows of one hash form a chain, in
-   which bytes are compared, so that only identical texts are one entry. Hashes with
-   more rows than an owner has on average, at most as many hashes as owners, would
-   overload theirs; their rows are combined before they are shuffled, by bucket, hash
-   and bytes as well, and looked up among the few entries that come of it.
-4. The index is written by bucket, one row for each posting of an entry, and read
+   buckets and group its rows by bucket, hash and bytes: texts of one hash form a
+   chain, in which bytes are compared, so that only identical texts are one entry. A
+   task holds each text once, however many rows repeat it. Hashes with more rows than
+   an owner has on average, at most as many hashes as owners, would overload theirs;
+   their rows are combined before they are shuffled, by bucket, hash and bytes as well.
+4. Postings: rows of step 1 go through the directory to the owners too, without texts,
+   and meet the entry of their hash; those of overloading hashes look it up among the
+   few entries. Only where a chain holds several texts are these read again.
+5. The index is written by bucket, one row for each posting of an entry, and read
    back as the result.
 
 Null texts count as empty. Null doc_ids are kept last; of rows that repeat one
@@ -30,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import drop, materialize, table
+from .common import drop, join_sized, materialize, table
 
 #: Distinct hashes in a bucket before it is split; more where the directory would get too large.
 CAPACITY = 4096
@@ -89,43 +92,52 @@ def exact_groups(docs: DataFrame, capacity: int = CAPACITY, hash_bits: int = 64)
     # at most `owners` hashes, as their rows add up to `total` at most
     hot = counts.where(F.col("rows") > total / owners).select("h")
 
-    routed = keyed.withColumn("slot", _leading("h", bits)).join(F.broadcast(directory), "slot")  # 2^DIRECTORY_BITS slots at most
-    routed = routed.withColumn("owner", F.floor(F.col("bucket") * owners / (1 << bits)).cast("int"))
-    entry = Window.partitionBy("owner", "bucket", "h", "norm")
-    index = (
-        routed.join(F.broadcast(hot), "h", "left_anti")
-        .repartitionById(owners, F.col("owner"))
-        .withColumn("keep_id", F.min("doc_id").over(entry))
-        .withColumn("group_size", F.count("*").over(entry))
-        .withColumn("nth", F.row_number().over(entry.orderBy(F.col("doc_id").asc_nulls_last())).cast("long"))
-        .select("owner", "bucket", "h", "doc_id", "keep_id", "group_size", "nth", F.sha2("norm", 256).alias("text_sha256"))
-    )
-    if hot.take(1):
-        index = index.unionByName(_hot_postings(routed.join(F.broadcast(hot), "h"), keys))
-    index = materialize(index.sortWithinPartitions("bucket", "h"), "dedup-index")
-    drop(keys), drop(counts), drop(directory)
+    def routed(rows: DataFrame) -> DataFrame:
+        at = rows.withColumn("slot", _leading("h", bits)).join(F.broadcast(directory), "slot")  # 2^DIRECTORY_BITS slots at most
+        return at.withColumn("owner", F.floor(F.col("bucket") * owners / (1 << bits)).cast("int")).drop("slot", "depth")
+
+    def owned(rows: DataFrame) -> DataFrame:
+        return rows.join(F.broadcast(hot), "h", "left_anti").repartitionById(owners, F.col("owner"))
+
+    entries = _entries(owned(routed(keyed)))
+    some_hot = bool(hot.take(1))
+    if some_hot:
+        entries = entries.unionByName(_entries(routed(keyed).join(F.broadcast(hot), "h")))
+    entries = materialize(entries, "entries")
+    alone = entries.where("chain = 1")
+    index = owned(routed(keys)).join(owned(alone), ["owner", "bucket", "h"])  # dealt alike: an owner's rows meet in its task
+    if some_hot:
+        index = index.unionByName(keys.join(F.broadcast(alone.join(F.broadcast(hot), "h")), "h"))
+    if entries.where("chain > 1").take(1):
+        index = index.unionByName(_shared(keyed, entries.where("chain > 1"), total))
+    index = materialize(_numbered(index).sortWithinPartitions("bucket", "h"), "dedup-index")
+    drop(keys), drop(counts), drop(directory), drop(entries)
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1)
     return index.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
 
 
-def _hot_postings(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """The postings of rows(owner, bucket, h, norm, doc_id) of hot hashes; equal texts are combined before the shuffle.
+def _entries(rows: DataFrame) -> DataFrame:
+    """An entry for each text of rows(owner, bucket, h, norm, doc_id); chain is the number of entries of its hash."""
+    chain = Window.partitionBy("owner", "bucket", "h")
+    found = rows.groupBy("owner", "bucket", "h", "norm").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    return found.withColumn("text_sha256", F.sha2("norm", 256)).drop("norm").withColumn("chain", F.count("*").over(chain))
+
+
+def _shared(keyed: DataFrame, entries: DataFrame, total: int) -> DataFrame:
+    """The postings of entries whose hash several texts share; rows of keyed(doc_id, norm, h) are told apart by their texts.
 
-    keys(doc_id, h, copies) has their rows; only where a chain holds several texts are these read again. Rows
-    that repeat a doc_id are numbered, so that one is kept.
+    Such hashes are next to none of 64-bit ones.
     """
-    chain = Window.partitionBy("h")
-    found = rows.groupBy("owner", "bucket", "h", "norm").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    found = found.withColumn("text_sha256", F.sha2("norm", 256)).withColumn("chain", F.count("*").over(chain)).drop("norm")
-    entries = materialize(found, "hot-entries")
-    # hot hashes are as few as owners, and texts of one hash fewer still
-    own = keys.join(F.broadcast(entries.where("chain = 1")), "h")
-    if entries.where("chain > 1").take(1):
-        told = rows.select("h", "doc_id", F.sha2("norm", 256).alias("text_sha256")).groupBy("h", "doc_id", "text_sha256").agg(F.count("*").alias("copies"))
-        own = own.unionByName(told.join(F.broadcast(entries.where("chain > 1")), ["h", "text_sha256"]))
+    told = keyed.join(F.broadcast(entries.select("h").distinct()), "h").select("h", "doc_id", F.sha2("norm", 256).alias("text_sha256"))
+    told = told.groupBy("h", "doc_id", "text_sha256").agg(F.count("*").alias("copies"))
+    return join_sized(told, entries, ["h", "text_sha256"], "group_size", total)
+
+
+def _numbered(postings: DataFrame) -> DataFrame:
+    """A row for each of a posting's copies, numbered from 1: of rows that repeat a doc_id, one is kept."""
     blocks = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"), F.lit(1 << 16).cast("long")))
     inner = F.explode(F.sequence("from", F.least(F.col("from") + ((1 << 16) - 1), "copies")))
-    return own.drop("chain").withColumn("from", blocks).withColumn("nth", inner).drop("copies", "from")
+    return postings.drop("chain").withColumn("from", blocks).withColumn("nth", inner).drop("copies", "from")
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -505,3 +505,16 @@ def test_lstm_gradient():
         down = loss()
         net.w[name][at] = held
         assert abs((up - down) / 2e-3 - grad[name][at]) < 2e-3
+
+
+def test_exact_dedup_sorts_and_buffers_no_texts(spark, monkeypatch):
+    """Copies of long texts under the size of a hot group: an owner groups them and holds each text once."""
+    plans, write = [], exact_dedup.materialize
+    monkeypatch.setattr(exact_dedup, "materialize", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, name))
+    rows = [(i, f"{i % 5} " * 20000) for i in range(250)] + [(i, f"short {i}") for i in range(250, 1000)] + [(i, "hot") for i in range(1000, 1600)]
+    got = {r.doc_id: r for r in exact_dedup.exact_groups(frame(spark, rows)).collect()}
+    assert sorted(got) == list(range(1600))
+    assert all((got[i].keep_id, got[i].group_size, got[i].kept) == (i % 5, 50, i < 5) for i in range(250))
+    assert all((got[i].keep_id, got[i].group_size, got[i].kept) == (i, 1, True) for i in range(250, 1000))
+    assert all((got[i].keep_id, got[i].group_size, got[i].kept) == (1000, 600, i == 1000) for i in range(1000, 1600))
+    assert any("norm" in x for x in plans) and not [line for x in plans for line in x.split("\n") if re.search(r"(Sort|Window) \[.*norm", line)]
