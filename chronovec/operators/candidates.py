@@ -12,6 +12,8 @@ from .scorers import Scorer
 from .slices import Slices
 
 WARM = 12
+#: Decimal places to which scores are compared where a budget is cut.
+PLACES = 6
 
 
 def plan_grid(duration: Column, interval: float, offset: float = 0.0) -> Column:
@@ -41,7 +43,8 @@ def gather(
     """key, frame_idx, time, score, pool: the best frames of each scene and some drawn from the others.
 
     With a scorer, the rows are frames(key, frame_idx, time, vec) yet to be scored. Labeled frames use up places among the best, and are then left out. Over the
-    limit, the drawn ones keep their share of the budget. The result comes in an order drawn from the seed.
+    limit, the drawn ones keep their share of the budget, and the best are compared after rounding to PLACES, equal ones by key and frame_idx:
+    the last bits of a cosine are noise. The result comes in an order drawn from the seed.
     """
     if scorer is not None:
         scored = scorer(scored, "vec", "score")
@@ -60,7 +63,7 @@ def gather(
         if n_top + n_drawn > limit:
             # fixed value: how a budget is shared
             keep = min(n_drawn, max(1, round(limit * chance / max(1, top + chance))))
-            tops = tops.orderBy(F.desc("score"), "key", "frame_idx").limit(limit - keep)
+            tops = tops.orderBy(F.desc(F.round("score", PLACES)), "key", "frame_idx").limit(limit - keep)
             drawn = drawn.orderBy(draw(seed)).limit(keep)
     return tops.unionByName(drawn).select("key", "frame_idx", "time", "score", "pool").orderBy(draw(seed + 1))
 

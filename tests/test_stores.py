@@ -122,6 +122,13 @@ def test_candidates(spark):
     assert {r.score for r in candidates.suggest(scored, known, likes=0).collect()} == {0.0}
 
 
+def test_a_budget_of_candidates_is_cut_by_rounded_scores(spark):
+    rows = [(f"k{k}", i, float(i), 1.0 - 1e-9 * (9 - k) if i == 0 else 0.1) for k in range(10) for i in range(4)]
+    none = spark.createDataFrame([], "key string, time_cs long")
+    got = candidates.gather(spark.createDataFrame(rows, "key string, frame_idx long, time double, score double"), none, 2, 1, limit=6).collect()
+    assert {(r.key, r.frame_idx) for r in got if r.pool == "top"} == {(f"k{k}", 0) for k in range(4)}
+
+
 def test_models(spark):
     rng = np.random.default_rng(0)
     rows = [([float(x) for x in rng.normal(1 if y else -1, 0.3, 6)], y) for y in (0, 1) for _ in range(40)]
