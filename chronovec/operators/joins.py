@@ -7,17 +7,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 
-#: Seconds of a scene that are one sorted stream.
-SPAN = 3600.0
+#: Seconds of a scene that are one sorted stream, and labels of one on average.
+SPAN, LABELS = 3600.0, 100_000
 
 
-def nearest(labels: DataFrame, frames: DataFrame, span: float = SPAN) -> DataFrame:
+def nearest(labels: DataFrame, frames: DataFrame, span: float = SPAN, size: int | None = None) -> DataFrame:
     """labels(key, time, ...) with frame_idx and frame_time of the nearest frame; the earlier on ties.
 
     Labels and frames are one sorted stream for each slice of `span` seconds of a key: every label looks at
-    the last frame before it and the first after it, so nothing is paired. The nearest frames of other slices
-    come into a slice as rows, from a summary with a row a slice. Labels without frames in their scene drop
-    out, labels and frames without a key or time, too.
+    the last frame before it and the first after it, so nothing is paired. Both are running values, forwards and
+    backwards in time. The nearest frames of other slices come into a slice as rows, from a summary with a row a slice. Of a
+    slice with more than `size` labels, several streams are made, with the labels dealt out and the frames in each.
+    Labels without frames in their scene drop out, labels and frames without a key or time, too.
     """
     frame_type = "struct<frame_idx:long,time:double>"
     at = F.floor(F.col("time") / span)
@@ -31,18 +32,24 @@ def nearest(labels: DataFrame, frames: DataFrame, span: float = SPAN) -> DataFra
 
     by_time = lambda sign: F.struct(F.col("frame.time"), (sign * F.col("frame.frame_idx")).alias("nth"))
     ends = held.groupBy("key", "slice").agg(F.min_by("frame", by_time(1)).alias("first"), F.max_by("frame", by_time(-1)).alias("last"))
-    asked = left.groupBy("key", "slice").agg(F.lit(True).alias("asked"))
-    scene = Window.partitionBy("key").orderBy("slice")
-    around = F.array_compact(F.array(
-        F.last("last", True).over(scene.rowsBetween(Window.unboundedPreceding, -1)), F.first("first", True).over(scene.rowsBetween(1, Window.unboundedFollowing))
-    ))
-    carried = ends.join(asked, ["key", "slice"], "full_outer").withColumn("around", around).where("asked").select("key", "slice", F.explode("around").alias("frame"))
+    asked = left.groupBy("key", "slice").agg(F.count("*").alias("asked"))
+    earlier = lambda order: Window.partitionBy("key").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    around = F.array_compact(F.array(F.last("last", True).over(earlier(F.asc("slice"))), F.last("first", True).over(earlier(F.desc("slice")))))
+    carried = ends.join(asked, ["key", "slice"], "full_outer").withColumn("around", around).where("asked IS NOT NULL").select("key", "slice", F.explode("around").alias("frame"))
     carried = carried.select("key", F.col("frame.time").alias("time"), "slice", F.lit(0).alias("kind"), no_label, "frame")
 
-    rows = left.unionByName(held).unionByName(carried)
-    back = Window.partitionBy("key", "slice").orderBy("time", "kind", F.desc("frame.frame_idx")).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy("key", "slice").orderBy("time", F.desc("kind"), "frame.frame_idx").rowsBetween(0, Window.unboundedFollowing)
-    found = rows.withColumn("prev", F.last("frame", True).over(back)).withColumn("next", F.first("frame", True).over(ahead)).where("kind = 1")
+    # a row for each slice with more than `size` labels, so one for each `size` labels at most
+    size = size or LABELS
+    crowded = F.broadcast(asked.where(F.col("asked") > size).select("key", "slice", F.ceil(F.col("asked") / size).cast("int").alias("streams")))
+    streams = F.coalesce("streams", F.lit(1))
+    hashed = F.xxhash64("time", *(F.col("label_row").getField(c) for c, kind in labels.dtypes if c in rest and "map<" not in kind))
+    left = left.join(crowded, ["key", "slice"], "left").withColumn("stream", F.pmod(hashed, streams).cast("int"))
+    right = held.unionByName(carried).join(crowded, ["key", "slice"], "left").withColumn("stream", F.explode(F.sequence(F.lit(0), streams - 1)))
+
+    rows = left.unionByName(right).drop("streams")
+    # frames before labels of the same time, and of equal frames the one with the least number last, either way
+    running = lambda order: Window.partitionBy("key", "slice", "stream").orderBy(order, "kind", F.desc("frame.frame_idx")).rowsBetween(Window.unboundedPreceding, 0)
+    found = rows.withColumn("prev", F.last("frame", True).over(running(F.asc("time")))).withColumn("next", F.last("frame", True).over(running(F.desc("time")))).where("kind = 1")
     before, after = F.col("time") - F.col("prev.time"), F.col("next.time") - F.col("time")
     use = F.when(F.col("next").isNull() | (F.col("prev").isNotNull() & (before <= after)), F.col("prev")).otherwise(F.col("next"))
     return (

@@ -41,6 +41,17 @@ def test_nearest_equals_brute_force(spark):
             assert got.get(n) == (min(own)[1] if own else None)
 
 
+def test_nearest_of_many_labels_runs_in_streams(spark):
+    rng = random.Random(8)
+    frames = [(k, i, i * 2.0) for k in "ab" for i in range(20)] + [("a", 30, 30.0), ("b", 40, 90.0)]
+    marks = [("a" if n % 7 else "b", rng.choice([rng.uniform(-5, 50), float(rng.randrange(40)), 31.0]), n, {"n": n}) for n in range(300)]
+    found = joins.nearest(spark.createDataFrame(marks, "key string, time double, n int, more map<string,int>"), spark.createDataFrame(frames, "key string, frame_idx int, time double"), 60.0, 20)
+    # such a frame is computed from its start for each row
+    assert "unboundedfollowing" not in found._jdf.queryExecution().toString().lower()
+    got = {r.n: (r.frame_idx, r.more["n"]) for r in found.collect()}
+    assert got == {n: (min((abs(ft - t), i) for fk, i, ft in frames if fk == k)[1], n) for k, t, n, _ in marks}
+
+
 def test_overlap_equals_brute_force(spark):
     rng = random.Random(6)
     time = lambda: rng.choice([None, float(rng.randrange(40)), float(rng.randrange(40))])
