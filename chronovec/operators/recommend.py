@@ -18,7 +18,7 @@ def liked_vectors(likes: DataFrame, frames: DataFrame) -> DataFrame:
 
     Likes of all categories go in together; those in scenes without frames drop out.
     """
-    found = nearest(likes.select("key", F.col("time").cast("double").alias("time")), frames).select("key", "frame_idx").distinct()
+    found = nearest(likes.select("key", F.col("time").cast("double").alias("time")).distinct(), frames).select("key", "frame_idx").distinct()
     return frames.withColumn("frame_idx", F.col("frame_idx").cast("long")).join(found, ["key", "frame_idx"], "left_semi").select("key", "frame_idx", "vec")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.errors import PySparkException
 
 from chronovec.functions import binary
-from chronovec.operators import catalog, preference, recommend
+from chronovec.operators import catalog, joins, preference, recommend
 from chronovec.sources import stores
 
 FRAMES = "key string, frame_idx int, time double, vec array<double>"
@@ -36,6 +36,13 @@ def test_recommendation_follows_the_likes(spark, frames):
     assert recommend.recommend(frames, likes.limit(0), **RULES).count() == 0
 
 
+def test_repeated_likes_are_looked_up_once(spark, frames, monkeypatch):
+    asked = []
+    monkeypatch.setattr(recommend, "nearest", lambda likes, frames: asked.append(likes.count()) or joins.nearest(likes, frames))
+    likes = spark.createDataFrame([("A", 4.2), ("A", 9.9), ("B", 4.2)] * 20, "key string, time double")
+    assert {(r.key, r.frame_idx) for r in recommend.liked_vectors(likes, frames).collect()} == {("A", 2), ("A", 5), ("B", 2)} and asked == [3]
+
+
 def test_a_saved_scene_leaves_the_others(spark, tmp_path):
     at = str(tmp_path / "frames")
     rows = [("m", k, i, float(i), [1.0 * i, 2.0], None) for k in "ab" for i in range(3)] + [("n", "a", 0, 0.0, [1.0], "x")]
