@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from chronovec.operators import index, search
+from chronovec.sources import shared
 
 FRAMES = "key string, frame_idx int, time double, vec array<double>"
 
@@ -48,6 +49,29 @@ def test_many_queries_of_one_slice_meet_it_in_blocks(spark, monkeypatch):
     assert rows(index.VectorIndex(frames, rows_of_slice=50).search(frames, 4).hits) == want
 
 
+def test_a_query_travels_once_to_the_slices_of_a_shelf(spark, monkeypatch):
+    counts = []
+    monkeypatch.setattr(index, "written", lambda df, name: counts.append((name, shared.written(df, name))) or counts[-1][1])
+    frames = clustered(spark, 400, 5, 6)
+    asked = frames.where("frame_idx = 2 AND vec IS NOT NULL")
+    found = index.VectorIndex(frames, rows_of_slice=5, centers=1).search(asked, 4)
+    assert rows(found.hits) == rows(search.search_each(frames.where("vec IS NOT NULL"), asked, 4))
+    n = asked.count()
+    assert found.meetings > 4 * n and all(held.count() <= n * (4 if name == "hits" else 1) for name, held in counts if name in ("visits", "hits"))
+
+
+def test_the_best_under_a_cap_equal_a_full_sort():
+    rng = random.Random(7)
+    for _ in range(200):
+        n, top, cap = rng.randrange(60), rng.randrange(6), rng.choice([None, 1, 3])
+        scores, scenes = np.array([rng.randrange(9) / 9 for _ in range(n)]), np.array([rng.randrange(-1, 3) for _ in range(n)], int)
+        want = []
+        for i in sorted(range(n), key=lambda i: (-scores[i], i)):
+            if not cap or sum(scenes[j] == scenes[i] for j in want) < cap:
+                want.append(i)
+        assert search._best(scores, scenes, top, cap).tolist() == want[:top]
+
+
 def test_similar_frames_leave_out_labeled_ones(spark):
     frames = clustered(spark, 400, 5, 4)
     labeled = spark.createDataFrame([("k1", 0), ("k2", 100), ("k3", 300)], "key string, time_cs long")
