@@ -102,6 +102,29 @@ def test_statistics_of_a_profile(spark):
     assert preference.predict(model, spark.createDataFrame([(vec,)], "vec array<double>")).first()["probability"] is not None
 
 
+def test_rows_that_stand_for_several_are_dealt_as_these(spark):
+    own = spark.createDataFrame([([float(i)], i % 2, 1 + i * 7 % 23) for i in range(30)], "vec array<double>, label int, times long")
+    each = own.withColumn("again", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).drop("again", "times")
+    want = {(r.vec[0], r.label, r.fold): r["count"] for r in preference.stratified_folds(each, 4, 2, 3).groupBy("vec", "label", "fold").count().collect()}
+    got = {(r.vec[0], r.label, r.fold): r.times for r in preference.stratified_folds(own, 4, 2, 3, "times").collect()}
+    assert got == want
+
+
+def test_labels_of_one_frame_are_one_row(spark, monkeypatch):
+    labels, frames, *_ = profile(spark, 10)
+    labels = labels.withColumn("again", F.explode(F.sequence(F.lit(1), F.lit(12)))).withColumn("ts", F.col("ts") + 3600.0 * F.col("again"))
+    labels = labels.withColumn("label", F.when(F.col("again") <= 3, 1 - F.col("label")).otherwise(F.col("label"))).drop("again")
+    tables, written = {}, preference.written
+    monkeypatch.setattr(preference, "written", lambda df, name: tables.setdefault(name, written(df, name)))
+    model, stats = preference.train_profile(labels, frames, "p", "logreg", 0.2, 100.0)
+    each = preference.training_set(labels, frames, "p")
+    assert tables["examples"].count() == 40 and stats["samples"] == each.count() == 240
+    want = preference.train(preference.recency_weights(each, 0.2, 100.0), "logreg", "weight")
+    assert model.coefficients.toArray() == pytest.approx(want.coefficients.toArray(), abs=1e-5) and model.intercept == pytest.approx(want.intercept, abs=1e-5)
+    tables.clear()
+    assert stats["cv_auc"] == pytest.approx(preference.cross_validated_auc(each.select("vec", "label"), 5), abs=6e-4)
+
+
 def test_large_profiles_take_the_network_and_unknown_times_no_weights(spark):
     labels, frames, *_ = profile(spark, 110, unknown=True)
     _, stats = preference.train_profile(labels, frames, "p", "auto", 1.0, 100.0)
