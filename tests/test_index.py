@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from chronovec.operators import index, search
+from chronovec.plans import queries
 from chronovec.sources import shared
 
 FRAMES = "key string, frame_idx int, time double, vec array<double>"
@@ -72,6 +73,13 @@ def test_the_best_under_a_cap_equal_a_full_sort():
         assert search._best(scores, scenes, top, cap).tolist() == want[:top]
 
 
+def test_halves_of_the_sixth_place_round_as_in_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    scores = [0.2611555, -0.2611555, 0.1234565, 0.0000005, 0.0, 1.0, -0.9999995] + [round(i / 977 + 5e-7, 9) for i in range(1, 900, 7)]
+    got = [r.score for r in spark.createDataFrame([(i, x) for i, x in enumerate(scores)], "i int, score double").select("i", queries._six_places("score")).orderBy("i").collect()]
+    assert got == [duckdb.execute("SELECT round(?::DOUBLE, 6)", [x]).fetchone()[0] for x in scores]
+
+
 def test_similar_frames_leave_out_labeled_ones(spark):
     frames = clustered(spark, 400, 5, 4)
     labeled = spark.createDataFrame([("k1", 0), ("k2", 100), ("k3", 300)], "key string, time_cs long")
